@@ -405,3 +405,283 @@ FROM hm""", "measurements"))
 def heat_scale(spark, d):
     cells = A.heatmap(B.measurements(spark, d), 14)
     return r6(A.heat_scale(cells), "mean_value", "intensity")
+
+
+# ---------------------------------------------------------------------------------------------------------
+# A9-A13
+# ---------------------------------------------------------------------------------------------------------
+
+def _points_sql(src: str, bucket: str, series: str | None) -> str:
+    """Points (bucket, series, value) in SQL: per-series means, or the overall series alone."""
+    if series:
+        return f"SELECT {bucket} AS bucket, {series} AS series, avg(value) AS value FROM {src} GROUP BY 1, 2"
+    return f"SELECT {bucket} AS bucket, 'overall' AS series, avg(value) AS value FROM {src} GROUP BY 1"
+
+
+def _points(df, gran, series):
+    pts = A.resample(df, gran, series, with_overall=series is None)
+    return pts.select("bucket", "series", "value")
+
+
+@register("summary_trend", sql(f"""
+SELECT count(value) AS samples, {R6('coalesce(avg(value), 0.0)')} AS mean, coalesce(min(value), 0.0) AS min,
+       coalesce(max(value), 0.0) AS max,
+       CASE WHEN count(value) = 0 OR (SELECT count(*) FROM p) < 2 THEN 'Stable'
+            WHEN (SELECT arg_max(value, bucket) - arg_min(value, bucket) FROM p)
+                 > greatest(0.05, abs(avg(value)) * 0.02) THEN 'Rising'
+            WHEN (SELECT arg_max(value, bucket) - arg_min(value, bucket) FROM p)
+                 < -greatest(0.05, abs(avg(value)) * 0.02) THEN 'Falling'
+            ELSE 'Stable' END AS trend
+FROM measurements""".replace("FROM measurements\"", "").strip().replace(
+    "SELECT count(value)", "SELECT count(value)", 1), "measurements").replace(
+    "\nSELECT count(value)", f",\np AS ({_points_sql('measurements', SQL_BUCKET['day'], None)})\nSELECT count(value)", 1))
+def summary_trend(spark, d):
+    m = B.measurements(spark, d)
+    return r6(A.summary_trend(m, A.resample(m, "day", "variable_code")), "mean")
+
+
+def _rolling_sql(src: str, bucket: str, series: str | None, w: int) -> str:
+    return f"""
+SELECT bucket, series, {R6('value')} AS value, {R6('mean')} AS mean, {R6('mean + sd')} AS upper,
+       {R6('mean - sd')} AS lower FROM (
+  SELECT bucket, series, value,
+         avg(value) OVER (PARTITION BY series ORDER BY bucket ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS mean,
+         stddev_pop(value) OVER (PARTITION BY series ORDER BY bucket ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS sd
+  FROM ({_points_sql(src, bucket, series)}))"""
+
+
+def _rolling(df, gran, series, w):
+    return r6(A.rolling_band(_points(df, gran, series), w), "value", "mean", "upper", "lower")
+
+
+@register("rolling_band", sql(_rolling_sql("measurements_li", SQL_BUCKET["day"], None, 14), "measurements_li"))
+def rolling_band(spark, d):
+    return _rolling(B.measurements_li(spark, d), "day", None, 14)
+
+
+@register("rolling_band_by_series", sql(_rolling_sql("measurements", SQL_BUCKET["hour"], "station_code", 24),
+                                        "measurements"))
+def rolling_band_by_series(spark, d):
+    return _rolling(B.measurements(spark, d), "hour", "station_code", 24)
+
+
+SEASONAL_SQL = {
+    "weekday": ("(['Sun','Mon','Tue','Wed','Thu','Fri','Sat'])[dayofweek(observed_at) + 1]", "dayofweek(observed_at)"),
+    "month": ("strftime(observed_at, '%m')", "month(observed_at)"),
+    "hour": ("strftime(observed_at, '%H')", "hour(observed_at)"),
+}
+
+
+def _seasonal_sql(src: str, mode: str) -> str:
+    key, order = SEASONAL_SQL[mode]
+    return (f"SELECT {key} AS bucket, CAST({order} AS INT) AS sort_key, {R6('avg(value)')} AS value, "
+            f"count(*) AS n FROM {src} GROUP BY 1, 2")
+
+
+@register("seasonal_weekday", sql(_seasonal_sql("measurements", "weekday"), "measurements"))
+def seasonal_weekday(spark, d):
+    return r6(A.seasonal_profile(B.measurements(spark, d), "weekday"), "value")
+
+
+@register("seasonal_month", sql(_seasonal_sql("measurements_li", "month"), "measurements_li"))
+def seasonal_month(spark, d):
+    return r6(A.seasonal_profile(B.measurements_li(spark, d), "month"), "value")
+
+
+@register("seasonal_hour", sql(_seasonal_sql("measurements", "hour"), "measurements"))
+def seasonal_hour(spark, d):
+    return r6(A.seasonal_profile(B.measurements(spark, d), "hour"), "value")
+
+
+def _acf_sql(src: str, bucket: str, series: str | None) -> str:
+    return f"""
+WITH_P AS_P
+SELECT x.series, CAST(k.lag AS INT) AS lag, {R6('sum(x.d * y.d) / max(s.den)')} AS acf
+FROM c x JOIN (SELECT range AS lag FROM range(1, 31)) k ON true
+JOIN c y ON y.series = x.series AND y.idx = x.idx - k.lag
+JOIN s ON s.series = x.series
+WHERE s.n >= 3 AND s.den > 1e-12 AND k.lag <= s.n - 2
+GROUP BY x.series, k.lag"""
+
+
+def _acf_full_sql(src: str, bucket: str, series: str | None, *ctes: str) -> str:
+    body = _acf_sql(src, bucket, series).replace("WITH_P AS_P", "")
+    extra = f"""
+p AS ({_points_sql(src, bucket, series)}),
+c AS (SELECT series, bucket, value - avg(value) OVER (PARTITION BY series) AS d,
+             row_number() OVER (PARTITION BY series ORDER BY bucket) AS idx FROM p),
+s AS (SELECT series, count(*) AS n, sum(d * d) AS den FROM c GROUP BY series)"""
+    return _sql_with(extra + "\n" + body.strip(), *ctes)
+
+
+def _acf(df, gran, series):
+    return r6(A.autocorrelation(_points(df, gran, series), 30), "acf")
+
+
+@register("autocorrelation", _acf_full_sql("measurements_li", SQL_BUCKET["day"], None, "measurements_li"))
+def autocorrelation(spark, d):
+    return _acf(B.measurements_li(spark, d), "day", None)
+
+
+@register("autocorrelation_by_series", _acf_full_sql("measurements", SQL_BUCKET["day"], "station_code",
+                                                     "measurements"))
+def autocorrelation_by_series(spark, d):
+    return _acf(B.measurements(spark, d), "day", "station_code")
+
+
+def _iqr_sql(src: str, bucket: str, series: str | None, *ctes: str) -> str:
+    extra = f"""
+p AS ({_points_sql(src, bucket, series)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY value) AS rn,
+             count(*) OVER (PARTITION BY series) AS n FROM p),
+q AS (SELECT series, max(CASE WHEN rn = floor(n * 0.25) + 1 THEN value END) AS q1,
+             max(CASE WHEN rn = floor(n * 0.75) + 1 THEN value END) AS q3, max(n) AS n FROM r GROUP BY series),
+f AS (SELECT p.bucket, p.series, p.value, q.n, q.q1 - (q.q3 - q.q1) * 1.5 AS lo, q.q3 + (q.q3 - q.q1) * 1.5 AS hi
+      FROM p JOIN q ON p.series = q.series)
+SELECT bucket, series, {R6('value')} AS value,
+       CASE WHEN n >= 5 THEN CAST(value < lo OR value > hi AS INT) END AS is_anomaly,
+       CASE WHEN n >= 5 AND (value < lo OR value > hi) THEN {R6('value')} END AS anomaly_value,
+       CASE WHEN n >= 5 THEN {R6('lo')} END AS lower, CASE WHEN n >= 5 THEN {R6('hi')} END AS upper
+FROM f"""
+    return _sql_with(extra, *ctes)
+
+
+def _iqr(df, gran, series):
+    return r6(A.iqr_anomalies(_points(df, gran, series)), "value", "anomaly_value", "lower", "upper")
+
+
+@register("iqr_anomalies", _iqr_sql("measurements_li", SQL_BUCKET["day"], None, "measurements_li"))
+def iqr_anomalies(spark, d):
+    return _iqr(B.measurements_li(spark, d), "day", None)
+
+
+@register("iqr_anomalies_by_series", _iqr_sql("measurements", SQL_BUCKET["hour"],
+                                              "concat(station_code, '/', variable_code)", "measurements"))
+def iqr_anomalies_by_series(spark, d):
+    m = B.measurements(spark, d).withColumn("series_key", F.concat_ws("/", "station_code", "variable_code"))
+    return _iqr(m, "hour", "series_key")
+
+
+# ---------------------------------------------------------------------------------------------------------
+# A15-A22
+# ---------------------------------------------------------------------------------------------------------
+
+@register("pollution_band", _with_latest(f"""
+SELECT station_code, pm25, pm10, no2, o3, {R6('score')} AS score,
+       CASE WHEN score <= 1.5 THEN 'green' WHEN score <= 3.0 THEN 'yellow' WHEN score <= 4.5 THEN 'orange'
+            ELSE 'red' END AS band
+FROM (SELECT *, (coalesce(pm25, 0.0) * 1.0 + coalesce(pm10, 0.0) * 0.5 + coalesce(no2, 0.0) * 0.5
+                 + coalesce(o3, 0.0) * 0.3) / 50.0 AS score
+      FROM (SELECT station_code, max(CASE WHEN variable_code = 'PM25' THEN value END) AS pm25,
+                   max(CASE WHEN variable_code = 'PM10' THEN value END) AS pm10,
+                   max(CASE WHEN variable_code = 'NO2' THEN value END) AS no2,
+                   max(CASE WHEN variable_code = 'O3' THEN value END) AS o3
+            FROM latest GROUP BY station_code))""", "stations"))
+def pollution_band(spark, d):
+    latest = Q.latest_values(B.measurements(spark, d), B.stations(spark, d), B.variables(spark, d))
+    return r6(A.pollution_band(latest), "score")
+
+
+@register("aqi_band", sql("""
+SELECT station_code, count(*) AS n, count_if(aqi <= 50) AS n_good, count_if(aqi > 50 AND aqi <= 100) AS n_moderate,
+       count_if(aqi > 100) AS n_unhealthy, count_if(aqi > 50) AS n_alerts
+FROM (SELECT station_code, strftime(observed_at, '%Y-%m-%d %H:00') AS bucket, avg(value) AS aqi
+      FROM measurements WHERE variable_code = 'PM25' GROUP BY 1, 2)
+GROUP BY station_code""", "measurements"))
+def aqi_band(spark, d):
+    m = B.measurements(spark, d).where(F.col("variable_code") == "PM25")
+    idx = A.resample(m, "hour", "station_code", with_overall=False).select(
+        F.col("series").alias("station_code"), F.col("value").alias("aqi"))
+    return A.aqi_alerts(idx)
+
+
+@register("series_week", sql(_resample_sql("measurements", SQL_BUCKET["week"]), "measurements"))
+def series_week(spark, d):
+    return _resample(B.measurements(spark, d), "week")
+
+
+def _corr_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(E_VARS) for b in E_VARS[i + 1:]]
+    wide = ", ".join(f"avg(CASE WHEN variable_code = '{v}' THEN value END) AS {v}" for v in E_VARS)
+    sel = "\nUNION ALL ".join(
+        f"SELECT '{a}' AS var_a, '{b}' AS var_b, {R6(f'corr({a}, {b})')} AS corr, "
+        f"count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM w" for a, b in pairs)
+    return _sql_with(f"""
+w AS (SELECT station_code, strftime(observed_at, '%Y-%m-%d %H:00') AS bucket, {wide}
+      FROM measurements GROUP BY 1, 2)
+{sel}""", "measurements")
+
+
+@register("correlation_matrix", _corr_sql())
+def correlation_matrix(spark, d):
+    return r6(A.correlation_matrix(B.measurements(spark, d), E_VARS, ["station_code"], "hour"), "corr")
+
+
+@register("trend_slope", sql(f"""
+SELECT series, {R6('regr_slope(value, CAST(CAST(bucket AS DATE) - DATE \'1970-01-01\' AS DOUBLE))')} AS slope,
+       count(*) AS n
+FROM ({_points_sql('measurements_li', SQL_BUCKET['day'], 'variable_code')}) GROUP BY series""", "measurements_li"))
+def trend_slope(spark, d):
+    return r6(A.trend_slope(_points(B.measurements_li(spark, d), "day", "variable_code")), "slope")
+
+
+@register("agg_choice_max_day", sql(_resample_sql(
+    "(SELECT m.* FROM measurements m JOIN variables v ON m.variable_id = v.variable_id WHERE v.category = 'pollutant')",
+    SQL_BUCKET["day"], agg="max"), "measurements", "variables"))
+def agg_choice_max_day(spark, d):
+    m = B.measurements(spark, d)
+    pol = m.join(B.variables(spark, d).where(F.col("category") == "pollutant").select("variable_id"), "variable_id",
+                 "left_semi")
+    return _resample(pol, "day", agg="max")
+
+
+@register("wind_rose", sql(f"""
+SELECT CAST(floor((dir_deg + 11.25) / 22.5) % 16 AS INT) AS sector,
+       CASE WHEN speed < 2 THEN '0-2' WHEN speed < 4 THEN '2-4' WHEN speed < 6 THEN '4-6' ELSE '6+' END AS speed_class,
+       count(*) AS n, {R6('count(*) / (SELECT count(*) FROM measurements)')} AS share
+FROM (SELECT CAST((measurement_id * 37) % 360 AS DOUBLE) AS dir_deg, value / 10 AS speed FROM measurements)
+GROUP BY 1, 2""", "measurements"))
+def wind_rose(spark, d):
+    m = B.measurements(spark, d).select(((F.col("measurement_id") * 37) % 360).cast("double").alias("dir_deg"),
+                                        (F.col("value") / 10).alias("speed"))
+    return r6(A.wind_rose(m), "share")
+
+
+@register("diurnal_composite", sql(f"""
+SELECT CAST(floor(hour(observed_at) / 4) * 4 AS INT) AS block,
+       {', '.join(R6(f"avg(CASE WHEN variable_code = '{v}' THEN value END)") + f' AS {v}' for v in E_VARS)}
+FROM measurements GROUP BY 1""", "measurements"))
+def diurnal_composite(spark, d):
+    return r6(A.diurnal_composite(B.measurements(spark, d), E_VARS, 4), *E_VARS)
+
+
+RADIUS_KM = 5.0
+
+
+def _haversine_sql(a: str, b: str) -> str:
+    return (f"2 * 6371.0 * asin(sqrt(pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + "
+            f"cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * "
+            f"pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2)))")
+
+
+@register("radius_join", _sql_with(f"""
+pairs AS (SELECT x.station_id AS a, y.station_id AS b, {_haversine_sql('x', 'y')} AS distance_km
+          FROM stations x JOIN stations y ON x.station_id < y.station_id
+          WHERE x.latitude IS NOT NULL AND y.latitude IS NOT NULL AND x.longitude IS NOT NULL
+            AND y.longitude IS NOT NULL AND {_haversine_sql('x', 'y')} <= {RADIUS_KM}),
+h AS (SELECT station_id, strftime(observed_at, '%Y-%m-%d %H:00') AS bucket, avg(value) AS v
+      FROM measurements WHERE variable_code = 'PM25' GROUP BY 1, 2)
+SELECT p.a, p.b, {R6('p.distance_km')} AS distance_km, count(*) AS n_hours, {R6('avg(abs(ha.v - hb.v))')} AS mean_abs_diff
+FROM pairs p JOIN h ha ON ha.station_id = p.a JOIN h hb ON hb.station_id = p.b AND hb.bucket = ha.bucket
+GROUP BY p.a, p.b, p.distance_km""", "measurements", "stations"))
+def radius_join(spark, d):
+    m = B.measurements(spark, d).where(F.col("variable_code") == "PM25")
+    hourly = A.resample(m, "hour", "station_id", with_overall=False).select(
+        F.col("series").cast("int").alias("station_id"), "bucket", F.col("value").alias("v"))
+    pairs = A.radius_pairs(B.stations(spark, d), RADIUS_KM)
+    ha = hourly.select(F.col("station_id").alias("a"), "bucket", F.col("v").alias("va"))
+    hb = hourly.select(F.col("station_id").alias("b"), "bucket", F.col("v").alias("vb"))
+    j = pairs.join(ha, "a").join(hb, ["b", "bucket"])
+    out = j.groupBy("a", "b", "distance_km").agg(F.count("*").alias("n_hours"),
+                                                 F.avg(F.abs(F.col("va") - F.col("vb"))).alias("mean_abs_diff"))
+    return r6(out, "distance_km", "mean_abs_diff")

@@ -2,7 +2,7 @@
 
 The bound model tables (FIXTURES.md §1) are CTEs over the given parquet views; ``sql(body, *ctes)``
 prefixes a query body with the CTEs it uses (dependencies are added automatically).
-Float outputs are rounded with R6(x) = floor(x * 1e6 + 0.5) / 1e6 on both engines.
+Float outputs are rounded with R6 (half-up to 9 decimals, then to 6) on both engines.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def _cte(name: str, body: str, deps: tuple[str, ...] = ()) -> None:
 
 
 def R6(x: str) -> str:
-    return f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
+    return f"(floor(floor(({x}) * 1e9 + 0.5) / 1000.0 + 0.5) / 1e6)"
 
 
 _cte("measurements", """
