@@ -685,3 +685,138 @@ def radius_join(spark, d):
     out = j.groupBy("a", "b", "distance_km").agg(F.count("*").alias("n_hours"),
                                                  F.avg(F.abs(F.col("va") - F.col("vb"))).alias("mean_abs_diff"))
     return r6(out, "distance_km", "mean_abs_diff")
+
+
+# ---------------------------------------------------------------------------------------------------------
+# N2, N7, N10, N13-N17 normalisation expressions over derived raw columns
+# ---------------------------------------------------------------------------------------------------------
+
+from envspark.functions import text as N  # noqa: E402
+from envspark.oracle import NORM  # noqa: E402
+
+WS = "' \\t\\n\\r\\x0b\\x0c'"
+
+
+def SQL_CODE(x: str) -> str:
+    core = f"replace(upper(trim({x}, ' \t\n\r\x0b\x0c')), ' ', '')"
+    return f"(CASE WHEN {core} IN ('PM2.5', 'PM2_5', 'PM2-5') THEN 'PM25' ELSE {core} END)"
+
+
+RAW_CODE_SQL = ("CASE measurement_id % 4 WHEN 0 THEN lower(variable_code) WHEN 1 THEN concat(' ', variable_code, ' ') "
+                "WHEN 2 THEN replace(variable_code, 'PM25', 'pm2.5') ELSE replace(variable_code, 'PM25', 'PM 2_5') END")
+
+
+def _raw_code(m):
+    k = F.col("measurement_id") % 4
+    v = F.col("variable_code")
+    return (F.when(k == 0, F.lower(v)).when(k == 1, F.concat(F.lit(" "), v, F.lit(" ")))
+            .when(k == 2, F.replace(v, F.lit("PM25"), F.lit("pm2.5")))
+            .otherwise(F.replace(v, F.lit("PM25"), F.lit("PM 2_5"))))
+
+
+@register("code_normalise", sql(f"""
+SELECT measurement_id, raw, {SQL_CODE('raw')} AS code FROM (SELECT measurement_id, {RAW_CODE_SQL} AS raw
+                                                           FROM measurements)""", "measurements"))
+def code_normalise(spark, d):
+    m = B.measurements(spark, d).select("measurement_id", _raw_code(B.measurements(spark, d)).alias("raw"))
+    return m.select("measurement_id", "raw", N.normalize_code("raw").alias("code"))
+
+
+@register("part_code_normalise", sql(f"SELECT p_partkey, {SQL_CODE('p_name')} AS code FROM part"))
+def part_code_normalise(spark, d):
+    from envspark.session import read_table
+
+    return read_table(spark, d, "part").select("p_partkey", N.normalize_code("p_name").alias("code"))
+
+
+@register("text_normalise", sql(f"SELECT doc_id, {NORM('text')} AS normalized FROM documents"))
+def text_normalise(spark, d):
+    from envspark.session import read_table
+
+    return read_table(spark, d, "documents").select("doc_id", N.normalize_text("text").alias("normalized"))
+
+
+@register("unit_resolve", sql("""
+SELECT measurement_id, variable_code,
+       coalesce(CASE WHEN raw_unit IS NULL OR trim(raw_unit, ' \t\n\r\x0b\x0c') = '' OR lower(raw_unit) = 'nan'
+                     THEN NULL ELSE trim(raw_unit, ' \t\n\r\x0b\x0c') END,
+                CASE variable_code WHEN 'CO' THEN 'mg/m3' ELSE 'ug/m3' END) AS unit
+FROM (SELECT measurement_id, variable_code,
+             CASE WHEN measurement_id % 2 = 0 THEN '' WHEN measurement_id % 5 = 1 THEN ' nan' ELSE unit END AS raw_unit
+      FROM measurements)""", "measurements"))
+def unit_resolve(spark, d):
+    m = B.measurements(spark, d)
+    k = F.col("measurement_id")
+    raw = F.when(k % 2 == 0, F.lit("")).when(k % 5 == 1, F.lit(" nan")).otherwise(F.col("unit"))
+    return m.select("measurement_id", "variable_code", N.resolve_unit(raw, "variable_code").alias("unit"))
+
+
+@register("category", sql("""
+SELECT v.category, count(*) AS n FROM measurements m JOIN variables v ON m.variable_id = v.variable_id
+GROUP BY v.category""", "measurements", "variables"))
+def category_counts(spark, d):
+    m = B.measurements(spark, d)
+    return m.groupBy(N.category("variable_code").alias("category")).agg(F.count("*").alias("n"))
+
+
+ISO_SQL = ("strftime(observed_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(observed_at) % 1000000 = 0 THEN '' "
+           "ELSE '.' || lpad(CAST(epoch_us(observed_at) % 1000000 AS VARCHAR), 6, '0') END")
+
+
+@register("record_hash", sql(f"""
+SELECT measurement_id, sha256(station_code || '|' || variable_code || '|' || {ISO_SQL}) AS record_hash
+FROM measurements""", "measurements"))
+def record_hash(spark, d):
+    m = B.measurements(spark, d)
+    return m.select("measurement_id", N.record_hash("station_code", "variable_code", "observed_at").alias("record_hash"))
+
+
+NUMERIC_SQL_RE = r"^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+
+
+@register("numeric_coercion", sql(f"""
+SELECT measurement_id, raw,
+       CASE WHEN regexp_matches(raw, '{NUMERIC_SQL_RE}') THEN TRY_CAST(trim(raw) AS DOUBLE) END AS value_num
+FROM (SELECT measurement_id,
+             CASE measurement_id % 10 WHEN 0 THEN concat(CAST(value AS VARCHAR), 'x') WHEN 1 THEN 'NaN'
+                                      WHEN 2 THEN '1d' WHEN 3 THEN ' 1,5' ELSE CAST(value AS VARCHAR) END AS raw
+      FROM measurements)""", "measurements"))
+def numeric_coercion(spark, d):
+    m = B.measurements(spark, d)
+    k = F.col("measurement_id") % 10
+    txt = F.col("value").cast("string")
+    raw = (F.when(k == 0, F.concat(txt, F.lit("x"))).when(k == 1, F.lit("NaN")).when(k == 2, F.lit("1d"))
+           .when(k == 3, F.lit(" 1,5")).otherwise(txt))
+    return m.select("measurement_id", raw.alias("raw")).select("measurement_id", "raw",
+                                                               N.to_number("raw").alias("value_num"))
+
+
+STATIONS_25 = [f"ST{i:02d}" for i in range(25)]
+
+
+@register("wide_unpivot", sql(f"""
+SELECT strftime(observed_at, '%Y-%m-%d %H:00') AS bucket, station_code, {R6('avg(value)')} AS value
+FROM measurements GROUP BY 1, 2""", "measurements"))
+def wide_unpivot(spark, d):
+    """N7 round trip: E pivoted to one column per station (rows = hour), then unpivoted, nulls dropped."""
+    from envspark.operators.normalize import unpivot_wide
+
+    m = B.measurements(spark, d)
+    wide = A.series_pivot(m, "hour", "station_code", STATIONS_25).drop("overall")
+    long = unpivot_wide(wide, ["bucket"], STATIONS_25, "station_code", "value")
+    return r6(long, "value")
+
+
+@register("station_fallback", sql(f"""
+SELECT measurement_id,
+       CASE WHEN raw IS NULL OR trim(raw, ' \t\n\r\x0b\x0c') = '' OR lower(raw) = 'nan' THEN 'UNKNOWN_STATION'
+            ELSE {SQL_CODE('raw')} END AS station_code
+FROM (SELECT measurement_id, CASE measurement_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN NULL
+                                  WHEN 3 THEN lower(station_code) ELSE concat(' ', station_code, '\t') END AS raw
+      FROM measurements)""", "measurements"))
+def station_fallback(spark, d):
+    m = B.measurements(spark, d)
+    k = F.col("measurement_id") % 5
+    raw = (F.when(k == 0, F.lit("")).when(k == 1, F.lit("nan")).when(k == 2, F.lit(None).cast("string"))
+           .when(k == 3, F.lower("station_code")).otherwise(F.concat(F.lit(" "), F.col("station_code"), F.lit("\t"))))
+    return m.select("measurement_id", N.station_code(raw).alias("station_code"))
