@@ -820,3 +820,178 @@ def station_fallback(spark, d):
     raw = (F.when(k == 0, F.lit("")).when(k == 1, F.lit("nan")).when(k == 2, F.lit(None).cast("string"))
            .when(k == 3, F.lower("station_code")).otherwise(F.concat(F.lit(" "), F.col("station_code"), F.lit("\t"))))
     return m.select("measurement_id", N.station_code(raw).alias("station_code"))
+
+
+# ---------------------------------------------------------------------------------------------------------
+# L1-L9 keyed load
+# ---------------------------------------------------------------------------------------------------------
+
+from envspark.operators import load as L  # noqa: E402
+
+LOAD_CTES = """
+dd_t AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY station_code, variable_code, observed_at
+                                                        ORDER BY load_order DESC) AS rn
+                        FROM hourly WHERE load_order % 2 = 0) WHERE rn = 1),
+dd_b AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY station_code, variable_code, observed_at
+                                                        ORDER BY load_order DESC) AS rn
+                        FROM hourly) WHERE rn = 1),
+bat AS (SELECT station_code, variable_code, observed_at,
+               CASE WHEN load_order % 3 = 0 THEN value + 1 ELSE value END AS value,
+               CASE WHEN load_order % 7 = 0 THEN NULL ELSE unit END AS unit, source_file_id, load_order FROM dd_b),
+act AS (SELECT coalesce(b.station_code, t.station_code) AS station_code,
+               coalesce(b.variable_code, t.variable_code) AS variable_code,
+               coalesce(b.observed_at, t.observed_at) AS observed_at,
+               t.value AS old_value, t.unit AS old_unit, t.source_file_id AS old_source_file_id,
+               b.value, b.unit, b.source_file_id,
+               CASE WHEN b.station_code IS NULL THEN 'keep' WHEN t.station_code IS NULL THEN 'insert'
+                    WHEN (b.value IS DISTINCT FROM t.value AND NOT isnan(abs(b.value - t.value))
+                          AND abs(b.value - t.value) > 1e-9)
+                         OR coalesce(b.unit, '') <> coalesce(t.unit, '') THEN 'update'
+                    ELSE 'skip' END AS action
+        FROM dd_t t FULL OUTER JOIN bat b ON t.station_code = b.station_code AND t.variable_code = b.variable_code
+                                         AND t.observed_at = b.observed_at)"""
+
+
+def _load_sql(body: str) -> str:
+    return _sql_with(LOAD_CTES + "\n" + body.strip(), "hourly")
+
+
+def _target_batch(spark, d):
+    h = B.hourly(spark, d)
+    target = L.dedup_last_wins(h.where(F.col("load_order") % 2 == 0)).drop("load_order")
+    b = L.dedup_last_wins(h)
+    k = F.col("load_order")
+    batch = (b.withColumn("value", F.when(k % 3 == 0, F.col("value") + 1).otherwise(F.col("value")))
+             .withColumn("unit", F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("unit"))))
+    return target, batch
+
+
+@register("dedup_last_wins", _sql_with("""
+SELECT station_code, variable_code, observed_at, value, unit, source_file_id, load_order
+FROM (SELECT *, row_number() OVER (PARTITION BY station_code, variable_code, observed_at ORDER BY load_order DESC) AS rn
+      FROM hourly) WHERE rn = 1""", "hourly"))
+def dedup_last_wins(spark, d):
+    return L.dedup_last_wins(B.hourly(spark, d))
+
+
+@register("dedup_skipped", sql("""
+SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT station_code, variable_code, observed_at FROM hourly))
+       AS skipped FROM hourly""", "hourly"))
+def dedup_skipped(spark, d):
+    return L.dedup_skipped(B.hourly(spark, d))
+
+
+@register("upsert_actions", _load_sql("SELECT station_code, variable_code, observed_at, action FROM act"))
+def upsert_actions(spark, d):
+    t, b = _target_batch(spark, d)
+    return L.upsert_actions(t, b).select("station_code", "variable_code", "observed_at", "action")
+
+
+@register("upsert_result", _load_sql(f"""
+SELECT station_code, variable_code, observed_at,
+       CASE WHEN action IN ('insert', 'update') THEN value ELSE old_value END AS value,
+       CASE WHEN action IN ('insert', 'update') THEN unit ELSE old_unit END AS unit,
+       CASE WHEN action IN ('insert', 'update') THEN source_file_id ELSE old_source_file_id END AS source_file_id,
+       sha256(station_code || '|' || variable_code || '|' || {ISO_SQL}) AS record_hash
+FROM act"""))
+def upsert_result(spark, d):
+    t, b = _target_batch(spark, d)
+    return L.upsert_result(L.upsert_actions(t, b))
+
+
+@register("upsert_counts", _load_sql("SELECT action, count(*) AS n FROM act GROUP BY action"))
+def upsert_counts(spark, d):
+    t, b = _target_batch(spark, d)
+    return L.upsert_counts(L.upsert_actions(t, b))
+
+
+@register("dim_new_codes", sql("""
+SELECT CAST((SELECT max(station_id) FROM stations) + row_number() OVER (ORDER BY code) AS INT) AS station_id,
+       code, code AS name
+FROM (SELECT DISTINCT concat('ST', lpad(CAST(user_id % 30 AS VARCHAR), 2, '0')) AS code FROM events)
+WHERE code NOT IN (SELECT code FROM stations)""", "stations"))
+def dim_new_codes(spark, d):
+    from envspark.session import read_table
+
+    ev = read_table(spark, d, "events")
+    codes = ev.select(B.station_code_of((F.col("user_id") % 30).cast("int")).alias("code"))
+    return L.new_dimension_members(codes, B.stations(spark, d))
+
+
+@register("default_unit_backfill", sql("""
+SELECT v.variable_id, v.code, v.display_name, v.category, coalesce(v.default_unit, f.first_unit) AS default_unit
+FROM (SELECT variable_id, code, display_name, category,
+             CASE WHEN code IN ('O3', 'CO') THEN NULL ELSE default_unit END AS default_unit FROM variables) v
+LEFT JOIN (SELECT variable_code AS code, arg_min(trim(unit), measurement_id) AS first_unit
+           FROM (SELECT variable_code, measurement_id,
+                        CASE WHEN measurement_id % 2 = 0 THEN '' ELSE unit END AS unit FROM measurements)
+           WHERE unit IS NOT NULL AND trim(unit) <> '' AND lower(unit) <> 'nan' GROUP BY variable_code) f
+ON v.code = f.code""", "variables", "measurements"))
+def default_unit_backfill(spark, d):
+    v = B.variables(spark, d)
+    v = v.withColumn("default_unit", F.when(F.col("code").isin("O3", "CO"), F.lit(None).cast("string"))
+                     .otherwise(F.col("default_unit")))
+    m = B.measurements(spark, d)
+    cu = m.select("variable_code", F.when(F.col("measurement_id") % 2 == 0, F.lit("")).otherwise(F.col("unit"))
+                  .alias("unit"), F.col("measurement_id").alias("load_order"))
+    return L.backfill_default_unit(v, cu)
+
+
+@register("delete_by_variable", sql("""
+SELECT variable_code, count(*) AS n_deleted FROM measurements WHERE variable_code IN ('NO2', 'CO')
+GROUP BY variable_code""", "measurements"))
+def delete_by_variable(spark, d):
+    _, deleted = L.delete_by_variable(B.measurements(spark, d), ["no2", " co"])
+    return deleted
+
+
+@register("delete_remaining", sql("""
+SELECT variable_code, count(*) AS n FROM measurements WHERE variable_code NOT IN ('NO2', 'CO')
+GROUP BY variable_code""", "measurements"))
+def delete_remaining(spark, d):
+    remaining, _ = L.delete_by_variable(B.measurements(spark, d), ["no2", " co"])
+    return remaining.groupBy("variable_code").agg(F.count("*").alias("n"))
+
+
+@register("replace_by_variable", _load_sql("""
+SELECT station_code, variable_code, observed_at, value, unit, source_file_id FROM dd_t
+WHERE variable_code NOT IN ('PM25', 'O3')
+UNION ALL
+SELECT station_code, variable_code, observed_at, value, unit, source_file_id FROM bat
+WHERE variable_code IN ('PM25', 'O3')"""))
+def replace_by_variable(spark, d):
+    t, b = _target_batch(spark, d)
+    return L.replace_by_variable(t, b.drop("load_order"), ["pm2.5", "o3"])
+
+
+@register("station_enrichment", sql("""
+SELECT s.station_id, s.code,
+       CASE WHEN x.ref_order IS NOT NULL AND (trim(coalesce(s.name, '')) = ''
+                 OR replace(regexp_replace(lower(trim(coalesce(s.name, ''))), '[^a-z0-9_]+', '', 'g'), '_', '')
+                    IN ('unknownstation', replace(regexp_replace(lower(s.code), '[^a-z0-9_]+', '', 'g'), '_', '')))
+            THEN r.ref_name ELSE s.name END AS name,
+       CASE WHEN x.ref_order IS NOT NULL AND (s.latitude IS NULL OR abs(s.latitude - r.ref_latitude) > 1e-9)
+            THEN r.ref_latitude ELSE s.latitude END AS latitude,
+       CASE WHEN x.ref_order IS NOT NULL AND (s.longitude IS NULL OR abs(s.longitude - r.ref_longitude) > 1e-9)
+            THEN r.ref_longitude ELSE s.longitude END AS longitude,
+       r.ref_region AS region,
+       coalesce(x.ref_order IS NOT NULL AND (s.latitude IS NULL OR abs(s.latitude - r.ref_latitude) > 1e-9
+                OR s.longitude IS NULL OR abs(s.longitude - r.ref_longitude) > 1e-9 OR trim(coalesce(s.name, '')) = ''
+                OR replace(regexp_replace(lower(trim(coalesce(s.name, ''))), '[^a-z0-9_]+', '', 'g'), '_', '')
+                   IN ('unknownstation', replace(regexp_replace(lower(s.code), '[^a-z0-9_]+', '', 'g'), '_', ''))),
+                false) AS changed
+FROM stations_ref s LEFT JOIN resolved_ref x ON s.station_id = x.station_id
+LEFT JOIN ref_stations r ON x.ref_order = r.ref_order""", "stations_ref", "resolved_ref", "ref_stations"))
+def station_enrichment(spark, d):
+    return L.enrich_stations(B.stations_ref(spark, d))
+
+
+@register("run_state", sql("""
+SELECT etl_run_id AS run_id, arg_max(status, (downloaded_at, status)) AS status, max(downloaded_at) AS updated_at,
+       min(downloaded_at) AS started_at, count(*) AS n_events, sum(row_count) AS records
+FROM source_files GROUP BY etl_run_id""", "source_files"))
+def run_state(spark, d):
+    f = B.source_files(spark, d)
+    events = f.select(F.col("etl_run_id").alias("run_id"), F.col("downloaded_at").alias("ts"), "status",
+                      F.col("row_count").alias("records"))
+    return L.run_state(events)
