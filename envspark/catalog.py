@@ -363,6 +363,8 @@ WHERE (abs(mx - mn) >= 1e-9 OR g.bin = 0) AND n > 0"""
 
 
 def _sql_with(extra: str, *names: str) -> str:
+    if not names:
+        return "WITH " + extra.strip()
     base = sql("SELECT 1", *names)
     head = base[: base.rindex("\nSELECT 1")]
     return head + ",\n" + extra.strip()
@@ -995,3 +997,100 @@ def run_state(spark, d):
     events = f.select(F.col("etl_run_id").alias("run_id"), F.col("downloaded_at").alias("ts"), "status",
                       F.col("row_count").alias("records"))
     return L.run_state(events)
+
+
+# ---------------------------------------------------------------------------------------------------------
+# S6-S9, O1 over documents and pages
+# ---------------------------------------------------------------------------------------------------------
+
+from envspark.sources import ledger as LG  # noqa: E402
+from envspark.sources import links as LK  # noqa: E402
+
+
+@register("checksum_skip", sql("""
+SELECT d.doc_id, d.checksum_sha256, CASE WHEN l.m IS NOT NULL THEN 'skip' ELSE 'process' END AS action,
+       CAST(coalesce(l.m, 0) AS BIGINT) AS skipped_rows
+FROM (SELECT doc_id, sha256(text) AS checksum_sha256 FROM documents) d
+LEFT JOIN (SELECT sha256(text) AS checksum_sha256, max(doc_id % 2) AS m FROM documents
+           WHERE doc_id % 3 = 0 AND doc_id % 2 > 0 GROUP BY 1) l ON d.checksum_sha256 = l.checksum_sha256"""))
+def checksum_skip(spark, d):
+    from envspark.session import read_table
+
+    docs = read_table(spark, d, "documents")
+    files = docs.select("doc_id", LG.fingerprint(F.col("text")).alias("checksum_sha256"))
+    ledger = docs.where(F.col("doc_id") % 3 == 0).select(
+        LG.fingerprint(F.col("text")).alias("checksum_sha256"), F.lit("completed").alias("status"),
+        (F.col("doc_id") % 2).alias("row_count"))
+    return LG.skip_loaded(files, ledger)
+
+
+EXTRA_HINTS = {"PM25": ("the",), "NO2": ("der",), "O3": ("los",), "CO": ("was",)}
+LINK_VARIABLES = ["pm2.5", "NO2", "o3", "CO"]
+
+
+def _anchors_sql() -> str:
+    ents = "a_text"
+    inner = r"regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '<[^>]*>', ' ', 'g')"
+    for ent, ch in LK.ENTITIES:
+        chq = ch.replace("'", "''")
+        inner = f"replace({inner}, '{ent}', '{chq}')"
+    text = rf"trim(regexp_replace({inner}, '\s+', ' ', 'g'))"
+    href = r"""trim(regexp_extract(a, '(?is)href\s*=\s*"([^"]*)"', 1))"""
+    return f"""
+anc AS (SELECT page_id, url AS page_url, CAST(pos - 1 AS INT) AS pos, {href} AS href, {text} AS text
+        FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"[^"]*"[^>]*>.*?</a>')) AS a,
+                     unnest(range(1, len(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"[^"]*"[^>]*>.*?</a>')) + 1)) AS pos
+              FROM pages)),
+res AS (SELECT *, regexp_replace(CASE
+          WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href
+          WHEN starts_with(href, '//') THEN regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1) || ':' || href
+          WHEN starts_with(href, '/') THEN regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) || href
+          WHEN starts_with(href, '?') THEN regexp_replace(page_url, '[?#].*$', '') || href
+          WHEN starts_with(href, '#') OR href = '' THEN page_url
+          WHEN regexp_replace(page_url, '[?#].*$', '') = regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)
+            THEN regexp_replace(page_url, '[?#].*$', '') || '/' || href
+          ELSE regexp_replace(regexp_replace(page_url, '[?#].*$', ''), '/[^/]*$', '/') || href END, '#.*$', '') AS url
+        FROM anc),
+cls AS (SELECT *, coalesce(
+          list_filter(list_transform(regexp_extract_all(lower(text), '\\(([a-z0-9\\.\\-]+)\\)', 1),
+                      lambda c: map_extract_value(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in __import__('envspark.vocab', fromlist=['x']).VARIABLE_ALIASES.items())}}},
+                                        replace(trim(c), '-', ''))), lambda c: c IS NOT NULL)[1],
+          {_hint_case_sql()}) AS variable_code
+        FROM (SELECT *, concat_ws(' ', {NORM('text')}, {NORM('href')}, {NORM('url')}) AS hay FROM res))"""
+
+
+def _hint_case_sql() -> str:
+    from envspark import vocab as V
+
+    hints = {c: tuple(h) for c, h in V.VARIABLE_HINTS.items()}
+    for c, more in EXTRA_HINTS.items():
+        hints[c] = hints[c] + more
+    parts = []
+    for code in V.VARIABLE_CODES:
+        cond = " OR ".join(f"contains(hay, '{h}')" for h in hints[code])
+        parts.append(f"WHEN {cond} THEN '{code}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+@register("variable_classifier", _sql_with(_anchors_sql() + "\nSELECT page_id, pos, href, url, variable_code FROM cls"))
+def variable_classifier(spark, d):
+    from envspark.session import read_table
+
+    c = LK.classified_anchors(read_table(spark, d, "pages"), EXTRA_HINTS)
+    return c.select("page_id", "pos", "href", "url", "variable_code")
+
+
+@register("link_catalogue", _sql_with(_anchors_sql() + """,
+ok AS (SELECT * FROM cls WHERE NOT starts_with(href, 'javascript:') AND NOT starts_with(href, 'mailto:')
+         AND regexp_matches(lower(url), '^https?://') AND starts_with(lower(url), 'http')
+         AND variable_code IN ('PM25', 'NO2', 'O3', 'CO')),
+fv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, variable_code ORDER BY pos) AS r FROM ok)
+       WHERE r = 1),
+fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS u FROM fv) WHERE u = 1)
+SELECT page_id, pos, url, label, variable_code FROM (
+  SELECT page_id, pos, url, text AS label, variable_code, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k
+  FROM fu) WHERE k <= 4"""))
+def link_catalogue(spark, d):
+    from envspark.session import read_table
+
+    return LK.link_catalogue(read_table(spark, d, "pages"), "http", LINK_VARIABLES, None, EXTRA_HINTS)
