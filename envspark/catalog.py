@@ -1094,3 +1094,86 @@ def link_catalogue(spark, d):
     from envspark.session import read_table
 
     return LK.link_catalogue(read_table(spark, d, "pages"), "http", LINK_VARIABLES, None, EXTRA_HINTS)
+
+
+# ---------------------------------------------------------------------------------------------------------
+# M1-M7 model features and evaluation (E at hourly station grain; target PM25)
+# ---------------------------------------------------------------------------------------------------------
+
+from envspark.operators import features as M  # noqa: E402
+
+FEATURES_SQL = f"""
+feat AS (SELECT station_id, CAST(date_trunc('hour', observed_at) AS TIMESTAMP) AS bucket,
+                {', '.join(f"avg(CASE WHEN variable_code = '{v}' THEN value END) AS {v.lower()}" for v in E_VARS)}
+         FROM measurements GROUP BY 1, 2),
+ser AS (SELECT station_id, bucket, pm25 AS actual,
+               lag(pm25, 1) OVER (PARTITION BY station_id ORDER BY bucket) AS predicted,
+               row_number() OVER (PARTITION BY station_id ORDER BY bucket) AS rn,
+               count(*) OVER (PARTITION BY station_id) AS n
+        FROM feat WHERE pm25 IS NOT NULL),
+pred AS (SELECT station_id, bucket, actual, predicted FROM ser WHERE rn > floor(n * 0.8) AND predicted IS NOT NULL)"""
+
+
+def _features(spark, d):
+    return M.feature_table(B.measurements(spark, d), E_VARS)
+
+
+@register("lag_features", _sql_with(FEATURES_SQL + f"""
+SELECT station_id, bucket, {R6('pm25')} AS pm25,
+       {', '.join(R6(f'lag(pm25, {k}) OVER (PARTITION BY station_id ORDER BY bucket)') + f' AS lag_{k}' for k in range(1, 25))}
+FROM feat""", "measurements"))
+def lag_features(spark, d):
+    lf = M.lag_features(_features(spark, d), "pm25", 24)
+    return r6(lf, "pm25", *[f"lag_{k}" for k in range(1, 25)])
+
+
+@register("feature_table", _sql_with(FEATURES_SQL + f"""
+SELECT station_id, bucket, {', '.join(R6(v.lower()) + ' AS ' + v.lower() for v in E_VARS)},
+       CAST(hour(bucket) AS INT) AS hour, CAST(isodow(bucket) - 1 AS INT) AS dow FROM feat""", "measurements"))
+def feature_table(spark, d):
+    return r6(_features(spark, d), *[v.lower() for v in E_VARS])
+
+
+@register("minmax_scaled", _sql_with(FEATURES_SQL + f""",
+fit AS (SELECT min(pm25) AS a, max(pm25) AS b, min(pm10) AS c, max(pm10) AS e FROM feat)
+SELECT station_id, bucket,
+       {R6('CASE WHEN b > a THEN (pm25 - a) / (b - a) ELSE 0.0 END')} AS pm25_scaled,
+       {R6('CASE WHEN e > c THEN (pm10 - c) / (e - c) ELSE 0.0 END')} AS pm10_scaled
+FROM feat, fit""", "measurements"))
+def minmax_scaled(spark, d):
+    f = _features(spark, d)
+    fit = M.minmax_fit(f, ["pm25", "pm10"])
+    return r6(M.minmax_transform(f, fit, ["pm25", "pm10"], ["station_id", "bucket"]), "pm25_scaled", "pm10_scaled")
+
+
+@register("chrono_split", _sql_with(FEATURES_SQL + """
+SELECT station_id, bucket, CASE WHEN row_number() OVER (PARTITION BY station_id ORDER BY bucket)
+                                     <= floor(count(*) OVER (PARTITION BY station_id) * 0.8)
+                                THEN 'train' ELSE 'test' END AS split FROM feat""", "measurements"))
+def chrono_split(spark, d):
+    return M.chrono_split(_features(spark, d).select("station_id", "bucket"), 0.8)
+
+
+@register("regression_metrics", _sql_with(FEATURES_SQL + f"""
+SELECT count(*) AS n, {R6('avg(abs(actual - predicted))')} AS mae, {R6('sqrt(avg((actual - predicted) ^ 2))')} AS rmse,
+       {R6('avg(CASE WHEN actual <> 0 THEN abs(actual - predicted) / abs(actual) END) * 100')} AS mape,
+       {R6('1.0 - sum((actual - predicted) ^ 2) / sum((actual - (SELECT avg(actual) FROM pred)) ^ 2)')} AS r2
+FROM pred""", "measurements"))
+def regression_metrics(spark, d):
+    pred = M.persistence_predictions(_features(spark, d), "pm25", 0.8)
+    return r6(M.regression_metrics(pred), "mae", "rmse", "mape", "r2")
+
+
+@register("prediction_errors", _sql_with(FEATURES_SQL + f"""
+SELECT station_id, bucket, {R6('actual')} AS actual, {R6('predicted')} AS predicted,
+       {R6('actual - predicted')} AS error,
+       {R6('CASE WHEN actual <> 0 THEN abs(actual - predicted) / abs(actual) * 100 END')} AS error_pct
+FROM pred""", "measurements"))
+def prediction_errors(spark, d):
+    pred = M.persistence_predictions(_features(spark, d), "pm25", 0.8)
+    return r6(M.prediction_errors(pred).drop("split"), "actual", "predicted", "error", "error_pct")
+
+
+@register("forest_importance")
+def forest_importance(spark, d):
+    return M.forest_importance(_features(spark, d), "pm25", ["pm10", "no2", "o3", "co", "hour", "dow"])
