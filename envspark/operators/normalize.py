@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envspark import vocab
-from envspark.functions.text import (clean_unit, is_blank_or_nan, normalize_code, normalize_text_py,
-                                     resolve_unit, station_code, to_number, variable_from_names)
+from envspark.functions.text import (clean_unit, is_blank_or_nan, normalize_code, normalize_text,
+                                     normalize_text_py, resolve_unit, station_code, to_number,
+                                     variable_from_names)
 from envspark.functions.timeparse import parse_datetime
 
 STAGING_COLUMNS = ["station_code", "observed_at", "variable_code", "value", "unit", "source_sheet",
@@ -95,7 +96,7 @@ def to_float_or_none(v):
 
 
 def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column, wide_axis: str = "station",
-                    dayfirst: bool = False) -> DataFrame:
+                    dayfirst: bool = False, file_col: str | None = None) -> DataFrame:
     """Any header-bearing frame (string cells, ``_row`` = 0-based data row) -> staging rows.
 
     Long layout when both a variable and a value column exist; otherwise wide: every non-metadata column with
@@ -141,38 +142,53 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
 
     candidates = [c for c in cols if c not in meta]
     if not candidates:
-        return base.limit(0).select(*[F.lit(None).alias(c) for c in STAGING_COLUMNS])
+        return _empty(base)
     counts = base.agg(*[F.count(to_number(F.col(c))).alias(c) for c in candidates]).first()
     value_cols = [c for c in candidates if counts[c] > 0]
     if not value_cols:
-        return base.limit(0).select(*[F.lit(None).alias(c) for c in STAGING_COLUMNS])
+        return _empty(base)
 
-    # Units row = first data row whose datetime cell mentions 'fecha' and 'unidad'
-    units = {}
+    # A file's first data row is its units row when its datetime cell mentions 'fecha' and 'unidad'
+    fcol = F.col(file_col) if file_col else F.lit("")
+    units = None
     if explicit_dt is not None:
-        first = base.orderBy("_row").select(explicit_dt, *value_cols).first()
-        if first is not None:
-            marker = normalize_text_py(str(first[explicit_dt] or ""))
-            if "fecha" in marker and "unidad" in marker:
-                units = {c: str(first[c]).strip() for c in value_cols
-                         if first[c] is not None and str(first[c]).strip() and str(first[c]).strip().lower() != "nan"}
-    unit_map = F.create_map(*[F.lit(x) for kv in units.items() for x in kv]) if units else None
-
-    long = base.select(ts.alias("observed_at"), row_no.alias("source_row_number"),
+        marker = normalize_text(F.coalesce(F.col(explicit_dt).cast("string"), F.lit("")))
+        unit_rows = base.where((F.col("_row") == 0) & marker.contains("fecha") & marker.contains("unidad"))
+        units = unit_rows.select(fcol.alias("_ufile"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("_ucol"), clean_unit(F.col(c)).alias("_unit")) for c in value_cols])).alias("u")) \
+            .select("_ufile", "u._ucol", "u._unit").where(F.col("_unit").isNotNull())
+
+    st_raw = F.col(roles["station"]).cast("string") if roles["station"] else F.lit(None).cast("string")
+    long = base.select(fcol.alias("_ufile"), sheet_c.alias("_sheet"), book_c.alias("_book"), st_raw.alias("_st"),
+                       ts.alias("observed_at"), row_no.alias("source_row_number"),
                        F.explode(F.array(*[F.struct(F.lit(c).alias("col"), to_number(F.col(c)).alias("value"))
                                            for c in value_cols])).alias("cell"))
     long = long.where(F.col("observed_at").isNotNull() & F.col("cell.value").isNotNull())
-    wide_var = variable_from_names(sheet_c, book_c)
-    given_unit = unit_map[F.col("cell.col")] if unit_map is not None else F.lit(None).cast("string")
+    long = long.withColumn("_ucol", F.col("cell.col"))
+    if units is not None:
+        # one row per (file, column) at most; small, so the join is broadcast when it fits the threshold
+        long = long.join(units, ["_ufile", "_ucol"], "left")
+    else:
+        long = long.withColumn("_unit", F.lit(None).cast("string"))
+    wide_var = variable_from_names(F.col("_sheet"), F.col("_book"))
+    given_unit = F.col("_unit")
     if wide_axis == "variable":
-        station = station_code(roles["station"])
+        station = station_code(F.col("_st") if roles["station"] else None)
         variable = normalize_code(F.col("cell.col"))
     else:
         station = normalize_code(F.col("cell.col"))
         variable = wide_var
     return long.select(station.alias("station_code"), "observed_at", variable.alias("variable_code"),
-                       F.col("cell.value").alias("value"), resolve_unit(clean_unit(given_unit), variable).alias("unit"),
-                       sheet_c.alias("source_sheet"), "source_row_number", book_c.alias("source_workbook"))
+                       F.col("cell.value").alias("value"), resolve_unit(given_unit, variable).alias("unit"),
+                       F.col("_sheet").alias("source_sheet"), "source_row_number",
+                       F.col("_book").alias("source_workbook"))
+
+
+STAGING_TYPES = ("string", "timestamp_ntz", "string", "double", "string", "string", "long", "string")
+
+
+def _empty(base: DataFrame) -> DataFrame:
+    return base.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in zip(STAGING_COLUMNS, STAGING_TYPES)])
 
 
 def all_blank(cols: list[str]) -> Column:
