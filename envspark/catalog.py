@@ -6,6 +6,7 @@ whole tables. Float outputs are rounded half-up to 6 decimals (same rule in the
 
 from __future__ import annotations
 
+import os
 from datetime import date
 from typing import Callable
 
@@ -1177,3 +1178,70 @@ def prediction_errors(spark, d):
 @register("forest_importance")
 def forest_importance(spark, d):
     return M.forest_importance(_features(spark, d), "pm25", ["pm10", "no2", "o3", "co", "hour", "dow"])
+
+
+# ---------------------------------------------------------------------------------------------------------
+# T-S1..T-S4 streaming (availableNow over the events file; outputs in the shared checkpoint folder)
+# ---------------------------------------------------------------------------------------------------------
+
+from envspark.streaming import ingest as STR  # noqa: E402
+
+
+def _event_measurements(stream: DataFrame) -> DataFrame:
+    """The E binding applied to a stream of ``events`` rows."""
+    st = (F.col("user_id") % B.N_STATIONS).cast("int")
+    et = F.col("event_type")
+    return stream.select(
+        F.col("event_id").alias("measurement_id"), st.alias("station_id"),
+        B.station_code_of(st).alias("station_code"),
+        B._case(et, [(e, i) for e, i, _ in B.EVENT_VARIABLES], B.OTHER_VARIABLE[0]).alias("variable_id"),
+        B._case(et, [(e, c) for e, _, c in B.EVENT_VARIABLES], B.OTHER_VARIABLE[1]).alias("variable_code"),
+        F.col("ts").alias("observed_at"), "value",
+        F.when(et == "error", F.lit("mg/m3")).otherwise(F.lit("ug/m3")).alias("unit"),
+        (F.floor(F.col("event_id") / B.EVENTS_PER_FILE).cast("int") + 1).alias("source_file_id"))
+
+
+@register("stream_ingest", _sql_with("""
+SELECT station_code, variable_code, observed_at, value, unit, source_file_id
+FROM (SELECT *, row_number() OVER (PARTITION BY station_code, variable_code, observed_at ORDER BY load_order DESC) AS rn
+      FROM hourly) WHERE rn = 1""", "hourly"))
+def stream_ingest(spark, d):
+    from envspark.functions.timefmt import truncate_hour
+
+    work = STR._work_dir(spark, "stream-ingest")
+    m = _event_measurements(STR.file_stream(spark, d, "events"))
+    hourly = m.select("station_code", "variable_code", truncate_hour("observed_at").alias("observed_at"), "value",
+                      "unit", "source_file_id", F.col("measurement_id").alias("load_order"))
+    target = STR.stream_upsert(hourly, os.path.join(work, "table"), work)
+    return STR.read_current(spark, target)
+
+
+@register("stream_window", sql(f"""
+SELECT time_bucket(INTERVAL 1 HOUR, observed_at) AS window_start,
+       time_bucket(INTERVAL 1 HOUR, observed_at) + INTERVAL 1 HOUR AS window_end, variable_code,
+       count(*) AS n, {R6('avg(value)')} AS mean_value
+FROM measurements GROUP BY 1, 2, 3""", "measurements"))
+def stream_window(spark, d):
+    work = STR._work_dir(spark, "stream-window")
+    m = _event_measurements(STR.file_stream(spark, d, "events"))
+    out = STR.stream_window(m, "1 hour", None, ["variable_code"], "2 hours", work)
+    return r6(spark.read.parquet(out), "mean_value")
+
+
+@register("stream_latest", _with_latest("""
+SELECT s.station_id, v.variable_id, l.observed_at, l.value, l.unit
+FROM latest l JOIN stations s ON l.station_code = s.code JOIN variables v ON l.variable_code = v.code""",
+                                        "stations"))
+def stream_latest(spark, d):
+    work = STR._work_dir(spark, "stream-latest")
+    m = _event_measurements(STR.file_stream(spark, d, "events"))
+    target = STR.stream_latest(m, os.path.join(work, "table"), work)
+    return STR.read_current(spark, target).select("station_id", "variable_id", "observed_at", "value", "unit")
+
+
+@register("stream_dedup")
+def stream_dedup(spark, d):
+    work = STR._work_dir(spark, "stream-dedup")
+    m = _event_measurements(STR.file_stream(spark, d, "events"))
+    out = STR.stream_dedup(m, ["station_id", "variable_id", "observed_at"], "2 hours", work)
+    return spark.read.parquet(out)
