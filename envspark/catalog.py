@@ -1245,3 +1245,27 @@ def stream_dedup(spark, d):
     m = _event_measurements(STR.file_stream(spark, d, "events"))
     out = STR.stream_dedup(m, ["station_id", "variable_id", "observed_at"], "2 hours", work)
     return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------------------------------------------------
+# S1/S2 end to end: E written as long-format delimited files by Spark, then ingested by the file pipeline
+# ---------------------------------------------------------------------------------------------------------
+
+@register("delimited_ingest", sql("""
+SELECT station_code, observed_at, variable_code, value, unit, 'data' AS source_sheet FROM measurements""",
+                                  "measurements"))
+def delimited_ingest(spark, d):
+    from envspark.sources import files as S
+
+    work = STR._work_dir(spark, "delimited")
+    m = B.measurements(spark, d)
+    (m.select(F.col("station_code").alias("estacion"),
+              F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fecha_hora"),
+              F.col("variable_code").alias("contaminante"), F.col("value").cast("string").alias("valor"),
+              F.col("unit").alias("unidad"))
+     .write.option("header", "true").option("sep", ";").csv(os.path.join(work, "csv")))
+    listed = S.list_files(spark, os.path.join(work, "csv"))
+    paths = [r["path"] for r in S.format_gate(listed.withColumn("suffix", F.lit(".csv")))
+             .where("accepted AND length > 0").select("path").collect()]
+    staged = S.read_delimited(spark, paths)
+    return staged.select("station_code", "observed_at", "variable_code", "value", "unit", "source_sheet")

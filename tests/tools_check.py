@@ -1,0 +1,98 @@
+"""Local correctness check: every registered query against its DuckDB statement (row count, columns, values).
+
+Usage: python tools/check_oracle.py [sf_dir] [name ...]
+"""
+
+from __future__ import annotations
+
+import math
+import sys
+import time
+from datetime import date, datetime
+
+import duckdb
+import pandas as pd
+
+sys.path.insert(0, ".")
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+          "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def _norm(v):
+    if v is None:
+        return None
+    if isinstance(v, float):
+        if math.isnan(v):
+            return None
+        return round(v, 9)
+    if isinstance(v, (pd.Timestamp, datetime)):
+        return pd.Timestamp(v).isoformat()
+    if isinstance(v, date):
+        return v.isoformat()
+    if hasattr(v, "item"):
+        return _norm(v.item())
+    if isinstance(v, bool):
+        return int(v)
+    return v
+
+
+def rows_of(pdf: pd.DataFrame) -> list:
+    cols = sorted(pdf.columns)
+    out = []
+    for rec in pdf[cols].itertuples(index=False, name=None):
+        out.append(tuple(_norm(x) for x in rec))
+    return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def main() -> int:
+    args = sys.argv[1:]
+    sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
+    names = [a for a in args if not a.startswith("/")]
+    from envspark.session import get_spark
+    import __spark_entry__ as entry
+
+    spark = get_spark("local[8]", shuffle_partitions=8)
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    qs, orc = entry.queries(), entry.oracle_sql()
+    bad = 0
+    for name, fn in qs.items():
+        if names and name not in names:
+            continue
+        t0 = time.time()
+        try:
+            sdf = fn(spark, sf_dir)
+            spdf = sdf.toPandas()
+        except Exception as e:  # noqa: BLE001
+            print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:400]}")
+            bad += 1
+            continue
+        ts = time.time() - t0
+        if name not in orc:
+            print(f"rows-only {name}: {len(spdf)} rows ({ts:.1f}s)")
+            continue
+        try:
+            opdf = con.execute(orc[name]).df()
+        except Exception as e:  # noqa: BLE001
+            print(f"FAIL {name}: duckdb error {str(e)[:400]}")
+            bad += 1
+            continue
+        if sorted(spdf.columns) != sorted(opdf.columns):
+            print(f"FAIL {name}: columns {sorted(spdf.columns)} vs {sorted(opdf.columns)}")
+            bad += 1
+            continue
+        a, b = rows_of(spdf), rows_of(opdf)
+        if a != b:
+            diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
+            print(f"FAIL {name}: rows {len(a)} vs {len(b)}; first diffs {diff}")
+            bad += 1
+        else:
+            print(f"ok   {name}: {len(a)} rows ({ts:.1f}s)")
+    print(f"{bad} failures")
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
