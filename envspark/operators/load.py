@@ -1,7 +1,7 @@
 """Keyed load of measurements (L1-L9): last-wins dedup, upsert classification, dimensions, deletes, ledger.
 
-Everything is a pure DataFrame transform; ``envspark.sources.tables`` does the writing (staged, then swapped),
-so a failed load never leaves a half-written table.
+Everything is a pure DataFrame transform; ``envspark.sources.files.write_measurements`` does the writing
+(staged, then swapped), so a failed load never leaves a half-written table.
 """
 
 from __future__ import annotations
@@ -55,6 +55,21 @@ def upsert_actions(target: DataFrame, batch: DataFrame, key: list[str] | None =
     return j.withColumn("action", action).drop("_in_t", "_in_b")
 
 
+def prune_target(target: DataFrame, batch: DataFrame, variable: str = "variable_code",
+                 ts: str = "observed_at") -> DataFrame:
+    """L3: restrict the target to the batch's variables and time window before the upsert join.
+
+    The bounds are scalar subqueries over the (small) batch, so on a Parquet target partitioned by
+    variable_code they become partition pruning plus row-group min/max pruning at the scan; the upsert join
+    then shuffles only the slice of the target the batch can touch (rows outside it are 'keep' anyway).
+    """
+    lo = batch.select(F.min(ts)).scalar()
+    hi = batch.select(F.max(ts)).scalar()
+    variables = batch.select(variable).distinct()
+    return (target.where((F.col(ts) >= lo) & (F.col(ts) <= hi))
+            .join(variables, variable, "left_semi"))
+
+
 def upsert_result(actions: DataFrame, key: list[str] | None = None) -> DataFrame:
     """L2 merged table: batch values for insert / update, target values for skip / keep; hash refreshed."""
     key = key or KEY

@@ -164,7 +164,7 @@ def station_list(stations: DataFrame) -> DataFrame:
     return (stations.select("station_id", "code", "name",
                             F.coalesce("latitude", F.lit(0.0)).alias("latitude"),
                             F.coalesce("longitude", F.lit(0.0)).alias("longitude"))
-            .withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1))))
+            .withColumn("total", stations.select(F.count("*")).scalar())
             .orderBy("code"))
 
 
