@@ -1269,3 +1269,43 @@ def delimited_ingest(spark, d):
              .where("accepted AND length > 0").select("path").collect()]
     staged = S.read_delimited(spark, paths)
     return staged.select("station_code", "observed_at", "variable_code", "value", "unit", "source_sheet")
+
+
+# ---------------------------------------------------------------------------------------------------------
+# Q13 run by id, S8 landing names, N9 variable from sheet / workbook names
+# ---------------------------------------------------------------------------------------------------------
+
+@register("run_by_id", sql("SELECT * FROM etl_runs WHERE id = 'run-002'", "etl_runs"))
+def run_by_id(spark, d):
+    return Q.run_by_id(B.etl_runs(spark, d), "run-002")
+
+
+@register("landing_names", sql("""
+SELECT doc_id, substr(sha256(text), 1, 12) || '-' || regexp_replace(source || '/' || lang || '/doc.txt', '[/\\\\]', '_', 'g')
+       AS landing_name FROM documents"""))
+def landing_names(spark, d):
+    from envspark.session import read_table
+
+    docs = read_table(spark, d, "documents")
+    name = F.concat_ws("/", "source", "lang", F.lit("doc.txt"))
+    return docs.select("doc_id", LG.landing_name(LG.fingerprint(F.col("text")), name).alias("landing_name"))
+
+
+def _names_sql_code(x: str) -> str:
+    c = f"replace({SQL_CODE(x)}, '_', '')"
+    return f"CASE WHEN {c} <> '' AND {c} NOT IN ('HOJA1', 'SHEET1', 'DATA', 'DATOS') THEN {c} END"
+
+
+@register("variable_from_names", sql(f"""
+SELECT source_file_id, sheet, original_name,
+       coalesce({_names_sql_code('sheet')}, {_names_sql_code("regexp_replace(original_name, '\\.[^./]*$', '')")},
+                'UNKNOWN_VARIABLE') AS variable_code
+FROM (SELECT source_file_id, original_name,
+             CASE source_file_id % 3 WHEN 0 THEN 'Hoja1' WHEN 1 THEN 'pm 2.5' ELSE ' datos ' END AS sheet
+      FROM source_files)""", "source_files"))
+def variable_from_names(spark, d):
+    f = B.source_files(spark, d)
+    k = F.col("source_file_id") % 3
+    sheet = F.when(k == 0, F.lit("Hoja1")).when(k == 1, F.lit("pm 2.5")).otherwise(F.lit(" datos "))
+    f = f.select("source_file_id", sheet.alias("sheet"), "original_name")
+    return f.withColumn("variable_code", N.variable_from_names("sheet", "original_name"))
