@@ -426,18 +426,16 @@ def _points(df, gran, series):
     return pts.select("bucket", "series", "value")
 
 
-@register("summary_trend", sql(f"""
+@register("summary_trend", _sql_with(f"""
+p AS ({_points_sql('measurements', SQL_BUCKET['day'], None)}),
+ends AS (SELECT count(*) AS n_points, arg_max(value, bucket) - arg_min(value, bucket) AS delta FROM p)
 SELECT count(value) AS samples, {R6('coalesce(avg(value), 0.0)')} AS mean, coalesce(min(value), 0.0) AS min,
        coalesce(max(value), 0.0) AS max,
-       CASE WHEN count(value) = 0 OR (SELECT count(*) FROM p) < 2 THEN 'Stable'
-            WHEN (SELECT arg_max(value, bucket) - arg_min(value, bucket) FROM p)
-                 > greatest(0.05, abs(avg(value)) * 0.02) THEN 'Rising'
-            WHEN (SELECT arg_max(value, bucket) - arg_min(value, bucket) FROM p)
-                 < -greatest(0.05, abs(avg(value)) * 0.02) THEN 'Falling'
+       CASE WHEN count(value) = 0 OR max(n_points) < 2 THEN 'Stable'
+            WHEN max(delta) > greatest(0.05, abs(avg(value)) * 0.02) THEN 'Rising'
+            WHEN max(delta) < -greatest(0.05, abs(avg(value)) * 0.02) THEN 'Falling'
             ELSE 'Stable' END AS trend
-FROM measurements""".replace("FROM measurements\"", "").strip().replace(
-    "SELECT count(value)", "SELECT count(value)", 1), "measurements").replace(
-    "\nSELECT count(value)", f",\np AS ({_points_sql('measurements', SQL_BUCKET['day'], None)})\nSELECT count(value)", 1))
+FROM measurements, ends""", "measurements"))
 def summary_trend(spark, d):
     m = B.measurements(spark, d)
     return r6(A.summary_trend(m, A.resample(m, "day", "variable_code")), "mean")
