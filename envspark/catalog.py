@@ -1211,7 +1211,7 @@ def stream_ingest(spark, d):
     hourly = m.select("station_code", "variable_code", truncate_hour("observed_at").alias("observed_at"), "value",
                       "unit", "source_file_id", F.col("measurement_id").alias("load_order"))
     target = STR.stream_upsert(hourly, os.path.join(work, "table"), work)
-    return STR.read_current(spark, target)
+    return STR.read_table_dir(spark, target)
 
 
 @register("stream_window", sql(f"""

@@ -34,34 +34,17 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1
             .option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir))
 
 
-def stream_upsert(batches: DataFrame, target_dir: str, work: str, key: list[str] | None = None) -> str:
+def stream_upsert(batches: DataFrame, target_dir: str, work: str) -> str:
     """T-S1: every micro-batch is deduplicated (last load order wins) and upserted into the target table.
 
-    The target is re-written as a new version folder per batch and the pointer file names the current one,
-    so a failed batch never leaves a half-written table; replaying a batch is a no-op (all keys 'skip').
+    Each batch is one ``load_measurements`` job: only the partitions (variables) and time window the batch
+    touches are read, and only those partitions are rewritten (staged, then swapped). Replaying a batch after
+    a failure is a no-op: every key classifies as 'skip'.
     """
-    key = key or L.KEY
-    pointer = os.path.join(target_dir, "_CURRENT")
-
-    def current(spark):
-        if os.path.exists(pointer):
-            with open(pointer) as fh:
-                return spark.read.parquet(fh.read().strip())
-        return None
+    from envspark.plans.load_job import load_measurements
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = L.dedup_last_wins(batch, "load_order", key).drop("load_order")
-        old = current(spark)
-        if old is None:
-            merged = fresh
-        else:
-            merged = L.upsert_result(L.upsert_actions(old, fresh, key), key).drop("record_hash")
-        version = os.path.join(target_dir, f"v{epoch:08d}")
-        merged.write.mode("overwrite").parquet(version)
-        with open(pointer + ".tmp", "w") as fh:
-            fh.write(version)
-        os.replace(pointer + ".tmp", pointer)
+        load_measurements(batch.sparkSession, batch, target_dir)
 
     q = (batches.writeStream.foreachBatch(merge).option("checkpointLocation", os.path.join(work, "ckpt"))
          .trigger(availableNow=True).start())
@@ -69,6 +52,12 @@ def stream_upsert(batches: DataFrame, target_dir: str, work: str, key: list[str]
     return target_dir
 
 
+def read_table_dir(spark: SparkSession, target_dir: str) -> DataFrame:
+    from envspark.plans.load_job import TABLE_COLUMNS
+
+    return spark.read.parquet(target_dir).select(*TABLE_COLUMNS)
+
+
 def read_current(spark: SparkSession, target_dir: str) -> DataFrame:
     with open(os.path.join(target_dir, "_CURRENT")) as fh:
         return spark.read.parquet(fh.read().strip())
