@@ -1237,7 +1237,10 @@ def stream_latest(spark, d):
     return STR.read_current(spark, target).select("station_id", "variable_id", "observed_at", "value", "unit")
 
 
-@register("stream_dedup")
+@register("stream_dedup", sql("""
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY station_id, variable_id, observed_at
+                                                       ORDER BY measurement_id) AS rn FROM measurements)
+WHERE rn = 1""", "measurements"))
 def stream_dedup(spark, d):
     work = STR._work_dir(spark, "stream-dedup")
     m = _event_measurements(STR.file_stream(spark, d, "events"))
@@ -1307,3 +1310,65 @@ def variable_from_names(spark, d):
     sheet = F.when(k == 0, F.lit("Hoja1")).when(k == 1, F.lit("pm 2.5")).otherwise(F.lit(" datos "))
     f = f.select("source_file_id", sheet.alias("sheet"), "original_name")
     return f.withColumn("variable_code", N.variable_from_names("sheet", "original_name"))
+
+
+# ---------------------------------------------------------------------------------------------------------
+# A17 contract jobs and the E1 analysis request
+# ---------------------------------------------------------------------------------------------------------
+
+from datetime import datetime  # noqa: E402
+
+from envspark.plans import contract as C  # noqa: E402
+from envspark.plans import request as RQ  # noqa: E402
+
+CONTRACT = dict(metric="pm25", station_codes=["ST01", "ST02", "ST03", "ST04"], date_from=datetime(2024, 1, 3),
+                date_to=datetime(2024, 1, 20, 12))
+CONTRACT_WHERE = ("variable_code = 'PM25' AND station_code IN ('ST01', 'ST02', 'ST03', 'ST04') "
+                  "AND observed_at >= TIMESTAMP '2024-01-03 00:00:00' AND observed_at <= TIMESTAMP '2024-01-20 12:00:00'")
+
+
+@register("contract_weekly", sql(f"""
+SELECT CAST(date_trunc('week', observed_at) AS TIMESTAMP) AS timestamp, {R6('avg(value)')} AS value, count(*) AS n
+FROM measurements WHERE {CONTRACT_WHERE} GROUP BY 1""", "measurements"))
+def contract_weekly(spark, d):
+    return r6(C.run_contract(B.measurements(spark, d), aggregation="weekly", **CONTRACT), "value")
+
+
+@register("contract_monthly_li", sql(f"""
+SELECT CAST(date_trunc('month', observed_at) AS TIMESTAMP) AS timestamp, {R6('avg(value)')} AS value, count(*) AS n
+FROM measurements_li WHERE variable_code = 'PM10' GROUP BY 1""", "measurements_li"))
+def contract_monthly_li(spark, d):
+    return r6(C.run_contract(B.measurements_li(spark, d), "pm10", None, datetime(1900, 1, 1), datetime(2100, 1, 1),
+                             "monthly"), "value")
+
+
+@register("contract_trend", _sql_with(f"""
+r AS (SELECT * FROM measurements WHERE {CONTRACT_WHERE}),
+p AS (SELECT strftime(observed_at, '%Y-%m-%d') AS bucket, avg(value) AS value FROM r GROUP BY 1),
+e AS (SELECT count(*) AS n_points, arg_max(value, bucket) - arg_min(value, bucket) AS delta,
+             regr_slope(value, CAST(CAST(bucket AS DATE) - DATE '1970-01-01' AS DOUBLE)) AS slope FROM p)
+SELECT count(value) AS samples, {R6('coalesce(avg(value), 0.0)')} AS mean,
+       CASE WHEN count(value) = 0 OR max(n_points) < 2 THEN 'Stable'
+            WHEN max(delta) > greatest(0.05, abs(avg(value)) * 0.02) THEN 'Rising'
+            WHEN max(delta) < -greatest(0.05, abs(avg(value)) * 0.02) THEN 'Falling' ELSE 'Stable' END AS trend,
+       {R6('max(slope)')} AS slope, max(n_points) AS n_days
+FROM r, e""", "measurements"))
+def contract_trend(spark, d):
+    return r6(C.run_contract(B.measurements(spark, d), aggregation="daily", result_type="trend", **CONTRACT),
+              "mean", "slope")
+
+
+@register("analysis_request_rolling", _sql_with(f"""
+rows AS (SELECT * FROM star WHERE station_code IN ('ST01', 'ST02') AND variable_code IN ('PM25', 'PM10')
+         AND observed_at >= TIMESTAMP '2024-01-02 00:00:00' AND observed_at < TIMESTAMP '2024-01-26 00:00:00'),
+p AS (SELECT strftime(observed_at, '%Y-%m-%d %H:00') AS bucket, 'overall' AS series, avg(value) AS value
+      FROM rows GROUP BY 1)
+SELECT bucket, series, {R6('value')} AS value, {R6('m')} AS mean, {R6('m + sd')} AS upper, {R6('m - sd')} AS lower
+FROM (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd FROM p
+      WINDOW w AS (ORDER BY bucket ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))""", "star"))
+def analysis_request_rolling(spark, d):
+    req = RQ.AnalysisRequest(filters=Q.Filters(station_codes=["ST01", "ST02"], variable_codes=["PM25", "PM10"],
+                                               date_from=date(2024, 1, 2), date_to=date(2024, 1, 25)),
+                             granularity="hour", rolling_window=24)
+    out = RQ.run_analysis(*_dims(spark, d), req)
+    return r6(out["rolling"], "value", "mean", "upper", "lower")

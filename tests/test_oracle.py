@@ -30,7 +30,7 @@ def test_matches_oracle(spark, con, name):
 
 def test_every_query_registered_has_oracle_or_is_declared_rows_only():
     rows_only = set(entry.queries()) - set(ORACLE)
-    assert rows_only == {"forest_importance", "stream_dedup"}
+    assert rows_only == {"forest_importance"}
 
 
 def test_entry_smoke(spark):
