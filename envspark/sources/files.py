@@ -3,7 +3,8 @@
 * ``list_files``      recursive listing with size and suffix, no content read (binaryFile prunes content).
 * ``detect_type``     magic bytes -> suffix for downloads without a usable name (S4).
 * ``format_gate``     accepted / rejected by suffix for automatic or manual mode (S3).
-* ``expand_zip``      archive members as rows; ``mapInPandas`` over one archive per row (S5).
+* ``expand_zip``      archive members as rows; ``mapInPandas`` over one archive per row (S5);
+                      ``read_zip_members`` parses delimited members straight from those rows.
 * ``read_delimited``  delimited files -> staging rows (S1, S2): delimiter sniffed per file from its header
                       line, latin-1 fallback, BOM removed; files sharing a header are read by one scan.
 * ``write_measurements`` Parquet partitioned by variable_code, staged then swapped (S11, L6).
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark import vocab
-from envspark.operators.normalize import STAGING_COLUMNS, normalize_frame
+from envspark.operators.normalize import STAGING_COLUMNS, STAGING_TYPES, normalize_frame
 
 # Magic numbers.
 RAR_MAGIC = b"Rar!\x1a\x07"
@@ -85,19 +86,58 @@ def expand_zip(spark: SparkSession, root: str) -> DataFrame:
     return z.mapInPandas(_unzip, _ZIP_SCHEMA)
 
 
-def land_members(members: DataFrame, out_dir: str) -> list[str]:
-    """Write archive members as files of a landing folder (shared storage) so the delimited reader can scan
-    them; returns the folder. The write is a distributed ``foreachPartition``; nothing passes the driver."""
-    def write_part(rows):
-        for r in rows:
-            safe = (r["archive"].rsplit("/", 1)[-1] + "__" + r["member"]).replace("/", "_")
-            target = os.path.join(out_dir.replace("file:", ""), safe)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "wb") as fh:
-                fh.write(bytes(r["content"]))
+def read_zip_members(spark: SparkSession, root: str, dayfirst: bool = False,
+                     wide_axis: str = "station") -> DataFrame:
+    """S5 -> S1 without landing files: delimited members of every archive become staging rows.
 
-    members.foreachPartition(write_part)
-    return [out_dir]
+    Member bytes are decoded (UTF-8, else ISO-8859-1), split into numbered lines, the first line is the
+    header; lines are parsed with ``from_csv`` per distinct (header, delimiter) layout and normalised like
+    any delimited file. Nothing is written to a machine-local folder.
+    """
+    members = expand_zip(spark, root)
+    as_utf8 = F.col("content").cast("string")
+    text = F.when(F.expr("is_valid_utf8(cast(content AS STRING))"), as_utf8).otherwise(
+        F.decode(F.col("content"), "ISO-8859-1"))
+    lines = (members.select(F.concat_ws("!", "archive", "member").alias("_file"),
+                            F.regexp_extract("member", r"([^/]+)$", 1).alias("_name"),
+                            F.posexplode(F.split(text, "\r?\n")).alias("_pos", "line")))
+    header = (lines.where(F.col("_pos") == 0)
+              .select("_file", F.regexp_replace("line", "^\ufeff", "").alias("header")))
+    header = header.withColumn("sep", _best_delimiter(F.col("header")))
+    layouts = header.select("header", "sep").distinct().collect()  # distinct layouts only
+    out = None
+    for lay in layouts:
+        if not lay["header"] or not lay["header"].strip():
+            continue
+        cols = [c.strip() for c in _split_header(lay["header"], lay["sep"])]
+        ddl = ", ".join(f"`c{i}` STRING" for i in range(len(cols)))
+        files = header.where((F.col("header") == lay["header"]) & (F.col("sep") == lay["sep"])).select("_file")
+        body = lines.join(files, "_file", "left_semi").where(F.col("_pos") > 0)
+        parsed = body.select("_file", "_name", (F.col("_pos") - 1).alias("_row"),
+                             F.from_csv("line", ddl, {"sep": lay["sep"]}).alias("r"))
+        frame = parsed.select("_file", "_name", "_row", *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)])
+        staged = normalize_frame(frame, F.lit("data"), F.col("_name"), wide_axis=wide_axis, dayfirst=dayfirst,
+                                 file_col="_file")
+        out = staged if out is None else out.unionByName(staged)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in zip(STAGING_COLUMNS, STAGING_TYPES)))
+    return out
+
+
+def _split_header(header: str, sep: str) -> list[str]:
+    import csv
+
+    return next(csv.reader([header], delimiter=sep))
+
+
+def _best_delimiter(header):
+    counts = [F.size(F.split(header, "\\" + d if d in "|" else d)) - 1 for d in DELIMITERS]
+    best = F.lit(DELIMITERS[0])
+    best_n = counts[0]
+    for d, c in zip(DELIMITERS[1:], counts[1:]):
+        best = F.when(c > best_n, F.lit(d)).otherwise(best)
+        best_n = F.greatest(best_n, c)
+    return best
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -117,12 +157,7 @@ def sniff(spark: SparkSession, paths: list[str]) -> DataFrame:
     first = F.min_by(F.when(F.col("block") == 0, F.col("value")), F.when(F.col("block") == 0, F.col("pos")))
     agg = txt.groupBy("file").agg(first.alias("header"),
                                   F.max((~F.expr("is_valid_utf8(value)")).cast("int")).alias("bad_utf8"))
-    counts = [F.size(F.split(F.col("header"), "\\" + d if d in "|" else d)) - 1 for d in DELIMITERS]
-    best = F.lit(DELIMITERS[0])
-    best_n = counts[0]
-    for d, c in zip(DELIMITERS[1:], counts[1:]):
-        best = F.when(c > best_n, F.lit(d)).otherwise(best)
-        best_n = F.greatest(best_n, c)
+    best = _best_delimiter(F.col("header"))
     return agg.select("file", F.regexp_replace(F.regexp_replace("header", "^﻿", ""), "\r$", "").alias("header"),
                       best.alias("sep"),
                       F.when(F.col("bad_utf8") == 1, F.lit("iso-8859-1")).otherwise(F.lit("UTF-8")).alias("encoding"))

@@ -103,3 +103,12 @@ def test_row_index_independent_of_split_size(spark, fixture_dir):
     raw = raw.withColumn("_file", F.lit("f"))
     idx = S.with_row_index(raw)
     assert sorted(r[0] for r in idx.select("_row").collect()) == list(range(8))
+
+
+def test_zip_members_parsed_without_landing(spark, fixture_dir):
+    _, root = fixture_dir
+    df = S.read_zip_members(spark, root)
+    assert df.columns == STAGING_COLUMNS
+    got = rows(df, "source_workbook", "station_code", "value")
+    assert len(got) == 8
+    assert ("long.csv", "UNKNOWN_STATION", 12.5) in got and ("b.csv", "BEL", 13.0) in got
