@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark import vocab
-from envspark.functions.text import normalize_code_py, normalize_text
+import pandas as pd
+from pyspark.sql import types as T
+
+from envspark.functions.text import normalize_code_py, normalize_text_series
 
 ANCHOR_RE = r'(?is)<a\s[^>]*?href\s*=\s*"[^"]*"[^>]*>.*?</a>'
 HREF_RE = r'(?is)href\s*=\s*"([^"]*)"'
@@ -51,6 +54,22 @@ def resolve_url(base: Column, href: Column) -> Column:
     return F.regexp_replace(joined, "#.*$", "")
 
 
+@F.pandas_udf(T.StringType())
+def _haystack_udf(text: pd.Series, href: pd.Series, url: pd.Series) -> pd.Series:
+    parts = [normalize_text_series(c.fillna("")) for c in (text, href, url)]
+    return parts[0] + " " + parts[1] + " " + parts[2]
+
+
+# Marked non-deterministic only so that the optimizer evaluates it once per anchor: a deterministic UDF
+# would be copied into every filter pushed below the projection that defines the classification.
+_haystack_once = _haystack_udf.asNondeterministic()
+
+
+def _haystack(text: Column, href: Column, url: Column) -> Column:
+    """normalise(text) + ' ' + normalise(href) + ' ' + normalise(url) in one Arrow batch call."""
+    return _haystack_once(text, href, url)
+
+
 def classify(text: Column, href: Column, url: Column, extra_hints: dict[str, tuple[str, ...]] | None = None) -> Column:
     """O1: a code in parentheses of the lower-cased text (via aliases), else the first variable in vocabulary
     order whose hint occurs in normalise(text) + normalise(href) + normalise(url)."""
@@ -58,7 +77,7 @@ def classify(text: Column, href: Column, url: Column, extra_hints: dict[str, tup
     codes = F.regexp_extract_all(F.lower(text), F.lit(CODE_IN_PARENS_RE), 1)
     by_alias = F.get(F.filter(F.transform(codes, lambda c: alias_map[F.replace(F.trim(c), F.lit("-"), F.lit(""))]),
                               lambda c: c.isNotNull()), 0)
-    hay = F.concat_ws(" ", normalize_text(text), normalize_text(href), normalize_text(url))
+    hay = _haystack(text, href, url)
     hints = {code: tuple(h) for code, h in vocab.VARIABLE_HINTS.items()}
     for code, more in (extra_hints or {}).items():
         hints[code] = hints.get(code, ()) + tuple(more)
@@ -89,11 +108,15 @@ def select_variables(requested: list[str] | None, max_archives: int | None = Non
     return out, len(out)
 
 
-def classified_anchors(pages: DataFrame, extra_hints=None) -> DataFrame:
-    a = anchors(pages)
-    url = resolve_url(F.col("page_url"), F.col("href"))
-    return a.withColumn("url", url).withColumn("variable_code", classify(F.col("text"), F.col("href"),
-                                                                           F.col("url"), extra_hints))
+def classified_anchors(pages: DataFrame, extra_hints=None, base_url: str | None = None) -> DataFrame:
+    """Anchors with resolved URL and variable. With ``base_url`` the cheap link checks (scheme, prefix,
+    javascript / mailto) run first, so the classifier only sees acceptable links."""
+    a = anchors(pages).withColumn("url", resolve_url(F.col("page_url"), F.col("href")))
+    if base_url is not None:
+        a = a.where(~F.col("href").startswith("javascript:") & ~F.col("href").startswith("mailto:")
+                    & F.lower(F.col("url")).rlike("^https?://")
+                    & F.lower(F.col("url")).startswith(base_url.lower()))
+    return a.withColumn("variable_code", classify(F.col("text"), F.col("href"), F.col("url"), extra_hints))
 
 
 def link_catalogue(pages: DataFrame, base_url: str, variables: list[str] | None = None,
@@ -104,11 +127,7 @@ def link_catalogue(pages: DataFrame, base_url: str, variables: list[str] | None
     A URL is taken once per page (its first acceptable occurrence).
     """
     selected, cap = select_variables(variables, max_archives)
-    c = classified_anchors(pages, extra_hints)
-    ok = (~F.col("href").startswith("javascript:") & ~F.col("href").startswith("mailto:")
-          & F.lower(F.col("url")).rlike("^https?://") & F.lower(F.col("url")).startswith(base_url.lower())
-          & F.col("variable_code").isin(selected))
-    cand = c.where(ok)
+    cand = classified_anchors(pages, extra_hints, base_url).where(F.col("variable_code").isin(selected))
     per_page = Window.partitionBy("page_id")
     first_var = cand.withColumn("_r", F.row_number().over(per_page.partitionBy("page_id", "variable_code")
                                                           .orderBy("pos"))).where("_r = 1")
