@@ -1372,3 +1372,17 @@ def analysis_request_rolling(spark, d):
                              granularity="hour", rolling_window=24)
     out = RQ.run_analysis(*_dims(spark, d), req)
     return r6(out["rolling"], "value", "mean", "upper", "lower")
+
+
+@register("stream_window_sliding", sql(f"""
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, variable_code, count(*) AS n,
+       {R6('avg(value)')} AS mean_value
+FROM (SELECT time_bucket(INTERVAL 30 MINUTE, observed_at) AS window_start, variable_code, value FROM measurements
+      UNION ALL
+      SELECT time_bucket(INTERVAL 30 MINUTE, observed_at) - INTERVAL 30 MINUTE, variable_code, value FROM measurements)
+GROUP BY 1, 2, 3""", "measurements"))
+def stream_window_sliding(spark, d):
+    work = STR._work_dir(spark, "stream-window-sliding")
+    m = _event_measurements(STR.file_stream(spark, d, "events"))
+    out = STR.stream_window(m, "1 hour", "30 minutes", ["variable_code"], "2 hours", work)
+    return r6(spark.read.parquet(out), "mean_value")

@@ -28,6 +28,13 @@ SPLIT_CSV = (
     "2024-01-15,10:00,BEL,PM10,12\n"
     "2024-01-15,11:00,BEL,PM10,13\n"
 )
+STATION_FIRST_NUMERIC = (
+    "id,registro,variable,valor\n"
+    "101,2024-01-15 08:00,PM10,1\n"
+    "102,2024-01-15 09:00,PM10,2\n"
+    "103,not a date,PM10,3\n"
+    "104,2024-01-15 11:00,PM10,4\n"
+)
 VALUE_NO_VARIABLE = "fecha,valor\n2024-01-15,1\n2024-01-16,2\n"
 WIDE_BY_VARIABLE = (
     "date,pm25,pm10,stationId,temp\n"
@@ -58,6 +65,7 @@ def write_all(root: str) -> dict[str, str]:
         "PM2.5.csv": WIDE_CSV.encode("utf-8"),
         "fecha_hora_split.csv": SPLIT_CSV.encode("utf-8"),
         "value_no_variable.csv": VALUE_NO_VARIABLE.encode("utf-8"),
+        "station_first_numeric.csv": STATION_FIRST_NUMERIC.encode("utf-8"),
         "wide_by_variable.csv": WIDE_BY_VARIABLE.encode("utf-8"),
         "semicolon_latin1.txt": SEMICOLON_LATIN1.encode("latin-1"),
         "bom.csv": b"\xef\xbb\xbf" + SPLIT_CSV.encode("utf-8"),

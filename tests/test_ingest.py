@@ -112,3 +112,11 @@ def test_zip_members_parsed_without_landing(spark, fixture_dir):
     got = rows(df, "source_workbook", "station_code", "value")
     assert len(got) == 8
     assert ("long.csv", "UNKNOWN_STATION", 12.5) in got and ("b.csv", "BEL", 13.0) in got
+
+
+def test_numeric_first_column_is_not_the_timestamp(spark, fixture_dir):
+    # R2 fix: the guess skips numeric columns and takes the date column under an unknown header
+    p, _ = fixture_dir
+    df = S.read_delimited(spark, [p["station_first_numeric.csv"]])
+    got = rows(df, "observed_at", "value")
+    assert got == [(datetime(2024, 1, 15, 8), 1.0), (datetime(2024, 1, 15, 9), 2.0), (datetime(2024, 1, 15, 11), 4.0)]
