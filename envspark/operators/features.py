@@ -34,11 +34,11 @@ def minmax_fit(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def minmax_transform(df: DataFrame, fit: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
-    """M3: (v - min) / (max - min); 0 when the column is flat. Fit values enter as scalar subqueries."""
+    """M3: (v - min) / (max - min); 0 when the column is flat. The fit row enters as one scalar subquery."""
     out = [F.col(k) for k in keep]
+    g = fit.select(F.struct(*fit.columns)).scalar()
     for c in cols:
-        mn = fit.select(f"{c}_min").scalar()
-        mx = fit.select(f"{c}_max").scalar()
+        mn, mx = g.getField(f"{c}_min"), g.getField(f"{c}_max")
         out.append(F.when(mx > mn, (F.col(c) - mn) / (mx - mn)).otherwise(F.lit(0.0)).alias(f"{c}_scaled"))
     return df.select(*out)
 

@@ -63,8 +63,8 @@ def prune_target(target: DataFrame, batch: DataFrame, variable: str = "variable_
     variable_code they become partition pruning plus row-group min/max pruning at the scan; the upsert join
     then shuffles only the slice of the target the batch can touch (rows outside it are 'keep' anyway).
     """
-    lo = batch.select(F.min(ts)).scalar()
-    hi = batch.select(F.max(ts)).scalar()
+    g = batch.select(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi"))).scalar()
+    lo, hi = g.getField("lo"), g.getField("hi")
     variables = batch.select(variable).distinct()
     return (target.where((F.col(ts) >= lo) & (F.col(ts) <= hi))
             .join(variables, variable, "left_semi"))

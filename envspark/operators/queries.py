@@ -216,8 +216,9 @@ def source_search(files: DataFrame, keyword: str) -> DataFrame:
 def preset_range(facts: DataFrame, preset: str) -> tuple:
     """Q17: (date_from, date_to) columns of a preset, anchored at the newest data date, not before the oldest."""
     days = vocab.RANGE_PRESETS[preset]
-    mn = facts.select(F.to_date(F.min("observed_at"))).scalar()
-    mx = facts.select(F.to_date(F.max("observed_at"))).scalar()
+    g = facts.select(F.struct(F.to_date(F.min("observed_at")).alias("mn"),
+                              F.to_date(F.max("observed_at")).alias("mx"))).scalar()
+    mn, mx = g.getField("mn"), g.getField("mx")
     if days is None:
         return mn, mx
     return F.greatest(F.date_sub(mx, days - 1), mn), mx

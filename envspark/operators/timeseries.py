@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark import vocab
+from envspark.functions.scalar import global_stats
 from envspark.functions.text import round6
 from envspark.functions.timefmt import bucket_key, hour_of_day_fraction, weekday_index, weekday_name
 
@@ -90,15 +91,14 @@ def hour_scatter(df: DataFrame, order: list[str], n_rows: int = vocab.SCATTER_RO
 def histogram(df: DataFrame, bins: int = vocab.HISTOGRAM_BINS, value: str = "value") -> DataFrame:
     """Equal-width bins over [min, max]; empty bins kept; one bin when max - min < 1e-9.
 
-    min / max are scalar subqueries (one small job each, inlined as literals), so the binning itself is a
-    map + partial aggregation with no join against the data.
+    min / max / count are one scalar subquery (a single small job, inlined as literals), so the binning itself
+    is a map + partial aggregation with no join against the data.
     """
     spark = df.sparkSession
     v = F.col(value)
     stats = df.select(v.alias("v")).where(v.isNotNull())
-    mn = stats.select(F.min("v")).scalar()
-    mx = stats.select(F.max("v")).scalar()
-    n_all = stats.select(F.count("v")).scalar()
+    g = global_stats(stats, mn=F.min("v"), mx=F.max("v"), n=F.count("v"))
+    mn, mx, n_all = g.getField("mn"), g.getField("mx"), g.getField("n")
     flat = F.abs(mx - mn) < F.lit(1e-9)
     width = (mx - mn) / F.lit(float(bins))
     x = F.col("v")
@@ -139,8 +139,8 @@ def heatmap_page(df: DataFrame, window_days: int = 7, offset: int = 0, n_days: i
 
 def heat_scale(cells: DataFrame, value: str = "mean_value") -> DataFrame:
     """(v - min) / (max - min) over the cells; 0 when the range is flat."""
-    mn = cells.select(F.min(value)).scalar()
-    mx = cells.select(F.max(value)).scalar()
+    g = global_stats(cells, mn=F.min(value), mx=F.max(value))
+    mn, mx = g.getField("mn"), g.getField("mx")
     ratio = F.when(mx <= mn, F.lit(0.0)).otherwise((F.col(value) - mn) / (mx - mn))
     return cells.withColumn("intensity", ratio)
 
@@ -155,9 +155,8 @@ def summary_trend(df: DataFrame, points: DataFrame, value: str = "value") -> Dat
     Rising / Falling when |delta| exceeds max(0.05, 2 % of |mean|); fewer than two points or no rows: Stable.
     """
     ov = points.where(F.col("series") == OVERALL)
-    first = ov.select(F.min_by("value", "bucket")).scalar()
-    last = ov.select(F.max_by("value", "bucket")).scalar()
-    n_points = ov.select(F.count("*")).scalar()
+    g = global_stats(ov, first=F.min_by("value", "bucket"), last=F.max_by("value", "bucket"), n=F.count("*"))
+    first, last, n_points = g.getField("first"), g.getField("last"), g.getField("n")
     stats = df.agg(F.count(value).alias("samples"), F.avg(value).alias("mean"), F.min(value).alias("min"),
                    F.max(value).alias("max"))
     delta = last - first

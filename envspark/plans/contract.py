@@ -55,8 +55,9 @@ def run_contract(facts: DataFrame, metric: str, station_codes: list[str] | None,
         daily = A.resample(rows, "day", None).select("bucket", "series", "value")
         slope = A.trend_slope(daily)
         label = A.summary_trend(rows, daily.withColumn("series", F.lit(A.OVERALL)))
-        return label.select("samples", "mean", "trend", slope.select("slope").scalar().alias("slope"),
-                            slope.select("n").scalar().alias("n_days"))
+        g = slope.select(F.struct("slope", "n")).scalar()
+        return label.select("samples", "mean", "trend", g.getField("slope").alias("slope"),
+                            g.getField("n").alias("n_days"))
     if result_type == "correlation_matrix":
         wide = facts.where(F.col("observed_at").between(F.lit(date_from), F.lit(date_to)))
         if station_codes:

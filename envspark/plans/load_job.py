@@ -41,8 +41,8 @@ def load_measurements(spark: SparkSession, batch: DataFrame, table_dir: str,
         window = L.prune_target(affected, fresh)
         actions = L.upsert_actions(window, fresh)
         merged = L.upsert_result(actions).drop("record_hash")
-        lo = fresh.select(F.min("observed_at")).scalar()
-        hi = fresh.select(F.max("observed_at")).scalar()
+        g = fresh.select(F.struct(F.min("observed_at").alias("lo"), F.max("observed_at").alias("hi"))).scalar()
+        lo, hi = g.getField("lo"), g.getField("hi")
         outside = affected.where((F.col("observed_at") < lo) | (F.col("observed_at") > hi))
         result = merged.select(*TABLE_COLUMNS).unionByName(outside)
     else:
