@@ -1386,3 +1386,10 @@ def stream_window_sliding(spark, d):
     m = _event_measurements(STR.file_stream(spark, d, "events"))
     out = STR.stream_window(m, "1 hour", "30 minutes", ["variable_code"], "2 hours", work)
     return r6(spark.read.parquet(out), "mean_value")
+
+
+@register("file_state", sql("""
+SELECT source_file_id, status, downloaded_at + INTERVAL 2 MINUTE AS updated_at, CAST(3 AS BIGINT) AS n_events
+FROM source_files""", "source_files"))
+def file_state(spark, d):
+    return LG.file_state(LG.file_events(B.source_files(spark, d)))

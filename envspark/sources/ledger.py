@@ -28,3 +28,25 @@ def skip_loaded(files: DataFrame, ledger: DataFrame, force: bool = False) -> Dat
 def landing_name(checksum: Column, name: Column) -> Column:
     """S8: '{sha[:12]}-{safe name}' with path separators replaced by '_'."""
     return F.concat(F.substring(checksum, 1, 12), F.lit("-"), F.regexp_replace(name, r"[/\\]", "_"))
+
+
+# File ledger states in the order a file passes them.
+FILE_STATES = ("downloaded", "processing", "completed")
+
+
+def file_events(files: DataFrame, ts: str = "downloaded_at") -> DataFrame:
+    """Append-only ledger events of each file: downloaded, processing, then its final status
+    (completed or failed), one minute apart — the ledger is never updated in place."""
+    steps = F.array(
+        F.struct(F.lit(FILE_STATES[0]).alias("status"), F.col(ts).alias("ts")),
+        F.struct(F.lit(FILE_STATES[1]).alias("status"), (F.col(ts) + F.expr("INTERVAL 1 MINUTE")).alias("ts")),
+        F.struct(F.col("status").alias("status"), (F.col(ts) + F.expr("INTERVAL 2 MINUTES")).alias("ts")))
+    return files.select("source_file_id", F.explode(steps).alias("e")).select(
+        "source_file_id", F.col("e.status").alias("status"), F.col("e.ts").alias("ts"))
+
+
+def file_state(events: DataFrame) -> DataFrame:
+    """Current state per file = status of its latest event (grouped max_by, partial aggregation)."""
+    return events.groupBy("source_file_id").agg(
+        F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("updated_at"),
+        F.count("*").alias("n_events"))
