@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.functions.text import category, default_unit
+from envspark.functions.timefmt import truncate_hour
 from envspark.session import read_table
 
 N_STATIONS = 25
@@ -157,7 +158,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = measurements(spark, sf_dir)
     return m.select(
         "station_code", "variable_code",
-        F.to_timestamp_ntz(F.date_format("observed_at", "yyyy-MM-dd HH:00:00")).alias("observed_at"),
+        truncate_hour("observed_at").alias("observed_at"),
         "value", "unit", "source_file_id",
         F.col("measurement_id").alias("load_order"),
     )

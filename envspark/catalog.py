@@ -1256,12 +1256,13 @@ def stream_dedup(spark, d):
 SELECT station_code, observed_at, variable_code, value, unit, 'data' AS source_sheet FROM measurements""",
                                   "measurements"))
 def delimited_ingest(spark, d):
+    from envspark.functions.timefmt import iso_datetime
     from envspark.sources import files as S
 
     work = STR._work_dir(spark, "delimited")
     m = B.measurements(spark, d)
     (m.select(F.col("station_code").alias("estacion"),
-              F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fecha_hora"),
+              F.replace(iso_datetime("observed_at", True), F.lit("T"), F.lit(" ")).alias("fecha_hora"),
               F.col("variable_code").alias("contaminante"), F.col("value").cast("string").alias("valor"),
               F.col("unit").alias("unidad"))
      .write.option("header", "true").option("sep", ";").csv(os.path.join(work, "csv")))

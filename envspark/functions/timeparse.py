@@ -2,7 +2,7 @@
 
 Zone-free by construction: the local part is parsed as if it were UTC (an explicit '+0000' is appended),
 the written offset is subtracted from the resulting epoch microseconds, and the result is rebuilt as a
-TIMESTAMP_NTZ by adding those microseconds to the epoch. The session time zone never enters.
+TIMESTAMP_NTZ from date and time fields. The session time zone never enters.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from envspark.functions.timefmt import from_epoch_micros
+
 # Fixed order: ISO forms first, then month-first slashes, then day-first slashes (R10); dayfirst swaps the two.
 ISO_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm",
@@ -39,8 +41,7 @@ def parse_datetime(col: Column, dayfirst: bool = False) -> Column:
     off_min = F.when((off == "") | (F.upper(off) == "Z"), F.lit(0)).otherwise(
         sign * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")))
     micros = F.unix_micros(parsed) - off_min.cast("long") * F.lit(60_000_000)
-    epoch = F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz")
-    return F.when(parsed.isNotNull(), F.timestamp_add("MICROSECOND", micros, epoch))
+    return F.when(parsed.isNotNull(), from_epoch_micros(micros))
 
 
 def parse_datetime_py(value, dayfirst: bool = False):

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from envspark import vocab
 from envspark.functions.scalar import global_stats
 from envspark.functions.text import round6
-from envspark.functions.timefmt import bucket_key, hour_of_day_fraction, weekday_index, weekday_name
+from envspark.functions.timefmt import (bucket_key, day_string, hour_of_day_fraction, weekday_index,
+                                        weekday_name)
 
 OVERALL = "overall"
 
@@ -117,7 +118,7 @@ def histogram(df: DataFrame, bins: int = vocab.HISTOGRAM_BINS, value: str = "val
 def heatmap(df: DataFrame, n_days: int = vocab.HEATMAP_DAYS, ts: str = "observed_at",
             value: str = "value") -> DataFrame:
     """Mean per (day, hour) over the last n_days distinct days; missing cells are absent."""
-    cells = (df.select(F.date_format(ts, "yyyy-MM-dd").alias("day"), F.hour(ts).alias("hour"), F.col(value))
+    cells = (df.select(day_string(ts).alias("day"), F.hour(ts).alias("hour"), F.col(value))
              .groupBy("day", "hour").agg(F.avg(value).alias("mean_value"), F.count("*").alias("n")))
     last_days = cells.select("day").distinct().orderBy(F.col("day").desc()).limit(n_days)
     return cells.join(F.broadcast(last_days), "day", "left_semi")
@@ -187,9 +188,9 @@ def seasonal_profile(df: DataFrame, mode: str, ts: str = "observed_at", value: s
     if mode == "weekday":
         key, order = weekday_name(ts), weekday_index(ts)
     elif mode == "month":
-        key, order = F.date_format(ts, "MM"), F.month(ts)
+        key, order = F.lpad(F.month(ts).cast("string"), 2, "0"), F.month(ts)
     elif mode == "hour":
-        key, order = F.date_format(ts, "HH"), F.hour(ts)
+        key, order = F.lpad(F.hour(ts).cast("string"), 2, "0"), F.hour(ts)
     else:
         raise ValueError("mode must be weekday, month or hour")
     return (df.select(key.alias("bucket"), order.alias("sort_key"), F.col(value))

@@ -33,11 +33,16 @@ def bucket_start(ts: Column | str, aggregation: str) -> Column:
     raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
 
 
+def ntz_literal(value: datetime) -> Column:
+    """A naive datetime as a TIMESTAMP_NTZ literal (a Python datetime literal would be zoned)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def select_rows(facts: DataFrame, metric: str, station_codes: list[str] | None, date_from: datetime,
                 date_to: datetime) -> DataFrame:
     code = METRICS[metric]
-    rows = facts.where((F.col("variable_code") == code) & (F.col("observed_at") >= F.lit(date_from))
-                       & (F.col("observed_at") <= F.lit(date_to)))
+    rows = facts.where((F.col("variable_code") == code) & (F.col("observed_at") >= ntz_literal(date_from))
+                       & (F.col("observed_at") <= ntz_literal(date_to)))
     if station_codes:
         rows = rows.where(F.col("station_code").isin(list(station_codes)))
     return rows
@@ -59,7 +64,7 @@ def run_contract(facts: DataFrame, metric: str, station_codes: list[str] | None,
         return label.select("samples", "mean", "trend", g.getField("slope").alias("slope"),
                             g.getField("n").alias("n_days"))
     if result_type == "correlation_matrix":
-        wide = facts.where(F.col("observed_at").between(F.lit(date_from), F.lit(date_to)))
+        wide = facts.where(F.col("observed_at").between(ntz_literal(date_from), ntz_literal(date_to)))
         if station_codes:
             wide = wide.where(F.col("station_code").isin(list(station_codes)))
         present = sorted(set(METRICS.values()))

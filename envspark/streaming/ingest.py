@@ -2,8 +2,9 @@
 
 * ``stream_upsert``   T-S1: file stream -> per micro-batch last-wins dedup + keyed upsert into a Parquet table
                       (idempotent by key, so a replayed batch changes nothing).
-* ``stream_window``   T-S2: tumbling / sliding means with a watermark; NTZ timestamps are cast to zoned
-                      timestamps on entry (a watermark needs them) and back to NTZ on exit.
+* ``stream_window``   T-S2: tumbling / sliding means with a watermark; NTZ timestamps become instants read
+                      as UTC on entry (a watermark needs them) and UTC wall-clock NTZ on exit, so windows
+                      align to UTC hours whatever the session time zone.
 * ``stream_dedup``    T-S3: ``dropDuplicatesWithinWatermark`` (first row wins, unlike L1's last wins).
 * ``stream_latest``   T-S4: latest value per (station, variable) kept by merging each batch into a table.
 
@@ -19,6 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from envspark.functions.timefmt import instant_as_utc_ntz, ntz_as_utc_instant
 from envspark.operators import load as L
 from envspark.session import checkpoint_dir
 
@@ -70,14 +72,14 @@ def stream_window(stream: DataFrame, window: str, slide: str | None, group: list
     Output mode ``complete`` through ``foreachBatch`` (the result table is rewritten per batch), so the final
     table equals the batch aggregate; in ``append`` mode the last open windows would wait for the watermark.
     """
-    ev = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
+    ev = stream.withColumn("_ts", ntz_as_utc_instant(ts)).withWatermark("_ts", watermark)
     win = F.window("_ts", window, slide) if slide else F.window("_ts", window)
     agg = ev.groupBy(win.alias("w"), *group).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
     out_dir = os.path.join(work, "out")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        (batch.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), *group, "n",
+        (batch.select(instant_as_utc_ntz(F.col("w.start")).alias("window_start"),
+                      instant_as_utc_ntz(F.col("w.end")).alias("window_end"), *group, "n",
                       (F.col("s") / F.col("n")).alias("mean_value"))
          .write.mode("overwrite").parquet(out_dir))
 
@@ -89,7 +91,7 @@ def stream_window(stream: DataFrame, window: str, slide: str | None, group: list
 
 def stream_dedup(stream: DataFrame, key: list[str], watermark: str, work: str, ts: str = "observed_at") -> str:
     """T-S3: drop repeated keys within the watermark delay (first arrival wins); appended to Parquet."""
-    ev = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
+    ev = stream.withColumn("_ts", ntz_as_utc_instant(ts)).withWatermark("_ts", watermark)
     out_dir = os.path.join(work, "out")
     q = (ev.dropDuplicatesWithinWatermark(key).drop("_ts").writeStream.format("parquet")
          .option("path", out_dir).option("checkpointLocation", os.path.join(work, "ckpt"))

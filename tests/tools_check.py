@@ -52,7 +52,11 @@ def main() -> int:
     from envspark.session import get_spark
     import __spark_entry__ as entry
 
+    import os
+
     spark = get_spark("local[8]", shuffle_partitions=8)
+    if os.environ.get("CHECK_TZ"):  # run under another session time zone to prove zone independence
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
