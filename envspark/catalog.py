@@ -1394,3 +1394,26 @@ SELECT source_file_id, status, downloaded_at + INTERVAL 2 MINUTE AS updated_at,
 FROM source_files""", "source_files"))
 def file_state(spark, d):
     return LG.file_state(LG.file_events(B.source_files(spark, d)))
+
+
+# The other canned samples of the stored tables
+@register("table_sample_stations", sql("SELECT * FROM stations ORDER BY code LIMIT 120", "stations"))
+def table_sample_stations(spark, d):
+    return Q.table_sample(B.stations(spark, d), "stations")
+
+
+@register("table_sample_variables", sql("SELECT * FROM variables ORDER BY code LIMIT 120", "variables"))
+def table_sample_variables(spark, d):
+    return Q.table_sample(B.variables(spark, d), "variables")
+
+
+@register("table_sample_source_files", sql(
+    "SELECT * FROM source_files ORDER BY downloaded_at DESC, source_file_id DESC LIMIT 120", "source_files"))
+def table_sample_source_files(spark, d):
+    return Q.table_sample(B.source_files(spark, d), "source_files")
+
+
+@register("table_sample_etl_runs", sql("SELECT * FROM etl_runs ORDER BY started_at DESC, id DESC LIMIT 120",
+                                       "etl_runs"))
+def table_sample_etl_runs(spark, d):
+    return Q.table_sample(B.etl_runs(spark, d), "etl_runs")
