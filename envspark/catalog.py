@@ -1079,16 +1079,31 @@ def variable_classifier(spark, d):
     return c.select("page_id", "pos", "href", "url", "variable_code")
 
 
-@register("link_catalogue", _sql_with(_anchors_sql() + """,
+def _link_catalogue_sql() -> str:
+    body = _sql_with(_anchors_sql() + """,
 ok AS (SELECT * FROM cls WHERE NOT starts_with(href, 'javascript:') AND NOT starts_with(href, 'mailto:')
          AND regexp_matches(lower(url), '^https?://') AND starts_with(lower(url), 'http')
          AND variable_code IN ('PM25', 'NO2', 'O3', 'CO')),
-fv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, variable_code ORDER BY pos) AS r FROM ok)
-       WHERE r = 1),
-fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS u FROM fv) WHERE u = 1)
-SELECT page_id, pos, url, label, variable_code FROM (
-  SELECT page_id, pos, url, text AS label, variable_code, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k
-  FROM fu) WHERE k <= 4"""))
+c AS (SELECT page_id, pos, url, text AS label, variable_code,
+             row_number() OVER (PARTITION BY page_id ORDER BY pos) AS idx FROM ok),
+walk AS (SELECT page_id, CAST(0 AS BIGINT) AS idx, CAST([] AS VARCHAR[]) AS urls, CAST([] AS VARCHAR[]) AS vars,
+                CAST([] AS INTEGER[]) AS taken
+         FROM (SELECT DISTINCT page_id FROM c)
+         UNION ALL
+         SELECT w.page_id, w.idx + 1,
+                CASE WHEN a THEN list_append(w.urls, c.url) ELSE w.urls END,
+                CASE WHEN a THEN list_append(w.vars, c.variable_code) ELSE w.vars END,
+                CASE WHEN a THEN list_append(w.taken, c.pos) ELSE w.taken END
+         FROM walk w JOIN (SELECT * FROM c) c ON c.page_id = w.page_id AND c.idx = w.idx + 1,
+              LATERAL (SELECT NOT list_contains(w.urls, c.url) AND NOT list_contains(w.vars, c.variable_code)
+                              AND len(w.taken) < 4 AS a)),
+fin AS (SELECT page_id, arg_max(taken, idx) AS taken FROM walk GROUP BY page_id)
+SELECT c.page_id, CAST(c.pos AS INT) AS pos, c.url, c.label, c.variable_code
+FROM fin, unnest(fin.taken) AS t(p) JOIN c ON c.page_id = fin.page_id AND c.pos = t.p""")
+    return "WITH RECURSIVE " + body[len("WITH "):]
+
+
+@register("link_catalogue", _link_catalogue_sql())
 def link_catalogue(spark, d):
     from envspark.session import read_table
 

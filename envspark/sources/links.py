@@ -119,20 +119,41 @@ def classified_anchors(pages: DataFrame, extra_hints=None, base_url: str | None
     return a.withColumn("variable_code", classify(F.col("text"), F.col("href"), F.col("url"), extra_hints))
 
 
+_PICK_SCHEMA = "page_id long, pos int, url string, label string, variable_code string"
+
+
+def _greedy_pick(cap: int):
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        # document order; a link is taken when neither its URL nor its variable was taken before
+        urls, variables, keep = set(), set(), []
+        for row in pdf.sort_values("pos").itertuples(index=False):
+            if row.url in urls or row.variable_code in variables:
+                continue
+            urls.add(row.url)
+            variables.add(row.variable_code)
+            keep.append((row.page_id, row.pos, row.url, row.label, row.variable_code))
+            if len(keep) >= cap:
+                break
+        return pd.DataFrame(keep, columns=["page_id", "pos", "url", "label", "variable_code"])
+    return pick
+
+
 def link_catalogue(pages: DataFrame, base_url: str, variables: list[str] | None = None,
                    max_archives: int | None = None, extra_hints=None) -> DataFrame:
-    """Per page, the first acceptable link for each selected variable, in document order, capped.
+    """Per page, links in document order, each taken when its URL and its variable were not taken by an
+    earlier link of the page, until the cap (the number of selected variables, or max_archives).
 
-    Acceptable: not javascript:/mailto:, http(s) after resolution, starts with base_url (case-insensitive).
-    A URL is taken once per page (its first acceptable occurrence).
+    Acceptable: not javascript:/mailto:, http(s) after resolution, starts with base_url (case-insensitive),
+    classified to a selected variable. Repeats of a (page, URL, variable) are dropped with a window top-1
+    (partial before the shuffle); the greedy walk that settles the two rules runs per page in
+    ``applyInPandas`` over the remaining candidates of that one page.
     """
     selected, cap = select_variables(variables, max_archives)
-    cand = classified_anchors(pages, extra_hints, base_url).where(F.col("variable_code").isin(selected))
-    per_page = Window.partitionBy("page_id")
-    first_var = cand.withColumn("_r", F.row_number().over(per_page.partitionBy("page_id", "variable_code")
-                                                          .orderBy("pos"))).where("_r = 1")
-    first_url = first_var.withColumn("_u", F.row_number().over(per_page.partitionBy("page_id", "url")
-                                                               .orderBy("pos"))).where("_u = 1")
-    capped = first_url.withColumn("_k", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
-    return capped.where(F.col("_k") <= cap).select("page_id", "pos", "url", F.col("text").alias("label"),
-                                                   "variable_code")
+    cand = (classified_anchors(pages, extra_hints, base_url).where(F.col("variable_code").isin(selected))
+            .select("page_id", F.col("pos").cast("int").alias("pos"), "url", F.col("text").alias("label"),
+                    "variable_code"))
+    # A later anchor with the same (page, URL, variable) as an earlier one is never taken: either the earlier
+    # one was taken (URL now blocked) or it was skipped because its URL or variable was already taken.
+    first_triple = cand.withColumn("_r", F.row_number().over(
+        Window.partitionBy("page_id", "url", "variable_code").orderBy("pos"))).where("_r = 1").drop("_r")
+    return first_triple.groupBy("page_id").applyInPandas(_greedy_pick(cap), _PICK_SCHEMA)

@@ -87,3 +87,17 @@ def test_link_variable_selection():
 
     assert select_variables(["pm2.5", "PM25", "xx", "co"]) == (["PM25", "CO"], 2)
     assert select_variables(None)[1] == 4
+
+
+def test_link_catalogue_greedy_url_and_variable(spark):
+    """A URL taken for one variable blocks a later anchor of another variable; that variable is then filled
+    by the next anchor with a free URL (the sequential rule of the original)."""
+    from envspark.sources.links import link_catalogue
+
+    html = ('<html><a href="http://x.org/u1">Material (PM2.5)</a> <a href="http://x.org/u1">Gas (NO2)</a> '
+            '<a href="http://x.org/u2">Gas (no-2)</a> <a href="mailto:a@b">(co)</a> '
+            '<a href="/u3#frag">Ozono</a> <a href="http://y.org/u4">(CO)</a></html>')
+    pages = spark.createDataFrame([(1, "http://x.org/dir/page.html", html)], "page_id long, url string, html string")
+    got = [(r.pos, r.url, r.variable_code) for r in
+           link_catalogue(pages, "http://x.org", ["PM25", "NO2", "O3", "CO"]).orderBy("pos").collect()]
+    assert got == [(0, "http://x.org/u1", "PM25"), (2, "http://x.org/u2", "NO2"), (4, "http://x.org/u3", "O3")]
