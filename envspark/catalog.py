@@ -315,7 +315,8 @@ def series_by_station(spark, d):
 
 
 @register("series_topk", sql("""
-SELECT variable_code AS series, count(*) AS n FROM measurements GROUP BY 1 ORDER BY n DESC, series LIMIT 4""",
+SELECT series, n FROM (SELECT variable_code AS series, count(*) AS n, min(observed_at) AS first_seen
+                       FROM measurements GROUP BY 1 ORDER BY n DESC, first_seen, series LIMIT 4)""",
                              "measurements"))
 def series_topk(spark, d):
     return A.series_rank(B.measurements(spark, d), "variable_code", 4)

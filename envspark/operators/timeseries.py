@@ -52,10 +52,14 @@ def resample(df: DataFrame, granularity: str, series: str | None = "variable_cod
     return result
 
 
-def series_rank(df: DataFrame, series: str = "variable_code", top_k: int | None = 4) -> DataFrame:
-    """A2: series by row count desc (ties by name); keep top_k (None = all, as when splitting by station)."""
-    counts = df.groupBy(F.col(series).cast("string").alias("series")).agg(F.count("*").alias("n"))
-    ordered = counts.orderBy(F.col("n").desc(), F.col("series").asc())
+def series_rank(df: DataFrame, series: str = "variable_code", top_k: int | None = 4,
+                ts: str = "observed_at") -> DataFrame:
+    """A2: series by row count desc; ties keep first-seen order (earliest observation), then name; keep
+    top_k (None = all, as when splitting by station)."""
+    counts = df.groupBy(F.col(series).cast("string").alias("series")).agg(
+        F.count("*").alias("n"), F.min(ts).alias("first_seen"))
+    ordered = counts.orderBy(F.col("n").desc(), F.col("first_seen").asc(), F.col("series").asc()).drop(
+        "first_seen")
     return ordered.limit(top_k) if top_k else ordered
 
 
