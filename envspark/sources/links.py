@@ -122,20 +122,27 @@ def classified_anchors(pages: DataFrame, extra_hints=None, base_url: str | None
 _PICK_SCHEMA = "page_id long, pos int, url string, label string, variable_code string"
 
 
-def _greedy_pick(cap: int):
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        # document order; a link is taken when neither its URL nor its variable was taken before
-        urls, variables, keep = set(), set(), []
-        for row in pdf.sort_values("pos").itertuples(index=False):
-            if row.url in urls or row.variable_code in variables:
-                continue
-            urls.add(row.url)
-            variables.add(row.variable_code)
-            keep.append((row.page_id, row.pos, row.url, row.label, row.variable_code))
-            if len(keep) >= cap:
-                break
-        return pd.DataFrame(keep, columns=["page_id", "pos", "url", "label", "variable_code"])
-    return pick
+def _greedy_walk(cap: int):
+    """Per partition (rows clustered by page, in document order): take a link when neither its URL nor its
+    variable was taken before on the page, until the cap. State is reset when the page changes, so a page
+    split across Arrow batches is still walked as one sequence."""
+    cols = ["page_id", "pos", "url", "label", "variable_code"]
+
+    def run(batches):
+        page, urls, variables, taken = None, set(), set(), 0
+        for pdf in batches:
+            keep = []
+            for row in zip(*(pdf[c] for c in cols)):
+                if row[0] != page:
+                    page, urls, variables, taken = row[0], set(), set(), 0
+                if taken >= cap or row[2] in urls or row[4] in variables:
+                    continue
+                urls.add(row[2])
+                variables.add(row[4])
+                taken += 1
+                keep.append(row)
+            yield pd.DataFrame(keep, columns=cols)
+    return run
 
 
 def link_catalogue(pages: DataFrame, base_url: str, variables: list[str] | None = None,
@@ -145,8 +152,8 @@ def link_catalogue(pages: DataFrame, base_url: str, variables: list[str] | None
 
     Acceptable: not javascript:/mailto:, http(s) after resolution, starts with base_url (case-insensitive),
     classified to a selected variable. Repeats of a (page, URL, variable) are dropped with a window top-1
-    (partial before the shuffle); the greedy walk that settles the two rules runs per page in
-    ``applyInPandas`` over the remaining candidates of that one page.
+    (partial before the shuffle); the greedy walk that settles the two rules is one sequential pass per
+    partition (``mapInPandas``) over candidates clustered by page and sorted by position.
     """
     selected, cap = select_variables(variables, max_archives)
     cand = (classified_anchors(pages, extra_hints, base_url).where(F.col("variable_code").isin(selected))
@@ -156,4 +163,5 @@ def link_catalogue(pages: DataFrame, base_url: str, variables: list[str] | None
     # one was taken (URL now blocked) or it was skipped because its URL or variable was already taken.
     first_triple = cand.withColumn("_r", F.row_number().over(
         Window.partitionBy("page_id", "url", "variable_code").orderBy("pos"))).where("_r = 1").drop("_r")
-    return first_triple.groupBy("page_id").applyInPandas(_greedy_pick(cap), _PICK_SCHEMA)
+    clustered = first_triple.repartition("page_id").sortWithinPartitions("page_id", "pos")
+    return clustered.mapInPandas(_greedy_walk(cap), _PICK_SCHEMA)
