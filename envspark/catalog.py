@@ -156,7 +156,8 @@ def latest_values(spark, d):
 @register("live_snapshot", _with_latest("""
 SELECT l.station_code, l.station_name, coalesce(l.latitude, r.ref_latitude) AS latitude,
        coalesce(l.longitude, r.ref_longitude) AS longitude, r.ref_region AS region,
-       l.n_variables, l.latest_observed_at
+       l.n_variables, l.latest_observed_at, count(*) OVER () AS total,
+       max(l.latest_observed_at) OVER () AS global_latest_observed_at
 FROM (SELECT station_code, station_name, latitude, longitude, count(*) AS n_variables,
              max(observed_at) AS latest_observed_at
       FROM latest GROUP BY station_code, station_name, latitude, longitude) l

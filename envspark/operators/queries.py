@@ -143,18 +143,22 @@ def latest_values(facts: DataFrame, stations: DataFrame, variables: DataFrame,
 
 
 def live_snapshot(latest: DataFrame, stations: DataFrame, nested: bool = False) -> DataFrame:
-    """Q9: latest values grouped by station; coordinates fall back to the reference station, plus region."""
+    """Q9: latest values grouped by station; coordinates fall back to the reference station, plus region,
+    the number of stations and the newest observation overall (windows over the per-station rows)."""
     resolved = resolve_station_references(stations).select(
         F.col("code").alias("station_code"), "ref_latitude", "ref_longitude", "ref_region")
     per = latest.groupBy("station_code", "station_name", "latitude", "longitude").agg(
         F.count("*").alias("n_variables"), F.max("observed_at").alias("latest_observed_at"),
         *([F.sort_array(F.collect_list(F.struct("variable_code", "variable_name", "value", "unit",
                                                 "observed_at"))).alias("variables")] if nested else []))
+    everything = Window.partitionBy(F.lit(1))  # over one row per station
     out = per.join(resolved, "station_code", "left").select(
         "station_code", "station_name",
         F.coalesce("latitude", "ref_latitude").alias("latitude"),
         F.coalesce("longitude", "ref_longitude").alias("longitude"),
         F.col("ref_region").alias("region"), "n_variables", "latest_observed_at",
+        F.count("*").over(everything).alias("total"),
+        F.max("latest_observed_at").over(everything).alias("global_latest_observed_at"),
         *(["variables"] if nested else []))
     return out.orderBy("station_code")
 

@@ -54,7 +54,13 @@ def main() -> int:
 
     import os
 
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    if os.environ.get("CHECK_PLAIN"):  # a bare session, as a driver would create it
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+    else:
+        spark = get_spark("local[8]", shuffle_partitions=8)
     if os.environ.get("CHECK_TZ"):  # run under another session time zone to prove zone independence
         spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
     con = duckdb.connect()
