@@ -8,6 +8,8 @@ only the Unicode accent folding of the haystack uses the pandas UDF of ``normali
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,10 +75,13 @@ def _haystack(text: Column, href: Column, url: Column) -> Column:
 def classify(text: Column, href: Column, url: Column, extra_hints: dict[str, tuple[str, ...]] | None = None) -> Column:
     """O1: a code in parentheses of the lower-cased text (via aliases), else the first variable in vocabulary
     order whose hint occurs in normalise(text) + normalise(href) + normalise(url)."""
+    # The first parenthesised code that is an alias: codes lose their '-' before the lookup, so removing '-'
+    # from the text first and finding the leftmost "(alias)" gives the same code (a code group cannot
+    # contain parentheses, so every "(alias)" occurrence is one of the groups, in the same order).
     alias_map = F.create_map(*[F.lit(x) for kv in vocab.VARIABLE_ALIASES.items() for x in kv])
-    codes = F.regexp_extract_all(F.lower(text), F.lit(CODE_IN_PARENS_RE), 1)
-    by_alias = F.get(F.filter(F.transform(codes, lambda c: alias_map[F.replace(F.trim(c), F.lit("-"), F.lit(""))]),
-                              lambda c: c.isNotNull()), 0)
+    alternatives = "|".join(re.escape(a) for a in sorted(vocab.VARIABLE_ALIASES, key=len, reverse=True))
+    found = F.regexp_extract(F.replace(F.lower(text), F.lit("-"), F.lit("")), rf"\(({alternatives})\)", 1)
+    by_alias = F.when(found != "", alias_map[found])
     hay = _haystack(text, href, url)
     hints = {code: tuple(h) for code, h in vocab.VARIABLE_HINTS.items()}
     for code, more in (extra_hints or {}).items():
