@@ -1,47 +1,96 @@
-"""N11 timestamp parsing: an ordered list of formats, naive = UTC, offsets converted to UTC.
+"""N11 timestamp parsing: a bounded set of layouts, naive = UTC, offsets converted to UTC.
 
-Zone-free by construction: the local part is parsed as if it were UTC (an explicit '+0000' is appended),
-the written offset is subtracted from the resulting epoch microseconds, and the result is rebuilt as a
-TIMESTAMP_NTZ from date and time fields. The session time zone never enters.
+Layouts (fixed order, R10): year first ``yyyy-MM-dd[( |T)HH:mm[:ss[.ffffff]]]`` (also with ``/``), then
+``M/d/yyyy[ H:mm[:ss]]`` month first, then the same day first (used when month first is not a valid date, or
+first when ``dayfirst``), then ``d-M-yyyy[ H:mm[:ss]]``. An offset (``Z``, ``+hh:mm``, ``-hhmm``) may follow a
+time. Anything else is null.
+
+Each layout is recognised with one regular expression, split on its separators and assembled with
+``try_make_timestamp_ntz`` (invalid dates become null), so the expression stays small enough for whole-stage
+codegen, and the session time zone never enters: the offset is subtracted with NTZ calendar arithmetic.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from envspark.functions.timefmt import from_epoch_micros
+_TIME = r"(?:[T ](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?)?"
+YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})" + _TIME + "$"
+SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _TIME + "$"
+DASHED = r"^(\d{1,2})-(\d{1,2})-(\d{4})" + _TIME + "$"
+WITH_OFFSET = r"^(.*\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(Z|z|[+-]\d{2}:?\d{2})$"
 
-# Fixed order: ISO forms first, then month-first slashes, then day-first slashes (R10); dayfirst swaps the two.
-ISO_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd",
-)
-MONTH_FIRST = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")
-DAY_FIRST = ("d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy", "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy")
 
-_OFFSET_RE = r"(Z|z|[+-][0-9]{2}:?[0-9]{2})$"
+def _int(x: Column) -> Column:
+    return F.when(x != "", x.cast("int"))
 
 
-def formats(dayfirst: bool = False) -> tuple[str, ...]:
-    return ISO_FORMATS + (DAY_FIRST + MONTH_FIRST if dayfirst else MONTH_FIRST + DAY_FIRST)
+def _build(local: Column, y: int, m: int, d: int) -> Column:
+    """Fields by position after splitting a validated layout on its separators (0-based: the three date
+    parts in the layout's order, then hour, minute, second, fraction); missing time parts are 0."""
+    parts = F.split(local, "[-/T :.]")
+    g = lambda i: F.get(parts, i)  # noqa: E731  (null past the end)
+    frac = F.coalesce(g(6), F.lit(""))
+    seconds = F.concat(F.coalesce(g(5), F.lit("0")), F.lit("."),
+                       F.rpad(F.substring(frac, 1, 6), 6, "0")).cast("decimal(16,6)")
+    return F.try_make_timestamp_ntz(g(y).cast("int"), g(m).cast("int"), g(d).cast("int"),
+                                    F.coalesce(g(3).cast("int"), F.lit(0)), F.coalesce(g(4).cast("int"), F.lit(0)),
+                                    seconds)
 
 
-def parse_datetime(col: Column, dayfirst: bool = False) -> Column:
-    s = F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")
-    off = F.regexp_extract(s, _OFFSET_RE, 1)
-    local = F.regexp_replace(F.regexp_replace(s, _OFFSET_RE, ""), r"\s+$", "")
-    as_utc = F.concat(local, F.lit(" +0000"))
-    parsed = F.coalesce(*[F.try_to_timestamp(as_utc, F.lit(f + " xx")) for f in formats(dayfirst)])
-    sign = F.when(off.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+def _naive(local: Column, dayfirst: bool) -> Column:
+    year_first = F.when(local.rlike(YEAR_FIRST), _build(local, 0, 1, 2))
+    month_first = _build(local, 2, 0, 1)
+    day_first = _build(local, 2, 1, 0)
+    slashed = F.when(local.rlike(SLASHED), F.coalesce(day_first, month_first) if dayfirst
+                     else F.coalesce(month_first, day_first))
+    dashed = F.when(local.rlike(DASHED), _build(local, 2, 1, 0))
+    return F.coalesce(year_first, slashed, dashed)
+
+
+def _offset_minutes(off: Column) -> Column:
     digits = F.regexp_replace(off, "[^0-9]", "")
-    off_min = F.when((off == "") | (F.upper(off) == "Z"), F.lit(0)).otherwise(
+    sign = F.when(off.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    return F.when((off == "") | (F.upper(off) == "Z"), F.lit(0)).otherwise(
         sign * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")))
-    micros = F.unix_micros(parsed) - off_min.cast("long") * F.lit(60_000_000)
-    return F.when(parsed.isNotNull(), from_epoch_micros(micros))
+
+
+def with_parsed_datetime(df: DataFrame, col: Column, out: str, dayfirst: bool = False) -> DataFrame:
+    """Add ``out`` = N11 parse of ``col``, one step per projection.
+
+    Each step reads the previous step's column, so no large sub-expression is repeated inside another (the
+    optimizer does not collapse projections that would duplicate non-trivial expressions) and the generated
+    code stays within the JVM method size limit.
+    """
+    s = F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")
+    staged = (df.withColumn("_pd_s", s)
+              .withColumn("_pd_local", F.when(F.col("_pd_s").rlike(WITH_OFFSET),
+                                              F.regexp_extract("_pd_s", WITH_OFFSET, 1)).otherwise(F.col("_pd_s")))
+              .withColumn("_pd_off", _offset_minutes(F.regexp_extract("_pd_s", WITH_OFFSET, 2)))
+              .withColumn("_pd_naive", _naive(F.col("_pd_local"), dayfirst)))
+    # ``spark_partition_id() >= 0`` is always true; being non-deterministic it keeps this projection in place,
+    # so a later filter on ``out`` (e.g. "is not null") reads the computed column instead of being pushed
+    # below with copies of the whole parse inlined into it (which overflows the generated-code size limit).
+    barrier = F.spark_partition_id() >= 0
+    return (staged.withColumn(out, F.when(barrier, _shift(F.col("_pd_naive"), F.col("_pd_off"))))
+            .drop("_pd_s", "_pd_local", "_pd_off", "_pd_naive"))
+
+
+def _shift(naive: Column, off_min: Column) -> Column:
+    """Local time minus its UTC offset. NTZ calendar arithmetic (``timestampadd``) involves no zone."""
+    return F.timestamp_add("MINUTE", -off_min, naive)
+
+
+def parse_datetime(col: Column, dayfirst: bool = False) -> Column:
+    """Column form of the same parse, for a single use in a small projection (tests, ad-hoc); pipelines use
+    ``with_parsed_datetime``, which keeps the generated code small."""
+    s = F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")
+    local = F.when(s.rlike(WITH_OFFSET), F.regexp_extract(s, WITH_OFFSET, 1)).otherwise(s)
+    off_min = _offset_minutes(F.regexp_extract(s, WITH_OFFSET, 2))
+    return _shift(_naive(local, dayfirst), off_min)
 
 
 def parse_datetime_py(value, dayfirst: bool = False):

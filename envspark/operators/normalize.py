@@ -12,7 +12,7 @@ from envspark import vocab
 from envspark.functions.text import (clean_unit, is_blank_or_nan, normalize_code, normalize_text,
                                      normalize_text_py, resolve_unit, station_code, to_number,
                                      variable_from_names)
-from envspark.functions.timeparse import parse_datetime
+from envspark.functions.timeparse import with_parsed_datetime
 
 STAGING_COLUMNS = ["station_code", "observed_at", "variable_code", "value", "unit", "source_sheet",
                    "source_row_number", "source_workbook"]
@@ -116,15 +116,16 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
 
     # Datetime column, else date + ' ' + time, else date
     if explicit_dt is not None:
-        ts = parse_datetime(F.col(explicit_dt), dayfirst)
+        ts_text = F.col(explicit_dt)
     elif roles["date"] and roles["time"]:
-        ts = parse_datetime(F.concat_ws(" ", F.col(roles["date"]), F.col(roles["time"])), dayfirst)
+        ts_text = F.concat_ws(" ", F.col(roles["date"]), F.col(roles["time"]))
     elif roles["date"]:
-        ts = parse_datetime(F.col(roles["date"]), dayfirst)
+        ts_text = F.col(roles["date"])
     else:
-        ts = F.lit(None).cast("timestamp_ntz")
+        ts_text = F.lit(None).cast("string")
 
-    base = df.where(~all_blank(cols))
+    base = with_parsed_datetime(df.where(~all_blank(cols)), ts_text, "_ts", dayfirst)
+    ts = F.col("_ts")
     row_no = (F.col("_row") + 2).cast("long")
     meta = {c for c in roles.values() if c is not None} | ({explicit_dt} if explicit_dt else set())
 
@@ -202,10 +203,13 @@ def all_blank(cols: list[str]) -> Column:
 def validation_report(df: DataFrame, types: dict[str, str], dayfirst: bool = False) -> DataFrame:
     """Per column, cells that are present but do not parse as the declared type (float | timestamp)."""
     checks = []
+    for c, t in types.items():
+        if t != "float":
+            df = with_parsed_datetime(df, F.col(c), f"_parsed_{c}", dayfirst)
     for c, t in types.items():
         s = F.col(c).cast("string")
         present = s.isNotNull() & (F.trim(s) != "")
-        bad = present & (to_number(s).isNull() if t == "float" else parse_datetime(s, dayfirst).isNull())
+        bad = present & (to_number(s).isNull() if t == "float" else F.col(f"_parsed_{c}").isNull())
         checks.append(F.struct(F.lit(c).alias("column"), F.lit("Expected " + ("Float" if t == "float" else "Timestamp"))
                                .alias("error"), bad.alias("bad"), s.alias("cell")))
     cells = df.select(F.col("_row"), F.explode(F.array(*checks)).alias("x")).where("x.bad")

@@ -3,7 +3,7 @@
 * ``list_files``      recursive listing with size and suffix, no content read (binaryFile prunes content).
 * ``detect_type``     magic bytes -> suffix for downloads without a usable name (S4).
 * ``format_gate``     accepted / rejected by suffix for automatic or manual mode (S3).
-* ``expand_zip``      archive members as rows; ``mapInPandas`` over one archive per row (S5);
+* ``expand_zip``      archive members as rows, streamed one archive at a time (S5);
                       ``read_zip_members`` parses delimited members straight from those rows.
 * ``read_delimited``  delimited files -> staging rows (S1, S2): delimiter sniffed per file from its header
                       line, latin-1 fallback, BOM removed; files sharing a header are read by one scan.
@@ -16,7 +16,6 @@ import io
 import os
 import uuid
 import zipfile
-from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,28 +61,32 @@ _ZIP_SCHEMA = T.StructType([T.StructField("archive", T.StringType()), T.StructFi
                             T.StructField("content", T.BinaryType())])
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            rows = []
-            with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                for info in zf.infolist():
-                    if info.is_dir():
-                        continue
-                    rows.append((path, info.filename, zf.read(info)))
-            if rows:
-                yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+def expand_zip(spark: SparkSession, root: str) -> DataFrame:
+    """(archive, member, content) for every member of every .zip under root."""
+    z = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip")
+         .load(root).select("path", "content"))
+    return expand_archives(z)
 
 
-def expand_zip(spark: SparkSession, root: str) -> DataFrame:
-    """(archive, member, content) for every member of every .zip under root.
+def _unzip_rows(rows):
+    for row in rows:
+        with zipfile.ZipFile(io.BytesIO(bytes(row["content"]))) as zf:
+            for info in zf.infolist():
+                if not info.is_dir():
+                    yield (row["path"], info.filename, bytearray(zf.read(info)))
+
 
-    Archives are spread one per row; ``maxRecordsPerBatch`` = 1 keeps one archive in a Python worker at a time.
+def expand_archives(archives: DataFrame) -> DataFrame:
+    """(path, content) rows of zip archives -> (archive, member, content).
+
+    Archives are whole files, possibly large, so they are streamed one row at a time through
+    ``mapPartitions`` (the row-at-a-time serializer keeps one archive in the Python worker); an Arrow batch
+    would hold up to ``maxRecordsPerBatch`` archives at once, and changing that setting would slow every
+    other Arrow UDF of the session.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    z = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip")
-         .load(root).select("path", "content"))
-    return z.mapInPandas(_unzip, _ZIP_SCHEMA)
+    spark = archives.sparkSession
+    rdd = archives.select("path", "content").rdd.mapPartitions(_unzip_rows)
+    return spark.createDataFrame(rdd, _ZIP_SCHEMA)
 
 
 def read_zip_members(spark: SparkSession, root: str, dayfirst: bool = False,
@@ -94,7 +97,12 @@ def read_zip_members(spark: SparkSession, root: str, dayfirst: bool = False,
     header; lines are parsed with ``from_csv`` per distinct (header, delimiter) layout and normalised like
     any delimited file. Nothing is written to a machine-local folder.
     """
-    members = expand_zip(spark, root)
+    return parse_members(spark, expand_zip(spark, root), dayfirst, wide_axis)
+
+
+def parse_members(spark: SparkSession, members: DataFrame, dayfirst: bool = False,
+                  wide_axis: str = "station") -> DataFrame:
+    """Delimited archive members (archive, member, content) -> staging rows."""
     as_utf8 = F.col("content").cast("string")
     text = F.when(F.expr("is_valid_utf8(cast(content AS STRING))"), as_utf8).otherwise(
         F.decode(F.col("content"), "ISO-8859-1"))

@@ -16,7 +16,7 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     from envspark.session import get_spark
 
-    s = get_spark("local[4]", app="envspark-tests", shuffle_partitions=8)
+    s = get_spark("local[4]", app="envspark-tests", shuffle_partitions=8, extra={"spark.driver.memory": "4g"})
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="envspark-tests-", dir="/tmp"))
     yield s
