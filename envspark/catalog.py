@@ -1251,7 +1251,7 @@ def stream_latest(spark, d):
     work = STR._work_dir(spark, "stream-latest")
     m = _event_measurements(STR.file_stream(spark, d, "events"))
     target = STR.stream_latest(m, os.path.join(work, "table"), work)
-    return STR.read_current(spark, target).select("station_id", "variable_id", "observed_at", "value", "unit")
+    return STR.read_latest_state(spark, target).select("station_id", "variable_id", "observed_at", "value", "unit")
 
 
 @register("stream_dedup", sql("""

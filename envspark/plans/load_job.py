@@ -15,15 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.operators import load as L
-from envspark.session import checkpoint_dir
+from envspark.session import checkpoint_dir, path_exists
 
 TABLE_COLUMNS = ["station_code", "variable_code", "observed_at", "value", "unit", "source_file_id"]
 
 
-def _table_exists(path: str) -> bool:
-    return os.path.isdir(path) and any(not n.startswith(("_", ".")) for n in os.listdir(path))
-
-
 def load_measurements(spark: SparkSession, batch: DataFrame, table_dir: str,
                       order: str = "load_order") -> dict[str, int]:
     """Upsert ``batch`` (staging rows with a load order) into ``table_dir``; returns the L7 counters."""
@@ -34,7 +30,7 @@ def load_measurements(spark: SparkSession, batch: DataFrame, table_dir: str,
     fresh.write.parquet(stage_in)
     fresh = spark.read.parquet(stage_in)
 
-    if _table_exists(table_dir):
+    if path_exists(spark, table_dir):
         target = spark.read.parquet(table_dir).select(*TABLE_COLUMNS)
         variables = [r[0] for r in fresh.select("variable_code").distinct().collect()]  # a vocabulary
         affected = target.where(F.col("variable_code").isin(variables))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from envspark.functions.timefmt import instant_as_utc_ntz, ntz_as_utc_instant
 from envspark.operators import load as L
-from envspark.session import checkpoint_dir
+from envspark.session import checkpoint_dir, path_exists
 
 
 def _work_dir(spark: SparkSession, name: str) -> str:
@@ -60,11 +60,6 @@ def read_table_dir(spark: SparkSession, target_dir: str) -> DataFrame:
     return spark.read.parquet(target_dir).select(*TABLE_COLUMNS)
 
 
-def read_current(spark: SparkSession, target_dir: str) -> DataFrame:
-    with open(os.path.join(target_dir, "_CURRENT")) as fh:
-        return spark.read.parquet(fh.read().strip())
-
-
 def stream_window(stream: DataFrame, window: str, slide: str | None, group: list[str], watermark: str,
                   work: str, ts: str = "observed_at", value: str = "value") -> str:
     """T-S2: windowed mean / count per group with a watermark for late data.
@@ -101,26 +96,39 @@ def stream_dedup(stream: DataFrame, key: list[str], watermark: str, work: str, t
 
 
 def stream_latest(stream: DataFrame, target_dir: str, work: str) -> str:
-    """T-S4: latest (value, unit, observed_at) per (station_id, variable_id) = Q8 over (state U batch)."""
-    pointer = os.path.join(target_dir, "_CURRENT")
+    """T-S4: latest (value, unit, observed_at) per (station_id, variable_id) = Q8 over (state U batch).
+
+    The state is a Parquet table partitioned by batch id: batch n reads the partition of the newest earlier
+    batch, merges, and writes partition n (a dynamic overwrite, so a replayed batch rewrites the same
+    partition). Readers take the newest partition (``read_latest_state``).
+    """
+    cols = ["station_id", "variable_id", "observed_at", "measurement_id", "value", "unit"]
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        cols = ["station_id", "variable_id", "observed_at", "measurement_id", "value", "unit"]
         rows = batch.select(*cols)
-        if os.path.exists(pointer):
-            with open(pointer) as fh:
-                rows = rows.unionByName(spark.read.parquet(fh.read().strip()).select(*cols))
+        if path_exists(spark, target_dir):
+            state = spark.read.parquet(target_dir)
+            prev = state.where(F.col("batch_id") == state.where(F.col("batch_id") < epoch)
+                               .select(F.max("batch_id")).scalar())
+            rows = rows.unionByName(prev.select(*cols))
         latest = rows.groupBy("station_id", "variable_id").agg(
             F.max_by(F.struct(*cols[2:]), F.struct("observed_at", "measurement_id")).alias("l")).select(
             "station_id", "variable_id", "l.*")
-        version = os.path.join(target_dir, f"v{epoch:08d}")
-        latest.write.mode("overwrite").parquet(version)
-        with open(pointer + ".tmp", "w") as fh:
-            fh.write(version)
-        os.replace(pointer + ".tmp", pointer)
+        prev_mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            (latest.withColumn("batch_id", F.lit(epoch)).write.mode("overwrite").partitionBy("batch_id")
+             .parquet(target_dir))
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev_mode)
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", os.path.join(work, "ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return target_dir
+
+
+def read_latest_state(spark: SparkSession, target_dir: str) -> DataFrame:
+    state = spark.read.parquet(target_dir)
+    return state.where(F.col("batch_id") == state.select(F.max("batch_id")).scalar()).drop("batch_id")
