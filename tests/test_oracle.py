@@ -5,7 +5,7 @@ import pytest
 
 from conftest import SMALL
 import __spark_entry__ as entry
-from tools_check import rows_of
+from tools.check_oracle import rows_of
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]

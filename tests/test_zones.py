@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
-from tools_check import rows_of
+from tools.check_oracle import rows_of
 
 NAMES = ["series_hour", "record_hash", "dedup_last_wins", "stream_window", "contract_weekly", "heatmap"]
 
