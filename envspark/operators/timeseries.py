@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from envspark import vocab
 from envspark.functions.scalar import global_stats
-from envspark.functions.text import round6
 from envspark.functions.timefmt import (bucket_key, day_string, hour_of_day_fraction, weekday_index,
                                         weekday_name)
 

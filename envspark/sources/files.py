@@ -13,11 +13,9 @@
 from __future__ import annotations
 
 import io
-import os
 import uuid
 import zipfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

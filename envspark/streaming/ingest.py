@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.functions.timefmt import instant_as_utc_ntz, ntz_as_utc_instant
-from envspark.operators import load as L
 from envspark.session import checkpoint_dir, path_exists
 
 
