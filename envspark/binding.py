@@ -97,31 +97,36 @@ def _stations_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most N_STATIONS rows by construction (ids are user_id mod 25), hence the broadcast hint: derived from
+    the facts, the planner would otherwise estimate it at the size of the whole events table."""
     b = _stations_base(spark, sf_dir)
-    return b.select("station_id", station_code_of(F.col("station_id")).alias("code"), "name", "latitude",
-                    "longitude", "region", "is_active")
+    return F.broadcast(b.select("station_id", station_code_of(F.col("station_id")).alias("code"), "name",
+                                "latitude", "longitude", "region", "is_active"))
 
 
 def stations_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations whose codes for keys 0..8 name reference stations (input of L9 and of the region lookup)."""
+    """Stations whose codes for keys 0..8 name reference stations (input of L9 and of the region lookup);
+    at most N_STATIONS rows, like ``stations``."""
     b = _stations_base(spark, sf_dir)
     k = F.col("station_id")
     code = _case(k, list(enumerate(REFERENCE_CODES)), None)
     code = F.coalesce(code, station_code_of(k))
-    return b.select("station_id", code.alias("code"),
-                    F.when((k < len(REFERENCE_CODES)) & (k % 2 == 0), code).otherwise(F.col("name")).alias("name"),
-                    "latitude", "longitude", "region", "is_active")
+    return F.broadcast(b.select(
+        "station_id", code.alias("code"),
+        F.when((k < len(REFERENCE_CODES)) & (k % 2 == 0), code).otherwise(F.col("name")).alias("name"),
+        "latitude", "longitude", "region", "is_active"))
 
 
 def variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most five rows by construction (one per event-type mapping), hence the broadcast hint."""
     m = measurements(spark, sf_dir).select("variable_id", "variable_code").distinct()
-    return m.select(
+    return F.broadcast(m.select(
         "variable_id",
         F.col("variable_code").alias("code"),
         F.col("variable_code").alias("display_name"),
         category("variable_code").alias("category"),
         default_unit(F.col("variable_code")).alias("default_unit"),
-    )
+    ))
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
