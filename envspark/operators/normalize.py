@@ -5,7 +5,7 @@ Header work (a handful of column names) happens on the driver; all row work is D
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark import vocab
@@ -61,23 +61,27 @@ def guess_datetime_column(df: DataFrame, candidates: list[str], sample: int = 25
     """N4 (with the R1/R2 fix): among non-numeric columns, the best share of parseable values in the first
     ``sample`` non-null cells; ties keep the earlier column; needs a share of at least 0.5.
 
-    One job: per column, the share is computed over its first non-null cells by row order.
+    One job: cells are unpivoted to (column, row, value) and the first ``sample`` per column are kept with a
+    row_number filter, which Spark runs as a partial top-k before the shuffle (WindowGroupLimit), so no
+    column is ever gathered whole. At most ``sample`` cells per column reach the driver.
     """
     if not candidates:
         return None
-    rn = F.col("_row")
-    aggs = []
-    for c in candidates:
-        s = F.col(c).cast("string")
-        ok = s.isNotNull() & (F.trim(s) != "")
-        aggs.append(F.slice(F.array_sort(F.collect_list(F.when(ok, F.struct(rn.alias("r"), s.alias("v"))))), 1, sample)
-                    .alias(c))
-    got = df.agg(*aggs).first()
-    best, best_score = None, 0.0
+    cells = df.select(F.col("_file") if "_file" in df.columns else F.lit("").alias("_file"), "_row",
+                      F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                          for c in candidates])).alias("x"))
+    cells = cells.where(F.col("x.v").isNotNull() & (F.trim(F.col("x.v")) != ""))
+    first = Window.partitionBy("x.c").orderBy("_file", "_row")
+    picked = (cells.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= sample)
+              .select(F.col("x.c").alias("c"), F.col("x.v").alias("v")).collect())
     from envspark.functions.timeparse import parse_datetime_py
 
+    by_col: dict[str, list[str]] = {}
+    for r in picked:
+        by_col.setdefault(r["c"], []).append(r["v"])
+    best, best_score = None, 0.0
     for c in candidates:
-        vals = [x["v"] for x in (got[c] or [])]
+        vals = by_col.get(c, [])
         if not vals:
             continue
         if all(to_float_or_none(v) is not None for v in vals):
