@@ -32,7 +32,8 @@ def load_measurements(spark: SparkSession, batch: DataFrame, table_dir: str,
 
     if path_exists(spark, table_dir):
         target = spark.read.parquet(table_dir).select(*TABLE_COLUMNS)
-        variables = [r[0] for r in fresh.select("variable_code").distinct().collect()]  # a vocabulary
+        # the batch's variable codes (bounded by the variable vocabulary) become a static partition filter
+        variables = [r[0] for r in fresh.select("variable_code").distinct().collect()]
         affected = target.where(F.col("variable_code").isin(variables))
         window = L.prune_target(affected, fresh)
         actions = L.upsert_actions(window, fresh)
