@@ -1473,3 +1473,24 @@ def zip_members(spark, d):
     archives = m.select(line.alias("line")).mapInPandas(_zip_partition, "path string, content binary")
     staged = S.parse_members(spark, S.expand_archives(archives))
     return staged.select("station_code", "observed_at", "variable_code", "value", "unit", "source_sheet")
+
+
+# A19 other aggregate choices: Sum by Day over the last 30 days; Average by Hour over the last 7 days
+
+def _last_days_sql(days: int) -> str:
+    return (f"CAST(observed_at AS DATE) >= greatest((SELECT CAST(max(observed_at) AS DATE) FROM measurements) - {days - 1},"
+            " (SELECT CAST(min(observed_at) AS DATE) FROM measurements))")
+
+
+@register("agg_choice_sum_day_30d", sql(_resample_sql(f"(SELECT * FROM measurements WHERE {_last_days_sql(30)})",
+                                                      SQL_BUCKET["day"], agg="sum"), "measurements"))
+def agg_choice_sum_day_30d(spark, d):
+    m = B.measurements(spark, d)
+    return _resample(Q.apply_preset(m, m, "30d"), "day", agg="sum")
+
+
+@register("agg_choice_avg_hour_7d", sql(_resample_sql(f"(SELECT * FROM measurements WHERE {_last_days_sql(7)})",
+                                                      SQL_BUCKET["hour"], agg="avg"), "measurements"))
+def agg_choice_avg_hour_7d(spark, d):
+    m = B.measurements(spark, d)
+    return _resample(Q.apply_preset(m, m, "7d"), "hour", agg="avg")
