@@ -586,8 +586,9 @@ def pollution_band(spark, d):
 
 
 @register("aqi_band", sql("""
-SELECT station_code, count(*) AS n, count_if(aqi <= 50) AS n_good, count_if(aqi > 50 AND aqi <= 100) AS n_moderate,
-       count_if(aqi > 100) AS n_unhealthy, count_if(aqi > 50) AS n_alerts
+SELECT station_code, count(*) AS n, CAST(count_if(aqi <= 50) AS BIGINT) AS n_good,
+       CAST(count_if(aqi > 50 AND aqi <= 100) AS BIGINT) AS n_moderate, CAST(count_if(aqi > 100) AS BIGINT) AS n_unhealthy,
+       CAST(count_if(aqi > 50) AS BIGINT) AS n_alerts
 FROM (SELECT station_code, strftime(observed_at, '%Y-%m-%d %H:00') AS bucket, avg(value) AS aqi
       FROM measurements WHERE variable_code = 'PM25' GROUP BY 1, 2)
 GROUP BY station_code""", "measurements"))
@@ -608,7 +609,7 @@ def _corr_sql() -> str:
     wide = ", ".join(f"avg(CASE WHEN variable_code = '{v}' THEN value END) AS {v}" for v in E_VARS)
     sel = "\nUNION ALL ".join(
         f"SELECT '{a}' AS var_a, '{b}' AS var_b, {R6(f'corr({a}, {b})')} AS corr, "
-        f"count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM w" for a, b in pairs)
+        f"CAST(count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS BIGINT) AS n FROM w" for a, b in pairs)
     return _sql_with(f"""
 w AS (SELECT station_code, strftime(observed_at, '%Y-%m-%d %H:00') AS bucket, {wide}
       FROM measurements GROUP BY 1, 2)
@@ -991,7 +992,7 @@ def station_enrichment(spark, d):
 
 @register("run_state", sql("""
 SELECT etl_run_id AS run_id, arg_max(status, (downloaded_at, status)) AS status, max(downloaded_at) AS updated_at,
-       min(downloaded_at) AS started_at, count(*) AS n_events, sum(row_count) AS records
+       min(downloaded_at) AS started_at, count(*) AS n_events, CAST(sum(row_count) AS BIGINT) AS records
 FROM source_files GROUP BY etl_run_id""", "source_files"))
 def run_state(spark, d):
     f = B.source_files(spark, d)

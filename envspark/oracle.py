@@ -86,7 +86,7 @@ _cte("etl_runs", """
 SELECT etl_run_id AS id, min(source_type) AS trigger_type,
        CASE WHEN max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) = 1 THEN 'failed' ELSE 'completed' END AS status,
        min(downloaded_at) AS started_at, max(downloaded_at) AS finished_at,
-       count(*) AS archives_processed, sum(row_count) AS records_inserted
+       count(*) AS archives_processed, CAST(sum(row_count) AS BIGINT) AS records_inserted
 FROM source_files GROUP BY etl_run_id""", ("source_files",))
 
 _cte("star", """
