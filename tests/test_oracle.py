@@ -6,6 +6,7 @@ import pytest
 from conftest import SMALL
 import __spark_entry__ as entry
 from tools.check_oracle import rows_of
+from tools.check_types import SPARK_TO_DUCK
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -22,10 +23,15 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
-    got = entry.queries()[name](spark, SMALL).toPandas()
-    want = con.execute(ORACLE[name]).df()
+    sdf = entry.queries()[name](spark, SMALL)
+    got = sdf.toPandas()
+    rel = con.sql(ORACLE[name])
+    want = rel.df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
+    duck_types = dict(zip(rel.columns, map(str, rel.types)))
+    for f in sdf.schema.fields:
+        assert SPARK_TO_DUCK[type(f.dataType).__name__] == duck_types[f.name], (name, f.name)
 
 
 def test_every_query_registered_has_oracle_or_is_declared_rows_only():
