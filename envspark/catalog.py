@@ -1495,3 +1495,30 @@ def agg_choice_sum_day_30d(spark, d):
 def agg_choice_avg_hour_7d(spark, d):
     m = B.measurements(spark, d)
     return _resample(Q.apply_preset(m, m, "7d"), "hour", agg="avg")
+
+
+# Cell validation report over text cells derived from E (a timestamp column and a float column)
+@register("cell_validation", sql(f"""
+SELECT row_number, "column", error, cell FROM (
+  SELECT measurement_id + 2 AS row_number, 'ts' AS "column", 'Expected Timestamp' AS error, ts_text AS cell,
+         TRY_CAST(ts_text AS TIMESTAMP) IS NULL AS bad FROM cells
+  UNION ALL
+  SELECT measurement_id + 2, 'value', 'Expected Float', raw,
+         NOT coalesce(regexp_matches(raw, '{NUMERIC_SQL_RE}') AND TRY_CAST(trim(raw) AS DOUBLE) IS NOT NULL, false) FROM cells)
+WHERE bad AND cell IS NOT NULL AND trim(cell) <> ''""".replace("cells", "(SELECT measurement_id, "
+    "CASE WHEN measurement_id % 50 = 0 THEN 'Invalid Date' ELSE strftime(observed_at, '%Y-%m-%d %H:%M:%S') END AS ts_text, "
+    "CASE measurement_id % 10 WHEN 0 THEN concat(CAST(value AS VARCHAR), 'x') WHEN 1 THEN 'NaN' WHEN 2 THEN '1d' "
+    "WHEN 3 THEN ' 1,5' ELSE CAST(value AS VARCHAR) END AS raw FROM measurements)"), "measurements"))
+def cell_validation(spark, d):
+    from envspark.functions.timefmt import iso_datetime
+    from envspark.operators.normalize import validation_report
+
+    m = B.measurements(spark, d)
+    k = F.col("measurement_id") % 10
+    txt = F.col("value").cast("string")
+    raw = (F.when(k == 0, F.concat(txt, F.lit("x"))).when(k == 1, F.lit("NaN")).when(k == 2, F.lit("1d"))
+           .when(k == 3, F.lit(" 1,5")).otherwise(txt))
+    ts_text = F.when(F.col("measurement_id") % 50 == 0, F.lit("Invalid Date")).otherwise(
+        F.replace(iso_datetime(F.col("observed_at"), False), F.lit("T"), F.lit(" ")))
+    cells = m.select(F.col("measurement_id").alias("_row"), ts_text.alias("ts"), raw.alias("value"))
+    return validation_report(cells, {"ts": "timestamp", "value": "float"})
