@@ -186,10 +186,11 @@ def with_row_index(df: DataFrame, file_col: str = "_file") -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths: list[str], dayfirst: bool = False, wide_axis: str = "station",
-                   skipped: list | None = None) -> DataFrame:
+                   multi_line: bool = False) -> DataFrame:
     """Delimited files -> staging rows (N1-N17), one scan per distinct (header, delimiter, encoding).
 
     The per-file header/delimiter table is small (one row per file) and is collected to plan the scans.
+    ``multi_line`` allows quoted fields spanning lines (each file is then read by one task).
     """
     layouts = sniff(spark, paths).where(F.col("header").isNotNull() & (F.trim("header") != "")).collect()
     groups: dict[tuple, list[str]] = {}
@@ -198,7 +199,8 @@ def read_delimited(spark: SparkSession, paths: list[str], dayfirst: bool = False
     out = None
     for (_header, sep, enc), files in groups.items():
         raw = (spark.read.option("header", "true").option("sep", sep).option("encoding", enc)
-               .option("enforceSchema", "false").option("mode", "PERMISSIVE").csv(files))
+               .option("enforceSchema", "false").option("mode", "PERMISSIVE").option("multiLine", multi_line)
+               .csv(files))
         cols = raw.columns
         clean = [c.lstrip("﻿") for c in cols]
         raw = raw.toDF(*clean).withColumn("_file", F.col("_metadata.file_path"))

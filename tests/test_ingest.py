@@ -120,3 +120,11 @@ def test_numeric_first_column_is_not_the_timestamp(spark, fixture_dir):
     df = S.read_delimited(spark, [p["station_first_numeric.csv"]])
     got = rows(df, "observed_at", "value")
     assert got == [(datetime(2024, 1, 15, 8), 1.0), (datetime(2024, 1, 15, 9), 2.0), (datetime(2024, 1, 15, 11), 4.0)]
+
+
+def test_quoted_field_spanning_lines(spark, tmp_path):
+    p = tmp_path / "multi.csv"
+    p.write_text('estacion,fecha_hora,variable,valor,nota\nBEL,2024-01-15 08:00,PM10,5,"line one\nline two"\n'
+                 'BEL,2024-01-15 09:00,PM10,6,ok\n')
+    df = S.read_delimited(spark, [str(p)], multi_line=True)
+    assert rows(df, "value") == [(5.0,), (6.0,)]
