@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark import vocab
-from envspark.operators.normalize import STAGING_COLUMNS, STAGING_TYPES, normalize_frame
+from envspark.operators.normalize import normalize_frame
+from envspark.schema import STAGING
 
 # Magic numbers.
 RAR_MAGIC = b"Rar!\x1a\x07"
@@ -126,7 +127,7 @@ def parse_members(spark: SparkSession, members: DataFrame, dayfirst: bool = Fals
                                  file_col="_file")
         out = staged if out is None else out.unionByName(staged)
     if out is None:
-        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in zip(STAGING_COLUMNS, STAGING_TYPES)))
+        return spark.createDataFrame([], STAGING)
     return out
 
 
@@ -210,9 +211,7 @@ def read_delimited(spark: SparkSession, paths: list[str], dayfirst: bool = False
                                  file_col="_file")
         out = staged if out is None else out.unionByName(staged)
     if out is None:
-        schema = ", ".join(f"{c} {t}" for c, t in zip(STAGING_COLUMNS, ["string", "timestamp_ntz", "string", "double",
-                                                                         "string", "string", "long", "string"]))
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], STAGING)
     return out
 
 

@@ -128,3 +128,17 @@ def test_quoted_field_spanning_lines(spark, tmp_path):
                  'BEL,2024-01-15 09:00,PM10,6,ok\n')
     df = S.read_delimited(spark, [str(p)], multi_line=True)
     assert rows(df, "value") == [(5.0,), (6.0,)]
+
+
+def test_staging_and_model_schemas(spark, fixture_dir):
+    from envspark import binding as B
+    from envspark.plans.load_job import TABLE_COLUMNS
+    from envspark.schema import MEASUREMENTS, SOURCE_FILES, STAGING, STATIONS, VARIABLES, same_shape
+
+    p, _ = fixture_dir
+    assert same_shape(S.read_delimited(spark, [p["long.csv"]]).schema, STAGING)
+    assert same_shape(S.read_delimited(spark, [p["allnull.csv"]]).schema, STAGING)
+    assert same_shape(B.stations(spark, "/root/testdata/sf0.001").schema, STATIONS)
+    assert same_shape(B.variables(spark, "/root/testdata/sf0.001").schema, VARIABLES)
+    assert same_shape(B.source_files(spark, "/root/testdata/sf0.001").schema, SOURCE_FILES)
+    assert [f.name for f in MEASUREMENTS.fields] == TABLE_COLUMNS
