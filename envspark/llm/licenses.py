@@ -31,15 +31,15 @@ ANCHORS, COVERAGE, COMMON = 12, 0.6, 0.125
 # Base phrases with their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-# Notices with their labels and mandatory key phrases.
+# Notices with their labels and mandatory key phrases (of rare words: these are always indexed).
 TEMPLATES = [
     ("mit-notice", "released under the mit license", ["mit license"]),
     ("mit-permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
      "associated documentation files the software to deal in the software without restriction",
-     ["hereby granted free of charge"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
+     ["hereby granted"]),
+    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3",
-     ["gnu general public license version 3"]),
+     ["gnu general public license"]),
     ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
      "general public license as published by the free software foundation", ["gnu general public license"]),
     ("lgpl-notice", "this library is free software you can redistribute it and or modify it under the terms of the gnu "
@@ -47,9 +47,9 @@ TEMPLATES = [
     ("agpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
      "affero general public license as published by the free software foundation", ["gnu affero general public license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that "
-     "the following conditions are met", ["source and binary forms"]),
+     "the following conditions are met", ["binary forms"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
-     "granted", ["without fee is hereby granted"]),
+     "granted", ["without fee"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0",
      ["mozilla public license"]),
     ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license",
