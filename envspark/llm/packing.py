@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from envspark.llm.bpe import PLAIN, TOKENIZER, codec
 from envspark.llm.common import documents, python_texts
 
-CAPACITY, PIECE, WINDOWS, SLACK, CLOSING = 2048, 512, 256, 8, 1
+CAPACITY, PIECE, WINDOWS, SLACK, CLOSING = 2048, 512, 256, 4, 1
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint")
 
@@ -115,9 +115,8 @@ class _Packer:
         for start in range(0, whole, self.capacity):
             self._emit((doc_id, n, start, ids[start:start + self.capacity]), 0)
             self.next += 1
-        cuts = -(-(n - whole) // self.piece)
-        for c in range(cuts):
-            a, b = whole + (n - whole) * c // cuts, whole + (n - whole) * (c + 1) // cuts
+        for a in range(whole, n, self.piece):  # pieces of many lengths even out better than equal shares
+            b = min(n, a + self.piece)
             self.pending.append((doc_id, n, a, ids[a:b].copy()))
             self.waiting += b - a
             if self.waiting >= self.aim:

@@ -43,19 +43,17 @@ def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     line = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate([[0], ends[:-shingle]]).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist())]
-    h = np.array(hashes, "<u8")
-    ones = np.zeros(64, np.int64)
-    for part in range(0, len(h), 1 << 16):  # bounded memory for long texts
-        bits = np.unpackbits(h[part:part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-1]])
+    n = max(1, len(words) - shingle + 1)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    for k in range(0, n, 1 << 16):  # bounded memory for long texts
+        upto = ends[min(shingle, len(words)) - 1:][k:k + (1 << 16)] - 1
+        spans = zip(starts[k:k + len(upto)].tolist(), upto.tolist())
+        h = np.array([digest(line[a:b], SEED) for a, b in spans], "<u8")
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:

@@ -36,7 +36,7 @@ STEMS = (4, 5)
 #: About exp(CHANCE) candidates may get into the lexicon by chance.
 CHANCE = 0.0
 #: Entries of a worker's word table before it starts anew.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 100_000
 
 # Seed words of the lexical transducer.
 INSULT = set("idiot moron stupid scum trash loser worthless pathetic disgusting imbecile dimwit bastard dumb jerk "
