@@ -100,7 +100,7 @@ def test_pipeline_stages_take_effect(spark):
 
 
 def test_pipeline_on_empty_and_awkward_rows(spark):
-    docs = read_table(spark, SMALL, "documents").withColumn("score", read_table(spark, SMALL, "documents").doc_id)
+    docs = read_table(spark, SMALL, "documents").selectExpr("*", "doc_id AS score")
     empty = docs.limit(0)
     odd = spark.createDataFrame([(None, None, None, None, None, None), (5, "", "en", "s", 0, 1), (5, "", "en", "s", 0, 1)], docs.schema)
     for rows in (empty, odd):
