@@ -27,7 +27,8 @@ def dedup_last_wins(batch: DataFrame, order: str = "load_order", key: list[str]
 def dedup_skipped(batch: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Rows replaced by a later row of the same key (each counts as skipped)."""
     key = key or KEY
-    return batch.agg((F.count("*") - F.count_distinct(*key)).alias("skipped"))
+    kept = batch.select(F.struct(*key).alias("key"))  # a struct counts keys that hold a null as well
+    return kept.agg((F.count("*") - F.count_distinct("key")).alias("skipped"))
 
 
 def _value_changed(new, old):
@@ -145,7 +146,7 @@ def replace_by_variable(target: DataFrame, batch: DataFrame, codes: list[str],
     """The listed variables are replaced wholesale by the batch; other variables are untouched.
 
     On partitioned storage this is a dynamic partition overwrite of those ``variable_code`` partitions
-    (``envspark.sources.tables.write_measurements``), staged first, so a failure loses nothing.
+    (``envspark.sources.files.write_measurements``), staged first, so a failure loses nothing.
     """
     from envspark.functions.text import normalize_code_py
 

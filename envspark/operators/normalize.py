@@ -5,12 +5,14 @@ Header work (a handful of column names) happens on the driver; all row work is D
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envspark import vocab
 from envspark.functions.text import (clean_unit, is_blank_or_nan, normalize_code, normalize_text,
-                                     normalize_text_py, resolve_unit, station_code, to_number,
+                                     normalize_text_fast, resolve_unit, station_code, to_number,
                                      variable_from_names)
 from envspark.functions.timeparse import with_parsed_datetime
 
@@ -18,12 +20,6 @@ STAGING_COLUMNS = ["station_code", "observed_at", "variable_code", "value", "uni
                    "source_row_number", "source_workbook"]
 
 
-def drop_all_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Drop rows whose cells are all null or blank."""
-    cols = cols or [c for c in df.columns if not c.startswith("_")]
-    return df.where(~all_blank(cols))
-
-
 def is_blank_or_nan_or_null(c: Column) -> Column:
     s = c.cast("string")
     return s.isNull() | (F.trim(s) == "")
@@ -38,7 +34,7 @@ def resolve_roles(columns: list[str]) -> dict[str, str | None]:
     """Header -> role by synonyms in priority order; later duplicate headers win in the map."""
     cmap: dict[str, str] = {}
     for c in columns:
-        cmap[normalize_text_py(str(c))] = c
+        cmap[normalize_text_fast(str(c))] = c
 
     def first(cands):
         for cand in cands:
@@ -57,64 +53,47 @@ def resolve_roles(columns: list[str]) -> dict[str, str | None]:
     }
 
 
-def guess_datetime_column(df: DataFrame, candidates: list[str], sample: int = 25, dayfirst: bool = False) -> str | None:
-    """N4 (with the R1/R2 fix): among non-numeric columns, the best share of parseable values in the first
-    ``sample`` non-null cells; ties keep the earlier column; needs a share of at least 0.5.
+def guess_datetime_column(df: DataFrame, candidates: list[str], dayfirst: bool = False) -> DataFrame:
+    """N4 (with the R1/R2 fix): (_file, column) of each file's timestamp column.
 
-    One job: cells are unpivoted to (column, row, value) and the first ``sample`` per column are kept with a
-    row_number filter, which Spark runs as a partial top-k before the shuffle (WindowGroupLimit), so no
-    column is ever gathered whole. At most ``sample`` cells per column reach the driver.
+    Over all cells of a file, the best share of values that the reader's own parser takes, of columns that hold anything
+    but numbers; ties keep the earlier column; a share below 0.5 gives none. One aggregation per (file, column), so the
+    cells of one file never decide for another.
     """
-    if not candidates:
-        return None
-    cells = df.select(F.col("_file") if "_file" in df.columns else F.lit("").alias("_file"), "_row",
-                      F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
-                                          for c in candidates])).alias("x"))
-    cells = cells.where(F.col("x.v").isNotNull() & (F.trim(F.col("x.v")) != ""))
-    first = Window.partitionBy("x.c").orderBy("_file", "_row")
-    picked = (cells.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= sample)
-              .select(F.col("x.c").alias("c"), F.col("x.v").alias("v")).collect())
-    from envspark.functions.timeparse import parse_datetime_py
-
-    by_col: dict[str, list[str]] = {}
-    for r in picked:
-        by_col.setdefault(r["c"], []).append(r["v"])
-    best, best_score = None, 0.0
-    for c in candidates:
-        vals = by_col.get(c, [])
-        if not vals:
-            continue
-        if all(to_float_or_none(v) is not None for v in vals):
-            continue  # numeric columns are never the timestamp (R1 / R2 fix)
-        score = sum(parse_datetime_py(v, dayfirst) is not None for v in vals) / len(vals)
-        if score > best_score:
-            best, best_score = c, score
-    return best if best_score >= 0.5 else None
-
-
-def to_float_or_none(v):
-    try:
-        return float(str(v).strip())
-    except ValueError:
-        return None
+    file = F.col("_file") if "_file" in df.columns else F.lit("").alias("_file")
+    cells = df.select(file, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                                for k, c in enumerate(candidates)])).alias("x")).select("_file", "x.*")
+    cells = with_parsed_datetime(cells.where(F.col("v").isNotNull() & (F.trim("v") != "")), F.col("v"), "_ts", dayfirst)
+    shares = cells.groupBy("_file", "k", "c").agg(
+        (F.count("_ts") / F.count("*")).alias("share"), F.max((to_number(F.col("v")).isNull()).cast("int")).alias("text"))
+    return (shares.where((F.col("text") == 1) & (F.col("share") >= 0.5)).groupBy("_file")
+            .agg(F.max_by("c", F.struct("share", -F.col("k"))).alias("column")))
 
 
 def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column, wide_axis: str = "station",
-                    dayfirst: bool = False, file_col: str | None = None) -> DataFrame:
+                    dayfirst: bool = False, file_col: str | None = None, datetime: str | None = None) -> DataFrame:
     """Any header-bearing frame (string cells, ``_row`` = 0-based data row) -> staging rows.
 
     Long layout when both a variable and a value column exist; otherwise wide: every non-metadata column with
     at least one numeric cell holds values, its header naming the station (or the variable when
-    ``wide_axis='variable'``).
+    ``wide_axis='variable'``). ``datetime`` names the timestamp column where no header does.
     """
     cols = [c for c in df.columns if not c.startswith("_")]
     roles = resolve_roles(cols)
-    explicit_dt = roles["datetime"]
-    has_date = roles["date"] is not None
-    if explicit_dt is None and not has_date:
-        explicit_dt = guess_datetime_column(df, [c for c in cols if c not in {roles["station"], roles["variable"],
-                                                                               roles["value"], roles["unit"]}],
-                                            dayfirst=dayfirst)
+    explicit_dt = roles["datetime"] or datetime
+    if explicit_dt is None and roles["date"] is None:
+        used = {roles["station"], roles["variable"], roles["value"], roles["unit"]}
+        candidates = [c for c in cols if c not in used]
+        guessed = guess_datetime_column(df, candidates, dayfirst) if candidates else None
+        names = sorted(r[0] for r in guessed.select("column").distinct().collect()) if candidates else []  # headers
+        if not names:
+            return _empty(df)
+        parts = []
+        for name in names:  # files whose timestamps stand in the same column are read together
+            own = guessed.where(F.col("column") == name).select("_file")
+            rows = df.join(own, "_file", "left_semi") if "_file" in df.columns else df
+            parts.append(normalize_frame(rows, sheet, workbook, wide_axis, dayfirst, file_col, name))
+        return reduce(DataFrame.unionByName, parts)
     sheet_c = F.lit(sheet) if isinstance(sheet, str) else sheet
     book_c = F.lit(workbook) if isinstance(workbook, str) else workbook
 

@@ -172,10 +172,15 @@ def station_list(stations: DataFrame) -> DataFrame:
             .orderBy("code"))
 
 
+def checked_limit(limit: int, most: int) -> int:
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be from 1 to {most}")
+    return limit
+
+
 def run_list(runs: DataFrame, limit: int = 20) -> DataFrame:
-    """Q13: newest runs first; limit clamped to 1..200."""
-    n = max(1, min(200, limit))
-    return runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(n)
+    """Q13: newest runs first; a limit outside 1..200 is an error."""
+    return runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(checked_limit(limit, 200))
 
 
 def run_by_id(runs: DataFrame, run_id: str) -> DataFrame:
@@ -196,8 +201,8 @@ def store_metrics(facts: DataFrame, stations: DataFrame, variables: DataFrame, r
 
 def run_preview(facts: DataFrame, stations: DataFrame, variables: DataFrame, files: DataFrame, runs: DataFrame,
                 run_id: str | None = None, limit: int = 100) -> DataFrame:
-    """Q15: facts of one run's files (the newest run if none given), newest first, limit 1..500."""
-    n = max(1, min(500, limit))
+    """Q15: facts of one run's files (the newest run if none given), newest first; a limit outside 1..500 is an error."""
+    n = checked_limit(limit, 500)
     if run_id is None:
         run_id_col = runs.select(F.max_by("id", F.struct("started_at", "id"))).scalar()
     else:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from envspark import vocab
 from envspark.operators.normalize import normalize_frame
 from envspark.schema import STAGING
+from envspark.session import remove_path
 
 # Magic numbers.
 RAR_MAGIC = b"Rar!\x1a\x07"
@@ -108,8 +109,10 @@ def parse_members(spark: SparkSession, members: DataFrame, dayfirst: bool = Fals
     lines = (members.select(F.concat_ws("!", "archive", "member").alias("_file"),
                             F.regexp_extract("member", r"([^/]+)$", 1).alias("_name"),
                             F.posexplode(F.split(text, "\r?\n")).alias("_pos", "line")))
-    header = (lines.where(F.col("_pos") == 0)
-              .select("_file", F.regexp_replace("line", "^\ufeff", "").alias("header")))
+    head = F.regexp_replace("line", "^\ufeff", "")  # the first line that is not blank
+    header = (lines.where(F.trim(head) != "").groupBy("_file")
+              .agg(F.min(F.struct("_pos", head.alias("header"))).alias("h"))
+              .select("_file", F.col("h._pos").alias("_head"), F.col("h.header").alias("header")))
     header = header.withColumn("sep", _best_delimiter(F.col("header")))
     layouts = header.select("header", "sep").distinct().collect()  # distinct layouts only
     out = None
@@ -118,11 +121,11 @@ def parse_members(spark: SparkSession, members: DataFrame, dayfirst: bool = Fals
             continue
         cols = [c.strip() for c in _split_header(lay["header"], lay["sep"])]
         ddl = ", ".join(f"`c{i}` STRING" for i in range(len(cols)))
-        files = header.where((F.col("header") == lay["header"]) & (F.col("sep") == lay["sep"])).select("_file")
-        body = lines.join(files, "_file", "left_semi").where(F.col("_pos") > 0)
-        parsed = body.select("_file", "_name", (F.col("_pos") - 1).alias("_row"),
+        files = header.where((F.col("header") == lay["header"]) & (F.col("sep") == lay["sep"])).select("_file", "_head")
+        body = lines.join(files, "_file").where(F.col("_pos") > F.col("_head"))
+        parsed = body.select("_file", "_name", (F.col("_pos") - F.col("_head") - 1).alias("_row"),
                              F.from_csv("line", ddl, {"sep": lay["sep"]}).alias("r"))
-        frame = parsed.select("_file", "_name", "_row", *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)])
+        frame = without_na(parsed.select("_file", "_name", "_row", *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)]))
         staged = normalize_frame(frame, F.lit("data"), F.col("_name"), wide_axis=wide_axis, dayfirst=dayfirst,
                                  file_col="_file")
         out = staged if out is None else out.unionByName(staged)
@@ -131,6 +134,13 @@ def parse_members(spark: SparkSession, members: DataFrame, dayfirst: bool = Fals
     return out
 
 
+def without_na(df: DataFrame) -> DataFrame:
+    """Cells that spell a missing value become null."""
+    cell = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*[cell(c) if c.startswith("_") else F.when(~cell(c).isin(*vocab.MISSING), cell(c)).alias(c)
+                       for c in df.columns])
+
+
 def _split_header(header: str, sep: str) -> list[str]:
     import csv
 
@@ -154,14 +164,15 @@ def _best_delimiter(header):
 def sniff(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Per file: header line, delimiter (most frequent of , ; tab | in the header), encoding.
 
-    The header is the first line of the file's first split; latin-1 is chosen when any line of the file is
+    The header is the first line of the file's first split that is not blank; latin-1 is chosen when any line of the file is
     not valid UTF-8. One aggregation over the text of the files.
     """
     txt = (spark.read.option("lineSep", "\n").text(paths)
            .select("value", F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("pos")))
-    first = F.min_by(F.when(F.col("block") == 0, F.col("value")), F.when(F.col("block") == 0, F.col("pos")))
+    candidate = (F.col("block") == 0) & (F.trim(F.regexp_replace("value", "[\ufeff\r]", "")) != "")
+    first = F.min_by(F.when(candidate, F.col("value")), F.when(candidate, F.col("pos")))
     agg = txt.groupBy("file").agg(first.alias("header"),
                                   F.max((~F.expr("is_valid_utf8(value)")).cast("int")).alias("bad_utf8"))
     best = _best_delimiter(F.col("header"))
@@ -204,7 +215,7 @@ def read_delimited(spark: SparkSession, paths: list[str], dayfirst: bool = False
                .csv(files))
         cols = raw.columns
         clean = [c.lstrip("﻿") for c in cols]
-        raw = raw.toDF(*clean).withColumn("_file", F.col("_metadata.file_path"))
+        raw = without_na(raw.toDF(*clean)).withColumn("_file", F.col("_metadata.file_path"))
         raw = with_row_index(raw)
         name = F.regexp_extract(F.col("_file"), r"([^/]+)$", 1)
         staged = normalize_frame(raw, F.lit("data"), name, wide_axis=wide_axis, dayfirst=dayfirst,
@@ -224,8 +235,8 @@ def write_measurements(df: DataFrame, table_dir: str, replace_variables: list[st
     observed_at) so min/max statistics prune time ranges.
 
     The new data go to a staging folder first; only after that job succeeded are the affected partitions
-    swapped in with a dynamic partition overwrite (other variables are untouched). A failed job leaves the
-    table as it was.
+    overwritten (dynamic partition overwrite; other variables are untouched), the partitions of replaced variables without
+    fresh rows removed, and the staged copy deleted. A failure while staging leaves the table as it was.
     """
     spark = df.sparkSession
     stage = table_dir.rstrip("/") + f"__staging_{uuid.uuid4().hex[:8]}"
@@ -240,4 +251,10 @@ def write_measurements(df: DataFrame, table_dir: str, replace_variables: list[st
         staged.write.mode("overwrite").partitionBy("variable_code").parquet(table_dir)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    if replace_variables is not None:
+        fresh = {r[0] for r in staged.select("variable_code").distinct().collect()}  # at most the replaced codes
+        escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for code in sorted(set(replace_variables) - fresh):
+            remove_path(spark, f"{table_dir.rstrip('/')}/variable_code={escape(code)}")
+    remove_path(spark, stage)
     return table_dir

@@ -161,12 +161,12 @@ def station_reference_df(spark: SparkSession) -> DataFrame:
 
 def station_alias_tokens() -> list[tuple[int, str]]:
     """(ref_order, token) pairs: every alias and the name, normalised and without underscores."""
-    from envspark.functions.text import normalize_text_py
+    from envspark.functions.text import normalize_text_fast
 
     out = []
     for i, (name, _lat, _lon, _region, aliases) in enumerate(STATION_REFERENCES):
-        tokens = {normalize_text_py(a).replace("_", "") for a in aliases}
-        tokens.add(normalize_text_py(name).replace("_", ""))
+        tokens = {normalize_text_fast(a).replace("_", "") for a in aliases}
+        tokens.add(normalize_text_fast(name).replace("_", ""))
         out.extend((i, t) for t in sorted(tokens) if t)
     return out
 
@@ -175,3 +175,8 @@ def station_alias_df(spark: SparkSession) -> DataFrame:
     schema = T.StructType([T.StructField("ref_order", T.IntegerType(), False),
                            T.StructField("token", T.StringType(), False)])
     return spark.createDataFrame(station_alias_tokens(), schema)
+
+
+# Cells that spell a missing value.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+           "NaN", "None", "n/a", "nan", "null")

@@ -5,12 +5,13 @@ import pytest
 
 from conftest import SMALL
 import __spark_entry__ as entry
+from envspark import catalog
 from tools.check_oracle import rows_of
 from tools.check_types import SPARK_TO_DUCK
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
-ORACLE = entry.oracle_sql()
+QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE  # the corpus operators have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
-    sdf = entry.queries()[name](spark, SMALL)
+    sdf = QUERIES[name](spark, SMALL)
     got = sdf.toPandas()
     rel = con.sql(ORACLE[name])
     want = rel.df()
@@ -35,7 +36,7 @@ def test_matches_oracle(spark, con, name):
 
 
 def test_every_query_registered_has_oracle_or_is_declared_rows_only():
-    rows_only = set(entry.queries()) - set(ORACLE)
+    rows_only = set(QUERIES) - set(ORACLE)
     assert rows_only == {"forest_importance"}
 
 
