@@ -3,13 +3,13 @@
 Components become integers floor(256 x). Rows are packed into blocks of ``BLOCK`` vectors and the queries into blocks of
 ``QUERIES``; every block of queries meets every block of rows once (a stated query set against all rows, in blocks).
 
-In a block, each dimension's postings are sorted by value. Taking a dimension's least (for a negative query component its
-greatest) value as zero, every posting adds a contribution of 0 or more, its impact; impacts are quantised into ``LEVELS``
-levels a dimension, and a (dimension, level) is a segment. A query processes segments by descending highest impact and
-adds their exact contributions to accumulators. At any time a row's score lies between its accumulator and the
-accumulator plus what the unread part of each dimension can add at most. Reading stops only when that proves all but a
-small set to be below the k-th best accumulator (ties stay in the set); the set's scores are then computed exactly from
-the vectors, so the result is that of brute force. Without proof all segments are read.
+In a block, a posting is a row's component as its deviation from the dimension's median, and its impact the deviation's
+size, quantised into ``LEVELS`` levels of the dimension's largest. A segment holds the postings of one level. The queries
+of a block read the segments together, by descending impact, and add each posting times the query's component to their
+accumulators. What a query has not read changes a score by at most the sum, over the dimensions, of its component's size
+times the largest impact below the level, so every score lies within that of its accumulator. A query stops reading only
+when this proves all but a small set of rows to be below the k-th best (ties stay in the set); the set's scores are then
+computed exactly from the vectors, so the result is that of brute force. Without proof all segments are read.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows with a null vec_id, take no part.
 Identical rows (id and vector) count once; a vec_id with different vectors is a query and a candidate with each; a
@@ -31,9 +31,9 @@ from envspark.llm.common import write_shared
 from envspark.session import read_table
 
 K, EVERY, SCALE = 5, 50, 256
-BLOCK, QUERIES, LEVELS = 8192, 512, 16
-#: Segments read between two tests of the stopping rule; the set to rescore must be at most this part of a block.
-STEP, RESCORE = 64, 16
+BLOCK, QUERIES, LEVELS = 8192, 256, 8
+#: A query stops when the set to rescore is proven to be at most 1 / RESCORE of the block.
+RESCORE = 16
 
 
 def integer_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -72,93 +72,80 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
 
 
 class Index:
-    """The impact-ordered postings of one block."""
+    """The impact-ordered segments of one block."""
 
-    def __init__(self, matrix: np.ndarray):
-        self.matrix = matrix
+    def __init__(self, matrix: np.ndarray, ids: np.ndarray):
+        self.matrix, self.ids = matrix, ids
         n, dims = matrix.shape
-        self.low, self.high = matrix.min(0), matrix.max(0)
-        self.order = np.argsort(matrix, axis=0, kind="stable").T.astype(np.int32)  # by dimension, ascending value
-        self.value = np.take_along_axis(matrix.T, self.order, 1)
-        width = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
-        steps = np.arange(1, LEVELS)
-        # places where a level starts, counted from the least value up and from the greatest down
-        self.up = np.array([np.searchsorted(self.value[d], self.low[d] + width[d] * steps) for d in range(dims)])
-        self.down = np.array([np.searchsorted(self.value[d], self.high[d] - width[d] * steps, "right") for d in range(dims)])
-
-    def segments(self, q: np.ndarray) -> tuple[np.ndarray, ...]:
-        """dimension, from, to (places in the dimension's order), highest impact and rest after it, by falling impact."""
-        n, dims = self.matrix.shape
-        out = []
-        for d in np.flatnonzero(q).tolist():
-            if q[d] > 0:
-                cuts = np.unique(np.concatenate([[0], self.up[d], [n]]))
-                a, b = cuts[:-1], cuts[1:]
-                best = (self.value[d][b - 1] - self.low[d]) * q[d]
-                order = slice(None, None, -1)
-            else:
-                cuts = np.unique(np.concatenate([[0], self.down[d], [n]]))
-                a, b = cuts[:-1], cuts[1:]
-                best = (self.value[d][a] - self.high[d]) * q[d]
-                order = slice(None)
-            a, b, best = a[order], b[order], best[order]
-            out.append((np.full(len(a), d), a, b, best, np.append(best[1:], 0)))
-        d, a, b, best, rest = (np.concatenate(x) for x in zip(*out))
-        order = np.argsort(-best, kind="stable")
-        return d[order], a[order], b[order], best[order], rest[order]
-
-    def top(self, q: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, vec_id) of the block, but for the query's own vec_id."""
-        others = np.flatnonzero(ids != own)
-        if not len(others):
-            return []
-        reach = sum(abs(int(x)) * max(abs(int(lo)), abs(int(hi)), int(hi) - int(lo))
-                    for x, lo, hi in zip(q, self.low, self.high))
-        if reach >= 1 << 53:
-            scores = self.matrix[others].astype(object) @ q.astype(object)
-            return sorted(((int(s), int(i)) for s, i in zip(scores, ids[others])), key=lambda x: (-x[0], x[1]))[:k]
-        possible = self._possible(q, others, k) if q.any() and len(others) > k else others
-        scores, own_ids = self.matrix[possible] @ q, ids[possible]
-        best = np.lexsort((own_ids, -scores))[:k]
-        return list(zip(scores[best].tolist(), own_ids[best].tolist()))
-
-    def _possible(self, q: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
-        n = len(self.matrix)
-        d, a, b, best, rest = self.segments(q)
-        unread = np.zeros(len(q), np.int64)
-        first = np.unique(d, return_index=True)
-        unread[first[0]] = best[first[1]]  # the highest impact of each dimension
-        zero = np.where(q > 0, self.low, self.high)
-        gain = np.zeros(n)
-        for s in range(0, len(d), STEP):
-            part = range(s, min(s + STEP, len(d)))
-            rows = np.concatenate([self.order[d[i], a[i]:b[i]] for i in part])
-            added = np.concatenate([(self.value[d[i], a[i]:b[i]] - zero[d[i]]) * q[d[i]] for i in part])
-            gain += np.bincount(rows, added, n)  # exact: sums stay below 2^53
-            for i in part:
-                unread[d[i]] = rest[i]
-            known = gain[others]
-            bar = np.partition(known, len(known) - k)[len(known) - k]
-            possible = others[known + unread.sum() >= bar]
-            if len(possible) * RESCORE <= n or s + STEP >= len(d):
-                return possible
-        return others
+        centre = np.sort(matrix, axis=0)[n // 2]
+        deviation = matrix - centre
+        size = np.abs(deviation)
+        self.peak = size.max(0)
+        self.largest = np.abs(matrix).max(0)
+        level = np.array([[int(x) * LEVELS // (int(p) + 1) for x, p in zip(r, self.peak)] for r in size]) if self._wide() else (
+            size * LEVELS // (self.peak + 1))
+        self.segments = []  # postings of a level (0 elsewhere), and the largest impact of each dimension below it
+        for at in range(LEVELS - 1, -1, -1):
+            here = level == at
+            if here.any():
+                self.segments.append((np.where(here, deviation, 0).astype(float), np.where(level < at, size, 0).max(0)))
+
+    def _wide(self) -> bool:
+        return bool(len(self.peak)) and int(self.peak.max()) >= 1 << 58
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(query's place, its k best (score, vec_id) of the block without the query's own vec_id)."""
+        reach = [sum(abs(int(x)) * (int(p) + int(m)) for x, p, m in zip(q, self.peak, self.largest)) for q in queries]
+        fits = np.array([r < 1 << 53 for r in reach])
+        for j in np.flatnonzero(~fits).tolist():
+            rows = np.flatnonzero(self.ids != own[j])
+            scores = self.matrix[rows].astype(object) @ queries[j].astype(object) if len(rows) else []
+            yield j, sorted(((int(s), int(i)) for s, i in zip(scores, self.ids[rows])), key=lambda x: (-x[0], x[1]))[:k]
+        reading = np.flatnonzero(fits)
+        known = np.zeros((len(queries), len(self.ids)))  # exact: sums stay below 2^53
+        segments = self.segments or [(np.zeros(self.matrix.shape), np.zeros(self.matrix.shape[1], np.int64))]
+        for place, (postings, below) in enumerate(segments):
+            if not len(reading):
+                return
+            known[reading] += queries[reading].astype(float) @ postings.T
+            unread = np.abs(queries[reading]) @ below
+            last, left = place == len(segments) - 1, []
+            # a row at the mean cannot be ruled out yet: no need to look at each row
+            early = 2 * unread >= known[reading].max(1) - known[reading].mean(1)
+            for j, rest, wait in zip(reading.tolist(), unread.tolist(), early.tolist()):
+                if wait and not last:
+                    left.append(j)
+                    continue
+                others = self.ids != own[j]
+                value = known[j][others]
+                if len(value) <= k:
+                    possible = np.flatnonzero(others)
+                else:
+                    bar = np.partition(value, len(value) - k)[len(value) - k] - rest
+                    possible = np.flatnonzero(others & (known[j] + rest >= bar))
+                if len(possible) * RESCORE > len(self.ids) and not last:
+                    left.append(j)
+                    continue
+                scores, ids = self.matrix[possible] @ queries[j], self.ids[possible]
+                best = np.lexsort((ids, -scores))[:k]
+                yield j, list(zip(scores[best].tolist(), ids[best].tolist()))
+            reading = np.array(left, np.int64)
 
 
 def _search(k: int):
     schema = pa.schema([("asked", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, index, ids = None, None, None
+        at, index = None, None
         for batch in batches:
-            for block, dims, own, matrix, asked, q_ids, q_matrix in zip(*[c.to_pylist() for c in batch.columns]):
+            for block, dims, ids, matrix, asked, q_ids, q_matrix in zip(*[c.to_pylist() for c in batch.columns]):
                 if block != at:
-                    ids = np.frombuffer(own, np.int64)
-                    at, index = block, Index(np.frombuffer(matrix, np.int64).reshape(len(ids), dims))
-                queries = np.frombuffer(q_ids, np.int64)
-                vectors = np.frombuffer(q_matrix, np.int64).reshape(len(queries), dims)
-                found = [(asked * QUERIES + i, int(x), vec_id, score) for i, (x, v) in enumerate(zip(queries, vectors))
-                         for score, vec_id in index.top(v, ids, int(x), k)]
+                    ids = np.frombuffer(ids, np.int64)
+                    at, index = block, Index(np.frombuffer(matrix, np.int64).reshape(len(ids), dims), ids)
+                own = np.frombuffer(q_ids, np.int64)
+                vectors = np.frombuffer(q_matrix, np.int64).reshape(len(own), dims)
+                found = [(asked * QUERIES + j, int(own[j]), vec_id, score) for j, best in index.top(vectors, own, k)
+                         for score, vec_id in best]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
 
