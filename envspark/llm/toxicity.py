@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm.common import documents, labels, python_texts
+from envspark.llm.common import documents, labels, python_texts, write_shared
 
 TRAIN_DOCS, CUT, HELD_OUT, FOLDS = 20_000, 0.3, 2, 4
 STEMS = (4, 5)
@@ -155,7 +155,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, marks: DataFrame, text: str, limit: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``limit`` labelled documents that are not held out."""
+    """(doc_id, text, toxic) of at most ``limit`` labelled documents that are not held out, read from all documents once."""
     usable = marks.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -164,7 +164,10 @@ def training_rows(docs: DataFrame, marks: DataFrame, text: str, limit: int) -> D
     long = F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}{9,}"), F.lit(0)), lambda w: F.xxhash64(w))
     keyed = rows.withColumns({"lo": F.coalesce(F.array_min(long), F.xxhash64("text")),
                               "hi": F.coalesce(F.array_max(long), F.xxhash64("text"))})
-    return keyed.dropDuplicates(["lo", "toxic"]).dropDuplicates(["hi", "toxic"]).drop("lo", "hi")
+    first = lambda df, key: df.groupBy(key, "toxic").agg(  # noqa: E731  the same rows in every run
+        F.min_by(F.struct(*[c for c in df.columns if c not in (key, "toxic")]),
+                 F.struct(F.xxhash64("doc_id", "text"), "doc_id")).alias("r")).select(key, "toxic", "r.*")
+    return write_shared(first(first(keyed, "lo"), "hi").select("doc_id", "text", "toxic"), "toxicity-training")
 
 
 def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
