@@ -1,7 +1,7 @@
 """Keyed load of measurements (L1-L9): last-wins dedup, upsert classification, dimensions, deletes, ledger.
 
-Everything is a pure DataFrame transform; ``envspark.sources.files.write_measurements`` does the writing
-(staged, then swapped), so a failed load never leaves a half-written table.
+Everything is a pure DataFrame transform; ``envspark.plans.load_job`` and ``envspark.sources.files.write_measurements`` do
+the writing, from staged copies.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from envspark.functions.text import category, clean_unit, normalize_text, record
 KEY = ["station_code", "variable_code", "observed_at"]
 
 
-def dedup_last_wins(batch: DataFrame, order: str = "load_order", key: list[str] | None = None) -> DataFrame:
+def dedup_last_wins(batch: DataFrame, order: str = "load_order", key: list[str] | None = None,
+                    count: str | None = None) -> DataFrame:
     """L1: one row per key, the one loaded last. A grouped ``max_by`` (partial aggregation before the
-    shuffle), so a key repeated a million times is reduced map-side, never gathered in one task."""
+    shuffle), so a key repeated a million times is reduced map-side, never gathered in one task.
+    ``count`` names a column for the number of rows of the key."""
     key = key or KEY
     rest = [c for c in batch.columns if c not in key]
-    return (batch.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
-            .select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]))
+    counted = [F.count("*").alias(count)] if count else []
+    return (batch.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"), *counted)
+            .select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest], *([count] if count else [])))
 
 
 def dedup_skipped(batch: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -56,19 +59,22 @@ def upsert_actions(target: DataFrame, batch: DataFrame, key: list[str] | None =
     return j.withColumn("action", action).drop("_in_t", "_in_b")
 
 
-def prune_target(target: DataFrame, batch: DataFrame, variable: str = "variable_code",
-                 ts: str = "observed_at") -> DataFrame:
-    """L3: restrict the target to the batch's variables and time window before the upsert join.
+def prune_target(target: DataFrame, touched: list[tuple], variable: str = "variable_code",
+                 month: str = "observed_month") -> DataFrame:
+    """L3: the target's (variable, month) partitions in ``touched``, as a literal filter on the partition columns.
 
-    The bounds are scalar subqueries over the (small) batch, so on a Parquet target partitioned by
-    variable_code they become partition pruning plus row-group min/max pruning at the scan; the upsert join
-    then shuffles only the slice of the target the batch can touch (rows outside it are 'keep' anyway).
+    Only these partitions are listed and read; keys outside them cannot be met by the batch.
     """
-    g = batch.select(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi"))).scalar()
-    lo, hi = g.getField("lo"), g.getField("hi")
-    variables = batch.select(variable).distinct()
-    return (target.where((F.col(ts) >= lo) & (F.col(ts) <= hi))
-            .join(variables, variable, "left_semi"))
+    months: dict = {}
+    for code, start in touched:
+        months.setdefault(code, []).append(start)
+    wanted = F.lit(False)
+    for code, starts in months.items():
+        known = [x for x in starts if x is not None]
+        hit = F.col(month).isin(known) if known else F.lit(False)
+        hit = hit | F.col(month).isNull() if len(known) < len(starts) else hit
+        wanted = wanted | ((F.col(variable).isNull() if code is None else F.col(variable) == code) & hit)
+    return target.where(wanted)
 
 
 def upsert_result(actions: DataFrame, key: list[str] | None = None) -> DataFrame:

@@ -1,9 +1,12 @@
 """E2 as one job: staging batch -> last-wins dedup -> keyed upsert into a Parquet table -> counters.
 
-The target table is partitioned by ``variable_code``. Only the partitions of the batch's variables are read
-(partition pruning), the upsert join sees only the batch's time window of them (row-group pruning), and only
-those partitions are rewritten (dynamic partition overwrite from a staged copy). Other variables are never
-read or touched.
+The target table is partitioned by ``variable_code`` and ``observed_month`` (the first day of the month) and stores
+``observed_date``, a DATE that time filters can prune row groups by, and the record hash. A load reads only the (variable,
+month) partitions that the batch touches and rewrites only those in which a row is new or changed; the others keep their
+files. Partitions are written through a rebalance, so a large one is spread over several tasks and small ones share one.
+
+The deduplicated batch and the classified result are each written once to the shared checkpoint folder and removed at
+the end; a failure before the last step leaves the table as it was, and a repeated load classifies every key as 'skip'.
 """
 
 from __future__ import annotations
@@ -14,46 +17,55 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from envspark.functions.text import record_hash
 from envspark.operators import load as L
-from envspark.session import checkpoint_dir, path_exists
+from envspark.session import checkpoint_dir, path_exists, remove_path
 
 TABLE_COLUMNS = ["station_code", "variable_code", "observed_at", "value", "unit", "source_file_id"]
+PARTITIONS = ["variable_code", "observed_month"]
+
+
+def _month(ts: str = "observed_at"):
+    return F.trunc(F.to_date(ts), "month")
+
+
+def _touched(rows: DataFrame) -> list[tuple]:
+    """The (variable, month) partitions of ``rows``: as many as partition folders, not rows."""
+    return [tuple(r) for r in rows.select(*PARTITIONS).distinct().collect()]
+
+
+def _staged(df: DataFrame, path: str, *partitions: str) -> DataFrame:
+    writer = df.write.partitionBy(*partitions) if partitions else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def load_measurements(spark: SparkSession, batch: DataFrame, table_dir: str,
                       order: str = "load_order") -> dict[str, int]:
     """Upsert ``batch`` (staging rows with a load order) into ``table_dir``; returns the L7 counters."""
-    fresh = L.dedup_last_wins(batch.select(*TABLE_COLUMNS, order), order).drop(order)
-    dedup_skips = L.dedup_skipped(batch).first()["skipped"]
-    # the batch is used several times below: materialise it once in the shared checkpoint folder
-    stage_in = os.path.join(checkpoint_dir(spark), f"batch-{uuid.uuid4().hex[:8]}")
-    fresh.write.parquet(stage_in)
-    fresh = spark.read.parquet(stage_in)
-
-    if path_exists(spark, table_dir):
-        target = spark.read.parquet(table_dir).select(*TABLE_COLUMNS)
-        # the batch's variable codes (bounded by the variable vocabulary) become a static partition filter
-        variables = [r[0] for r in fresh.select("variable_code").distinct().collect()]
-        affected = target.where(F.col("variable_code").isin(variables))
-        window = L.prune_target(affected, fresh)
-        actions = L.upsert_actions(window, fresh)
-        merged = L.upsert_result(actions).drop("record_hash")
-        g = fresh.select(F.struct(F.min("observed_at").alias("lo"), F.max("observed_at").alias("hi"))).scalar()
-        lo, hi = g.getField("lo"), g.getField("hi")
-        outside = affected.where((F.col("observed_at") < lo) | (F.col("observed_at") > hi))
-        result = merged.select(*TABLE_COLUMNS).unionByName(outside)
-    else:
-        actions = L.upsert_actions(fresh.limit(0), fresh)
-        result = fresh
-
-    counters = L.load_counters(actions, dedup_skips)
-    stage_out = os.path.join(checkpoint_dir(spark), f"result-{uuid.uuid4().hex[:8]}")
-    (result.repartition("variable_code").sortWithinPartitions("station_code", "observed_at")
-     .write.partitionBy("variable_code").parquet(stage_out))
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    run = os.path.join(checkpoint_dir(spark), f"load-{uuid.uuid4().hex}")
     try:
-        spark.read.parquet(stage_out).write.mode("overwrite").partitionBy("variable_code").parquet(table_dir)
+        fresh = L.dedup_last_wins(batch.select(*TABLE_COLUMNS, order), order, count="n_rows").drop(order)
+        fresh = _staged(fresh.withColumn("observed_month", _month()), f"{run}-batch")
+        skipped = fresh.agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0))).first()[0]
+        rows = fresh.select(*TABLE_COLUMNS)
+        exists = path_exists(spark, table_dir)
+        if exists:
+            schema = fresh.select(*TABLE_COLUMNS, "observed_month").schema
+            target = L.prune_target(spark.read.schema(schema).parquet(table_dir), _touched(fresh)).select(*TABLE_COLUMNS)
+        else:
+            target = rows.limit(0)
+        merged = L.upsert_result(L.upsert_actions(target, rows).withColumn("observed_month", _month()),
+                                 [*L.KEY, "observed_month", "action"])
+        merged = (merged.withColumns({"record_hash": record_hash("station_code", "variable_code", "observed_at"),
+                                      "observed_date": F.to_date("observed_at")})
+                  .hint("rebalance", *[F.col(c) for c in PARTITIONS]).sortWithinPartitions("station_code", "observed_at"))
+        merged = _staged(merged, f"{run}-result", *PARTITIONS)
+        changed = _touched(merged.where(F.col("action").isin("insert", "update")))
+        if changed or not exists:
+            (L.prune_target(merged, changed).drop("action").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(table_dir))
+        return L.load_counters(merged, skipped)
     finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    return counters
+        remove_path(spark, f"{run}-batch")
+        remove_path(spark, f"{run}-result")

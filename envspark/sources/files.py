@@ -240,17 +240,13 @@ def write_measurements(df: DataFrame, table_dir: str, replace_variables: list[st
     """
     spark = df.sparkSession
     stage = table_dir.rstrip("/") + f"__staging_{uuid.uuid4().hex[:8]}"
-    (df.repartition("variable_code").sortWithinPartitions("station_code", "observed_at")
+    (df.hint("rebalance", F.col("variable_code")).sortWithinPartitions("station_code", "observed_at")
      .write.mode("overwrite").partitionBy("variable_code").parquet(stage))
     staged = spark.read.parquet(stage)
     if replace_variables is not None:
         staged = staged.where(F.col("variable_code").isin(list(replace_variables)))
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        staged.write.mode("overwrite").partitionBy("variable_code").parquet(table_dir)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable_code")
+     .parquet(table_dir))
     if replace_variables is not None:
         fresh = {r[0] for r in staged.select("variable_code").distinct().collect()}  # at most the replaced codes
         escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName

@@ -38,8 +38,8 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1
 def stream_upsert(batches: DataFrame, target_dir: str, work: str) -> str:
     """T-S1: every micro-batch is deduplicated (last load order wins) and upserted into the target table.
 
-    Each batch is one ``load_measurements`` job: only the partitions (variables) and time window the batch
-    touches are read, and only those partitions are rewritten (staged, then swapped). Replaying a batch after
+    Each batch is one ``load_measurements`` job: only the (variable, month) partitions the batch touches are read,
+    and only those it changes are rewritten, from a staged copy. Replaying a batch after
     a failure is a no-op: every key classifies as 'skip'.
     """
     from envspark.plans.load_job import load_measurements

@@ -9,6 +9,7 @@ from conftest import SMALL
 from envspark import binding as B
 from envspark.operators import load as L
 from envspark.plans.load_job import load_measurements
+from envspark.session import checkpoint_dir
 
 
 def test_load_twice_then_update_one_variable(spark):
@@ -31,3 +32,38 @@ def test_load_twice_then_update_one_variable(spark):
     diff = joined.groupBy("variable_code").agg(F.max(F.abs(F.col("value") - F.col("v0") - F.when(
         F.col("variable_code") == "PM25", 1.0).otherwise(0.0))).alias("d")).collect()
     assert all(r.d < 1e-9 for r in diff)
+
+
+def test_small_batch_leaves_other_partitions_and_no_stages(spark):
+    root = tempfile.mkdtemp(prefix="envspark-table-", dir="/tmp")
+    table = os.path.join(root, "measurements")
+    h = B.hourly(spark, SMALL)
+    load_measurements(spark, h, table)
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(table) for f in names if f.endswith(".parquet")}
+
+    before = files()
+    load_measurements(spark, h, table)
+    assert files() == before  # nothing new or changed: no file is rewritten
+
+    one = L.dedup_last_wins(h).orderBy(*L.KEY).limit(1).withColumn("value", F.col("value") + 1)
+    assert load_measurements(spark, one, table) == {"inserted": 0, "updated": 1, "skipped": 0, "row_count": 1}
+    touched = {os.path.dirname(f) for f in before ^ files()}
+    assert len(touched) == 1 and len({os.path.dirname(f) for f in before}) > 1
+    t = spark.read.parquet(table)
+    assert t.where(F.col("observed_date").isNull() | F.col("record_hash").isNull()).count() == 0
+    assert t.where("observed_month <> trunc(observed_date, 'month')").count() == 0
+    stages = [f for f in os.listdir(checkpoint_dir(spark)) if f.startswith("load-")]
+    assert not stages
+
+
+def test_null_keys_and_repeated_rows(spark):
+    table = os.path.join(tempfile.mkdtemp(prefix="envspark-table-", dir="/tmp"), "measurements")
+    schema = "station_code string, variable_code string, observed_at timestamp_ntz, value double, unit string, " \
+             "source_file_id int, load_order int"
+    rows = [("1", "10", None, 1.0, None, 1, 1), ("1", "10", None, 2.0, None, 1, 2)]
+    got = load_measurements(spark, spark.createDataFrame(rows, schema), table)
+    assert got == {"inserted": 1, "updated": 0, "skipped": 1, "row_count": 1}
+    empty = load_measurements(spark, spark.createDataFrame([], schema), table)
+    assert empty["row_count"] == 0 and spark.read.parquet(table).count() == 1
