@@ -1031,18 +1031,24 @@ LINK_VARIABLES = ["pm2.5", "NO2", "o3", "CO"]
 
 
 def _anchors_sql() -> str:
-    ents = "a_text"
-    inner = r"regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '<[^>]*>', ' ', 'g')"
-    for ent, ch in LK.ENTITIES:
-        chq = ch.replace("'", "''")
-        inner = f"replace({inner}, '{ent}', '{chq}')"
-    text = rf"trim(regexp_replace({inner}, '\s+', ' ', 'g'))"
-    href = r"""trim(regexp_extract(a, '(?is)href\s*=\s*"([^"]*)"', 1))"""
+    # an opening tag may hold quoted attributes of both kinds; an href is double-quoted, single-quoted or bare
+    tag = """<a\\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+    href = """(?is)^<a(?:[^>"'']|"[^"]*"|''[^'']*'')*?\\shref\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)"""
+
+    def decoded(x: str) -> str:
+        for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+            x = f"replace({x}, '{ent}', '{ch}')"
+        return x
+
+    text = decoded(f"regexp_replace(regexp_extract(a, '(?is)^{tag}(.*)</a>$', 1), '<[^>]*>', ' ', 'g')")
+    url = decoded(f"""regexp_replace(regexp_extract(a, '{href}', 1), '^["'']|["'']$', '', 'g')""")
     return f"""
-anc AS (SELECT page_id, url AS page_url, CAST(pos - 1 AS INT) AS pos, {href} AS href, {text} AS text
-        FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"[^"]*"[^>]*>.*?</a>')) AS a,
-                     unnest(range(1, len(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"[^"]*"[^>]*>.*?</a>')) + 1)) AS pos
-              FROM pages)),
+anc AS (SELECT page_id, page_url, CAST(pos - 1 AS INT) AS pos, trim({url}) AS href,
+               trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS text
+        FROM (SELECT page_id, page_url, unnest(links) AS a, unnest(range(1, len(links) + 1)) AS pos
+              FROM (SELECT page_id, url AS page_url,
+                           list_filter(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|$)', '', 'g'), '(?is){tag}.*?</a>'),
+                                       lambda x: regexp_matches(x, '{href}')) AS links FROM pages))),
 res AS (SELECT *, regexp_replace(CASE
           WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href
           WHEN starts_with(href, '//') THEN regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1) || ':' || href

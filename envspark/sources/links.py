@@ -19,29 +19,52 @@ from pyspark.sql import types as T
 
 from envspark.functions.text import normalize_code_py, normalize_text_series
 
-ANCHOR_RE = r'(?is)<a\s[^>]*?href\s*=\s*"[^"]*"[^>]*>.*?</a>'
-HREF_RE = r'(?is)href\s*=\s*"([^"]*)"'
-INNER_RE = r"(?is)^<a[^>]*>(.*)</a>$"
+COMMENT_RE = r"(?s)<!--.*?(?:-->|$)"
+ANCHOR_RE = r"""(?is)<a\s(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?</a>"""
+# an href attribute of the opening tag (not data-href): double-quoted, single-quoted or bare
+HREF_RE = r"""(?is)^<a(?:[^>"'\s]++|\s|"[^"]*"|'[^']*')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+INNER_RE = r"""(?is)^<a\s(?:[^>"']++|"[^"]*"|'[^']*')*+>(.*)</a>$"""
 CODE_IN_PARENS_RE = r"\(([a-z0-9\.\-]+)\)"
 
 # HTML entities decoded in anchor text.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def _decoded(c: Column) -> Column:
+    for ent, ch in ENTITIES:
+        c = F.replace(c, F.lit(ent), F.lit(ch))
+    return c
+
+
 def anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, page_url, pos, href, text) for every <a href> in document order."""
+    """(page_id, page_url, pos, href, text) for every <a href> outside comments, in document order."""
+    found = F.regexp_extract_all(F.regexp_replace("html", COMMENT_RE, ""), F.lit(ANCHOR_RE), 0)
     ex = pages.select("page_id", F.col("url").alias("page_url"),
-                      F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(ANCHOR_RE), 0)).alias("pos", "a"))
-    text = F.regexp_replace(F.regexp_extract(F.col("a"), INNER_RE, 1), r"<[^>]*>", " ")
-    for ent, ch in ENTITIES:
-        text = F.replace(text, F.lit(ent), F.lit(ch))
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return ex.select("page_id", "page_url", "pos", F.trim(F.regexp_extract("a", HREF_RE, 1)).alias("href"),
-                     text.alias("text"))
+                      F.posexplode(F.filter(found, lambda a: a.rlike(HREF_RE))).alias("pos", "a"))
+    text = _decoded(F.regexp_replace(F.regexp_extract("a", INNER_RE, 1), r"<[^>]*>", " "))
+    href = F.regexp_replace(F.regexp_extract("a", HREF_RE, 1), """^["']|["']$""", "")
+    return ex.select("page_id", "page_url", "pos", F.trim(_decoded(href)).alias("href"),
+                     F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"))
+
+
+def _without_dots(url: Column) -> Column:
+    """The URL with the "." and ".." segments of its path collapsed; ".." never climbs above the root."""
+    head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"([?#].*)$", 1)
+    path = F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/")  # a dot segment at the end leaves its folder
+
+    def step(done: Column, part: Column) -> Column:
+        return (F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+                .otherwise(F.array_append(done, part)))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    dotted = url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^?#]*/\.\.?([/?#]|$)")
+    return F.when(dotted, F.concat(head, F.lit("/"), F.array_join(parts, "/"), tail)).otherwise(url)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
-    """RFC 3986-style join of href against the page URL (dot segments are not collapsed); fragment removed."""
+    """RFC 3986-style join of href against the page URL, dot segments collapsed; fragment removed."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     authority = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     no_query = F.regexp_replace(base, r"[?#].*$", "")
@@ -53,7 +76,7 @@ def resolve_url(base: Column, href: Column) -> Column:
               .when(href.startswith("?"), F.concat(no_query, href))
               .when(href.startswith("#") | (href == ""), base)
               .otherwise(F.concat(directory, href)))
-    return F.regexp_replace(joined, "#.*$", "")
+    return _without_dots(F.regexp_replace(joined, "#.*$", ""))
 
 
 @F.pandas_udf(T.StringType())
