@@ -8,8 +8,8 @@ linear scorer: shares of character-shape trigrams, hashed into ``DIMS`` places,
 decides: a document below ``CUT`` is rejected.
 
 The pattern counts cover all documents (at most 3^8 patterns reach the driver). The scorer is fitted on the ``FIT_DOCS``
-documents with the smallest hash of their id at most (the documented bound of the fit), in ``FIT_PARTS`` tasks that send one
-DIMS x DIMS matrix each. No given label is read.
+documents with the smallest hash of their id at most (the documented bound of the fit), which are written once to the shared
+folder; each of its file splits sends one DIMS x DIMS matrix to the driver, one after another. No given label is read.
 
 Defined results: null and empty texts, and texts under three characters, have no trigrams; they get the score of the
 intercept and their votes' posterior, and are rejected. Repeated rows count each; ties in the hash order by doc_id. An
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm.common import documents, python_texts
+from envspark.llm.common import documents, python_texts, write_shared
 
-FIT_DOCS, FIT_PARTS, DIMS, CUT, RIDGE = 20_000, 8, 512, 0.5, 1.0
+FIT_DOCS, DIMS, CUT, RIDGE = 20_000, 512, 0.5, 1.0
 GOOD, BAD, NONE = "1", "0", "-"
 
 # Function words of four languages.
@@ -172,8 +172,8 @@ def fit(docs: DataFrame, posteriors: dict[str, float], text: str = "text", limit
 
     gram, target = RIDGE * np.eye(DIMS + 1), np.zeros(DIMS + 1)
     gram[DIMS, DIMS] = 1e-9
-    sample = rows.repartition(FIT_PARTS, F.xxhash64("text")).sortWithinPartitions("text")  # the scan stays parallel
-    for r in sample.mapInArrow(sums, "gram binary, target binary").collect():  # FIT_PARTS rows of 2 MB at most
+    sample = write_shared(rows, "quality-sample")  # one parallel scan of all documents; the sample is a few file splits
+    for r in sample.mapInArrow(sums, "gram binary, target binary").toLocalIterator():  # one matrix at a time
         gram += np.frombuffer(r.gram).reshape(DIMS + 1, DIMS + 1)
         target += np.frombuffer(r.target)
     beta = np.linalg.solve(gram, target)
