@@ -1297,6 +1297,38 @@ def delimited_ingest(spark, d):
     return staged.select("station_code", "observed_at", "variable_code", "value", "unit", "source_sheet")
 
 
+# E2 end to end: the same files through the ingest job, twice; the second run finds every file loaded.
+@register("ingest_job", sql("""
+SELECT r.run, 'completed' AS status, CASE r.run WHEN 1 THEN n_keys ELSE 0 END AS inserted, 0::BIGINT AS updated,
+       CASE r.run WHEN 1 THEN n_rows - n_keys ELSE n_rows END AS skipped, n_keys AS table_rows, n_stations, n_variables
+FROM (VALUES (1), (2)) r(run), (
+  SELECT count(*) AS n_rows, count(DISTINCT (station_code, variable_code, observed_at)) AS n_keys,
+         count(DISTINCT station_code) AS n_stations, count(DISTINCT variable_code) AS n_variables FROM measurements)""",
+                            "measurements"))
+def ingest_job(spark, d):
+    from envspark.functions.timefmt import iso_datetime
+    from envspark.plans import ingest_job as J
+
+    work = STR._work_dir(spark, "ingest")
+    files, store = os.path.join(work, "csv"), os.path.join(work, "store")
+    (B.measurements(spark, d)
+     .select(F.col("station_code").alias("estacion"),
+             F.replace(iso_datetime("observed_at", True), F.lit("T"), F.lit(" ")).alias("fecha_hora"),
+             F.col("variable_code").alias("contaminante"), F.col("value").cast("string").alias("valor"),
+             F.col("unit").alias("unidad"))
+     .write.option("header", "true").option("sep", ";").csv(files))
+    runs = [J.ingest(spark, files, store) for _ in range(2)]
+    table = spark.read.parquet(os.path.join(store, "measurements"))
+    size = table.agg(F.count("*").alias("table_rows"))
+    stations = J.store_table(spark, store, "stations", J.STATIONS)
+    variables = J.store_table(spark, store, "variables", J.VARIABLES)
+    rows = spark.createDataFrame([(k, r["status"], r["inserted"], r["updated"], r["skipped"]) for k, r in enumerate(runs, 1)],
+                                 "run int, status string, inserted bigint, updated bigint, skipped bigint")
+    return rows.select("*", F.lit(size.first()[0]).alias("table_rows"),
+                       F.lit(stations.count()).cast("bigint").alias("n_stations"),
+                       F.lit(variables.count()).cast("bigint").alias("n_variables"))
+
+
 # ---------------------------------------------------------------------------------------------------------
 # Q13 run by id, S8 landing names, N9 variable from sheet / workbook names
 # ---------------------------------------------------------------------------------------------------------

@@ -71,12 +71,14 @@ def guess_datetime_column(df: DataFrame, candidates: list[str], dayfirst: bool =
 
 
 def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column, wide_axis: str = "station",
-                    dayfirst: bool = False, file_col: str | None = None, datetime: str | None = None) -> DataFrame:
+                    dayfirst: bool = False, file_col: str | None = None, datetime: str | None = None,
+                    keep_file: bool = False) -> DataFrame:
     """Any header-bearing frame (string cells, ``_row`` = 0-based data row) -> staging rows.
 
     Long layout when both a variable and a value column exist; otherwise wide: every non-metadata column with
     at least one numeric cell holds values, its header naming the station (or the variable when
-    ``wide_axis='variable'``). ``datetime`` names the timestamp column where no header does.
+    ``wide_axis='variable'``). ``datetime`` names the timestamp column where no header does; ``keep_file``
+    adds ``file_col`` as ``source_path``.
     """
     cols = [c for c in df.columns if not c.startswith("_")]
     roles = resolve_roles(cols)
@@ -87,12 +89,12 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
         guessed = guess_datetime_column(df, candidates, dayfirst) if candidates else None
         names = sorted(r[0] for r in guessed.select("column").distinct().collect()) if candidates else []  # headers
         if not names:
-            return _empty(df)
+            return _empty(df, keep_file)
         parts = []
         for name in names:  # files whose timestamps stand in the same column are read together
             own = guessed.where(F.col("column") == name).select("_file")
             rows = df.join(own, "_file", "left_semi") if "_file" in df.columns else df
-            parts.append(normalize_frame(rows, sheet, workbook, wide_axis, dayfirst, file_col, name))
+            parts.append(normalize_frame(rows, sheet, workbook, wide_axis, dayfirst, file_col, name, keep_file))
         return reduce(DataFrame.unionByName, parts)
     sheet_c = F.lit(sheet) if isinstance(sheet, str) else sheet
     book_c = F.lit(workbook) if isinstance(workbook, str) else workbook
@@ -119,18 +121,19 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
             station_code(roles["station"]).alias("station_code"), ts.alias("observed_at"),
             normalize_code(var_raw).alias("variable_code"), value.alias("value"),
             resolve_unit(roles["unit"], normalize_code(var_raw)).alias("unit"),
-            sheet_c.alias("source_sheet"), row_no.alias("source_row_number"), book_c.alias("source_workbook"))
+            sheet_c.alias("source_sheet"), row_no.alias("source_row_number"), book_c.alias("source_workbook"),
+            *([F.col(file_col).alias("source_path")] if keep_file else []))
         # R4 fix: a missing variable drops the row instead of becoming code 'NAN'
         return out.where(F.col("observed_at").isNotNull() & F.col("value").isNotNull()
                          & ~is_blank_or_nan(var_raw))
 
     candidates = [c for c in cols if c not in meta]
     if not candidates:
-        return _empty(base)
+        return _empty(base, keep_file)
     counts = base.agg(*[F.count(to_number(F.col(c))).alias(c) for c in candidates]).first()
     value_cols = [c for c in candidates if counts[c] > 0]
     if not value_cols:
-        return _empty(base)
+        return _empty(base, keep_file)
 
     # A file's first data row is its units row when its datetime cell mentions 'fecha' and 'unidad'
     fcol = F.col(file_col) if file_col else F.lit("")
@@ -165,14 +168,16 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
     return long.select(station.alias("station_code"), "observed_at", variable.alias("variable_code"),
                        F.col("cell.value").alias("value"), resolve_unit(given_unit, variable).alias("unit"),
                        F.col("_sheet").alias("source_sheet"), "source_row_number",
-                       F.col("_book").alias("source_workbook"))
+                       F.col("_book").alias("source_workbook"),
+                       *([F.col("_ufile").alias("source_path")] if keep_file else []))
 
 
 STAGING_TYPES = ("string", "timestamp_ntz", "string", "double", "string", "string", "long", "string")
 
 
-def _empty(base: DataFrame) -> DataFrame:
-    return base.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in zip(STAGING_COLUMNS, STAGING_TYPES)])
+def _empty(base: DataFrame, keep_file: bool = False) -> DataFrame:
+    named = [*zip(STAGING_COLUMNS, STAGING_TYPES), *([("source_path", "string")] if keep_file else [])]
+    return base.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in named])
 
 
 def all_blank(cols: list[str]) -> Column:

@@ -198,11 +198,12 @@ def with_row_index(df: DataFrame, file_col: str = "_file") -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths: list[str], dayfirst: bool = False, wide_axis: str = "station",
-                   multi_line: bool = False) -> DataFrame:
+                   multi_line: bool = False, keep_file: bool = False) -> DataFrame:
     """Delimited files -> staging rows (N1-N17), one scan per distinct (header, delimiter, encoding).
 
     The per-file header/delimiter table is small (one row per file) and is collected to plan the scans.
-    ``multi_line`` allows quoted fields spanning lines (each file is then read by one task).
+    ``multi_line`` allows quoted fields spanning lines (each file is then read by one task); ``keep_file`` adds the
+    file's path as ``source_path``.
     """
     layouts = sniff(spark, paths).where(F.col("header").isNotNull() & (F.trim("header") != "")).collect()
     groups: dict[tuple, list[str]] = {}
@@ -219,10 +220,11 @@ def read_delimited(spark: SparkSession, paths: list[str], dayfirst: bool = False
         raw = with_row_index(raw)
         name = F.regexp_extract(F.col("_file"), r"([^/]+)$", 1)
         staged = normalize_frame(raw, F.lit("data"), name, wide_axis=wide_axis, dayfirst=dayfirst,
-                                 file_col="_file")
+                                 file_col="_file", keep_file=keep_file)
         out = staged if out is None else out.unionByName(staged)
     if out is None:
-        return spark.createDataFrame([], STAGING)
+        fields = [*STAGING.fields, *([T.StructField("source_path", T.StringType())] if keep_file else [])]
+        return spark.createDataFrame([], T.StructType(fields))
     return out
 
 
