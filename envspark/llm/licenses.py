@@ -1,18 +1,18 @@
 """Operator 2: licence scans through a positional rare-token index. DataFrame functions only.
 
-Template notices and key phrases are indexed as postings word -> (template, position). A word's IDF comes from its
-document frequency over all documents; only words in at most ``COMMON`` of them are indexed (words of key phrases always
-are). For each file the positions of indexed words are kept. Its ``ANCHORS`` highest-IDF licence words are looked up;
-each posting they meet proposes a place of the template (position in the file less position in the template), and the
-postings of all indexed words are intersected at that place. The IDF mass that matches is the place's coverage. A place
-counts when the coverage reaches ``COVERAGE`` and every mandatory key phrase of the template stands, word by word, where
-the template has it. Base phrases are key phrases of their own: all their words must meet at one place.
+Template notices are indexed as postings word -> (template, position). A word's IDF comes from its document frequency
+over all documents; only words in at most ``COMMON`` of them are indexed (the rare words of key phrases always are). The
+``ANCHORS`` highest-IDF licence words of a file are looked up; each posting they meet proposes a place of the template
+(position in the file less position in the template). There the file is compared with all words of the template, common
+ones too. A place counts when the words that agree have ``COVERAGE`` of the template's IDF mass and every mandatory key
+phrase (``MANDATORY``, or the one beside the notice) stands whole where the template has it. Base phrases are key
+phrases of their own: the rarest word proposes, all words must agree.
 
-The table of hits is written once to the shared folder. Postings are a fixed list and so are broadcast; everything else
-is grouped by (file, template, place), so neither a common word nor a long file is gathered in one task.
+All of it is done inside the file's row, so nothing but the document frequencies is shuffled.
 
-``score``: the best coverage of a counted place, at least 0.5 with a base phrase, half the best coverage of a place
-that is not verified, 0 without any. Rounded to 6 decimals.
+``score``: the coverage of the best counted place, at least 0.5 with a base phrase, half the best coverage of a place
+that does not count, 0 without any; here the coverage is the share of the indexed words only, as in ``ORACLE_SQL``, which
+also knows the indexed words of the key phrases only. Rounded to 6 decimals.
 
 Defined results: null and empty texts have no words, no labels ('' in both columns), null first and last word and score
 0. Repeated rows and rows with equal doc_id are scanned each on its own. An empty table gives an empty result.
@@ -20,18 +20,23 @@ Defined results: null and empty texts have no words, no labels ('' in both colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from envspark.llm.common import documents, lower_az, write_shared
+from envspark.llm.common import documents, lower_az
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANCHORS, COVERAGE, COMMON = 12, 0.6, 0.125
+#: A place as a number: unit * SPAN + place + MARGIN (a place may lie before the text, by less than a template's length).
+SHIFT, MARGIN = 32, 64
+SPAN = 1 << SHIFT
 
 # Base phrases with their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-# Notices with their labels and mandatory key phrases (of rare words: these are always indexed).
+# Notices with their labels and the rare words of their key phrases (these are always indexed).
 TEMPLATES = [
     ("mit-notice", "released under the mit license", ["mit license"]),
     ("mit-permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
@@ -60,6 +65,19 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
 
+# The whole key phrases, where the indexed rare words are only a part of them.
+MANDATORY = {
+    "mit-permission": ["hereby granted free of charge"],
+    "apache-2.0": ["apache license version 2 0"],
+    "gpl-3.0": ["gnu general public license version 3"],
+    "bsd": ["source and binary forms"],
+    "isc": ["without fee is hereby granted"],
+}
+
+
+def _first(words: list[str], phrase: list[str]) -> int:
+    return next(i for i in range(len(words)) if words[i:i + len(phrase)] == phrase)
+
 
 def _index() -> tuple[list[tuple], list[tuple], list[str]]:
     """Postings (word, unit, position, is_phrase), needs (template, phrase, position) and the phrases."""
@@ -70,8 +88,7 @@ def _index() -> tuple[list[tuple], list[tuple], list[str]]:
         words = notice.split()
         postings += [(w, label, i, False) for i, w in enumerate(words)]
         for k in keys:
-            n = len(k.split())
-            needs.append((label, k, next(i for i in range(len(words)) if words[i:i + n] == k.split())))
+            needs.append((label, k, _first(words, k.split())))
     return postings, needs, phrases
 
 
@@ -88,64 +105,73 @@ def document_frequencies(words: DataFrame) -> tuple[int, dict[str, int]]:
     return found.pop("", 0), found
 
 
+def _spots(n: int, df: dict[str, int], rare: list[str]) -> tuple[dict[str, list[int]], Column]:
+    """Where a proposing word puts its units, coded word -> unit * SPAN - position, and the literal of all units' words.
+
+    Units are the templates and after them the base phrases. A word is (word, idf of all words and of the indexed ones,
+    each as a share of the unit, mandatory). Every indexed word of a template proposes, of a base phrase its rarest."""
+    units = [(notice.split(), MANDATORY.get(label, keys), rare) for label, notice, keys in TEMPLATES]
+    units += [(k.split(), [k], [min(k.split(), key=lambda w: df.get(w, 0))]) for k, _ in BASE]
+    proposed, rows = {}, []
+    for u, (words, keys, proposers) in enumerate(units):
+        must = {i + j for k in map(str.split, keys) for i in [_first(words, k)] for j in range(len(k))}
+        idf = [math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in words]
+        known = [x if w in rare else 0.0 for w, x in zip(words, idf)]
+        for i, w in enumerate(words):
+            if w in proposers:
+                proposed.setdefault(w, []).append(u * SPAN - i)
+        rows.append(F.array(*(F.struct(F.lit(w).alias("word"), F.lit(i).alias("i"), F.lit(x / sum(idf)).alias("all"),
+                                       F.lit(y / (sum(known) or 1.0)).alias("known"), F.lit(int(i in must)).alias("must"))
+                              for i, (w, x, y) in enumerate(zip(words, idf, known)))))
+    return proposed, F.array(*rows)
+
+
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: counts, places and labels of licence words (see the module's text)."""
-    spark = docs.sparkSession
     words = docs.select("doc_id", F.regexp_extract_all(lower_az(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"))
     n, df = document_frequencies(words)
     rare = [w for w in VOCABULARY if w in PHRASE_WORDS or df.get(w, 0) <= COMMON * n]
-    index = spark.createDataFrame(
-        [(w, u, p, ph) for w, u, p, ph in POSTINGS if w in set(rare)], "word string, unit string, p int, phrase boolean")
-    counts = spark.createDataFrame([(w, df.get(w, 0)) for w in rare], "word string, df bigint")
-    idf = F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1
-    index = index.join(counts, "word").select("word", "unit", "p", "phrase", idf.alias("idf"))
-    index = index.join(index.groupBy("unit").agg(F.sum("idf").alias("mass"), F.count("*").alias("n_unit")), "unit")
-
-    # positions of the indexed words; files without any skip the positions
-    vocabulary = F.array(*map(F.lit, rare))
-    some = F.arrays_overlap("words", vocabulary)
-    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda s: s.word.isin(rare))
+    proposed, units = _spots(n, df, rare)
+    needed = [len({i for k in MANDATORY.get(label, keys) for i in range(_first(notice.split(), k.split()),
+              _first(notice.split(), k.split()) + len(k.split()))}) for label, notice, keys in TEMPLATES]
+    needed = F.array(*map(F.lit, needed + [len(k.split()) for k, _ in BASE]))
+    names = F.array(*(F.lit(label) for label, *_ in TEMPLATES), *(F.lit(label) for _, label in BASE))
+
+    # proposed places, one number each (unit * SPAN + place + MARGIN): distinct by hash, however long the file
+    always = [w for w, x in proposed.items() if any(v > (len(TEMPLATES) - 1) * SPAN for v in x)]  # of base phrases
     ranked = sorted(rare, key=lambda w: (df.get(w, 0), w))  # highest IDF first
     anchors = F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "words"), 1, ANCHORS)
-    hits = write_shared(words.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("bigint").alias("n_words"),
-        F.when(some, anchors).alias("anchors"), F.when(some, at).alias("hits")), "licence-hits")
-
-    met = (hits.where("hits is not null").select("row", "anchors", F.explode("hits").alias("h"))
-           .select("row", F.col("h.word").alias("word"), F.col("h.i").alias("i"),
-                   F.array_contains("anchors", F.col("h.word")).alias("anchor"))
-           .join(F.broadcast(index), "word")
-           .groupBy("row", "unit", "phrase", (F.col("i") - F.col("p")).alias("place"))
-           .agg(F.count("*").alias("n"), F.max("n_unit").alias("n_unit"), F.sum("idf").alias("idf"),
-                F.max("mass").alias("mass"), F.max("anchor").alias("anchor")))
-    met = write_shared(met.where("(phrase and n = n_unit) or (not phrase and anchor)"), "licence-places")
-
-    places = met.where("phrase").select("row", F.col("unit").alias("key"), F.col("place").alias("start"))
-    needs = spark.createDataFrame(NEEDS, "unit string, key string, k int")
-    needed = needs.groupBy("unit").agg(F.count("*").alias("needed"))
-    wanted = met.where("not phrase").select("row", "unit", "place", (F.col("idf") / F.col("mass")).alias("coverage"))
-    full = (wanted.where(F.col("coverage") >= COVERAGE).join(F.broadcast(needs), "unit")
-            .select("row", "unit", "place", "coverage", "key", (F.col("place") + F.col("k")).alias("start"))
-            .join(places, ["row", "key", "start"])
-            .groupBy("row", "unit", "place").agg(F.count("*").alias("n"), F.max("coverage").alias("coverage"))
-            .join(F.broadcast(needed), "unit").where("n = needed"))
-
-    base = spark.createDataFrame(BASE, "key string, label string")
-    none_int, none_text, none_score = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(0.0)
-    facts = (places.join(F.broadcast(base), "key").select("row", "start", "label", "label", F.lit(0.5))
-             .union(full.select("row", none_int, none_text, "unit", "coverage"))
-             .union(wanted.select("row", none_int, none_text, none_text, F.col("coverage") / 2))
-             .toDF("row", "start", "base", "label", "score"))
-    joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")  # noqa: E731  a fixed set of labels
-    found = facts.groupBy("row").agg(
-        F.count("start").alias("n_base"), F.min("start").cast("bigint").alias("first_word"),
-        F.max("start").cast("bigint").alias("last_word"), joined("base").alias("base_labels"),
-        joined("label").alias("labels"), F.max("score").alias("score"))
-    score = F.least(F.lit(1.0), F.floor(F.coalesce("score", none_score) * 1e6 + 0.5) / 1e6)
-    return hits.select("row", "doc_id", "n_words").join(found, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("bigint")).alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
-        score.alias("score"))
+    hits = words.select("doc_id", "words", F.when(F.arrays_overlap("words", F.array(*map(F.lit, rare))), anchors).alias("anchors"))
+    at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("bigint").alias("i"))),
+                  lambda s: s.word.isin(list(proposed)) & (F.array_contains("anchors", s.word) | s.word.isin(always)))
+    spots = F.create_map(*(c for w, x in proposed.items() for c in (F.lit(w), F.array(*(F.lit(v).cast("bigint") for v in x)))))
+    places = F.array_distinct(F.flatten(F.transform(at, lambda s: F.transform(
+        F.coalesce(F.element_at(spots, s.word), F.array().cast("array<bigint>")), lambda v: v + s.i + MARGIN))))
+    met = hits.select("doc_id", "words", F.when(F.col("anchors").isNotNull(), places).alias("places"))
+
+    def compared(code: Column) -> Column:
+        """A place laid against all words of its unit."""
+        unit, place = F.shiftright(code, SHIFT).cast("int"), (code.bitwiseAND(SPAN - 1) - MARGIN).cast("int")
+        same = F.filter(F.get(units, unit), lambda s: F.get("words", place + s.i) == s.word)
+        total = lambda m, f, zero: F.aggregate(m, F.lit(zero), lambda acc, s: acc + s[f])
+        return F.get(F.transform(F.array(same), lambda m: F.struct(
+            unit.alias("unit"), place.alias("place"), total(m, "known", 0.0).alias("known"),
+            ((total(m, "must", 0) == F.get(needed, unit)) & ((unit >= len(TEMPLATES)) | (total(m, "all", 0.0) >= COVERAGE - 1e-12)))
+            .alias("full"))), F.lit(0))
+
+    met = met.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.transform("places", compared).alias("met"))
+    full = F.filter("met", lambda m: m.full)
+    met = met.select("doc_id", "n_words", full.alias("full"), F.filter(full, lambda m: m.unit >= len(TEMPLATES)).alias("base"),
+                     F.array_max(F.transform(F.filter("met", lambda m: m.unit < len(TEMPLATES)),
+                                             lambda m: F.when(m.full, m.known).otherwise(m.known / 2))).alias("best"))
+    joined = lambda c: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: F.get(names, m.unit)))), ","), F.lit(""))
+    starts = F.transform("base", lambda m: m.place.cast("bigint"))
+    n_base = F.greatest(F.coalesce(F.size("base"), F.lit(0)), F.lit(0)).cast("bigint")
+    score = F.greatest(F.coalesce("best", F.lit(0.0)), F.when(n_base > 0, 0.5).otherwise(0.0))
+    return met.select(
+        "doc_id", "n_words", n_base.alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined("base").alias("base_labels"), joined("full").alias("labels"),
+        F.least(F.lit(1.0), F.floor(score * 1e6 + 0.5) / 1e6).alias("score"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,6 +274,26 @@ def test_license_notices(spark):
     assert all(label in found[i] for i, _, label in notices)
 
 
+def test_license_whole_key_phrases(spark):
+    mit = next(n for label, n, _ in licenses.TEMPLATES if label == "mit-permission")
+    cases = [("this work is licensed under the gnu general public license version 2", "gpl-3.0"),
+             ("licensed under the apache license version 1 1", "apache-2.0"),
+             (mit.replace("free of charge", "at no charge"), "mit-permission"),
+             ("redistribution and use in object and binary forms with or without modification are permitted provided that the "
+              "following conditions are met", "bsd"),
+             ("permission to use copy modify and or distribute this software for any purpose with or without fee is always "
+              "granted", "isc")]
+    common = "this is the free source version of a public work and 0 to 3 are in use for or with it by"  # in every filler
+    filler = [(100 + i, f"{common} {i}x") for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + filler, "doc_id bigint, text string")
+    found = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(docs).collect()}
+    assert all(label not in found[i] for i, (_, label) in enumerate(cases))
+    whole = [(i, n) for i, (_, n, _) in enumerate(licenses.TEMPLATES)]
+    docs = spark.createDataFrame(whole + filler, "doc_id bigint, text string")
+    found = {r.doc_id: r.labels.split(",") for r in licenses.license_scan(docs).collect()}
+    assert all(licenses.TEMPLATES[i][0] in found[i] for i, _ in whole)
+
+
 # ---- op3 -----------------------------------------------------------------------------------------------------------
 
 
