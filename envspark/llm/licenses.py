@@ -1,10 +1,10 @@
 """Operator 2: licence scans through a positional rare-token index. DataFrame functions only.
 
 Template notices are indexed as postings word -> (template, position). A word's IDF comes from its document frequency
-over all documents; only words in at most ``COMMON`` of them are indexed (the rare words of key phrases always are). The
-``ANCHORS`` highest-IDF licence words of a file are looked up; each posting they meet proposes a place of the template
-(position in the file less position in the template). There the file is compared with all words of the template, common
-ones too. A place counts when the words that agree have ``COVERAGE`` of the template's IDF mass and every mandatory key
+over all documents; only words in at most ``COMMON`` of them are indexed (the rare words of key phrases always are).
+Wherever an indexed word stands in a file, each of its postings proposes a place of the template (position in the file
+less position in the template), however many licence words the file holds. There the file is compared with all words of
+the template, common ones too. A place counts when the words that agree have ``COVERAGE`` of the template's IDF mass and every mandatory key
 phrase (``MANDATORY``, or the one beside the notice) stands whole where the template has it. Base phrases are key
 phrases of their own: the rarest word proposes, all words must agree.
 
@@ -12,7 +12,7 @@ All of it is done inside the file's row, so nothing but the document frequencies
 
 ``score``: the coverage of the best counted place, at least 0.5 with a base phrase, half the best coverage of a place
 that does not count, 0 without any; here the coverage is the share of the indexed words only, as in ``ORACLE_SQL``, which
-also knows the indexed words of the key phrases only. Rounded to 6 decimals.
+also knows the indexed words of the key phrases only and looks up the ``ANCHORS`` rarest words of a file. Rounded to 6 decimals.
 
 Defined results: null and empty texts have no words, no labels ('' in both columns), null first and last word and score
 0. Repeated rows and rows with equal doc_id are scanned each on its own. An empty table gives an empty result.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from envspark.llm.common import documents, lower_az
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANCHORS, COVERAGE, COMMON = 12, 0.6, 0.125
+COVERAGE, COMMON = 0.6, 0.125
+ANCHORS = 12  # of ORACLE_SQL only
 #: A place as a number: unit * SPAN + place + MARGIN (a place may lie before the text, by less than a template's length).
 SHIFT, MARGIN = 32, 64
 SPAN = 1 << SHIFT
@@ -138,16 +139,13 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     names = F.array(*(F.lit(label) for label, *_ in TEMPLATES), *(F.lit(label) for _, label in BASE))
 
     # proposed places, one number each (unit * SPAN + place + MARGIN): distinct by hash, however long the file
-    always = [w for w, x in proposed.items() if any(v > (len(TEMPLATES) - 1) * SPAN for v in x)]  # of base phrases
-    ranked = sorted(rare, key=lambda w: (df.get(w, 0), w))  # highest IDF first
-    anchors = F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "words"), 1, ANCHORS)
-    hits = words.select("doc_id", "words", F.when(F.arrays_overlap("words", F.array(*map(F.lit, rare))), anchors).alias("anchors"))
+    some = F.arrays_overlap("words", F.array(*map(F.lit, proposed)))
     at = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.cast("bigint").alias("i"))),
-                  lambda s: s.word.isin(list(proposed)) & (F.array_contains("anchors", s.word) | s.word.isin(always)))
+                  lambda s: s.word.isin(list(proposed)))
     spots = F.create_map(*(c for w, x in proposed.items() for c in (F.lit(w), F.array(*(F.lit(v).cast("bigint") for v in x)))))
     places = F.array_distinct(F.flatten(F.transform(at, lambda s: F.transform(
         F.coalesce(F.element_at(spots, s.word), F.array().cast("array<bigint>")), lambda v: v + s.i + MARGIN))))
-    met = hits.select("doc_id", "words", F.when(F.col("anchors").isNotNull(), places).alias("places"))
+    met = words.select("doc_id", "words", F.when(some, places).alias("places"))  # files without any skip the positions
 
     def compared(code: Column) -> Column:
         """A place laid against all words of its unit."""

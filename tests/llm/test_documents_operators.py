@@ -294,6 +294,16 @@ def test_license_whole_key_phrases(spark):
     assert all(licenses.TEMPLATES[i][0] in found[i] for i, _ in whole)
 
 
+def test_license_many_notices_in_a_file(spark):
+    notices = [n for _, n, _ in licenses.TEMPLATES]
+    some = [n for label, n, _ in licenses.TEMPLATES if label in ("mit-permission", "epl", "bsd", "apache-2.0")]
+    docs = spark.createDataFrame([(0, "\n\n".join(notices)), (1, ". ".join(some)), (2, " words ".join(notices) * 300)]
+                                 + [(100 + i, f"plain words {i} mit") for i in range(200)], "doc_id bigint, text string")
+    found = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_scan(docs).collect()}
+    assert found[0] >= {label for label, *_ in licenses.TEMPLATES} and found[2] >= found[0]
+    assert found[1] >= {"mit-permission", "epl", "bsd", "apache-2.0"}
+
+
 # ---- op3 -----------------------------------------------------------------------------------------------------------
 
 
