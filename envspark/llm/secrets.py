@@ -12,7 +12,9 @@ pair of a name and a literal; an expression may join strings and names with ``+`
 were given earlier in the text, so a constant that reaches a sensitive name through others is found where it is written.
 A pair scores name sensitivity (password, secret, token, api key, private key ... ; lower for ``..._file``, ``..._url``
 and the like) times how much its value looks like a secret (length, character classes, entropy; zero for placeholders);
-from ``THRESHOLD`` on the literal's parts are spans.
+from ``THRESHOLD`` on the literal's parts are spans. A literal may have any length and is scored over the whole of it; an
+element set by its quoted key (``config["db_password"] = ...``) has the key as its name. Joined values hold counts and
+spans, not text, so a value that grows by itself (``x = x + x``) takes no more room than its parts.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated results; an empty table an empty one.
 The lexer visits each character a bounded number of times; a worker holds one batch of texts.
@@ -24,6 +26,8 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +37,8 @@ from envspark.llm.common import documents, python_texts
 
 KINDS = ("assign", "access", "hex", "literal")
 THRESHOLD = 0.5
-#: A literal of more characters is no credential: it makes no pair and is not propagated.
-VALUE_CHARS = 4096
+#: Characters kept of each end of a joined value (more than the longest placeholder), and where its counts stop growing.
+EDGE, MOST = 16, 1 << 60
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
@@ -47,11 +51,13 @@ _LEXEME = re.compile(r"""
   | (?P<end>[;,(){}\[\]\n])
   | (?P<bare>[^\s"'`=:+;,(){}\[\]]+)
 """, re.X)
+_INDEXED = re.compile(r"[\x20\t]*(?::=|=>|=(?!=))")
 _LINE = re.compile(r"[^\n]*[=:][^\n]*")
 _VALUE = re.compile(r"[^\s\"'`;,(){}\[\]]+")
 _URL = re.compile(r"://([^\s:/@]+):([^\s:/@]+)@")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|dummy|your[_-]|^x+$|^\*+$|^<.*>$|\$\{|\{\{|%\(|^(none|null|true|false|todo|undefined)$")
+_PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|dummy|your[_-]|\$\{|\{\{|%\(")
+_NOTHING = re.compile(r"(?i)(none|null|true|false|todo|undefined)$")
 
 #: Sensitivity of the words of a name, and of two neighbouring words (fixed parameters of the score).
 _WORD = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 0.9,
@@ -69,24 +75,52 @@ def sensitivity(name: str) -> float:
     return best * (0.3 if words and words[-1] in _HARMLESS else 1.0)
 
 
-def secrecy(value: str) -> float:
+class Value(NamedTuple):
+    """What the score needs of a literal, or of literals joined with ``+``, however long; and where its parts stand.
+
+    ``parts`` is a span, or a pair of the parts of two joined values: shared, never copied."""
+    n: int
+    counts: dict[str, int]
+    head: str
+    tail: str
+    placeholder: bool
+    parts: tuple
+
+
+def literal(text: str, start: int, end: int) -> Value:
+    value = text[start:end]
+    return Value(len(value), Counter(value), value[:EDGE], value[-EDGE:], bool(_PLACEHOLDER.search(value)), (start, end))
+
+
+def joined_values(a: Value, b: Value) -> Value:
+    if not a.n or not b.n:
+        return a if a.n else b
+    counts = dict(a.counts)
+    for c, k in b.counts.items():
+        counts[c] = min(MOST, counts.get(c, 0) + k)
+    return Value(min(MOST, a.n + b.n), counts, (a.head + b.head)[:EDGE], (a.tail + b.tail)[-EDGE:],
+                 a.placeholder or b.placeholder or bool(_PLACEHOLDER.search(a.tail + b.head)), (a.parts, b.parts))
+
+
+def secrecy(value: Value) -> float:
     """How much a literal looks like a secret, 0 to 1."""
-    n = len(value)
-    if n < 6 or _PLACEHOLDER.search(value):
+    n, chars = value.n, value.counts
+    if (n < 6 or value.placeholder or chars.keys() <= {"x", "X"} or chars.keys() == {"*"} or value.head[0] + value.tail[-1] == "<>"
+            or n < EDGE and _NOTHING.match(value.head)):
         return 0.0
-    classes = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value),
-                   any(not c.isalnum() and not c.isspace() for c in value)))
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
+    classes = sum((any(c.islower() for c in chars), any(c.isupper() for c in chars), any(c.isdigit() for c in chars),
+                   any(not c.isalnum() and not c.isspace() for c in chars)))
+    total = sum(chars.values())
+    entropy = -sum(k / total * math.log2(k / total) for k in chars.values())
     score = min(1.0, n / 12) * min(1.0, entropy / 3.0) * (0.5, 0.5, 0.85, 1.0, 1.0)[classes]
-    return score * (0.3 if " " in value else 1.0)
+    return score * (0.3 if " " in chars else 1.0)
 
 
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of its literals) of the assignments of a text, in order."""
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of the assignments of a text, in order."""
     if "=" not in text and ":" not in text:
-        return []
-    found, known = [], {}
-    at = 0
+        return
+    known, at = {}, 0
     while m := _LINE.search(text, at):
         start, end = m.span()
         line = start
@@ -94,29 +128,33 @@ def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
             line, stop = end + 1, text.find("\n", end + 1)
             end = len(text) if stop < 0 else stop
         at = end + 1
-        _statement(text, start, end, known, found)
-        found += [(f"{u.group(1)}.password", u.group(2), [u.span(2)]) for u in _URL.finditer(text, start, end)]
+        yield from _statement(text, start, end, known)
+        for u in _URL.finditer(text, start, end):
+            yield f"{u.group(1)}.password", literal(text, *u.span(2))
         if at > len(text):
             break
-    return found
 
 
-def _statement(text: str, start: int, end: int, known: dict, found: list) -> None:
-    """Lexes one line and adds its pairs; ``known``: name -> (value, spans) given so far."""
-    target, given, joined, value, spans, used = None, False, False, "", [], False
+def _statement(text: str, start: int, end: int, known: dict[str, Value]) -> list[tuple[str, Value]]:
+    """Lexes one line and returns its pairs; ``known``: name -> value given so far."""
+    target, quoted, given, joined, value, used, found = None, False, False, False, None, False, []
 
     def close() -> None:
-        nonlocal target, given, joined, value, spans, used
-        if target and given and value and len(value) <= VALUE_CHARS:
-            spans = list(dict.fromkeys(spans))
-            known[target] = (value, spans)
-            found.append((target, value, spans))
-        target, given, joined, value, spans, used = None, False, False, "", [], False
+        nonlocal target, quoted, given, joined, value, used
+        if target and given and used:
+            if value.n:
+                known[target] = value
+                found.append((target, value))
+            else:
+                known.pop(target, None)
+        target, quoted, given, joined, value, used = None, False, False, False, None, False
 
     at = start
     while m := _LEXEME.search(text, at, end):
         at, kind, lexeme = m.end(), m.lastgroup, m.group()
         if kind == "end":
+            if lexeme == "]" and target and quoted and not given and _INDEXED.match(text, at, end):
+                continue  # config["name"] = ...
             if lexeme != "\n" or not joined:
                 close()
         elif kind == "op":
@@ -134,23 +172,23 @@ def _statement(text: str, start: int, end: int, known: dict, found: list) -> Non
             else:
                 close()
         elif not given:
-            target = lexeme[1:-1] if kind == "string" else lexeme
+            target, quoted = (lexeme[1:-1], True) if kind == "string" else (lexeme, False)
         elif used and not joined and kind != "string":
             nxt = lexeme  # the value has ended: this may be the next target (attributes, several pairs a line)
             close()
             target = nxt
         else:
-            if len(value) > VALUE_CHARS:
-                pass
-            elif kind == "string":
-                value, spans = value + lexeme[1:-1], [*spans, (m.start() + 1, m.end() - 1)]
+            if kind == "string":
+                part = literal(text, m.start() + 1, m.end() - 1)
             elif lexeme in known:
-                value, spans = value + known[lexeme][0], spans + known[lexeme][1]
+                part = known[lexeme]
             else:
                 whole = _VALUE.match(text, m.start(), end)
-                value, spans, at = value + whole.group(), [*spans, whole.span()], max(at, whole.end())
+                part, at = literal(text, *whole.span()), max(at, whole.end())
+            value = joined_values(value, part) if value else part
             used, joined = True, False
     close()
+    return found
 
 
 def scan(text: str) -> list[tuple[int, int, int, int]]:
@@ -159,10 +197,19 @@ def scan(text: str) -> list[tuple[int, int, int, int]]:
     spans |= {(m.start(), 2, m.end(), m.start()) for m in _HEX.finditer(text)}
     if "=" in text or ":" in text:
         spans |= {(m.start(), 0, m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 6}
-        for name, value, parts in pairs(text):
+        seen, kept = set(), []  # joined parts are walked once; kept, so that no id is used again
+        for name, value in pairs(text):
             s = sensitivity(name)
             if s and s * secrecy(value) >= THRESHOLD:
-                spans |= {(a, 3, b, a) for a, b in parts if b > a}
+                todo = [value.parts]
+                while todo:
+                    a, b = part = todo.pop()
+                    if isinstance(a, int):
+                        spans.add((a, 3, b, a))
+                    elif id(part) not in seen:
+                        seen.add(id(part))
+                        kept.append(part)
+                        todo += part
     return sorted(spans)
 
 

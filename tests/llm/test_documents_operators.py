@@ -1,5 +1,6 @@
 """The document operators against plain models, on given tables and on awkward rows."""
 
+import base64
 import hashlib
 import random
 import re
@@ -153,6 +154,23 @@ def test_secret_placeholders_and_propagation_stay_bounded():
     assert len(secrets.scan("x = 'ab12CD34'\n" + "x = x + x\n" * 200 + "secret_value = x")) < 10
 
 
+def test_secrets_of_any_length_and_by_key():
+    long = base64.b64encode(hashlib.sha512(b"key").digest() * 80).decode()
+    for text in (f'private_key = "{long}"', f'a = "{long[:3000]}" + "{long[3000:]}"\nclient_secret = a', f"private_key: {long}\n"):
+        left = secrets.redact(text, secrets.scan(text))
+        assert len(left) < 60 and long[:20] not in left and long[-20:] not in left
+    text = f'a = "Xy12Zw34Qv56"\na = "{long}"\nclient_secret = a'
+    assert [text[a:b] for a, k, b, _ in secrets.scan(text) if k == 3] == [long]
+    text = 'a = "Xy12Zw34Qv56"\na = ""\nclient_secret = a'
+    assert not [s for s in secrets.scan(text) if s[0] < 18]
+    for text in ('config["db_password"] = "Tr0ub4dor&3x9"', "os.environ['API_KEY'] = 'Tr0ub4dor&3x9'", '$c["a"]["secret"]="Tr0ub4dor&3x9";'):
+        assert [text[a:b] for a, k, b, _ in secrets.scan(text) if k == 3] == ["Tr0ub4dor&3x9"]
+    assert not secrets.scan('if config["db_password"] == "Tr0ub4dor&3x9": pass')
+    many = "s = 'aB3'\n" + "".join(f"s = s + 'k{i}'\n" for i in range(5000)) + "client_secret = s\nauth_token = s\n"
+    assert sum(k == 3 for _, k, _, _ in secrets.scan(many)) == 5001
+    assert not secrets.scan('a = "place"\nb = "holder"\nclient_secret = a + b + "1X2y3Z4w"')
+
+
 # ---- op7 -----------------------------------------------------------------------------------------------------------
 
 
