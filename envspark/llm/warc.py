@@ -10,8 +10,10 @@ A response row has record_id, target_uri, warc_date, http_header, payload, paylo
 source_headers (the WARC header lines). ``responses_of_pages`` makes such rows of the table ``pages``. ``warc_text`` gives a
 record's serialised form, ``write_warc`` writes records as WARC text files, ``read_records`` reads them.
 
-Plain text: comments, scripts and styles are dropped, block elements end a line, other tags vanish, character references
-that texts use are decoded, blanks are collapsed. The work is linear in the page; nothing is shuffled.
+Comments, scripts and styles are dropped first. Plain text: block elements end a line, other tags vanish, blanks are
+collapsed. Links: the first href of each anchor, quoted either way or bare. All character references of HTML, named and
+numeric, are decoded once in text, title and links. ``ORACLE_SQL`` knows double-quoted hrefs and the references in
+``ENTITIES`` only, which is all that the given pages hold. The work is linear in the page; nothing is shuffled.
 
 Defined results: a null url or html is empty; an empty page has an empty conversion record; repeated rows give repeated
 records with equal ids; responses of other media types have a metadata record only, whose linked id is null; an empty
@@ -20,6 +22,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import zlib
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +35,7 @@ from envspark.session import read_table
 DATE = "2024-01-01T00:00:00Z"
 EOL = "\r\n"
 
-# Named character references that are decoded; the ampersand comes last.
+# The named character references of ORACLE_SQL; the ampersand comes last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
             ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"),
             ("&hellip;", "…"), ("&laquo;", "«"), ("&raquo;", "»"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
@@ -44,6 +50,15 @@ BLANKS, LINES = r"[ \t\r\f]+", r" ?\n[ \n]*"
 TITLE = r"(?is)<title[^<>]*>(.*?)</title"
 LINK = r'(?i)<a\b[^<>]*\shref\s*=\s*"([^"<>]*)"'
 
+# Anchors by the HTML rules (the first href of any form, other attributes skipped whole), references of names.
+ANCHOR = (r"""(?is)<a(?:[\s/]++(?!href[\s=/>])[^\s=>/"'][^\s=>/]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+"""
+          r"""[\s/]++href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)""")
+NAMES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {"nbsp": " "}  # a no-break space is a blank in plain text
+LEGACY = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))  # these need no semicolon
+SLOTS = 512
+#: What the numbers 128 to 159 stand for in HTML (windows-1252, where it has a character).
+C1 = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)} | {0: "\ufffd", 160: " "}
+
 
 def digest(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
@@ -56,15 +71,53 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def decoded(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+def _character(number: Column) -> Column:
+    """The character of a code point, by the HTML rules."""
+    bad = number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    return F.when(bad, F.lit("\ufffd")).when(number.isin(list(C1)), F.get(F.from_json(F.lit(json.dumps([C1.get(i, "") for i in range(161)])), "array<string>"), number.cast("int"))).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+
+
+def decoded(c: Column, attribute: bool = False) -> Column:
+    """``c`` with all numeric and named character references decoded, each once; ``attribute``: by the rule for attributes."""
+    slots = [{} for _ in range(SLOTS)]
+    for name, chars in (NAMES | {k: html5[k] for k in LEGACY if k not in NAMES}).items():
+        slots[zlib.crc32(name.encode()) % SLOTS][name] = chars
+    table = F.from_json(F.lit(json.dumps(slots)), "array<map<string,string>>")  # a constant: read once
+    legacy = "^(" + "|".join(LEGACY) + ")" + ("(?![=A-Za-z0-9])" if attribute else "")
+    lookup = lambda name: F.element_at(F.get(table, (F.crc32(name.cast("binary")) % SLOTS).cast("int")), name)
+
+    def after(x: Column) -> Column:
+        """What stands after an ampersand."""
+        number = F.regexp_extract(x, "^#([0-9]+|[xX][0-9A-Fa-f]+)", 1)
+        digits = F.regexp_replace(number, "^[xX]?0*", "")
+        number_of = F.concat(F.lit("0"), digits)
+        value = F.when(F.length(digits) < 8, F.when(F.lower(number).startswith("x"), F.conv(number_of, 16, 10)).otherwise(number_of)
+                       .cast("bigint"))
+        numeric = F.concat(_character(value), F.regexp_replace(x, "^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", ""))
+        name = F.regexp_extract(x, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        short = F.regexp_extract(x, legacy, 1)
+        return (F.when(number != "", numeric)
+                .when(lookup(name).isNotNull(), F.concat(lookup(name), F.substr(x, F.length(name) + 2)))
+                .when(short != "", F.concat(lookup(short), F.substr(x, F.length(short) + 1)))
+                .otherwise(F.concat(F.lit("&"), x)))
+
+    return F.array_join(F.transform(F.split(c, "&"), lambda x, i: F.when(i == 0, x).otherwise(after(x))), "")
+
+
+def links_of(visible: Column) -> Column:
+    """The hrefs of the anchors of a page without comments, scripts and styles; no line ends, as in URLs."""
+    bare = lambda x: F.regexp_replace(x, r"""^(?:"(.*)"|'(.*)')$""", "$1$2")
+    return F.transform(F.regexp_extract_all(visible, F.lit(ANCHOR), F.lit(1)), lambda x: F.trim(
+        F.regexp_replace(decoded(bare(F.regexp_replace(x, r"[\t\r\n]", "")), attribute=True), r"[\t\r\n]", "")))
 
 
 def plain_text(html: Column) -> Column:
     """The text of an HTML page."""
-    bare = F.regexp_replace(html, DROPPED, "")
+    return _visible_text(F.regexp_replace(html, DROPPED, ""))
+
+
+def _visible_text(bare: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(bare, BLOCKS, "\n"), TAGS, "")
     return F.trim(F.regexp_replace(F.regexp_replace(decoded(bare), BLANKS, " "), LINES, "\n"), F.lit(" \n"))
 
@@ -95,13 +148,13 @@ def derivatives(responses: DataFrame, *keep: str) -> DataFrame:
     """The derived records of response rows; ``keep``: further columns to carry along."""
     media = F.trim(F.lower(F.regexp_extract("http_header", r"(?i)\r\nContent-Type:[ ]*([^;\r\n]*)", 1)))
     status = F.regexp_extract("http_header", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
-    rows = responses.withColumns({"media": media, "status": status})
+    rows = responses.withColumns({"media": media, "status": status, "visible": F.regexp_replace("payload", DROPPED, "")})
     is_html, is_text = F.col("media").isin("text/html", "application/xhtml+xml"), F.col("media").startswith("text/")
-    title = F.trim(F.regexp_replace(decoded(F.regexp_extract("payload", TITLE, 1)), r"[ \t\r\n\f]+", " "))
+    title = F.trim(F.regexp_replace(decoded(F.regexp_extract("visible", TITLE, 1)), r"[ \t\r\n\f]+", " "))
     rows = rows.withColumns({
-        "text": F.when(is_html, plain_text(F.col("payload"))).when(is_text, F.col("payload")),
+        "text": F.when(is_html, _visible_text(F.col("visible"))).when(is_text, F.col("payload")),
         "title": F.when(is_html, title).otherwise(""),
-        "links": F.when(is_html, F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), decoded))
+        "links": F.when(is_html, links_of(F.col("visible")))
         .otherwise(F.array().cast("array<string>")),
         "metadata_id": record_id(F.lit("metadata"), F.col("record_id")),
         "conversion_id": F.when(is_html | is_text, record_id(F.lit("conversion"), F.col("record_id")))})

@@ -108,3 +108,15 @@ def test_pipeline_on_empty_and_awkward_rows(spark):
             out = stage(spark, rows, SMALL)
             assert out.count() <= max(2 * rows.count(), 0)
             assert name == "packing" or out.columns == rows.columns
+
+
+def test_warc_links_and_references_by_the_html_rules(spark):
+    html = ("<title>Caf&eacute; &#8217;&#x27;</title><!-- <a href=\"no\">x</a> --><script>'<a href=\"no2\">'</script>"
+            "<a href='one'>a</a><A title='2 > 1' data-href=\"no3\" HREF = two>b</A><a class=\"<x>\" href=\"?a=1&amp;b=2&copy=3\">c</a>"
+            "<a href='say \"&#x69;&#10;'>d</a><abbr href='no4'>&amp;lt; &notin; &notit; &copy 2 &#0;&#x110000;&#128;&#128512;&unknown; AT&T</abbr>")
+    page = spark.createDataFrame([(1, "http://a.b/", html)], "page_id bigint, url string, html string")
+    got = {r.record_type: r.content for r in warc.derivatives(warc.responses_of_pages(page), "page_id").collect()}
+    lines = got["metadata"].split("\r\n")
+    assert [x[9:] for x in lines if x.startswith("outlink: ")] == ["one", "two", "?a=1&b=2&copy=3", 'say "i']
+    assert "title: Caf\xe9 \u2019'" in lines
+    assert "&lt; \u2209 \xacit; \xa9 2 \ufffd\ufffd\u20ac\U0001f600&unknown; AT&T" in got["conversion"]
