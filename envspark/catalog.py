@@ -1475,28 +1475,38 @@ def table_sample_etl_runs(spark, d):
     return Q.table_sample(B.etl_runs(spark, d), "etl_runs")
 
 
-# S5 end to end: Spark packs each partition of E (as long-format CSV text) into a zip archive in memory,
-# then the archive rows are expanded and their members parsed — no file is written.
+# S5 end to end: Spark packs each partition of E (as long-format CSV text) into zip archives in memory,
+# then the archive rows are dealt out, expanded and their members parsed — no file is written.
+
+ARCHIVE_LINES = 20_000
 
-def _zip_partition(batches):
-    import io as _io
-    import zipfile as _zip
 
+def _zip_partition(batches):
+    """An archive of one member for every ARCHIVE_LINES lines at most, so neither grows with the partition."""
     import pandas as _pd
 
-    buf, n, lines = _io.BytesIO(), 0, ["estacion;fecha_hora;contaminante;valor;unidad"]
+    lines = []
     for pdf in batches:
         lines.extend(pdf["line"].tolist())
-        n += len(pdf)
-    if n == 0:
-        return
-    with _zip.ZipFile(buf, "w", _zip.ZIP_DEFLATED) as zf:
-        info = _zip.ZipInfo("data/part.csv", date_time=(2024, 1, 1, 0, 0, 0))  # fixed: reproducible bytes
-        zf.writestr(info, "\n".join(lines) + "\n", compress_type=_zip.ZIP_DEFLATED)
+        while len(lines) >= ARCHIVE_LINES:
+            yield _pd.DataFrame([_zip_archive(lines[:ARCHIVE_LINES])])
+            lines = lines[ARCHIVE_LINES:]
+    if lines:
+        yield _pd.DataFrame([_zip_archive(lines)])
+
+
+def _zip_archive(lines):
     import hashlib as _hl
+    import io as _io
+    import zipfile as _zip
 
+    buf = _io.BytesIO()
+    with _zip.ZipFile(buf, "w", _zip.ZIP_DEFLATED) as zf:
+        info = _zip.ZipInfo("data/part.csv", date_time=(2024, 1, 1, 0, 0, 0))  # fixed: reproducible bytes
+        zf.writestr(info, "\n".join(["estacion;fecha_hora;contaminante;valor;unidad", *lines]) + "\n",
+                    compress_type=_zip.ZIP_DEFLATED)
     data = buf.getvalue()  # the name is derived from the content, so a recomputed partition gets the same one
-    yield _pd.DataFrame({"path": [f"archive-{_hl.sha1(data).hexdigest()[:16]}.zip"], "content": [data]})
+    return {"path": f"archive-{_hl.sha1(data).hexdigest()[:16]}.zip", "content": data}
 
 
 @register("zip_members", sql("""
@@ -1510,6 +1520,7 @@ def zip_members(spark, d):
     line = F.concat_ws(";", "station_code", F.replace(iso_datetime("observed_at", True), F.lit("T"), F.lit(" ")),
                        "variable_code", F.col("value").cast("string"), "unit")
     archives = m.select(line.alias("line")).mapInPandas(_zip_partition, "path string, content binary")
+    archives = archives.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # expanded and parsed in parallel
     staged = S.parse_members(spark, S.expand_archives(archives))
     return staged.select("station_code", "observed_at", "variable_code", "value", "unit", "source_sheet")
 

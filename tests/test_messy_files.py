@@ -76,3 +76,19 @@ def test_replace_removes_variables_without_fresh_rows(spark):
 
 def test_checkpoint_folder_is_read_from_the_session(spark):
     assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_zip_partition_packs_bounded_archives():
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from envspark import catalog
+
+    rows = [f"S1;2024-01-01 00:00:00;PM25;{i};u" for i in range(2 * catalog.ARCHIVE_LINES + 5)]
+    batches = (pd.DataFrame({"line": rows[i:i + 7000]}) for i in range(0, len(rows), 7000))
+    archives = [a for pdf in catalog._zip_partition(batches) for a in pdf.itertuples()]
+    members = [zipfile.ZipFile(io.BytesIO(a.content)).read("data/part.csv").decode().splitlines()[1:] for a in archives]
+    assert [x for m in members for x in m] == rows and len({a.path for a in archives}) == 3
+    assert max(map(len, members)) <= catalog.ARCHIVE_LINES
