@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from envspark.llm import bpe, lcp, licenses, packing, quality, secrets, simhash, tokencounts, topk, toxicity, warc
+from envspark.llm import bpe, lcp, lexical, licenses, packing, quality, secrets, simhash, tokencounts, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lcp": lcp.op8_lcp,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
+    "op11_lexical": lexical.op11_lexical,
     "op13_tokencounts": tokencounts.op13_tokencounts,
 }
 
@@ -22,4 +23,5 @@ ORACLE = {
     "op1_warc": warc.ORACLE_SQL,
     "op2_licenses": licenses.ORACLE_SQL,
     "op6_topk": topk.ORACLE_SQL,
+    "op11_lexical": lexical.ORACLE_SQL,
 }
