@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from envspark.llm import bpe, lcp, lexical, licenses, packing, quality, secrets, simhash, tokencounts, topk, toxicity, warc
+from envspark.llm import bpe, lcp, lexical, licenses, packing, quality, secrets, simhash, tokencounts, topk, toxicity, trie, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
     "op11_lexical": lexical.op11_lexical,
+    "op12_trie": trie.op12_trie,
     "op13_tokencounts": tokencounts.op13_tokencounts,
 }
 
@@ -24,4 +25,5 @@ ORACLE = {
     "op2_licenses": licenses.ORACLE_SQL,
     "op6_topk": topk.ORACLE_SQL,
     "op11_lexical": lexical.ORACLE_SQL,
+    "op12_trie": trie.ORACLE_SQL,
 }
