@@ -1324,7 +1324,7 @@ def ingest_job(spark, d):
     variables = J.store_table(spark, store, "variables", J.VARIABLES)
     rows = spark.createDataFrame([(k, r["status"], r["inserted"], r["updated"], r["skipped"]) for k, r in enumerate(runs, 1)],
                                  "run int, status string, inserted bigint, updated bigint, skipped bigint")
-    return rows.select("*", F.lit(size.first()[0]).alias("table_rows"),
+    return rows.select("*", F.lit(size.first()[0]).cast("bigint").alias("table_rows"),
                        F.lit(stations.count()).cast("bigint").alias("n_stations"),
                        F.lit(variables.count()).cast("bigint").alias("n_variables"))
 

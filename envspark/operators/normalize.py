@@ -19,6 +19,14 @@ from envspark.functions.timeparse import with_parsed_datetime
 STAGING_COLUMNS = ["station_code", "observed_at", "variable_code", "value", "unit", "source_sheet",
                    "source_row_number", "source_workbook"]
 
+#: Columns that the readers add to a frame; no header has these names (``files.clean_header``).
+HELPERS = ("_file", "_name", "_row", "_mid", "_pid")
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
 def is_blank_or_nan_or_null(c: Column) -> Column:
     s = c.cast("string")
@@ -61,7 +69,7 @@ def guess_datetime_column(df: DataFrame, candidates: list[str], dayfirst: bool =
     cells of one file never decide for another.
     """
     file = F.col("_file") if "_file" in df.columns else F.lit("").alias("_file")
-    cells = df.select(file, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+    cells = df.select(file, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), quoted(c).cast("string").alias("v"))
                                                 for k, c in enumerate(candidates)])).alias("x")).select("_file", "x.*")
     cells = with_parsed_datetime(cells.where(F.col("v").isNotNull() & (F.trim("v") != "")), F.col("v"), "_ts", dayfirst)
     shares = cells.groupBy("_file", "k", "c").agg(
@@ -72,15 +80,16 @@ def guess_datetime_column(df: DataFrame, candidates: list[str], dayfirst: bool =
 
 def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column, wide_axis: str = "station",
                     dayfirst: bool = False, file_col: str | None = None, datetime: str | None = None,
-                    keep_file: bool = False) -> DataFrame:
+                    keep_file: bool = False, rejects: bool = False) -> DataFrame:
     """Any header-bearing frame (string cells, ``_row`` = 0-based data row) -> staging rows.
 
     Long layout when both a variable and a value column exist; otherwise wide: every non-metadata column with
     at least one numeric cell holds values, its header naming the station (or the variable when
     ``wide_axis='variable'``). ``datetime`` names the timestamp column where no header does; ``keep_file``
-    adds ``file_col`` as ``source_path``.
+    adds ``file_col`` as ``source_path``. ``rejects`` keeps the rows (long) or cells (wide) that cannot be staged, with the
+    reason in ``reject``: no timestamp, no value (in a wide cell: text that is no number) or no variable; staged rows have null.
     """
-    cols = [c for c in df.columns if not c.startswith("_")]
+    cols = [c for c in df.columns if c not in HELPERS]
     roles = resolve_roles(cols)
     explicit_dt = roles["datetime"] or datetime
     if explicit_dt is None and roles["date"] is None:
@@ -89,23 +98,27 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
         guessed = guess_datetime_column(df, candidates, dayfirst) if candidates else None
         names = sorted(r[0] for r in guessed.select("column").distinct().collect()) if candidates else []  # headers
         if not names:
-            return _empty(df, keep_file)
+            return _unstaged(df, sheet, workbook, file_col, keep_file, rejects, cols, "timestamp")
         parts = []
         for name in names:  # files whose timestamps stand in the same column are read together
             own = guessed.where(F.col("column") == name).select("_file")
             rows = df.join(own, "_file", "left_semi") if "_file" in df.columns else df
-            parts.append(normalize_frame(rows, sheet, workbook, wide_axis, dayfirst, file_col, name, keep_file))
+            parts.append(normalize_frame(rows, sheet, workbook, wide_axis, dayfirst, file_col, name, keep_file,
+                                         rejects))
+        if rejects:  # rows of files without any timestamp column
+            rest = df.join(guessed.select("_file"), "_file", "left_anti") if "_file" in df.columns else df.limit(0)
+            parts.append(_unstaged(rest, sheet, workbook, file_col, keep_file, rejects, cols, "timestamp"))
         return reduce(DataFrame.unionByName, parts)
     sheet_c = F.lit(sheet) if isinstance(sheet, str) else sheet
     book_c = F.lit(workbook) if isinstance(workbook, str) else workbook
 
     # Datetime column, else date + ' ' + time, else date
     if explicit_dt is not None:
-        ts_text = F.col(explicit_dt)
+        ts_text = quoted(explicit_dt)
     elif roles["date"] and roles["time"]:
-        ts_text = F.concat_ws(" ", F.col(roles["date"]), F.col(roles["time"]))
+        ts_text = F.concat_ws(" ", quoted(roles["date"]), quoted(roles["time"]))
     elif roles["date"]:
-        ts_text = F.col(roles["date"])
+        ts_text = quoted(roles["date"])
     else:
         ts_text = F.lit(None).cast("string")
 
@@ -115,42 +128,45 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
     meta = {c for c in roles.values() if c is not None} | ({explicit_dt} if explicit_dt else set())
 
     if roles["variable"] and roles["value"]:
-        value = to_number(F.col(roles["value"]))
-        var_raw = F.col(roles["variable"]).cast("string")
+        value = to_number(quoted(roles["value"]))
+        var_raw = quoted(roles["variable"]).cast("string")
         out = base.select(
-            station_code(roles["station"]).alias("station_code"), ts.alias("observed_at"),
+            station_code(quoted(roles["station"]) if roles["station"] else None).alias("station_code"), ts.alias("observed_at"),
             normalize_code(var_raw).alias("variable_code"), value.alias("value"),
-            resolve_unit(roles["unit"], normalize_code(var_raw)).alias("unit"),
+            resolve_unit(quoted(roles["unit"]) if roles["unit"] else None, normalize_code(var_raw)).alias("unit"),
             sheet_c.alias("source_sheet"), row_no.alias("source_row_number"), book_c.alias("source_workbook"),
-            *([F.col(file_col).alias("source_path")] if keep_file else []))
-        # R4 fix: a missing variable drops the row instead of becoming code 'NAN'
-        return out.where(F.col("observed_at").isNotNull() & F.col("value").isNotNull()
-                         & ~is_blank_or_nan(var_raw))
+            *([F.col(file_col).alias("source_path")] if keep_file else []),
+            # R4 fix: a missing variable drops the row instead of becoming code 'NAN'
+            _reason(F.col("_ts"), value, is_blank_or_nan(var_raw)).alias("reject"))
+        return out if rejects else out.where(F.col("reject").isNull()).drop("reject")
 
     candidates = [c for c in cols if c not in meta]
-    if not candidates:
-        return _empty(base, keep_file)
-    counts = base.agg(*[F.count(to_number(F.col(c))).alias(c) for c in candidates]).first()
-    value_cols = [c for c in candidates if counts[c] > 0]
+    counts = base.agg(*[F.count(to_number(quoted(c))).alias(f"n{i}") for i, c in enumerate(candidates)]).first() if candidates else []
+    value_cols = [c for i, c in enumerate(candidates) if counts[i] > 0]
     if not value_cols:
-        return _empty(base, keep_file)
+        return _unstaged(df, sheet, workbook, file_col, keep_file, rejects, cols, "value")
 
     # A file's first data row is its units row when its datetime cell mentions 'fecha' and 'unidad'
     fcol = F.col(file_col) if file_col else F.lit("")
     units = None
     if explicit_dt is not None:
-        marker = normalize_text(F.coalesce(F.col(explicit_dt).cast("string"), F.lit("")))
-        unit_rows = base.where((F.col("_row") == 0) & marker.contains("fecha") & marker.contains("unidad"))
+        marker = normalize_text(F.coalesce(quoted(explicit_dt).cast("string"), F.lit("")))
+        is_units = (F.col("_row") == 0) & marker.contains("fecha") & marker.contains("unidad")
+        unit_rows, base = base.where(is_units), base.where(~is_units)
         units = unit_rows.select(fcol.alias("_ufile"), F.explode(F.array(*[
-            F.struct(F.lit(c).alias("_ucol"), clean_unit(F.col(c)).alias("_unit")) for c in value_cols])).alias("u")) \
+            F.struct(F.lit(c).alias("_ucol"), clean_unit(quoted(c)).alias("_unit")) for c in value_cols])).alias("u")) \
             .select("_ufile", "u._ucol", "u._unit").where(F.col("_unit").isNotNull())
 
-    st_raw = F.col(roles["station"]).cast("string") if roles["station"] else F.lit(None).cast("string")
+    st_raw = quoted(roles["station"]).cast("string") if roles["station"] else F.lit(None).cast("string")
     long = base.select(fcol.alias("_ufile"), sheet_c.alias("_sheet"), book_c.alias("_book"), st_raw.alias("_st"),
                        ts.alias("observed_at"), row_no.alias("source_row_number"),
-                       F.explode(F.array(*[F.struct(F.lit(c).alias("col"), to_number(F.col(c)).alias("value"))
-                                           for c in value_cols])).alias("cell"))
-    long = long.where(F.col("observed_at").isNotNull() & F.col("cell.value").isNotNull())
+                       F.explode(F.array(*[F.struct(
+                           F.lit(c).alias("col"), to_number(quoted(c)).alias("value"),
+                           is_blank_or_nan_or_null(quoted(c)).alias("blank")) for c in value_cols])).alias("cell"))
+    long = long.where(~F.col("cell.blank"))  # an empty cell holds no measurement
+    long = long.withColumn("reject", _reason(F.col("observed_at"), F.col("cell.value")))
+    if not rejects:
+        long = long.where(F.col("reject").isNull())
     long = long.withColumn("_ucol", F.col("cell.col"))
     if units is not None:
         # one row per (file, column) at most; small, so the join is broadcast when it fits the threshold
@@ -169,21 +185,33 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
                        F.col("cell.value").alias("value"), resolve_unit(given_unit, variable).alias("unit"),
                        F.col("_sheet").alias("source_sheet"), "source_row_number",
                        F.col("_book").alias("source_workbook"),
-                       *([F.col("_ufile").alias("source_path")] if keep_file else []))
+                       *([F.col("_ufile").alias("source_path")] if keep_file else []), *(["reject"] if rejects else []))
+
+
+def _reason(ts: Column, value: Column, no_variable: Column | None = None) -> Column:
+    """Why a row or cell cannot be staged; null where it can."""
+    out = F.when(ts.isNull(), F.lit("timestamp")).when(value.isNull(), F.lit("value"))
+    return out if no_variable is None else out.when(no_variable, F.lit("variable"))
 
 
 STAGING_TYPES = ("string", "timestamp_ntz", "string", "double", "string", "string", "long", "string")
 
 
-def _empty(base: DataFrame, keep_file: bool = False) -> DataFrame:
-    named = [*zip(STAGING_COLUMNS, STAGING_TYPES), *([("source_path", "string")] if keep_file else [])]
-    return base.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in named])
+def _unstaged(df: DataFrame, sheet, workbook, file_col: str | None, keep_file: bool, rejects: bool, cols: list[str],
+              reason: str) -> DataFrame:
+    """Staging rows of a frame without a timestamp or value column: none, or all its rows as rejects."""
+    text = lambda c: F.lit(c) if isinstance(c, str) else c
+    known = {"source_sheet": text(sheet), "source_workbook": text(workbook), "source_row_number": F.col("_row") + 2}
+    found = df.where(~all_blank(cols)) if rejects else df.limit(0)
+    return found.select(*[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in zip(STAGING_COLUMNS, STAGING_TYPES)],
+                        *([F.col(file_col).alias("source_path")] if keep_file else []),
+                        *([F.lit(reason).alias("reject")] if rejects else []))
 
 
 def all_blank(cols: list[str]) -> Column:
     cond = None
     for c in cols:
-        b = is_blank_or_nan_or_null(F.col(c))
+        b = is_blank_or_nan_or_null(quoted(c))
         cond = b if cond is None else (cond & b)
     return cond if cond is not None else F.lit(True)
 

@@ -3,7 +3,7 @@
 * ``list_files``      recursive listing with size and suffix, no content read (binaryFile prunes content).
 * ``detect_type``     magic bytes -> suffix for downloads without a usable name (S4).
 * ``format_gate``     accepted / rejected by suffix for automatic or manual mode (S3).
-* ``expand_zip``      archive members as rows, streamed one archive at a time (S5);
+* ``expand_zip``      archive members as chunks of lines (S5), so neither an archive nor a member stands in one row;
                       ``read_zip_members`` parses delimited members straight from those rows.
 * ``read_delimited``  delimited files -> staging rows (S1, S2): delimiter sniffed per file from its header
                       line, latin-1 fallback, BOM removed; files sharing a header are read by one scan.
@@ -13,17 +13,20 @@
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark import vocab
-from envspark.operators.normalize import normalize_frame
+from envspark.operators.normalize import HELPERS, normalize_frame, quoted
 from envspark.schema import STAGING
 from envspark.session import remove_path
+from envspark.sources import blocks as B
 
 # Magic numbers.
 RAR_MAGIC = b"Rar!\x1a\x07"
@@ -57,87 +60,131 @@ def format_gate(files: DataFrame, mode: str = "manual") -> DataFrame:
     return files.withColumn("accepted", F.col("suffix").isin(list(allowed)))
 
 
-_ZIP_SCHEMA = T.StructType([T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()),
-                            T.StructField("content", T.BinaryType())])
-
-
-def expand_zip(spark: SparkSession, root: str) -> DataFrame:
-    """(archive, member, content) for every member of every .zip under root."""
-    z = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip")
-         .load(root).select("path", "content"))
-    return expand_archives(z)
+def located(spark: SparkSession, root: str) -> DataFrame:
+    """Every file under root with its URI (``file``), name, suffix and length; contents are not read."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return df.select("path", F.col("_metadata.file_path").alias("file"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
+                     _suffix(F.col("path")).alias("suffix"), "length")
+
+
+def expand_zip(spark: SparkSession, root: str, chunk: int = B.CHUNK) -> DataFrame:
+    """The members of every .zip under root as chunks of lines (``blocks.CHUNKS``). Broken archives and members that
+    cannot be read are rows with an error. File and member names reach the driver, as they make the tasks."""
+    archives = [(r["file"], r["length"]) for r in located(spark, root).where("suffix = '.zip'").select("file", "length").collect()]
+    return expand_located(spark, sorted(archives), chunk)
+
+
+def expand_located(spark: SparkSession, archives: list[tuple[str, int]], chunk: int = B.CHUNK) -> DataFrame:
+    """Chunks of the members of (URI, length) archives; archives in stores that only Spark reads stand in one row each."""
+    near = [a for a in archives if B.opens(a[0])]
+    far = [readable_path(uri) for uri, _ in archives if not B.opens(uri)]
+    listed = sorted(B.zip_directory(spark, near).collect(), key=lambda r: (r["archive"], r["number"] or 0)) if near else []
+    bad = [(r["archive"], r["member"], r["number"], None, None, None, None, r["error"]) for r in listed if r["error"]]
+    out = B.zip_chunks(spark, [(r["archive"], r["number"], r["length"]) for r in listed if not r["error"]], chunk)
+    if bad:
+        out = out.unionByName(spark.createDataFrame(bad, B.CHUNKS))
+    if far:
+        whole = spark.read.format("binaryFile").load(far).select(F.col("_metadata.file_path").alias("path"), "content")
+        out = out.unionByName(expand_archives(whole, chunk))
+    return out
 
 
-def _unzip_rows(rows):
-    for row in rows:
-        with zipfile.ZipFile(io.BytesIO(bytes(row["content"]))) as zf:
-            for info in zf.infolist():
-                if not info.is_dir():
-                    yield (row["path"], info.filename, bytearray(zf.read(info)))
+def expand_archives(archives: DataFrame, chunk: int = B.CHUNK) -> DataFrame:
+    """(path, content) rows of zip archives -> chunks of their members. One archive is one row here, so it may have 2 GB
+    at most; its members are streamed, so they may be larger."""
 
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
+                        for number, info in enumerate(archive.infolist()):
+                            if not info.is_dir():
+                                yield from B.as_batches(B.member_chunks(archive, path, number, chunk))
+                except B.UNREADABLE as error:
+                    yield from B.as_batches(iter([(path, None, None, None, None, None, None, f"not a readable zip archive: {error}")]))
 
-def expand_archives(archives: DataFrame) -> DataFrame:
-    """(path, content) rows of zip archives -> (archive, member, content).
-
-    Archives are whole files, possibly large, so they are streamed one row at a time through
-    ``mapPartitions`` (the row-at-a-time serializer keeps one archive in the Python worker); an Arrow batch
-    would hold up to ``maxRecordsPerBatch`` archives at once, and changing that setting would slow every
-    other Arrow UDF of the session.
-    """
-    spark = archives.sparkSession
-    rdd = archives.select("path", "content").rdd.mapPartitions(_unzip_rows)
-    return spark.createDataFrame(rdd, _ZIP_SCHEMA)
+    return archives.select("path", "content").mapInArrow(run, B.CHUNKS)
 
 
 def read_zip_members(spark: SparkSession, root: str, dayfirst: bool = False,
                      wide_axis: str = "station") -> DataFrame:
     """S5 -> S1 without landing files: delimited members of every archive become staging rows.
 
-    Member bytes are decoded (UTF-8, else ISO-8859-1), split into numbered lines, the first line is the
-    header; lines are parsed with ``from_csv`` per distinct (header, delimiter) layout and normalised like
-    any delimited file. Nothing is written to a machine-local folder.
+    Members are decoded (UTF-8, else ISO-8859-1) line by line, the first line with text is the header; lines are parsed with
+    ``from_csv`` per distinct (header, delimiter) layout and normalised like any delimited file.
     """
     return parse_members(spark, expand_zip(spark, root), dayfirst, wide_axis)
 
 
-def parse_members(spark: SparkSession, members: DataFrame, dayfirst: bool = False,
-                  wide_axis: str = "station") -> DataFrame:
-    """Delimited archive members (archive, member, content) -> staging rows."""
-    as_utf8 = F.col("content").cast("string")
-    text = F.when(F.expr("is_valid_utf8(cast(content AS STRING))"), as_utf8).otherwise(
-        F.decode(F.col("content"), "ISO-8859-1"))
-    lines = (members.select(F.concat_ws("!", "archive", "member").alias("_file"),
-                            F.regexp_extract("member", r"([^/]+)$", 1).alias("_name"),
-                            F.posexplode(F.split(text, "\r?\n")).alias("_pos", "line")))
-    head = F.regexp_replace("line", "^\ufeff", "")  # the first line that is not blank
-    header = (lines.where(F.trim(head) != "").groupBy("_file")
-              .agg(F.min(F.struct("_pos", head.alias("header"))).alias("h"))
-              .select("_file", F.col("h._pos").alias("_head"), F.col("h.header").alias("header")))
-    header = header.withColumn("sep", _best_delimiter(F.col("header")))
-    layouts = header.select("header", "sep").distinct().collect()  # distinct layouts only
+def parse_members(spark: SparkSession, chunks: DataFrame, dayfirst: bool = False, wide_axis: str = "station",
+                  keep_file: bool = False, rejects: bool = False) -> DataFrame:
+    """Chunks of delimited archive members -> staging rows. ``keep_file`` adds ``source_path``: the archive, a line end and
+    the member; ``rejects`` see ``normalize_frame``."""
+    utf8 = F.expr("is_valid_utf8(cast(content AS STRING))")
+    text = lambda c, good: F.when(good, F.col(c).cast("string")).otherwise(F.decode(F.col(c), "ISO-8859-1"))
+    file = F.concat_ws("\n", "archive", "member").alias("_file")
+    chunks = chunks.where(F.col("content").isNotNull())
+    files = chunks.groupBy(file).agg(F.min(utf8).alias("_good"), F.first("head").alias("head"))
+    files = files.withColumn("header", text("head", F.col("_good")))
+    files = files.select("_file", "_good", "header", _best_delimiter(F.col("header")).alias("sep"))
+    layouts = files.select("header", "sep").distinct().collect()  # distinct layouts only
     out = None
     for lay in layouts:
         if not lay["header"] or not lay["header"].strip():
             continue
-        cols = [c.strip() for c in _split_header(lay["header"], lay["sep"])]
+        cols = clean_header(_split_header(lay["header"], lay["sep"]))
         ddl = ", ".join(f"`c{i}` STRING" for i in range(len(cols)))
-        files = header.where((F.col("header") == lay["header"]) & (F.col("sep") == lay["sep"])).select("_file", "_head")
-        body = lines.join(files, "_file").where(F.col("_pos") > F.col("_head"))
-        parsed = body.select("_file", "_name", (F.col("_pos") - F.col("_head") - 1).alias("_row"),
-                             F.from_csv("line", ddl, {"sep": lay["sep"]}).alias("r"))
+        own = files.where((F.col("header") == lay["header"]) & (F.col("sep") == lay["sep"])).select("_file", "_good")
+        lines = chunks.withColumn("_file", file).join(own, "_file").select(
+            "_file", F.regexp_extract("member", r"([^/]+)$", 1).alias("_name"), "first_line", "head_line",
+            F.posexplode(F.split(text("content", F.col("_good")), "\r?\n")).alias("_pos", "line"))
+        body = lines.withColumn("_row", F.col("first_line") + F.col("_pos") - F.col("head_line") - 1).where("_row >= 0")
+        body = body.withColumn("line", F.regexp_replace("line", "\r$", ""))
+        parsed = body.select("_file", "_name", "_row", F.from_csv("line", ddl, {"sep": lay["sep"]}).alias("r"))
         frame = without_na(parsed.select("_file", "_name", "_row", *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)]))
         staged = normalize_frame(frame, F.lit("data"), F.col("_name"), wide_axis=wide_axis, dayfirst=dayfirst,
-                                 file_col="_file")
+                                 file_col="_file", keep_file=keep_file, rejects=rejects)
         out = staged if out is None else out.unionByName(staged)
-    if out is None:
-        return spark.createDataFrame([], STAGING)
-    return out
+    return out if out is not None else _no_rows(spark, keep_file, rejects)
+
+
+def _no_rows(spark: SparkSession, keep_file: bool, rejects: bool) -> DataFrame:
+    more = [c for c, wanted in (("source_path", keep_file), ("reject", rejects)) if wanted]
+    return spark.createDataFrame([], T.StructType([*STAGING.fields, *(T.StructField(c, T.StringType()) for c in more)]))
+
+
+def clean_header(cells: list[str]) -> list[str]:
+    """Column names of a header: blank ones are numbered by place, a name seen before gets its place added, and none is one
+    of the names this library adds to a frame."""
+    names, seen = [], set()
+    for i, cell in enumerate(cells):
+        name = cell.lstrip("\ufeff").strip() or f"unnamed_{i}"
+        if name in HELPERS or name.lower() in seen:
+            name = f"{name} {i}"
+        seen.add(name.lower())
+        names.append(name)
+    return names
+
+
+def escaped(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def readable_path(uri: str) -> str:
+    """The path of a file URI as Spark's readers take it."""
+    return escaped(unquote(uri))
+
+
+def url_decoded(c: F.Column) -> F.Column:
+    """Percent escapes decoded; "+" is no blank in a path."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
 def without_na(df: DataFrame) -> DataFrame:
     """Cells that spell a missing value become null."""
-    cell = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    return df.select(*[cell(c) if c.startswith("_") else F.when(~cell(c).isin(*vocab.MISSING), cell(c)).alias(c)
+    return df.select(*[quoted(c) if c in HELPERS else F.when(~quoted(c).isin(*vocab.MISSING), quoted(c)).alias(c)
                        for c in df.columns])
 
 
@@ -167,7 +214,7 @@ def sniff(spark: SparkSession, paths: list[str]) -> DataFrame:
     The header is the first line of the file's first split that is not blank; latin-1 is chosen when any line of the file is
     not valid UTF-8. One aggregation over the text of the files.
     """
-    txt = (spark.read.option("lineSep", "\n").text(paths)
+    txt = (spark.read.option("lineSep", "\n").text([escaped(p) for p in paths])
            .select("value", F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("pos")))
@@ -198,7 +245,7 @@ def with_row_index(df: DataFrame, file_col: str = "_file") -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths: list[str], dayfirst: bool = False, wide_axis: str = "station",
-                   multi_line: bool = False, keep_file: bool = False) -> DataFrame:
+                   multi_line: bool = False, keep_file: bool = False, rejects: bool = False) -> DataFrame:
     """Delimited files -> staging rows (N1-N17), one scan per distinct (header, delimiter, encoding).
 
     The per-file header/delimiter table is small (one row per file) and is collected to plan the scans.
@@ -212,20 +259,17 @@ def read_delimited(spark: SparkSession, paths: list[str], dayfirst: bool = False
     out = None
     for (_header, sep, enc), files in groups.items():
         raw = (spark.read.option("header", "true").option("sep", sep).option("encoding", enc)
-               .option("enforceSchema", "false").option("mode", "PERMISSIVE").option("multiLine", multi_line)
-               .csv(files))
-        cols = raw.columns
-        clean = [c.lstrip("﻿") for c in cols]
-        raw = without_na(raw.toDF(*clean)).withColumn("_file", F.col("_metadata.file_path"))
-        raw = with_row_index(raw)
-        name = F.regexp_extract(F.col("_file"), r"([^/]+)$", 1)
+               .option("mode", "PERMISSIVE").option("multiLine", multi_line)
+               .csv([readable_path(f) for f in files]))
+        # Spark's own names of blank and repeated headers carry their place
+        cells = [re.sub(r"^_c\d+$", "", c) for c in raw.columns]
+        raw = raw.toDF(*clean_header(cells)).withColumn("_file", F.col("_metadata.file_path"))
+        raw = with_row_index(without_na(raw))
+        name = url_decoded(F.regexp_extract(F.col("_file"), r"([^/]+)$", 1))
         staged = normalize_frame(raw, F.lit("data"), name, wide_axis=wide_axis, dayfirst=dayfirst,
-                                 file_col="_file", keep_file=keep_file)
+                                 file_col="_file", keep_file=keep_file, rejects=rejects)
         out = staged if out is None else out.unionByName(staged)
-    if out is None:
-        fields = [*STAGING.fields, *([T.StructField("source_path", T.StringType())] if keep_file else [])]
-        return spark.createDataFrame([], T.StructType(fields))
-    return out
+    return out if out is not None else _no_rows(spark, keep_file, rejects)
 
 
 # ---------------------------------------------------------------------------------------------------------
