@@ -968,6 +968,24 @@ def replace_by_variable(spark, d):
     return L.replace_by_variable(t, b.drop("load_order"), ["pm2.5", "o3"])
 
 
+# S11 + L6: facts of E, hourly, in a versioned sink; two variables are replaced by the batch and one of them, without fresh
+# rows, disappears; a writer that fails before its manifest changes nothing.
+@register("replace_sink", _load_sql("""
+SELECT station_code, variable_code, observed_at, value, unit, source_file_id FROM dd_t WHERE variable_code NOT IN ('PM25', 'O3')
+UNION ALL
+SELECT station_code, variable_code, observed_at, value, unit, source_file_id FROM bat WHERE variable_code = 'PM25'"""))
+def replace_sink(spark, d):
+    from envspark.sources import files as S
+    from envspark.sources import versions as V
+
+    target, batch = _target_batch(spark, d)
+    table = os.path.join(STR._work_dir(spark, "sink"), "facts")
+    S.write_measurements(target, table)
+    S.write_measurements(batch.drop("load_order").where("variable_code <> 'O3'"), table, ["PM25", "O3"])
+    V.write_data(batch.drop("load_order"), table, ["variable_code"])  # written, never published
+    return V.read(spark, table)
+
+
 @register("station_enrichment", sql("""
 SELECT s.station_id, s.code,
        CASE WHEN x.ref_order IS NOT NULL AND (trim(coalesce(s.name, '')) = ''
@@ -1318,7 +1336,7 @@ def ingest_job(spark, d):
              F.col("unit").alias("unidad"))
      .write.option("header", "true").option("sep", ";").csv(files))
     runs = [J.ingest(spark, files, store) for _ in range(2)]
-    table = spark.read.parquet(os.path.join(store, "measurements"))
+    table = J.measurements(spark, store)
     size = table.agg(F.count("*").alias("table_rows"))
     stations = J.store_table(spark, store, "stations", J.STATIONS)
     variables = J.store_table(spark, store, "variables", J.VARIABLES)
@@ -1571,3 +1589,51 @@ def cell_validation(spark, d):
         F.replace(iso_datetime(F.col("observed_at"), False), F.lit("T"), F.lit(" ")))
     cells = m.select(F.col("measurement_id").alias("_row"), ts_text.alias("ts"), raw.alias("value"))
     return validation_report(cells, {"ts": "timestamp", "value": "float"})
+
+
+# S5 + S6 + S8 end to end: Spark packs E into zip archives in the shared folder (some cells cannot be read), and the ingest
+# job loads them in chunks far smaller than a member; the file ledger counts the rejects by reason.
+
+def _written_archives(folder: str):
+    """Writes an archive for every ARCHIVE_LINES lines of a partition; its name follows from its bytes, so a repeated task
+    writes the same files again."""
+    def run(batches):
+        import pandas as _pd
+        import pyarrow.fs as _fs
+
+        for pdf in _zip_partition(batches):
+            for r in pdf.itertuples():
+                fs, path = _fs.FileSystem.from_uri(f"{folder}/{r.path}")
+                with fs.open_output_stream(path) as out:
+                    out.write(r.content)
+                yield _pd.DataFrame({"path": [r.path]})
+    return run
+
+
+_CELLS_SQL = ("(SELECT station_code, variable_code, observed_at, CASE measurement_id % 50 WHEN 0 THEN 'timestamp' WHEN 1 THEN 'value' "
+              "WHEN 2 THEN 'variable' END AS reject FROM measurements)")
+
+
+@register("zip_ingest", sql(f"""
+SELECT 'completed' AS status,
+       (SELECT count(*) FROM (SELECT DISTINCT station_code, variable_code, observed_at FROM {_CELLS_SQL} WHERE reject IS NULL)) AS inserted,
+       count(*) FILTER (reject IS NULL) AS staged_rows, count(*) FILTER (reject = 'timestamp') AS rejected_timestamp,
+       count(*) FILTER (reject = 'value') AS rejected_value, count(*) FILTER (reject = 'variable') AS rejected_variable
+FROM {_CELLS_SQL}""", "measurements"))
+def zip_ingest(spark, d):
+    from envspark.functions.timefmt import iso_datetime
+    from envspark.plans import ingest_job as J
+
+    work = STR._work_dir(spark, "zip-ingest")
+    folder = work if "://" in work else f"file://{work}"
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{work}/archives/.folder")  # the folder, on whatever file system it is
+    k = F.col("measurement_id") % 50
+    line = F.concat_ws(";", "station_code", F.when(k == 0, F.lit("never")).otherwise(F.replace(iso_datetime("observed_at", True), F.lit("T"), F.lit(" "))),
+                       F.when(k == 2, F.lit("")).otherwise(F.col("variable_code")),
+                       F.when(k == 1, F.lit("-")).otherwise(F.col("value").cast("string")), "unit")
+    m = B.measurements(spark, d).select(line.alias("line"))
+    m.mapInPandas(_written_archives(f"{folder}/archives"), "path string").write.format("noop").mode("overwrite").save()
+    run = J.ingest(spark, f"{work}/archives", f"{work}/store")
+    files = J.store_table(spark, f"{work}/store", "source_files", J.FILE_LEDGER)
+    return files.agg(F.lit(run["status"]).alias("status"), F.lit(run["inserted"]).cast("bigint").alias("inserted"),
+                     F.sum("row_count").alias("staged_rows"), *[F.sum(f"rejected_{r}").alias(f"rejected_{r}") for r in J.REJECTS])

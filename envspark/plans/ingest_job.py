@@ -24,17 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.operators import load as L
-from envspark.plans.load_job import load_measurements
+from envspark.plans.load_job import load_measurements, read_measurements
 from envspark.schema import VARIABLES
 from envspark.session import checkpoint_dir, path_exists, remove_path
 from envspark.sources import blocks as B
 from envspark.sources import files as S
 from envspark.sources import ledger as G
+from envspark.sources import versions as V
 
 FILE_LEDGER = ("source_file_id int, etl_run_id string, original_name string, landing_name string, checksum_sha256 string, "
                "status string, row_count bigint, skipped_rows bigint, error_message string, processed_at timestamp_ntz, "
                "rejected_timestamp bigint, rejected_value bigint, rejected_variable bigint")
 FILE_EVENTS = "source_file_id int, status string, ts timestamp_ntz"
+DIMENSIONS = ("stations", "variables")
 REJECTS = ("timestamp", "value", "variable")
 RUN_LEDGER = ("id string, trigger_type string, status string, at timestamp_ntz, files_found bigint, files_loaded bigint, "
               "records_inserted bigint, records_updated bigint, records_skipped bigint, error_message string")
@@ -44,8 +46,10 @@ ARCHIVES = (".zip",)
 
 
 def store_table(spark: SparkSession, store: str, name: str, schema) -> DataFrame:
-    """A table of the store; empty where it was never written."""
+    """A table of the store (a versioned dimension or an append-only ledger); empty where it was never written."""
     path = os.path.join(store, name)
+    if name in DIMENSIONS:
+        return V.read(spark, path, schema)
     return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
@@ -100,27 +104,20 @@ def _staged(spark: SparkSession, plan: list, ids: dict[str, int], stage: str, da
     return spark.read.schema(rows.schema).parquet(f"{stage}-rows"), errors
 
 
-def _replace(df: DataFrame, store: str, name: str, stage: str) -> None:
-    """Overwrites a dimension from a staged copy, as its old rows are read while the new ones are made."""
-    df.write.parquet(stage)
-    df.sparkSession.read.schema(df.schema).parquet(stage).coalesce(1).write.mode("overwrite").parquet(os.path.join(store, name))
-    remove_path(df.sparkSession, stage)
-
-
-def _dimensions(spark: SparkSession, rows: DataFrame, store: str, stage: str) -> None:
-    """New stations and variables, missing default units, reference coordinates."""
+def _dimensions(spark: SparkSession, rows: DataFrame, store: str) -> None:
+    """New stations and variables, missing default units, reference coordinates; each a new version."""
     columns = [c.split()[0] for c in STATIONS.split(", ")]
     stations = store_table(spark, store, "stations", STATIONS)
     new = L.new_dimension_members(rows.select(F.col("station_code").alias("code")), stations)
     every = stations.unionByName(new, allowMissingColumns=True)
     enriched = L.enrich_stations(every).withColumnRenamed("region", "found_region").join(
         every.select("station_id", "region"), "station_id")
-    _replace(enriched.withColumn("region", F.coalesce("found_region", "region")).select(*columns), store, "stations",
-             f"{stage}-stations")
+    enriched = enriched.withColumn("region", F.coalesce("found_region", "region")).select(*columns)
+    V.commit(enriched.coalesce(1), os.path.join(store, "stations"), [], replace_all=True)
     variables = store_table(spark, store, "variables", VARIABLES)
     units = rows.select("variable_code", "unit", "load_order")
     named = L.backfill_default_unit(variables, units).unionByName(L.new_variables(units, variables))
-    _replace(named.select(*VARIABLES.names), store, "variables", f"{stage}-variables")
+    V.commit(named.select(*VARIABLES.names).coalesce(1), os.path.join(store, "variables"), [], replace_all=True)
 
 
 def ingest(spark: SparkSession, root: str, store: str, force: bool = False, trigger: str = "manual",
@@ -151,7 +148,7 @@ def ingest(spark: SparkSession, root: str, store: str, force: bool = False, trig
             rows = rows.where(F.col("reject").isNull()).drop("reject")
         if any(reject is None for _, reject in counts):
             counters = load_measurements(spark, rows, os.path.join(store, "measurements"))
-            _dimensions(spark, rows, store, stage)
+            _dimensions(spark, rows, store)
         records = []
         for f in plan:
             n = counts.get((f["file"], None), 0)
@@ -183,7 +180,7 @@ def ingest(spark: SparkSession, root: str, store: str, force: bool = False, trig
 
 def measurements(spark: SparkSession, store: str) -> DataFrame:
     """The measurement table of a store."""
-    return spark.read.parquet(os.path.join(store, "measurements"))
+    return read_measurements(spark, os.path.join(store, "measurements"))
 
 
 def run_states(spark: SparkSession, store: str) -> DataFrame:

@@ -7,14 +7,13 @@
                       ``read_zip_members`` parses delimited members straight from those rows.
 * ``read_delimited``  delimited files -> staging rows (S1, S2): delimiter sniffed per file from its header
                       line, latin-1 fallback, BOM removed; files sharing a header are read by one scan.
-* ``write_measurements`` Parquet partitioned by variable_code, staged then swapped (S11, L6).
+* ``write_measurements`` a versioned table partitioned by variable_code (S11, L6).
 """
 
 from __future__ import annotations
 
 import io
 import re
-import uuid
 import zipfile
 from urllib.parse import unquote
 
@@ -25,8 +24,8 @@ from pyspark.sql import types as T
 from envspark import vocab
 from envspark.operators.normalize import HELPERS, normalize_frame, quoted
 from envspark.schema import STAGING
-from envspark.session import remove_path
 from envspark.sources import blocks as B
+from envspark.sources import versions as V
 
 # Magic numbers.
 RAR_MAGIC = b"Rar!\x1a\x07"
@@ -276,27 +275,15 @@ def read_delimited(spark: SparkSession, paths: list[str], dayfirst: bool = False
 # Sink
 # ---------------------------------------------------------------------------------------------------------
 
-def write_measurements(df: DataFrame, table_dir: str, replace_variables: list[str] | None = None) -> str:
-    """Write facts as Parquet partitioned by variable_code, sorted within files by (station,
-    observed_at) so min/max statistics prune time ranges.
+def write_measurements(df: DataFrame, table_dir: str, replace_variables: list[str] | None = None) -> int:
+    """Write facts as a versioned table (``sources.versions``) partitioned by variable_code, sorted within files by
+    (station, observed_at) so min/max statistics prune time ranges; returns the version.
 
-    The new data go to a staging folder first; only after that job succeeded are the affected partitions
-    overwritten (dynamic partition overwrite; other variables are untouched), the partitions of replaced variables without
-    fresh rows removed, and the staged copy deleted. A failure while staging leaves the table as it was.
+    The variables of the rows are replaced, other variables keep their folders. With ``replace_variables`` only rows of
+    those variables count, and those without fresh rows are gone. One manifest is the last step: a failure before it, or
+    within it, leaves the version before readable.
     """
-    spark = df.sparkSession
-    stage = table_dir.rstrip("/") + f"__staging_{uuid.uuid4().hex[:8]}"
-    (df.hint("rebalance", F.col("variable_code")).sortWithinPartitions("station_code", "observed_at")
-     .write.mode("overwrite").partitionBy("variable_code").parquet(stage))
-    staged = spark.read.parquet(stage)
-    if replace_variables is not None:
-        staged = staged.where(F.col("variable_code").isin(list(replace_variables)))
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("variable_code")
-     .parquet(table_dir))
-    if replace_variables is not None:
-        fresh = {r[0] for r in staged.select("variable_code").distinct().collect()}  # at most the replaced codes
-        escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for code in sorted(set(replace_variables) - fresh):
-            remove_path(spark, f"{table_dir.rstrip('/')}/variable_code={escape(code)}")
-    remove_path(spark, stage)
-    return table_dir
+    codes = None if replace_variables is None else set(replace_variables)
+    rows = df if codes is None else df.where(F.col("variable_code").isin(*codes))
+    rows = rows.hint("rebalance", F.col("variable_code")).sortWithinPartitions("station_code", "observed_at")
+    return V.commit(rows, table_dir.rstrip("/"), ["variable_code"], drop=lambda values: codes is not None and values[0] in codes)

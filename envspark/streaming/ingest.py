@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.functions.timefmt import instant_as_utc_ntz, ntz_as_utc_instant
-from envspark.session import checkpoint_dir, path_exists
+from envspark.session import checkpoint_dir
+from envspark.sources import versions as V
 
 
 def _work_dir(spark: SparkSession, name: str) -> str:
@@ -56,7 +57,7 @@ def stream_upsert(batches: DataFrame, target_dir: str, work: str) -> str:
 def read_table_dir(spark: SparkSession, target_dir: str) -> DataFrame:
     from envspark.plans.load_job import TABLE_COLUMNS
 
-    return spark.read.parquet(target_dir).select(*TABLE_COLUMNS)
+    return V.read(spark, target_dir).select(*TABLE_COLUMNS)
 
 
 def stream_window(stream: DataFrame, window: str, slide: str | None, group: list[str], watermark: str,
@@ -97,30 +98,22 @@ def stream_dedup(stream: DataFrame, key: list[str], watermark: str, work: str, t
 def stream_latest(stream: DataFrame, target_dir: str, work: str) -> str:
     """T-S4: latest (value, unit, observed_at) per (station_id, variable_id) = Q8 over (state U batch).
 
-    The state is a Parquet table partitioned by batch id: batch n reads the partition of the newest earlier
-    batch, merges, and writes partition n (a dynamic overwrite, so a replayed batch rewrites the same
-    partition). Readers take the newest partition (``read_latest_state``).
+    The state is a versioned table: each batch is merged with the last version and published as the next one, and all but
+    the last two versions are removed, so the state's size is that of its keys however many batches there were. A replayed
+    batch is merged again, which changes nothing.
     """
     cols = ["station_id", "variable_id", "observed_at", "measurement_id", "value", "unit"]
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(*cols)
-        if path_exists(spark, target_dir):
-            state = spark.read.parquet(target_dir)
-            prev = state.where(F.col("batch_id") == state.where(F.col("batch_id") < epoch)
-                               .select(F.max("batch_id")).scalar())
-            rows = rows.unionByName(prev.select(*cols))
+        if V.exists(spark, target_dir):
+            rows = rows.unionByName(V.read(spark, target_dir).select(*cols))
         latest = rows.groupBy("station_id", "variable_id").agg(
             F.max_by(F.struct(*cols[2:]), F.struct("observed_at", "measurement_id")).alias("l")).select(
             "station_id", "variable_id", "l.*")
-        prev_mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            (latest.withColumn("batch_id", F.lit(epoch)).write.mode("overwrite").partitionBy("batch_id")
-             .parquet(target_dir))
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev_mode)
+        V.commit(latest, target_dir, [], replace_all=True)
+        V.vacuum(spark, target_dir)
 
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", os.path.join(work, "ckpt"))
          .trigger(availableNow=True).start())
@@ -129,5 +122,4 @@ def stream_latest(stream: DataFrame, target_dir: str, work: str) -> str:
 
 
 def read_latest_state(spark: SparkSession, target_dir: str) -> DataFrame:
-    state = spark.read.parquet(target_dir)
-    return state.where(F.col("batch_id") == state.select(F.max("batch_id")).scalar()).drop("batch_id")
+    return V.read(spark, target_dir)

@@ -11,6 +11,7 @@ from envspark.functions.timeparse import with_parsed_datetime
 from envspark.operators import load, queries
 from envspark.sources.files import read_delimited, write_measurements
 from envspark.session import checkpoint_dir
+from envspark.sources import versions
 
 STAMPS = {
     "2024-02-03": (2024, 2, 3), "2024-02-03 04:05": (2024, 2, 3, 4, 5), "2024-02-03T04:05:06.5Z": (2024, 2, 3, 4, 5, 6, 500000),
@@ -69,7 +70,7 @@ def test_replace_removes_variables_without_fresh_rows(spark):
     cols = "station_code string, variable_code string, observed_at string, value double"
     write_measurements(spark.createDataFrame([("s", "NO2", "a", 1.0), ("s", "CO", "a", 1.0), ("s", "O3", "a", 1.0)], cols), table)
     write_measurements(spark.createDataFrame([("s", "CO", "b", 2.0)], cols), table, ["NO2", "CO"])
-    got = sorted((r.variable_code, r.value) for r in spark.read.parquet(table).collect())
+    got = sorted((r.variable_code, r.value) for r in versions.read(spark, table).collect())
     assert got == [("CO", 2.0), ("O3", 1.0)]
     assert [d for d in os.listdir(os.path.dirname(table)) if "staging" in d] == []
 
