@@ -9,7 +9,8 @@ decides: a document below ``CUT`` is rejected.
 
 The pattern counts cover all documents (at most 3^8 patterns reach the driver). The scorer is fitted on the ``FIT_DOCS``
 documents with the smallest hash of their id at most (the documented bound of the fit), which are written once to the shared
-folder; each of its file splits sends one DIMS x DIMS matrix to the driver, one after another. No given label is read.
+folder (one row an id); each of FIT_TASKS tasks sends one DIMS x DIMS matrix to the driver, one after another. No given label
+is read.
 
 Defined results: null and empty texts, and texts under three characters, have no trigrams; they get the score of the
 intercept and their votes' posterior, and are rejected. Repeated rows count each; ties in the hash order by doc_id. An
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from envspark.llm.common import documents, python_texts, write_shared
 
 FIT_DOCS, DIMS, CUT, RIDGE = 20_000, 512, 0.5, 1.0
+#: Words in a window of the distinct-words labeller; tasks that sum the sample's matrices.
+WINDOW, FIT_TASKS = 1000, 16
 GOOD, BAD, NONE = "1", "0", "-"
 
 # Function words of four languages.
@@ -78,7 +81,10 @@ def votes(text: str) -> str:
     k = len(words)
     function = sum(map(FUNCTION.__contains__, words)) / max(1, k)
     mean = sum(map(len, words)) / max(1, k)
-    distinct = len(set(words)) / max(1, k)
+    # distinct words in windows of equal size that cover the text, so the measure does not fall with the length
+    windows = -(-k // WINDOW) or 1
+    cuts = [k * j // windows for j in range(windows + 1)]
+    distinct = sum(len(set(words[a:b])) for a, b in zip(cuts, cuts[1:])) / max(1, k)
     lines = [x for x in text.split("\n") if x]
     repeated = 1 - len(set(lines)) / max(1, len(lines))
     capitals, digits = shapes[2] / letters, shapes[3] / n
@@ -88,7 +94,7 @@ def votes(text: str) -> str:
         _vote(digits, digits < 0.05, digits > 0.3),
         NONE if k < 8 else _vote(function, function > 0.15, function < 0.04),
         _vote(mean, 3 <= mean <= 9, not 2 <= mean <= 14),
-        NONE if k < 60 else _vote(distinct, distinct > 0.35 or k > 2000, distinct < 0.12 and k <= 2000),
+        NONE if k < 60 else _vote(distinct, distinct > 0.35, distinct < 0.12),
         _vote(plain, 0.005 < plain < 0.06, plain > 0.1),
         _vote(k, k >= 5 and repeated < 0.2, k < 2 or repeated > 0.6),
     ))
@@ -155,7 +161,8 @@ def pattern_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
 def fit(docs: DataFrame, posteriors: dict[str, float], text: str = "text", limit: int = FIT_DOCS) -> Scorer:
     """The linear scorer of the posterior labels."""
     some = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id").select("text")
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, target, seen = np.zeros((DIMS + 1, DIMS + 1)), np.zeros(DIMS + 1), 0
@@ -173,7 +180,7 @@ def fit(docs: DataFrame, posteriors: dict[str, float], text: str = "text", limit
     gram, target = RIDGE * np.eye(DIMS + 1), np.zeros(DIMS + 1)
     gram[DIMS, DIMS] = 1e-9
     sample = write_shared(rows, "quality-sample")  # one parallel scan of all documents; the sample is a few file splits
-    for r in sample.mapInArrow(sums, "gram binary, target binary").toLocalIterator():  # one matrix at a time
+    for r in sample.coalesce(FIT_TASKS).mapInArrow(sums, "gram binary, target binary").toLocalIterator():  # one matrix at a time
         gram += np.frombuffer(r.gram).reshape(DIMS + 1, DIMS + 1)
         target += np.frombuffer(r.target)
     beta = np.linalg.solve(gram, target)

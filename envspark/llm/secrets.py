@@ -43,16 +43,19 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-#: Lexemes of one statement; the alternatives start with different characters, so lexing is linear.
+#: Lexemes of one statement; the alternatives start with different characters and never run back, so lexing is linear.
 _LEXEME = re.compile(r"""
-    (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    (?P<quote>["'`])
   | (?P<name>[A-Za-z_][\w]*(?:[.\-]\w+)*)
   | (?P<op>:=|=>|==|!=|<=|>=|[=:+])
   | (?P<end>[;,(){}\[\]\n])
   | (?P<bare>[^\s"'`=:+;,(){}\[\]]+)
 """, re.X)
 _INDEXED = re.compile(r"[\x20\t]*(?::=|=>|=(?!=))")
-_LINE = re.compile(r"[^\n]*[=:][^\n]*")
+#: From behind an opening quote to the closing one. A quote closes a string if an even number of backslashes stands before
+#: it, wherever the string began; so where none follows in a line, no later quote of its kind opens a string there either.
+_STRING = {'"': re.compile(r'[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'), "'": re.compile(r"[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"),
+           "`": re.compile(r"[^`\n]*+`")}
 _VALUE = re.compile(r"[^\s\"'`;,(){}\[\]]+")
 _URL = re.compile(r"://([^\s:/@]+):([^\s:/@]+)@")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -121,8 +124,12 @@ def pairs(text: str) -> Iterator[tuple[str, Value]]:
     if "=" not in text and ":" not in text:
         return
     known, at = {}, 0
-    while m := _LINE.search(text, at):
-        start, end = m.span()
+    while at < len(text):
+        start, stop = at, text.find("\n", at)
+        end = len(text) if stop < 0 else stop
+        at = end + 1
+        if text.find("=", start, end) < 0 and text.find(":", start, end) < 0:
+            continue
         line = start
         while end < len(text) and text[line:end].rstrip().endswith(("+", "\\")):  # goes on in the next line
             line, stop = end + 1, text.find("\n", end + 1)
@@ -131,8 +138,6 @@ def pairs(text: str) -> Iterator[tuple[str, Value]]:
         yield from _statement(text, start, end, known)
         for u in _URL.finditer(text, start, end):
             yield f"{u.group(1)}.password", literal(text, *u.span(2))
-        if at > len(text):
-            break
 
 
 def _statement(text: str, start: int, end: int, known: dict[str, Value]) -> list[tuple[str, Value]]:
@@ -149,9 +154,18 @@ def _statement(text: str, start: int, end: int, known: dict[str, Value]) -> list
                 known.pop(target, None)
         target, quoted, given, joined, value, used = None, False, False, False, None, False
 
-    at = start
+    at, open_until = start, {}  # quote -> end of the line in which nothing closes it any more
     while m := _LEXEME.search(text, at, end):
         at, kind, lexeme = m.end(), m.lastgroup, m.group()
+        if kind == "quote":
+            closed = _STRING[lexeme].match(text, at, end) if at > open_until.get(lexeme, -1) else None
+            if closed is None:
+                if at > open_until.get(lexeme, -1):
+                    stop = text.find("\n", at, end)
+                    open_until[lexeme] = end if stop < 0 else stop
+                continue
+            at, kind = closed.end(), "string"
+            lexeme = text[m.start():at]
         if kind == "end":
             if lexeme == "]" and target and quoted and not given and _INDEXED.match(text, at, end):
                 continue  # config["name"] = ...
@@ -179,7 +193,7 @@ def _statement(text: str, start: int, end: int, known: dict[str, Value]) -> list
             target = nxt
         else:
             if kind == "string":
-                part = literal(text, m.start() + 1, m.end() - 1)
+                part = literal(text, m.start() + 1, at - 1)
             elif lexeme in known:
                 part = known[lexeme]
             else:

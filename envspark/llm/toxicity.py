@@ -1,19 +1,28 @@
 """Operator 3: toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read the words of a clause. The lexical one maps words and word beginnings to symbols: insult (with
-a weight), threat, future, target, negation, reported speech, contrast, clause end. Four more follow the context:
-target, negation, reported speech and future, each with two states. ``compose`` multiplies them into one transition table
-whose states are the contexts; an insult or threat is emitted in the class of its context (bare, targeted, negated,
-reported), and a target that comes later in the clause moves bare mass to targeted. A text's features are the weights
-that its clauses emitted in each class; a logistic model turns them into the score. Isolated words have no score.
+Six small transducers read the words of a text. The lexical one maps words and word beginnings to symbols: insult (with
+a weight), threat, future, target, negation, reported speech, contrast, clause end. Five more follow the context, each with
+two states: target, negation, reported speech and future, which every clause end resets, and abuse, which an accepted or
+waiting insult sets for the rest of the text. ``compose`` multiplies them into one transition table whose states are the
+contexts. What matches is a pattern, never a word:
+
+* *targeted*: an insult in a clause with a target, before or after it; *negated* and *reported*: one in such a clause;
+* *threat*: a threat with a target or in the future; *threat_off*: a negated or reported one;
+* *piled*: an insult after another insult. The first one waits without any weight and counts when the second comes.
+
+An insult that is alone in its text, without target, negation or reported speech in its clause, emits nothing, and so does a
+threat word without target or future. A text's features are the weights that its patterns emitted in each class; a logistic
+model turns them into the score. (Piling up is a pattern because the given toxic documents hold insults without targets.)
 
 The insult weights and the logistic model are learned from ``labels.toxic``, only from rows whose crc32(doc_id as text)
 mod 4 is not 2, and from the ``TRAIN_DOCS`` labelled documents with the smallest hash of their id at most (the documented
-bound of the fit). Words and their beginnings of 4 and 5 letters become insults where their share of toxic documents is too
-high for chance (log likelihood ratio against the logarithm of the number of candidates). Fixed seed words serve where the
-labelled rows say nothing. labels, lang, source and doc_id are never inputs of a score.
+bound of the fit; of rows with one id the one of the least hash). Equal texts with equal labels train once. Words and their beginnings of 4 and 5
+letters become insults where their share of toxic witnesses is too high for chance (log likelihood ratio against the
+logarithm of the number of candidates); near copies, which share their least or greatest hash of a long word, are one
+witness of a word. Fixed seed words serve where the labelled rows say nothing. labels, lang, source and doc_id are never
+inputs of a score.
 
-Defined results: null and empty texts score as a text without any insult; predicted is 1 from 0.3 on; a null doc_id is not
+Defined results: null and empty texts score as a text without any pattern; predicted is 1 from 0.3 on; a null doc_id is not
 held out and not learned from; a doc_id with several labels is toxic if one says so; without usable labels the fixed
 seeds and prior coefficients score. An empty table gives an empty result.
 """
@@ -54,17 +63,17 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n]")
 SEED_WEIGHT = 3.0
 
 #: Feature classes, the prior coefficients that the fit is drawn to, and the prior intercept.
-CLASSES = ("bare", "targeted", "negated", "reported", "threat", "threat_off")
+CLASSES = ("piled", "targeted", "negated", "reported", "threat", "threat_off")
 PRIOR = np.array([1.5, 1.8, 0.6, 0.8, 1.5, 0.3])
 PRIOR_INTERCEPT = -4.0
 
 
-def machine(**moves: int):
-    """A two-state machine: symbol -> state; other symbols keep the state. Every clause end resets."""
-    return {END: 0} | {globals()[name]: state for name, state in moves.items()}
+def machine(lasting: bool = False, **moves: int):
+    """A two-state machine: symbol -> state; other symbols keep the state. A clause end resets it unless it is lasting."""
+    return ({} if lasting else {END: 0}) | {globals()[name]: state for name, state in moves.items()}
 
 
-MACHINES = (machine(T=1), machine(N=1, C=0), machine(R=1, C=0), machine(FUT=1))
+MACHINES = (machine(T=1), machine(N=1, C=0), machine(R=1, C=0), machine(FUT=1), machine(lasting=True, I=1))
 
 
 def compose(machines=MACHINES) -> list[list[int]]:
@@ -74,16 +83,20 @@ def compose(machines=MACHINES) -> list[list[int]]:
     return [[step(s, x) for x in range(C + 1)] for s in states]
 
 
+#: What an insult does that no pattern has taken yet, and a threat word that makes none.
+WAIT, NOTHING = -2, -1
+
+
 def emitted(state: int, symbol: int) -> int:
     """The class of an insult or threat read in a context."""
-    target, negated, reported, future = (state >> k & 1 for k in range(4))
+    target, negated, reported, future, abuse = (state >> k & 1 for k in range(5))
     if symbol == I:
-        return 2 if negated else 3 if reported else 1 if target else 0
-    return 5 if negated or reported or not (target or future) else 4
+        return 2 if negated else 3 if reported else 1 if target else 0 if abuse else WAIT
+    return NOTHING if not (target or future) else 5 if negated or reported else 4
 
 
 TABLE = compose()
-EMIT = [[emitted(s, x) if x in (I, K) else -1 for x in range(C + 1)] for s in range(len(TABLE))]
+EMIT = [[emitted(s, x) if x in (I, K) else NOTHING for x in range(C + 1)] for s in range(len(TABLE))]
 
 
 @dataclass
@@ -123,25 +136,34 @@ class Grammar:
         if len(table) > TABLE_WORDS:
             table.clear()
         total = [0.0] * len(CLASSES)
-        state, bare = 0, 0.0
+        # first: an insult that waits for a target in its clause or for a second insult; piled: the clause's piled weight
+        state, first, clause, piled = 0, 0.0, False, 0.0
         for word in _TOKEN.findall(text.lower()):
             known = table.get(word)
             if known is None:
                 known = table[word] = self.symbol(word)
-            symbol = known[0]
+            symbol, weight = known
             if not symbol:
                 continue
             c = EMIT[state][symbol]
-            if c >= 0:
-                total[c] += known[1]
-                bare += known[1] if c == 0 else 0.0
-            state = TABLE[state][symbol]
-            if symbol == T and bare:
-                total[0] -= bare
-                total[1] += bare
-                bare = 0.0
+            if c == WAIT:
+                first, clause = weight, True
+            elif c >= 0:
+                total[c] += weight
+                if symbol == I and first:  # the second insult of the text
+                    total[0] += first
+                    piled += first if clause else 0.0
+                    first, clause = 0.0, False
+                piled += weight if c == 0 else 0.0
+            if symbol == T:  # a target that comes later takes what its clause has piled up, or the insult that waits
+                total[0] -= piled
+                total[1] += piled + (first if clause else 0.0)
+                piled = 0.0
+                if clause:
+                    first, clause = 0.0, False
             elif symbol == END:
-                bare = 0.0
+                clause, piled = False, 0.0
+            state = TABLE[state][symbol]
         return total
 
     def score(self, text: str) -> float:
@@ -160,19 +182,25 @@ def training_rows(docs: DataFrame, marks: DataFrame, text: str, limit: int) -> D
     one = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-    # copies of a text are one witness: of rows that share their least or greatest hash of a long word, one stays
+    # one row an id, so the limit holds however often an id is repeated, and one an equal text; the same rows in every run
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    one_each = rows.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "toxic")
+    return write_shared(one_each, "toxicity-training")
+
+
+def witnesses(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``witness``: the same for texts that share their least or their greatest hash of a long word."""
     long = F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}{9,}"), F.lit(0)), lambda w: F.xxhash64(w))
     keyed = rows.withColumns({"lo": F.coalesce(F.array_min(long), F.xxhash64("text")),
                               "hi": F.coalesce(F.array_max(long), F.xxhash64("text"))})
-    first = lambda df, key: df.groupBy(key, "toxic").agg(  # noqa: E731  the same rows in every run
-        F.min_by(F.struct(*[c for c in df.columns if c not in (key, "toxic")]),
-                 F.struct(F.xxhash64("doc_id", "text"), "doc_id")).alias("r")).select(key, "toxic", "r.*")
-    return write_shared(first(first(keyed, "lo"), "hi").select("doc_id", "text", "toxic"), "toxicity-training")
+    return keyed.join(keyed.groupBy("lo").agg(F.min("hi").alias("witness")), "lo")
 
 
 def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of words and of stems (log odds) that are toxic beyond chance."""
-    counts = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    rows = witnesses(rows)
+    one = rows.groupBy("witness").agg(F.max("toxic").alias("toxic"))
+    counts = one.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, toxic = counts.n or 0, counts.t or 0
     if not toxic or toxic == n:
         return {}, {}
@@ -180,7 +208,8 @@ def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     stems = [F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
              for k in STEMS]
     tokens = F.array_distinct(F.concat(words, *stems))
-    seen = (rows.select("toxic", F.explode(tokens).alias("token")).groupBy("token")
+    seen = (rows.select("witness", "toxic", F.explode(tokens).alias("token")).groupBy("token", "witness")
+            .agg(F.max("toxic").alias("toxic")).groupBy("token")
             .agg(F.sum("toxic").alias("a"), F.count("*").alias("k")).where("k >= 3"))
     candidates = max(2, seen.count())
     base = toxic / n

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -348,14 +349,63 @@ def test_toxicity_never_learns_from_held_out_rows(spark):
     assert toxicity.learn(docs, marks) == toxicity.Grammar()
 
 
-def test_toxicity_scores_clauses_by_context():
+def test_toxicity_scores_patterns_by_context():
     g = toxicity.Grammar()
-    bare, targeted, negated, said = (g.score(t) for t in ("an idiot here", "you idiot", "you are not an idiot", "he said idiot"))
-    assert targeted > bare > negated and bare > said > g.score("some words")
-    assert g.score("you will burn") > g.score("wood will. burn")
+    alone, targeted, negated, said, piled = (g.score(t) for t in (
+        "an idiot here", "you idiot", "you are not an idiot", "he said idiot", "an idiot here. such scum"))
+    assert alone == g.score("some words")  # a word alone has no score
+    assert g.score("you idiot. you scum") > piled > said > alone and targeted > said and targeted > negated > alone
+    assert g.score("trash on the street") == g.score("wood will. burn") == alone and g.score("you will burn") > alone
     assert g.features("an idiot, you")[:2] == [0.0, toxicity.SEED_WEIGHT]
 
 
+def plain_features(g, text):
+    """The classes by their rules, clause by clause, without any automaton."""
+    clauses, out = [[]], [0.0] * 6
+    for word in toxicity._TOKEN.findall(text.lower()):
+        symbol, weight = g.symbol(word)
+        if symbol == toxicity.END:
+            clauses.append([])
+        else:
+            clauses[-1].append((symbol, weight))
+    insults = sum(s == toxicity.I for c in clauses for s, _ in c)
+    seen = 0
+    for clause in clauses:
+        for k, (symbol, weight) in enumerate(clause):
+            before = [s for s, _ in clause[:k]]
+            since = before[len(before) - before[::-1].index(toxicity.C):] if toxicity.C in before else before
+            negated, reported, target = toxicity.N in since, toxicity.R in since, toxicity.T in before
+            if symbol == toxicity.I:
+                seen += 1
+                if negated or reported:
+                    out[2 if negated else 3] += weight
+                elif target or any(s == toxicity.T for s, _ in clause[k + 1:]):
+                    out[1] += weight
+                elif insults > 1:
+                    out[0] += weight
+            elif symbol == toxicity.K and (target or toxicity.FUT in before):
+                out[5 if negated or reported else 4] += weight
+    return out
+
+
+def test_toxicity_grammar_equals_the_plain_rules():
+    g, r = toxicity.Grammar(), random.Random(11)
+    words = ["idiot", "scum", "trash", "you", "your", "not", "said", "but", "kill", "will", ".", "!", "a", "word", "house"]
+    for _ in range(3000):
+        text = " ".join(r.choice(words) for _ in range(r.randint(0, 14)))
+        assert g.features(text) == pytest.approx(plain_features(g, text)), text
+
+
+def test_toxicity_leaves_out_equal_texts_only(spark):
+    docs = spark.createDataFrame([(i, f"extraordinarily other words {i % 50}", 1) for i in range(200)]
+                                 + [(5, "a second text of one id", 1)] * 30, "doc_id bigint, text string, toxic int")
+    marks = spark.createDataFrame([(i, 0) for i in range(200)], "doc_id bigint, toxic int")
+    got = [r.text for r in toxicity.training_rows(docs, marks, "text", 20_000).collect()]
+    assert len(got) == len(set(got)) and len(got) in (50, 51)
+    grouped = toxicity.witnesses(spark.createDataFrame([(t, 0) for t in got], "text string, toxic int"))
+    assert grouped.count() == len(got) and grouped.select("witness").distinct().count() <= 2
+
+
 # ---- op9 -----------------------------------------------------------------------------------------------------------
 
 
@@ -379,3 +429,31 @@ def test_quality_em_finds_the_bad_labeller():
         counts[right(0.95) + right(0.9) + right(0.9) + right(0.5)] += 1
     p = quality.expectation_maximisation(counts)
     assert p["1110"] > 0.95 and p["0001"] < 0.05 and abs(p["1111"] - p["1110"]) < 0.05
+
+
+def test_quality_votes_do_not_change_with_the_length():
+    sentence = "one short sentence repeated over and over. "
+    assert {quality.votes(sentence * n) for n in (100, 200, 290, 400, 5000)} == {quality.votes(sentence * 50)}
+    r = random.Random(2)
+    varied = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(9000))
+    assert quality.votes(varied)[5] == quality.votes(varied[:3000])[5] == quality.GOOD
+
+
+@pytest.mark.parametrize("text", ["a = 1\n" + "plain words here " * 65_000, "x = 1 " + '{\\"password\\": \\"hunter2hunter2\\", ' * 30_000,
+                                  "password: " + "'" * 500_000, "token" + " " * 1_000_000])
+def test_secret_scans_of_long_lines_are_linear(text):
+    start = time.perf_counter()
+    assert isinstance(secrets.scan(text), list)
+    assert time.perf_counter() - start < 4
+
+
+def test_a_quote_that_nothing_closes_settles_its_line():
+    r = random.Random(9)
+    for _ in range(4000):
+        line = "".join(r.choice("\"'`\\\\ax= ") for _ in range(r.randint(1, 25)))
+        for quote, rest in secrets._STRING.items():
+            plain = re.compile(quote + (r"(?:[^\\%s]|\\.)*" % quote if quote != "`" else "[^`]*") + quote)
+            open_at = [i for i, c in enumerate(line) if c == quote]
+            slow = [plain.match(line, i) for i in open_at]
+            assert [m and m.end() for m in slow] == [m and m.end() for m in (rest.match(line, i + 1) for i in open_at)]
+            assert not any(a is None and b is not None for a, b in zip(slow, slow[1:])), line
