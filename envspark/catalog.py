@@ -639,15 +639,25 @@ def agg_choice_max_day(spark, d):
     return _resample(pol, "day", agg="max")
 
 
-@register("wind_rose", sql(f"""
-SELECT CAST(floor((dir_deg + 11.25) / 22.5) % 16 AS INT) AS sector,
+# Direction and speed are two measured series of E (PM10 read as degrees, PM25 as tenths of the speed), whose times do not
+# meet; each speed takes the last direction of its station within the hour before it.
+WIND_TOLERANCE_S = 3600
+
+
+@register("wind_rose", _sql_with(f"""
+dir AS (SELECT station_id, observed_at, arg_max(value, measurement_id) AS deg FROM measurements
+        WHERE variable_code = 'PM10' AND value IS NOT NULL GROUP BY 1, 2),
+vel AS (SELECT station_id, observed_at, value FROM measurements WHERE variable_code = 'PM25' AND value IS NOT NULL),
+met AS (SELECT dir.deg - floor(dir.deg / 360) * 360 AS dir_deg, vel.value / 10 AS speed
+        FROM vel ASOF JOIN dir ON vel.station_id = dir.station_id AND vel.observed_at >= dir.observed_at
+        WHERE vel.observed_at - dir.observed_at <= INTERVAL {WIND_TOLERANCE_S} SECONDS),
+n AS (SELECT CAST(floor((dir_deg + 11.25) / 22.5) % 16 AS INT) AS sector,
        CASE WHEN speed < 2 THEN '0-2' WHEN speed < 4 THEN '2-4' WHEN speed < 6 THEN '4-6' ELSE '6+' END AS speed_class,
-       count(*) AS n, {R6('count(*) / (SELECT count(*) FROM measurements)')} AS share
-FROM (SELECT CAST((measurement_id * 37) % 360 AS DOUBLE) AS dir_deg, value / 10 AS speed FROM measurements)
-GROUP BY 1, 2""", "measurements"))
+       count(*) AS n FROM met GROUP BY 1, 2)
+SELECT sector, speed_class, n, {R6('n / (SELECT sum(n) FROM n)')} AS share FROM n""", "measurements"))
 def wind_rose(spark, d):
-    m = B.measurements(spark, d).select(((F.col("measurement_id") * 37) % 360).cast("double").alias("dir_deg"),
-                                        (F.col("value") / 10).alias("speed"))
+    met = A.as_of(B.measurements(spark, d), "PM25", "PM10", WIND_TOLERANCE_S)
+    m = met.select((F.col("right") - F.floor(F.col("right") / 360) * 360).alias("dir_deg"), (F.col("left") / 10).alias("speed"))
     return r6(A.wind_rose(m), "share")
 
 
@@ -673,22 +683,15 @@ pairs AS (SELECT x.station_id AS a, y.station_id AS b, {_haversine_sql('x', 'y')
           FROM stations x JOIN stations y ON x.station_id < y.station_id
           WHERE x.latitude IS NOT NULL AND y.latitude IS NOT NULL AND x.longitude IS NOT NULL
             AND y.longitude IS NOT NULL AND {_haversine_sql('x', 'y')} <= {RADIUS_KM}),
-h AS (SELECT station_id, strftime(observed_at, '%Y-%m-%d %H:00') AS bucket, avg(value) AS v
-      FROM measurements WHERE variable_code = 'PM25' GROUP BY 1, 2)
-SELECT p.a, p.b, {R6('p.distance_km')} AS distance_km, count(*) AS n_hours, {R6('avg(abs(ha.v - hb.v))')} AS mean_abs_diff
+h AS (SELECT station_id, variable_code, strftime(observed_at, '%Y-%m-%d %H:00') AS bucket, avg(value) AS v
+      FROM measurements GROUP BY 1, 2, 3)
+SELECT p.a, p.b, {R6('p.distance_km')} AS distance_km, ha.variable_code AS variable_a, hb.variable_code AS variable_b,
+       count(*) AS n_hours, {R6('avg(ha.v)')} AS mean_a, {R6('avg(hb.v)')} AS mean_b, {R6('avg(abs(ha.v - hb.v))')} AS mean_abs_diff
 FROM pairs p JOIN h ha ON ha.station_id = p.a JOIN h hb ON hb.station_id = p.b AND hb.bucket = ha.bucket
-GROUP BY p.a, p.b, p.distance_km""", "measurements", "stations"))
+GROUP BY p.a, p.b, p.distance_km, ha.variable_code, hb.variable_code""", "measurements", "stations"))
 def radius_join(spark, d):
-    m = B.measurements(spark, d).where(F.col("variable_code") == "PM25")
-    hourly = A.resample(m, "hour", "station_id", with_overall=False).select(
-        F.col("series").cast("int").alias("station_id"), "bucket", F.col("value").alias("v"))
     pairs = A.radius_pairs(B.stations(spark, d), RADIUS_KM)
-    ha = hourly.select(F.col("station_id").alias("a"), "bucket", F.col("v").alias("va"))
-    hb = hourly.select(F.col("station_id").alias("b"), "bucket", F.col("v").alias("vb"))
-    j = pairs.join(ha, "a").join(hb, ["b", "bucket"])
-    out = j.groupBy("a", "b", "distance_km").agg(F.count("*").alias("n_hours"),
-                                                 F.avg(F.abs(F.col("va") - F.col("vb"))).alias("mean_abs_diff"))
-    return r6(out, "distance_km", "mean_abs_diff")
+    return r6(A.crossed_variables(B.measurements(spark, d), pairs), "distance_km", "mean_a", "mean_b", "mean_abs_diff")
 
 
 # ---------------------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark.functions.timefmt import truncate_hour
+from envspark.operators.positions import positional_values
 
 
 def feature_table(facts: DataFrame, variables: list[str], key: str = "station_id") -> DataFrame:
@@ -49,11 +50,15 @@ def minmax_inverse(scaled, mn, mx):
 
 
 def chrono_split(df: DataFrame, ratio: float = 0.8, key: str = "station_id", order: str = "bucket") -> DataFrame:
-    """M4: the first floor(ratio * n) rows of each series are 'train', the rest 'test'."""
-    w = Window.partitionBy(key).orderBy(order)
-    n = F.count("*").over(Window.partitionBy(key))
-    return df.withColumn("split", F.when(F.row_number().over(w) <= F.floor(n * ratio), F.lit("train"))
-                         .otherwise(F.lit("test")))
+    """M4: the first floor(ratio * n) rows of each series are 'train', the rest 'test'.
+
+    The time at that position comes by histogram refinement (``positions``), so no task sorts a series; rows of that very time
+    are 'test', also if it is repeated.
+    """
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{order}`)").cast("double")
+    cut = positional_values(df, key, micros, {"cut": F.floor(F.col("n") * ratio)}).select(F.col("series").alias(key), "cut")
+    return df.join(cut, key).withColumn("split", F.when(F.col("cut").isNull() | (micros < F.col("cut")), F.lit("train"))
+                                        .otherwise(F.lit("test"))).drop("cut")
 
 
 def persistence_predictions(features: DataFrame, target: str, ratio: float = 0.8,

@@ -15,6 +15,7 @@ from envspark import vocab
 from envspark.functions.scalar import global_stats
 from envspark.functions.timefmt import (bucket_key, day_string, hour_of_day_fraction, weekday_index,
                                         weekday_name)
+from envspark.operators.positions import positional_values
 
 OVERALL = "overall"
 
@@ -224,14 +225,12 @@ def autocorrelation(points: DataFrame, max_lag: int = vocab.MAX_ACF_LAG) -> Data
 def iqr_anomalies(points: DataFrame) -> DataFrame:
     """Quartiles by position (sorted[floor(n/4)], sorted[floor(3n/4)], 0-based), 1.5 IQR fences.
 
-    n < 5: points unchanged (flags and fences null). Normal points get a null anomaly_value.
+    n < 5: points unchanged (flags and fences null). Normal points get a null anomaly_value. The quartiles come by
+    histogram refinement (``positions``), so no task sorts a series.
     """
-    by_value = Window.partitionBy("series").orderBy("value")
-    whole = Window.partitionBy("series")
-    ranked = points.withColumn("rn", F.row_number().over(by_value)).withColumn("n", F.count("*").over(whole))
-    q1 = F.max(F.when(F.col("rn") == F.floor(F.col("n") * 0.25) + 1, F.col("value"))).over(whole)
-    q3 = F.max(F.when(F.col("rn") == F.floor(F.col("n") * 0.75) + 1, F.col("value"))).over(whole)
-    fenced = ranked.withColumn("q1", q1).withColumn("q3", q3)
+    n = F.col("n")
+    quartiles = positional_values(points, "series", F.col("value"), {"q1": F.floor(n * 0.25), "q3": F.floor(n * 0.75)})
+    fenced = points.join(quartiles, "series")
     iqr = F.col("q3") - F.col("q1")
     lower = F.col("q1") - iqr * 1.5
     upper = F.col("q3") + iqr * 1.5
@@ -309,15 +308,37 @@ def correlation_matrix(df: DataFrame, variables: list[str], align: list[str], gr
     return one.selectExpr(stack)
 
 
+def as_of(df: DataFrame, left: str, right: str, tolerance_s: int, key: str = "station_id", variable: str = "variable_code",
+          ts: str = "observed_at", value: str = "value", order: str = "measurement_id") -> DataFrame:
+    """(key, ts, left, right): every measurement of variable ``left`` with the last one of ``right`` of its key that is not
+    later and at most ``tolerance_s`` seconds older; rows without one are left out.
+
+    Time is cut into slots of the tolerance. A right row goes to its own slot and the next, a left row to its own, so a left
+    row meets every right row it may take, and a window holds two slots of one key, never a whole series. Of right rows
+    at one time the one of the greatest ``order`` counts.
+    """
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+    rows = df.where(F.col(variable).isin(left, right) & F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(value).isNotNull()).select(
+        key, ts, (F.col(variable) == left).alias("is_left"), F.col(value).alias("v"), F.col(order).alias("o"), micros.alias("at"))
+    slot = F.floor(F.col("at") / (tolerance_s * 1_000_000))
+    slots = F.when(F.col("is_left"), F.array(slot)).otherwise(F.array(slot, slot + 1))
+    rows = rows.withColumn("slot", F.explode(slots))
+    before = Window.partitionBy(key, "slot").orderBy("at", "is_left", "o").rowsBetween(Window.unboundedPreceding, 0)
+    right_row = F.when(~F.col("is_left"), F.struct("at", "v"))
+    met = rows.withColumn("r", F.last(right_row, ignorenulls=True).over(before)).where("is_left")
+    return met.where(F.col("at") - F.col("r.at") <= tolerance_s * 1_000_000).select(
+        key, ts, F.col("v").alias("left"), F.col("r.v").alias("right"))
+
+
 def wind_rose(df: DataFrame, direction: str = "dir_deg", speed: str = "speed") -> DataFrame:
-    """16 sectors of 22.5 degrees (N centred) x speed classes; count and share of all rows."""
+    """16 sectors of 22.5 degrees (N centred) x speed classes; count and share of all counted rows."""
     sector = (F.floor((F.col(direction) + 11.25) / 22.5) % 16).cast("int")
     s = F.col(speed)
     klass = (F.when(s < 2, F.lit("0-2")).when(s < 4, F.lit("2-4")).when(s < 6, F.lit("4-6"))
              .otherwise(F.lit("6+")))
     counts = df.select(sector.alias("sector"), klass.alias("speed_class")).groupBy("sector", "speed_class") \
         .agg(F.count("*").alias("n"))
-    total = df.select(F.count("*")).scalar()
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # 64 rows at most
     return counts.withColumn("share", F.col("n") / total)
 
 
@@ -366,3 +387,23 @@ def radius_pairs(points: DataFrame, radius_km: float, key: str = "station_id", l
     cand = a.join(b, ["cx", "cy", "cz"]).where(F.col("a") < F.col("b"))
     dist = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     return cand.select("a", "b", dist.alias("distance_km")).where(F.col("distance_km") <= radius_km)
+
+
+def crossed_variables(df: DataFrame, pairs: DataFrame, key: str = "station_id", variable: str = "variable_code",
+                      ts: str = "observed_at", value: str = "value") -> DataFrame:
+    """For every pair of places (a, b, distance_km) and of variables, the hours in which both measured, the mean of
+    each and the mean absolute difference of their hourly means.
+
+    The measurements are reduced to one row a place and hour, with the mean of every variable in it, before the pairs
+    meet; the variables of a pair of rows are crossed inside the row and summed where they lie.
+    """
+    hour = bucket_key(ts, "hour").alias("bucket")
+    means = df.groupBy(key, hour, variable).agg(F.avg(value).alias("v"))
+    hourly = means.groupBy(key, "bucket").agg(F.collect_list(F.struct(F.col(variable).alias("variable"), "v")).alias("m"))
+    a = hourly.select(F.col(key).alias("a"), "bucket", F.col("m").alias("ma"))
+    b = hourly.select(F.col(key).alias("b"), "bucket", F.col("m").alias("mb"))
+    met = pairs.join(a, "a").join(b, ["b", "bucket"]).select("a", "b", "distance_km", F.explode("ma").alias("x"), "mb")
+    met = met.select("a", "b", "distance_km", "x", F.explode("mb").alias("y"))
+    return met.groupBy("a", "b", "distance_km", F.col("x.variable").alias("variable_a"), F.col("y.variable").alias("variable_b")).agg(
+        F.count("*").alias("n_hours"), F.avg("x.v").alias("mean_a"), F.avg("y.v").alias("mean_b"),
+        F.avg(F.abs(F.col("x.v") - F.col("y.v"))).alias("mean_abs_diff"))

@@ -19,11 +19,14 @@ from pyspark.sql import types as T
 
 from envspark.functions.text import normalize_code_py, normalize_text_series
 
-COMMENT_RE = r"(?s)<!--.*?(?:-->|$)"
-ANCHOR_RE = r"""(?is)<a\s(?:[^>"']++|"[^"]*"|'[^']*')*+>.*?</a>"""
+# No alternative below can be left again once it matched (possessive groups), so a tag of any length is read in one loop
+# and without recursion.
+TAG = r"""<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ANCHOR_RE = rf"(?is){TAG}.*?</a>"
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"']++)"""
 # an href attribute of the opening tag (not data-href): double-quoted, single-quoted or bare
-HREF_RE = r"""(?is)^<a(?:[^>"'\s]++|\s|"[^"]*"|'[^']*')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-INNER_RE = r"""(?is)^<a\s(?:[^>"']++|"[^"]*"|'[^']*')*+>(.*)</a>$"""
+HREF_RE = rf"""(?is)^<a(?:(?!\shref\s*+=\s*+{_VALUE})(?:[^>"'\s]++|\s|"[^"]*+"|'[^']*+'))*+\shref\s*+=\s*+({_VALUE})"""
+INNER_RE = rf"(?is)^{TAG}(.*)</a>$"
 CODE_IN_PARENS_RE = r"\(([a-z0-9\.\-]+)\)"
 
 # HTML entities decoded in anchor text.
@@ -36,9 +39,21 @@ def _decoded(c: Column) -> Column:
     return c
 
 
+def without_comments(html: Column) -> Column:
+    """HTML without its comments; one that is never closed goes to the end. Each part behind a "<!--" is looked at once."""
+    parts = F.split(html, "<!--")
+    behind = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.when(
+        F.instr(p, "-->") > 0, F.substring(p, F.instr(p, "-->") + 3, F.length(p))).otherwise(F.lit("")))
+    return F.concat(F.element_at(parts, 1), F.array_join(behind, ""))
+
+
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, page_url, pos, href, text) for every <a href> outside comments, in document order."""
-    found = F.regexp_extract_all(F.regexp_replace("html", COMMENT_RE, ""), F.lit(ANCHOR_RE), 0)
+    html = without_comments(F.col("html"))
+    # behind the last end tag no anchor can be complete, so no opening tag there is followed to the end of the page
+    closed = F.replace(html, F.lit("</A>"), F.lit("</a>"))
+    html = F.substring(html, F.lit(1), F.length(html) - F.length(F.substring_index(closed, "</a>", -1)))
+    found = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 0)
     ex = pages.select("page_id", F.col("url").alias("page_url"),
                       F.posexplode(F.filter(found, lambda a: a.rlike(HREF_RE))).alias("pos", "a"))
     text = _decoded(F.regexp_replace(F.regexp_extract("a", INNER_RE, 1), r"<[^>]*>", " "))

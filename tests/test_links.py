@@ -1,5 +1,7 @@
 """Link extraction on HTML that the given pages do not hold."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from envspark.sources import links as LK
@@ -20,3 +22,22 @@ def test_hrefs_of_every_kind(spark):
         (2, "../up/./three.zip#f", "CO", "http://h.org/a/up/three.zip"),
         (3, "/../../top/..", "", "http://h.org/"),
     ]
+
+
+def test_awkward_markup_of_a_megabyte_is_read_once(spark):
+    whole = "<a href='one.zip'>NO2</a>"
+    pages = {
+        "blanks": f"<a {' ' * 1_000_000} href='one.zip'>NO2</a>",
+        "attributes": f"<a {'x=1 ' * 125_000}{'y=&quot;&quot; z=\'q\' ' * 50_000}href='one.zip'>NO2</a>",
+        "open comments": "<!-- x " * 150_000 + "-->" + whole,
+        "closed comments": "<!-- x --> " * 90_000 + whole,
+        "open anchors": whole + "<a href='x'>y " * 70_000,
+        "open tags": whole + "<a x " * 200_000,
+        "hrefs without a value": f"<a {'href= ' * 100}data-href='no' href='one.zip'>NO2</a>",
+    }
+    df = spark.createDataFrame([(k, "http://h.org/", v) for k, v in pages.items()], "page_id string, url string, html string")
+    for name in pages:
+        start = time.perf_counter()
+        got = [(r.href, r.text) for r in LK.anchors(df.where(F.col("page_id") == name)).collect()]
+        assert time.perf_counter() - start < 6, name
+        assert got == ([("href=", "NO2")] if name == "hrefs without a value" else [("one.zip", "NO2")]), name
