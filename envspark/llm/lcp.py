@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from envspark.llm.common import documents, python_texts
 
 BINS, FIRST_LEVEL, ROUNDS = 64, 3, 3
-#: Characters parsed at once.
-CHUNK = 1 << 20
+#: Characters parsed at once: so many that the arrays of a level stay in a core's cache.
+CHUNK = 1 << 18
 EMPTY = "...." * BINS
 U = np.uint64
 
@@ -47,15 +47,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _tossed() -> np.ndarray:
+    """The label of a symbol below 128 by its left neighbour and itself: place and value of the lowest bit that differs."""
+    left, own = np.arange(128)[:, None], np.arange(128)[None, :]
+    differ = left ^ own
+    low = differ & -differ
+    return (2 * np.log2(np.maximum(low, 1)).astype(np.uint8) + ((own & low) != 0)).astype(np.uint8).ravel()
+
+
+_TOSSED = _tossed()
+
+
 def _labels(sym: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Deterministic coin tossing; ``first``: symbols without a left neighbour."""
-    lab = sym
-    for _ in range(ROUNDS):
-        left = np.concatenate([lab[:1], lab[:-1]])
-        differ = lab ^ left
-        differ[first] = 1
-        low = differ & (~differ + U(1))
-        lab = U(2) * np.bitwise_count(low - U(1)).astype(U) + ((lab & low) != 0)
+    """Deterministic coin tossing; ``first``: symbols without a left neighbour. After the first round labels are below 128, so
+    the others look a pair of neighbours up."""
+    at = np.flatnonzero(first)
+    differ = np.empty_like(sym)
+    np.bitwise_xor(sym[1:], sym[:-1], out=differ[1:])
+    differ[at] = 1
+    low = differ & (~differ + U(1))
+    lab = (np.bitwise_count(low - U(1)) << 1) + ((sym & low) != 0)
+    for _ in range(ROUNDS - 1):
+        pair = np.zeros(len(lab), np.uint16)
+        np.left_shift(lab[:-1], 7, out=pair[1:], dtype=np.uint16, casting="unsafe")
+        pair += lab
+        tossed = _TOSSED[pair]
+        tossed[at] = lab[at] & 1
+        lab = tossed
     return lab.astype(np.int8)
 
 

@@ -457,3 +457,40 @@ def test_a_quote_that_nothing_closes_settles_its_line():
             slow = [plain.match(line, i) for i in open_at]
             assert [m and m.end() for m in slow] == [m and m.end() for m in (rest.match(line, i + 1) for i in open_at)]
             assert not any(a is None and b is not None for a, b in zip(slow, slow[1:])), line
+
+
+def plain_phrases(symbols):
+    """One level of the parse by its rule, symbol by symbol: the phrases' (symbol, run length) sequences."""
+    runs = []
+    for s in symbols:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    mix = lambda x: int(lcp._mix(np.array([x], np.uint64))[0])
+    names = [s if n == 1 else mix((s + n * 0x9E3779B97F4A7C15) % 2**64) for s, n in runs]
+    labels = names
+    for _ in range(lcp.ROUNDS):
+        tossed = []
+        for k, own in enumerate(labels):
+            differ = own ^ labels[k - 1] if k else 1
+            place = (differ & -differ).bit_length() - 1
+            tossed.append(2 * place + (own >> place & 1))
+        labels = tossed
+    starts = [k for k, x in enumerate(labels) if k == 0 or k < len(labels) - 1 and labels[k - 1] < x >= labels[k + 1]]
+    return [names[a:b] for a, b in zip(starts, [*starts[1:], len(names)])]
+
+
+def test_lcp_parse_equals_the_rule_symbol_by_symbol():
+    r = random.Random(6)
+    for _ in range(300):
+        texts = ["".join(r.choice("aab cdé日") for _ in range(r.randint(1, 60))) for _ in range(3)]
+        sym = np.array([ord(c) for t in texts for c in t], np.uint64)
+        doc = np.repeat(np.arange(3), [len(t) for t in texts])
+        names, docs = lcp.parse(sym, doc)
+        want = [p for t in texts for p in plain_phrases([ord(c) for c in t])]
+        by_name = {}
+        assert len(names) == len(want) and docs.tolist() == [k for k, t in enumerate(texts) for _ in plain_phrases([ord(c) for c in t])]
+        for name, phrase in zip(names.tolist(), want):  # equal phrases have equal names, others different ones
+            assert by_name.setdefault(tuple(phrase), name) == name
+        assert len(set(by_name.values())) == len(by_name)
