@@ -211,6 +211,7 @@ def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     seen = (rows.select("witness", "toxic", F.explode(tokens).alias("token")).groupBy("token", "witness")
             .agg(F.max("toxic").alias("toxic")).groupBy("token")
             .agg(F.sum("toxic").alias("a"), F.count("*").alias("k")).where("k >= 3"))
+    seen = write_shared(seen, "toxicity-words")  # read three times below
     candidates = max(2, seen.count())
     base = toxic / n
     share = F.col("a") / F.col("k")
