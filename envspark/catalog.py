@@ -1271,6 +1271,68 @@ def stream_window(spark, d):
     return r6(spark.read.parquet(out), "mean_value")
 
 
+STREAM_BATCHES, STREAM_DELAY = 4, "3 days"
+
+
+def _arrivals(spark, d, work, again: int | None = None):
+    """The events in STREAM_BATCHES arrivals by event id, every tenth one an arrival later than its neighbours and the one
+    after it two later; one streaming run after each. Every ``again``-th event of an arrival is sent once more with the
+    next one. Yields the stream to run."""
+    events = spark.read.parquet(f"{d.rstrip('/')}/events.parquet")
+    total = events.agg(F.max("event_id")).first()[0] + 1
+    behind = F.when(F.col("event_id") % 10 < 2, F.col("event_id") % 10 + 1).otherwise(0)
+    part = F.least(F.floor(F.col("event_id") * STREAM_BATCHES / total) + behind, F.lit(STREAM_BATCHES - 1))
+    folder = os.path.join(work, "in")
+    for k in range(STREAM_BATCHES):
+        rows = events.where(part == k)
+        if again and k:
+            rows = rows.unionByName(events.where((part == k - 1) & (F.col("event_id") % again == 0)))
+        rows.write.parquet(os.path.join(folder, f"arrival-{k}"))
+        yield _event_measurements(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(folder))
+
+
+_ARRIVALS_SQL = f"""
+arrived AS (SELECT *, least({STREAM_BATCHES - 1}, CAST(floor(measurement_id * {STREAM_BATCHES} / (SELECT max(measurement_id) + 1 FROM measurements)) AS INT)
+                     + CASE WHEN measurement_id % 10 < 2 THEN measurement_id % 10 + 1 ELSE 0 END) AS part,
+                   time_bucket(INTERVAL 1 DAY, observed_at) AS window_start, time_bucket(INTERVAL 1 DAY, observed_at) + INTERVAL 1 DAY AS window_end
+            FROM measurements),
+newest AS (SELECT part, max(observed_at) AS t FROM arrived GROUP BY part),
+mark AS (SELECT p.part, max(q.t) - INTERVAL {STREAM_DELAY} AS w FROM newest p LEFT JOIN newest q ON q.part < p.part GROUP BY p.part),
+judged AS (SELECT a.*, coalesce(a.window_end <= m.w, false) AS too_late FROM arrived a JOIN mark m USING (part))"""
+
+
+@register("stream_window_append", _sql_with(_ARRIVALS_SQL + f"""
+SELECT window_start, window_end, variable_code, count(*) AS n, {R6('avg(value)')} AS mean_value,
+       window_end <= (SELECT max(t) - INTERVAL {STREAM_DELAY} FROM newest) AS closed
+FROM judged WHERE NOT too_late GROUP BY 1, 2, 3""", "measurements"))
+def stream_window_append(spark, d):
+    work = STR._work_dir(spark, "stream-append")
+    for stream in _arrivals(spark, d, work):
+        STR.stream_window_append(stream, "1 day", None, ["variable_code"], STREAM_DELAY, work)
+    return r6(STR.read_windows(spark, work), "mean_value")
+
+
+@register("stream_late_rows", _sql_with(_ARRIVALS_SQL + """
+SELECT variable_code, count(*) AS n_late, min(observed_at) AS oldest, sum(measurement_id)::BIGINT AS id_sum FROM judged WHERE too_late GROUP BY 1""", "measurements"))
+def stream_late_rows(spark, d):
+    work = STR._work_dir(spark, "stream-late")
+    for stream in _arrivals(spark, d, work):
+        STR.stream_window_append(stream, "1 day", None, ["variable_code"], STREAM_DELAY, work)
+    return STR.read_late(spark, work).groupBy("variable_code").agg(
+        F.count("*").alias("n_late"), F.min("observed_at").alias("oldest"), F.sum("measurement_id").alias("id_sum"))
+
+
+# T-S3 over several arrivals in which every seventh event comes twice
+@register("stream_dedup_resent", sql("""
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY measurement_id ORDER BY observed_at) AS rn FROM measurements)
+WHERE rn = 1""", "measurements"))
+def stream_dedup_resent(spark, d):
+    work = STR._work_dir(spark, "stream-resent")
+    for stream in _arrivals(spark, d, work, again=7):
+        STR.stream_dedup(stream, ["measurement_id"], "400 days", work)
+    return spark.read.parquet(os.path.join(work, "out"))
+
+
 @register("stream_latest", _with_latest("""
 SELECT s.station_id, v.variable_id, l.observed_at, l.value, l.unit
 FROM latest l JOIN stations s ON l.station_code = s.code JOIN variables v ON l.variable_code = v.code""",

@@ -5,6 +5,8 @@
 * ``stream_window``   T-S2: tumbling / sliding means with a watermark; NTZ timestamps become instants read
                       as UTC on entry (a watermark needs them) and UTC wall-clock NTZ on exit, so windows
                       align to UTC hours whatever the session time zone.
+* ``stream_window_append`` T-S2 with bounded state: windows are emitted once, when the watermark passes their end, and rows
+                      that come too late for their window go to a table of their own.
 * ``stream_dedup``    T-S3: ``dropDuplicatesWithinWatermark`` (first row wins, unlike L1's last wins).
 * ``stream_latest``   T-S4: latest value per (station, variable) kept by merging each batch into a table.
 
@@ -84,6 +86,74 @@ def stream_window(stream: DataFrame, window: str, slide: str | None, group: list
     return out_dir
 
 
+def stream_window_append(stream: DataFrame, window: str, slide: str | None, group: list[str], delay: str, work: str,
+                         ts: str = "observed_at", value: str = "value") -> str:
+    """T-S2 in append form: (window, group) counts and sums over batches, each emitted once.
+
+    As in Spark's own append mode, a batch is judged by the watermark of the batches before it (the newest event time less
+    ``delay``): rows of windows that ended by then are too late. Those are kept, in ``work/late``; the others are added to
+    the open windows, and windows that the new watermark has passed are closed. State and result are one versioned table,
+    ``work/windows``: its partition ('open', batch) is replaced by every batch, a ('closed', batch) one is added, and
+    one manifest publishes both with the new watermark, so a batch that is run again after a failure counts once. The
+    state holds the open windows only, however long the stream runs.
+    """
+    spark = stream.sparkSession
+    table, late_table = os.path.join(work, "windows"), os.path.join(work, "late")
+    event_time = ntz_as_utc_instant(ts)
+    win = F.window("_ts", window, slide) if slide else F.window("_ts", window)
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        found = V.manifest(spark, table) or {"version": 0, "partitions": []}
+        if any(int(p["values"][1]) >= epoch for p in found["partitions"]):
+            return  # this batch is in the table
+        held = [p for p in found["partitions"] if p["values"][0] == "open"]
+        before = V.read(spark, table, keep=lambda values: values[0] == "open") if held else None
+        mark = before.agg(F.max("watermark")).first()[0] if held else None
+        batch = batch.persist()
+        try:
+            rows = batch.withColumn("_ts", event_time)
+            newest = rows.agg((F.max("_ts") - F.expr(f"INTERVAL {delay}")).alias("m")).select(instant_as_utc_ntz(F.col("m"))).first()[0]
+            rows = rows.withColumn("w", win).withColumns({"window_start": instant_as_utc_ntz(F.col("w.start")),
+                                                          "window_end": instant_as_utc_ntz(F.col("w.end"))})
+            too_late = F.lit(False) if mark is None else F.col("window_end") <= F.lit(str(mark)).cast("timestamp_ntz")
+            late = rows.where(too_late).drop("w", "_ts").withColumn("epoch", F.lit(epoch).cast("bigint"))
+            V.commit(late, late_table, ["epoch"])
+            keys = ["window_start", "window_end", *group]
+            sums = rows.where(~too_late).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
+            if held:
+                sums = sums.unionByName(before.where("window_start IS NOT NULL").select(*keys, "n", "s")).groupBy(*keys).agg(
+                    F.sum("n").alias("n"), F.sum("s").alias("s"))
+            marks = [m for m in (mark, newest) if m is not None]
+            new = F.lit(str(max(marks)) if marks else None).cast("timestamp_ntz")
+            closed = F.coalesce(F.col("window_end") <= new, F.lit(False))
+            out = sums.select(F.when(closed, F.lit("closed")).otherwise(F.lit("open")).alias("kind"), F.lit(epoch).cast("bigint").alias("epoch"),
+                              new.alias("watermark"), *keys, "n", "s")
+            only_mark = spark.range(1).select(*[{"kind": F.lit("open"), "epoch": F.lit(epoch).cast("bigint"), "watermark": new}
+                                                .get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in out.schema])
+            schema, fresh = V.write_data(out.unionByName(only_mark), table, ["kind", "epoch"])
+            kept = [p for p in found["partitions"] if p["values"][0] == "closed"]
+            V.publish(spark, table, ["kind", "epoch"], schema, kept + fresh, found["version"])
+        finally:
+            batch.unpersist()
+
+    q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", os.path.join(work, "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return work
+
+
+def read_windows(spark: SparkSession, work: str, value: str = "mean_value") -> DataFrame:
+    """The windows of ``stream_window_append``: closed ones are final, open ones hold what has come so far."""
+    rows = V.read(spark, os.path.join(work, "windows")).where("window_start IS NOT NULL")
+    keys = [c for c in rows.columns if c not in ("kind", "epoch", "watermark", "n", "s")]
+    return rows.select(*keys, "n", (F.col("s") / F.col("n")).alias(value), (F.col("kind") == "closed").alias("closed"))
+
+
+def read_late(spark: SparkSession, work: str) -> DataFrame:
+    """The rows of ``stream_window_append`` that came too late, with their window and batch."""
+    return V.read(spark, os.path.join(work, "late"))
+
+
 def stream_dedup(stream: DataFrame, key: list[str], watermark: str, work: str, ts: str = "observed_at") -> str:
     """T-S3: drop repeated keys within the watermark delay (first arrival wins); appended to Parquet."""
     ev = stream.withColumn("_ts", ntz_as_utc_instant(ts)).withWatermark("_ts", watermark)
