@@ -1702,3 +1702,6 @@ def zip_ingest(spark, d):
     files = J.store_table(spark, f"{work}/store", "source_files", J.FILE_LEDGER)
     return files.agg(F.lit(run["status"]).alias("status"), F.lit(run["inserted"]).cast("bigint").alias("inserted"),
                      F.sum("row_count").alias("staged_rows"), *[F.sum(f"rejected_{r}").alias(f"rejected_{r}") for r in J.REJECTS])
+
+
+from envspark import catalog_more  # noqa: E402, F401  registers its queries

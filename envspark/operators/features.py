@@ -29,8 +29,24 @@ def lag_features(features: DataFrame, target: str, n_lags: int = 24, key: str =
                                                      for k in range(1, n_lags + 1)])
 
 
+def sequence_windows(features: DataFrame, inputs: list[str], target: str, steps: int = 24, key: str = "station_id",
+                     contiguous: bool = False) -> DataFrame:
+    """M2: for every hour with ``steps`` hours before it, the sequence of their ``inputs`` (oldest first) and the target.
+
+    Hours are rows of the series; with ``contiguous`` only sequences without a missing hour are kept.
+    """
+    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(-steps, -1)
+    step = F.struct("bucket", *inputs)
+    rows = features.select(key, "bucket", F.col(target).alias("target"), F.collect_list(step).over(before).alias("sequence"))
+    rows = rows.where((F.size("sequence") == steps) & F.col("target").isNotNull())
+    if not contiguous:
+        return rows
+    hours = F.expr("timestampdiff(HOUR, sequence[0].bucket, bucket)")
+    return rows.where(hours == steps)
+
+
 def minmax_fit(df: DataFrame, cols: list[str]) -> DataFrame:
-    """M3 fit: one row of per-column min and max (one aggregation)."""
+    """M3 fit: one row of per-column min and max (one aggregation). Fit on the 'train' rows of ``chrono_split`` only."""
     return df.agg(*[F.min(c).alias(f"{c}_min") for c in cols], *[F.max(c).alias(f"{c}_max") for c in cols])
 
 
@@ -105,3 +121,32 @@ def forest_importance(features: DataFrame, target: str, inputs: list[str], num_t
     rows = sorted(zip(inputs, imp), key=lambda x: -x[1])
     return spark.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
                                  "feature string, importance double, rank int")
+
+
+def trained(features: DataFrame, target: str, inputs: list[str], kind: str = "forest", num_trees: int = 100, max_depth: int = 10,
+            seed: int = 42) -> tuple[DataFrame, dict[str, float]]:
+    """M5: (predictions, importances) of a random forest or of gradient boosting, trained on the rows given (MLlib)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    common = dict(featuresCol="features", labelCol=target, maxDepth=max_depth, seed=seed)
+    models = {"forest": lambda: RandomForestRegressor(numTrees=num_trees, **common),
+              "boosting": lambda: GBTRegressor(maxIter=num_trees, **common)}
+    if kind not in models:
+        raise ValueError("kind must be forest or boosting")
+    data = features.where(F.col(target).isNotNull()).na.fill(0.0, subset=inputs)
+    vec = VectorAssembler(inputCols=inputs, outputCol="features").transform(data)
+    model = models[kind]().fit(vec)
+    predictions = model.transform(vec).select(F.col(target).alias("actual"), F.col("prediction").alias("predicted"))
+    return predictions, dict(zip(inputs, model.featureImportances.toArray().tolist()))
+
+
+def regressor_summary(features: DataFrame, target: str, inputs: list[str], kind: str, **how) -> DataFrame:
+    """M5: one row of a trained model: rows, RMSE on its training rows against the spread of the target, and what its
+    importances add up to."""
+    predictions, importances = trained(features, target, inputs, kind, **how)
+    spread = predictions.select(F.stddev_pop("actual")).scalar()
+    return predictions.agg(
+        F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sqrt(F.avg((F.col("actual") - F.col("predicted")) ** 2)).alias("rmse"),
+        F.lit(len(importances)).alias("n_features"), F.lit(float(sum(importances.values()))).alias("importance_sum")).withColumn(
+        "better_than_mean", F.col("rmse") < spread)

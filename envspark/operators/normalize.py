@@ -216,17 +216,26 @@ def all_blank(cols: list[str]) -> Column:
     return cond if cond is not None else F.lit(True)
 
 
+#: What a cell of a declared type looks like, without blanks around it; a timestamp is what the reader's parser takes.
+_CELL = {"integer": r"^[+-]?\d+$", "boolean": r"(?i)^(true|false|yes|no|1|0)$", "string": r"(?s)^.*$"}
+
+
 def validation_report(df: DataFrame, types: dict[str, str], dayfirst: bool = False) -> DataFrame:
-    """Per column, cells that are present but do not parse as the declared type (float | timestamp)."""
+    """Per column, cells that are present but do not parse as the declared type (float, integer, boolean, string or
+    timestamp)."""
+    unknown = set(types.values()) - {"float", "timestamp", *_CELL}
+    if unknown:
+        raise ValueError(f"unknown cell types: {sorted(unknown)}")
     checks = []
-    for c, t in types.items():
-        if t != "float":
-            df = with_parsed_datetime(df, F.col(c), f"_parsed_{c}", dayfirst)
-    for c, t in types.items():
-        s = F.col(c).cast("string")
+    for i, (c, t) in enumerate(types.items()):
+        if t == "timestamp":
+            df = with_parsed_datetime(df, quoted(c), f"_parsed_{i}", dayfirst)
+    for i, (c, t) in enumerate(types.items()):
+        s = quoted(c).cast("string")
         present = s.isNotNull() & (F.trim(s) != "")
-        bad = present & (to_number(s).isNull() if t == "float" else F.col(f"_parsed_{c}").isNull())
-        checks.append(F.struct(F.lit(c).alias("column"), F.lit("Expected " + ("Float" if t == "float" else "Timestamp"))
-                               .alias("error"), bad.alias("bad"), s.alias("cell")))
+        fits = {"float": to_number(s).isNotNull(), "timestamp": F.col(f"_parsed_{i}").isNotNull() if t == "timestamp" else None}.get(
+            t, F.trim(s).rlike(_CELL.get(t, "")))
+        checks.append(F.struct(F.lit(c).alias("column"), F.lit(f"Expected {t.capitalize()}").alias("error"),
+                               (present & ~fits).alias("bad"), s.alias("cell")))
     cells = df.select(F.col("_row"), F.explode(F.array(*checks)).alias("x")).where("x.bad")
     return cells.select((F.col("_row") + 2).alias("row_number"), "x.column", "x.error", "x.cell")

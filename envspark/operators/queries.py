@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark import vocab
@@ -224,13 +224,16 @@ def source_search(files: DataFrame, keyword: str) -> DataFrame:
 
 def preset_range(facts: DataFrame, preset: str) -> tuple:
     """Q17: (date_from, date_to) columns of a preset, anchored at the newest data date, not before the oldest."""
+    if preset not in vocab.RANGE_PRESETS:
+        raise ValueError(f"preset must be one of {sorted(vocab.RANGE_PRESETS)}")
     days = vocab.RANGE_PRESETS[preset]
     g = facts.select(F.struct(F.to_date(F.min("observed_at")).alias("mn"),
                               F.to_date(F.max("observed_at")).alias("mx"))).scalar()
     mn, mx = g.getField("mn"), g.getField("mx")
     if days is None:
         return mn, mx
-    return F.greatest(F.date_sub(mx, days - 1), mn), mx
+    start = F.trunc(mx, "year") if days == "year" else F.date_sub(mx, days - 1)
+    return F.greatest(start, mn), mx
 
 
 def apply_preset(rows: DataFrame, facts: DataFrame, preset: str) -> DataFrame:
@@ -244,16 +247,22 @@ def first_rows(rows: DataFrame, n: int = vocab.SAMPLE_ROWS, order: list[str] | N
     return rows.orderBy(*(order or ORDER_KEYS)).limit(n)
 
 
-def explore_zoom(date_from: date, date_to: date, start_pct: float, end_pct: float) -> tuple[date, date]:
-    """Q18: zoom a date range by percentages; unchanged when the range is empty or reversed."""
-    if date_from is None or date_to is None or date_from >= date_to:
-        return date_from, date_to
-    span = (date_to - date_from).total_seconds()
-    s = max(0.0, min(100.0, start_pct))
-    e = max(s, min(100.0, end_pct))
-    from datetime import datetime, time as dtime
-    base = datetime.combine(date_from, dtime.min)
-    return ((base + timedelta(seconds=span * s / 100)).date(), (base + timedelta(seconds=span * e / 100)).date())
+def zoom_bounds(first: Column, last: Column, low: float, high: float) -> tuple[Column, Column]:
+    """Q18: the days at ``low`` and ``high`` per cent of the way from the day ``first`` to the day ``last``. Shares stand between 0
+    and 100, the second not below the first; a range of no length stays as it is."""
+    low, high = sorted((min(max(low, 0.0), 100.0), max(min(max(low, 0.0), 100.0), min(max(high, 0.0), 100.0))))
+    days = F.datediff(last, first)
+    at = lambda share: F.date_add(first, F.floor(days * share / 100).cast("int"))
+    return F.when(days > 0, at(low)).otherwise(first), F.when(days > 0, at(high)).otherwise(last)
+
+
+def zoomed_days(first: date | None, last: date | None, low: float, high: float) -> tuple[date | None, date | None]:
+    """``zoom_bounds`` of two given days."""
+    length = (last - first).days if first and last else 0
+    if length <= 0:
+        return first, last
+    shares = min(max(low, 0), 100), min(max(low, high, 0), 100)
+    return tuple(first + timedelta(days=length * share // 100) for share in shares)
 
 
 # Canned samples of the stored tables (S10): table -> ordering.

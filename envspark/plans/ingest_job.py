@@ -1,6 +1,6 @@
 """S2-S8, S1, N*, L1-L9 as one job: a folder of delimited files and zip archives -> measurement table, dimensions, ledgers.
 
-A store is a folder with ``measurements`` (see ``load_job``), ``stations``, ``variables``, and three append-only ledgers:
+A store is a folder with ``measurements`` (see ``load_job``), its ``hourly`` partials, ``stations``, ``variables``, and three append-only ledgers:
 ``source_files`` (one row per file and run, with the rows staged from it and its rejects by reason), ``file_events`` (what
 each loaded file passed: downloaded, processing, completed or failed) and ``etl_runs`` (one row when a run starts, one when
 it ends; the state of a run is its latest row). Files whose checksum the ledger holds as completed with rows are skipped
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.operators import load as L
+from envspark.operators import partials as P
 from envspark.plans.load_job import load_measurements, read_measurements
 from envspark.schema import VARIABLES
 from envspark.session import checkpoint_dir, path_exists, remove_path
@@ -148,6 +149,7 @@ def ingest(spark: SparkSession, root: str, store: str, force: bool = False, trig
             rows = rows.where(F.col("reject").isNull()).drop("reject")
         if any(reject is None for _, reject in counts):
             counters = load_measurements(spark, rows, os.path.join(store, "measurements"))
+            P.refresh(spark, os.path.join(store, "measurements"), os.path.join(store, "hourly"))
             _dimensions(spark, rows, store)
         records = []
         for f in plan:

@@ -1,4 +1,4 @@
-"""One analysis request -> one lazily planned set of DataFrames (nothing is collected here).
+"""One analysis request -> a set of DataFrames (nothing is collected here; the hourly partials are written once).
 
 The request carries the screen's choices (filters, preset range, zoom, granularity, split, aggregate,
 category); ``analysis_rows`` builds the filtered star rows (Q1-Q3, Q17-Q19, A19 category) and
@@ -13,8 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from envspark.operators import partials as P
 from envspark.operators import queries as Q
 from envspark.operators import timeseries as A
+from envspark.session import cut_lineage
 
 
 @dataclass
@@ -39,7 +41,7 @@ def analysis_rows(facts: DataFrame, stations: DataFrame, variables: DataFrame, f
                   req: AnalysisRequest) -> DataFrame:
     flt = req.filters.normalized()
     if req.zoom is not None and flt.date_from and flt.date_to:
-        lo, hi = Q.explore_zoom(flt.date_from, flt.date_to, *req.zoom)
+        lo, hi = Q.zoomed_days(flt.date_from, flt.date_to, *req.zoom)
         flt = Q.Filters(flt.source_file_ids, flt.station_codes, flt.variable_codes, lo, hi)
     rows = Q.apply_filters(Q.star(facts, stations, variables, files), flt)
     if req.preset:
@@ -54,19 +56,21 @@ def run_analysis(facts: DataFrame, stations: DataFrame, variables: DataFrame, fi
                  req: AnalysisRequest) -> dict[str, DataFrame]:
     rows = analysis_rows(facts, stations, variables, files, req)
     series_col = "station_code" if req.split_by_station else "variable_code"
-    points = A.resample(rows, req.granularity, series_col, req.agg)
+    # one pass over the selected facts; every output over time reads the hourly partials, written once
+    parts = cut_lineage(P.hourly(rows))
+    points = P.resample(parts, req.granularity, series_col, req.agg)
     overall = points.where(F.col("series") == A.OVERALL).select("bucket", "series", "value")
     return {
         "rows": rows,
         "series": points,
         "series_keys": A.series_rank(rows, series_col, None if req.split_by_station else 4),
-        "station_means": A.station_means(rows),
+        "station_means": P.station_means(parts),
         "scatter": A.hour_scatter(rows, Q.ORDER_KEYS),
         "histogram": A.histogram(rows),
-        "heatmap": A.heat_scale(A.heatmap(rows, req.heatmap_days)),
-        "summary": A.summary_trend(rows, points),
+        "heatmap": A.heat_scale(P.heatmap(parts, req.heatmap_days)),
+        "summary": P.summary_trend(parts, points),
         "rolling": A.rolling_band(overall, req.rolling_window),
-        "seasonal": A.seasonal_profile(rows, req.seasonality),
+        "seasonal": P.seasonal_profile(parts, req.seasonality),
         "autocorrelation": A.autocorrelation(overall),
         "anomalies": A.iqr_anomalies(overall),
         "sample": Q.first_rows(rows),

@@ -45,12 +45,15 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
                      .alias("suffix"), "length", "modificationTime")
 
 
-def detect_type(content_col) -> F.Column:
-    """S4: '.rar' / '.zip' by magic bytes, else '.bin'."""
+def detect_type(content_col, content_type: F.Column | None = None) -> F.Column:
+    """S4: '.rar' / '.zip' by magic bytes, '.xlsx' by a spreadsheet's content type, else '.bin'."""
     head6 = F.substring(content_col, 1, 6)
     head4 = F.substring(content_col, 1, 4)
-    return (F.when(head6 == F.lit(bytearray(RAR_MAGIC)), F.lit(".rar"))
-            .when(head4 == F.lit(bytearray(ZIP_MAGIC)), F.lit(".zip")).otherwise(F.lit(".bin")))
+    kind = (F.when(head6 == F.lit(bytearray(RAR_MAGIC)), F.lit(".rar"))
+            .when(head4 == F.lit(bytearray(ZIP_MAGIC)), F.lit(".zip")))
+    if content_type is not None:
+        kind = kind.when(F.lower(content_type).rlike("spreadsheetml|ms-excel"), F.lit(".xlsx"))
+    return kind.otherwise(F.lit(".bin"))
 
 
 def format_gate(files: DataFrame, mode: str = "manual") -> DataFrame:

@@ -138,9 +138,12 @@ def classify(text: Column, href: Column, url: Column, extra_hints: dict[str, tup
 
 
 def select_variables(requested: list[str] | None, max_archives: int | None = None) -> tuple[list[str], int]:
-    """Normalise, keep known codes, de-duplicate in order; empty = all; explicit list caps to its length."""
+    """Normalise, keep known codes, de-duplicate in order; empty = all; explicit list caps to its length. A cap outside
+    1 to MAX_ARCHIVES is an error."""
+    if max_archives is not None and not 1 <= max_archives <= vocab.MAX_ARCHIVES:
+        raise ValueError(f"max_archives must be between 1 and {vocab.MAX_ARCHIVES}")
     if not requested:
-        return list(vocab.VARIABLE_CODES), max(1, min(vocab.MAX_ARCHIVES, max_archives or vocab.DEFAULT_ARCHIVES))
+        return list(vocab.VARIABLE_CODES), max_archives or vocab.DEFAULT_ARCHIVES
     out: list[str] = []
     for raw in requested:
         code = normalize_code_py(str(raw))
@@ -208,3 +211,10 @@ def link_catalogue(pages: DataFrame, base_url: str, variables: list[str] | None
         Window.partitionBy("page_id", "url", "variable_code").orderBy("pos"))).where("_r = 1").drop("_r")
     clustered = first_triple.repartition("page_id").sortWithinPartitions("page_id", "pos")
     return clustered.mapInPandas(_greedy_walk(cap), _PICK_SCHEMA)
+
+
+def found_links(links: DataFrame) -> DataFrame:
+    """``links``, or an error if a catalogue found none (a sync without archives is a failed one)."""
+    if links.isEmpty():
+        raise ValueError("no archive links of the selected variables were found")
+    return links

@@ -90,7 +90,7 @@ FORBIDDEN_SQL_WORDS = ("insert", "update", "delete", "drop", "alter", "truncate"
                        "comment", "copy", "call", "do", "merge")
 
 # Range presets of the analysis screen: id -> number of calendar days (None = all data).
-RANGE_PRESETS = {"24h": 2, "7d": 7, "30d": 30, "1y": 365, "all": None}
+RANGE_PRESETS = {"24h": 2, "7d": 7, "30d": 30, "90d": 90, "1y": 365, "this_year": "year", "all": None}
 
 # Weekday labels indexed Sunday=0 .. Saturday=6.
 WEEKDAY_NAMES = ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")

@@ -6,7 +6,7 @@ from conftest import SMALL
 from envspark import binding as B
 from envspark.operators import load as L
 from envspark.operators import timeseries as A
-from envspark.operators.queries import explore_zoom
+from envspark.operators.queries import zoomed_days
 
 
 def test_loading_twice_changes_nothing(spark):
@@ -75,11 +75,11 @@ def test_iqr_short_series_unchanged(spark):
     assert all(r.is_anomaly is None and r.lower is None for r in out)
 
 
-def test_explore_zoom():
+def test_zoomed_days():
     from datetime import date
 
-    assert explore_zoom(date(2024, 1, 1), date(2024, 1, 31), 50, 100) == (date(2024, 1, 16), date(2024, 1, 31))
-    assert explore_zoom(date(2024, 1, 31), date(2024, 1, 1), 0, 50) == (date(2024, 1, 31), date(2024, 1, 1))
+    assert zoomed_days(date(2024, 1, 1), date(2024, 1, 31), 50, 100) == (date(2024, 1, 16), date(2024, 1, 31))
+    assert zoomed_days(date(2024, 1, 31), date(2024, 1, 1), 0, 50) == (date(2024, 1, 31), date(2024, 1, 1))
 
 
 def test_link_variable_selection():
