@@ -18,8 +18,8 @@ The insult weights and the logistic model are learned from ``labels.toxic``, onl
 mod 4 is not 2, and from the ``TRAIN_DOCS`` labelled documents with the smallest hash of their id at most (the documented
 bound of the fit; of rows with one id the one of the least hash). Equal texts with equal labels train once. Words and their beginnings of 4 and 5
 letters become insults where their share of toxic witnesses is too high for chance (log likelihood ratio against the
-logarithm of the number of candidates); near copies, which share their least or greatest hash of a long word, are one
-witness of a word. Fixed seed words serve where the labelled rows say nothing. labels, lang, source and doc_id are never
+logarithm of the number of candidates); near copies of a label, which share their least or greatest hash of a long word,
+are one witness of a word. Fixed seed words serve where the labelled rows say nothing. labels, lang, source and doc_id are never
 inputs of a score.
 
 Defined results: null and empty texts score as a text without any pattern; predicted is 1 from 0.3 on; a null doc_id is not
@@ -189,18 +189,20 @@ def training_rows(docs: DataFrame, marks: DataFrame, text: str, limit: int) -> D
 
 
 def witnesses(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``witness``: the same for texts that share their least or their greatest hash of a long word."""
+    """(text, toxic): one text for those of a label that share their least or their greatest hash of a long word, the same one
+    in every run. Only the words of the lexicon are counted over these; the model is fitted on all rows."""
     long = F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}{9,}"), F.lit(0)), lambda w: F.xxhash64(w))
-    keyed = rows.withColumns({"lo": F.coalesce(F.array_min(long), F.xxhash64("text")),
-                              "hi": F.coalesce(F.array_max(long), F.xxhash64("text"))})
-    return keyed.join(keyed.groupBy("lo").agg(F.min("hi").alias("witness")), "lo")
+    keyed = rows.select("text", "toxic", F.coalesce(F.array_min(long), F.xxhash64("text")).alias("lo"),
+                        F.coalesce(F.array_max(long), F.xxhash64("text")).alias("hi"))
+    first = lambda df, key, *rest: df.groupBy(key, "toxic").agg(
+        F.min_by(F.struct("text", *rest), F.struct(F.xxhash64("text"), "text")).alias("r")).select("toxic", "r.*")
+    return first(first(keyed, "lo", "hi"), "hi").select("text", "toxic")
 
 
 def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Weights of words and of stems (log odds) that are toxic beyond chance."""
-    rows = witnesses(rows)
-    one = rows.groupBy("witness").agg(F.max("toxic").alias("toxic"))
-    counts = one.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    rows = write_shared(witnesses(rows), "toxicity-witnesses")
+    counts = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n, toxic = counts.n or 0, counts.t or 0
     if not toxic or toxic == n:
         return {}, {}
@@ -208,8 +210,7 @@ def learn_words(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     stems = [F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
              for k in STEMS]
     tokens = F.array_distinct(F.concat(words, *stems))
-    seen = (rows.select("witness", "toxic", F.explode(tokens).alias("token")).groupBy("token", "witness")
-            .agg(F.max("toxic").alias("toxic")).groupBy("token")
+    seen = (rows.select("toxic", F.explode(tokens).alias("token")).groupBy("token")
             .agg(F.sum("toxic").alias("a"), F.count("*").alias("k")).where("k >= 3"))
     seen = write_shared(seen, "toxicity-words")  # read three times below
     candidates = max(2, seen.count())

@@ -403,7 +403,7 @@ def test_toxicity_leaves_out_equal_texts_only(spark):
     got = [r.text for r in toxicity.training_rows(docs, marks, "text", 20_000).collect()]
     assert len(got) == len(set(got)) and len(got) in (50, 51)
     grouped = toxicity.witnesses(spark.createDataFrame([(t, 0) for t in got], "text string, toxic int"))
-    assert grouped.count() == len(got) and grouped.select("witness").distinct().count() <= 2
+    assert 1 <= grouped.count() <= 2  # one witness of a word, while all of them train the model
 
 
 # ---- op9 -----------------------------------------------------------------------------------------------------------
