@@ -203,15 +203,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
 
 def keep_one(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET,
              max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component: the row of its smallest doc_id (of rows with that id, any one)."""
-    own = write_shared(docs.select("doc_id", fingerprint(F.col(text), shingle).alias("fp")), "simhash-fingerprints")
-    members = own.distinct().join(grouped(own, bucket, max_bits).select("fp", "root"), "fp")
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    kept = members.groupBy("root").agg(F.min(best).alias("k")).select(
-        F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp"))
-    mine = docs.withColumn("__own", fingerprint(F.col(text), shingle))
-    rows = mine.join(kept, (F.col("__own") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    """``docs`` with one row of each component: of the rows of its smallest doc_id (none before null) the one of the least
+    fingerprint and, among rows that share it, of the least hash of the whole row, so every run keeps the same.
+
+    The rows are written once with their fingerprint and a row number, so each text is hashed once."""
+    mine = docs.withColumn("__own", fingerprint(F.col(text), shingle)).withColumn("__row", F.monotonically_increasing_id())
+    mine = write_shared(mine, "simhash-documents")
+    own = mine.select("doc_id", F.col("__own").alias("fp"), F.xxhash64(*docs.columns).alias("content"), F.col("__row").alias("row"))
+    members = own.join(grouped(own.select("doc_id", "fp"), bucket, max_bits).select("fp", "root"), "fp")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "content", "row")
+    kept = members.groupBy("root").agg(F.min(best).alias("k")).select(F.col("k.row").alias("__row"))
+    return mine.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
