@@ -4,6 +4,7 @@ hourly partials. Same form as ``catalog``: (spark, sf_dir) -> DataFrame, with th
 from __future__ import annotations
 
 import os
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -188,6 +189,23 @@ def wide_ingest(spark, d):
     return S.read_delimited(spark, paths).select("station_code", "observed_at", "variable_code", "value", "unit")
 
 
+# ---- S4: file types of downloads without a usable name ------------------------------------------------------------------
+
+
+@register("file_types", sql("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '.rar' WHEN 1 THEN '.zip' WHEN 2 THEN '.xlsx' ELSE '.bin' END AS suffix FROM documents"""))
+def file_types(spark, d):
+    from envspark.session import read_table
+    from envspark.sources import files as S
+
+    k = F.col("doc_id") % 4
+    magic = F.when(k == 0, F.lit(bytearray(S.RAR_MAGIC))).when(k == 1, F.lit(bytearray(S.ZIP_MAGIC))).otherwise(F.lit(bytearray(b"")))
+    kind = F.when(k == 2, "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet").when(k == 0, "application/vnd.ms-excel").otherwise("text/html")
+    docs = read_table(spark, d, "documents").select("doc_id", F.concat(magic, F.coalesce("text", F.lit("")).cast("binary")).alias("content"),
+                                                    kind.alias("content_type"))
+    return docs.select("doc_id", S.detect_type(F.col("content"), F.col("content_type")).alias("suffix"))
+
+
 # ---- N19: the other cell types -----------------------------------------------------------------------------------------
 
 _CELLS_SQL = ("(SELECT measurement_id, CASE measurement_id % 6 WHEN 0 THEN CAST(measurement_id AS VARCHAR) WHEN 1 THEN '1.5' WHEN 2 THEN ' -7 ' "
@@ -294,6 +312,23 @@ def partials_heatmap(spark, d):
     return r6(P.heatmap(_kept_partials(spark, d), 14), "mean_value")
 
 
+# Q3 + Q17 over the stored table: the day range and the variables leave out whole folders, the DATE column row groups.
+RANGE = (date(2024, 1, 9), date(2024, 1, 17))
+
+
+@register("stored_range", _loaded_sql(f"""
+SELECT station_code, variable_code, observed_at, value FROM loaded
+WHERE CAST(observed_at AS DATE) BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}' AND variable_code IN ('NO2', 'O3')"""))
+def stored_range(spark, d):
+    from envspark.plans.load_job import load_measurements, read_measurements
+
+    table = os.path.join(_work_dir(spark, "stored"), "table")
+    load_measurements(spark, B.measurements(spark, d).withColumn("load_order", F.col("measurement_id")), table)
+    rows = read_measurements(spark, table, *RANGE, variables=["NO2", "O3"])
+    return Q.apply_filters(rows, Q.Filters(date_from=RANGE[0], date_to=RANGE[1])).select(
+        "station_code", "variable_code", "observed_at", "value")
+
+
 def _fresh_partials(spark, d):
     return P.hourly(B.measurements(spark, d))
 

@@ -52,9 +52,15 @@ def star(facts: DataFrame, stations: DataFrame, variables: DataFrame, files: Dat
 
 
 def apply_filters(rows: DataFrame, flt: Filters) -> DataFrame:
-    """Q2 + Q3: IN-lists when non-empty; observed_at >= from 00:00 and < (to + 1 day) 00:00."""
+    """Q2 + Q3: IN-lists when non-empty; observed_at >= from 00:00 and < (to + 1 day) 00:00. Rows of a stored table carry the
+    day as a DATE, which prunes row groups where a TIMESTAMP_NTZ does not, so the range is set on it as well."""
     flt = flt.normalized()
     out = rows
+    if "observed_date" in rows.columns:
+        if flt.date_from is not None:
+            out = out.where(F.col("observed_date") >= F.lit(flt.date_from))
+        if flt.date_to is not None:
+            out = out.where(F.col("observed_date") <= F.lit(flt.date_to))
     if flt.source_file_ids:
         out = out.where(F.col("source_file_id").isin(list(flt.source_file_ids)))
     if flt.station_codes:

@@ -130,8 +130,11 @@ def heatmap(df: DataFrame, n_days: int = vocab.HEATMAP_DAYS, ts: str = "observed
 
 def heatmap_page(df: DataFrame, window_days: int = 7, offset: int = 0, n_days: int = vocab.HEATMAP_DAYS,
                  ts: str = "observed_at", value: str = "value") -> DataFrame:
-    """A page of the heatmap: window clamped to 7..60 days, offset clamped, counted from the newest day."""
-    win = max(7, min(60, window_days))
+    """A page of the heatmap of 7 to 60 days (else an error), counted from the newest day; an offset beyond the oldest page
+    shows that page."""
+    if not 7 <= window_days <= 60:
+        raise ValueError("window_days must be between 7 and 60")
+    win = window_days
     cells = heatmap(df, n_days, ts, value)
     days = cells.select("day").distinct()
     total = days.select(F.count("*")).scalar()
@@ -178,8 +181,11 @@ def summary_trend(df: DataFrame, points: DataFrame, value: str = "value") -> Dat
 
 
 def rolling_band(points: DataFrame, window_points: int = 14) -> DataFrame:
-    """A10: rolling mean +- population std over the last w points of each series (partial at the start)."""
-    w = max(2, min(90, window_points))
+    """A10: rolling mean +- population std over the last w points of each series (partial at the start); w is 2 to 90,
+    else an error."""
+    if not 2 <= window_points <= 90:
+        raise ValueError("window_points must be between 2 and 90")
+    w = window_points
     win = Window.partitionBy("series").orderBy("bucket").rowsBetween(-(w - 1), 0)
     mean = F.avg("value").over(win)
     std = F.stddev_pop("value").over(win)

@@ -120,34 +120,6 @@ FILTER_SOURCES_LIMIT = 300
 # ---------------------------------------------------------------------------------------------------------
 
 
-def default_units_df(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("variable_code", T.StringType(), False),
-                           T.StructField("default_unit", T.StringType(), False)])
-    return spark.createDataFrame(list(DEFAULT_UNITS.items()), schema)
-
-
-def alias_df(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("alias", T.StringType(), False),
-                           T.StructField("variable_code", T.StringType(), False)])
-    return spark.createDataFrame(list(VARIABLE_ALIASES.items()), schema)
-
-
-def hint_df(spark: SparkSession, extra_hints: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(variable_code, vocab_order, hint) for every hint; extra hints extend a code's list."""
-    rows = []
-    hints = {code: tuple(h) for code, h in VARIABLE_HINTS.items()}
-    for code, more in (extra_hints or {}).items():
-        hints[code] = hints.get(code, ()) + tuple(more)
-    order = list(VARIABLE_CODES) + [c for c in hints if c not in VARIABLE_CODES]
-    for pos, code in enumerate(order):
-        for hint in hints.get(code, ()):
-            rows.append((code, pos, hint))
-    schema = T.StructType([T.StructField("variable_code", T.StringType(), False),
-                           T.StructField("vocab_order", T.IntegerType(), False),
-                           T.StructField("hint", T.StringType(), False)])
-    return spark.createDataFrame(rows, schema)
-
-
 def station_reference_df(spark: SparkSession) -> DataFrame:
     """One row per reference station with its position (first match wins)."""
     schema = T.StructType([T.StructField("ref_order", T.IntegerType(), False),

@@ -85,3 +85,12 @@ def test_days_and_variables_leave_out_files_and_row_groups(spark):
     assert len(some.inputFiles()) < len(every.inputFiles()) / 4
     scan = [line for line in some._jdf.queryExecution().executedPlan().toString().split("\n") if "PushedFilters" in line]
     assert all("observed_date" in line for line in scan)
+    some.collect()
+    scanned = 0
+    leaves = some._jdf.queryExecution().executedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        plan = leaves.apply(i)
+        plan = plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") and "Adaptive" in plan.nodeName() else plan
+        if plan.metrics().contains("numOutputRows"):
+            scanned += plan.metrics().apply("numOutputRows").value()
+    assert 0 < scanned < every.count() / 4  # rows that the scan itself put out
