@@ -9,7 +9,7 @@ differencing nearly always keeps to. The ids left over at the end of a partition
 sequences whose lengths are powers of two, which need no padding.
 
 Each task packs the documents of its own partition, so nothing is shuffled; memory is one batch of texts and one batch
-of pieces. Sequence ids carry the partition's number in their upper bits.
+of pieces, of which a partial partition holds its own parts only. Sequence ids carry the partition's number in their upper bits.
 
 Defined results: a null or empty text has only the closing id; repeated rows are packed each on its own; an empty table
 has no pieces; rows with a null doc_id are packed under that null.
@@ -39,32 +39,40 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 
 
 def differencing(lengths: list[int], k: int) -> np.ndarray:
-    """The part, 0 to k-1, of each length: multiway differencing of partial partitions."""
+    """The part, 0 to k-1, of each length: multiway differencing of partial partitions.
+
+    A partition holds its parts that are not empty, largest first, so one of few pieces takes little room however large k is;
+    the parts of a merged pair meet as if both had all k (the first's part i the second's part k - 1 - i)."""
     n = len(lengths)
-    heap, sums, made = [], {}, []  # a node's parts are sorted, largest first
-    for i, length in enumerate(lengths):
-        parts = np.zeros(k, np.int64)
-        parts[0] = length
-        sums[i] = parts
-        heap.append((-int(parts[0] - parts[-1]), i))
+    spread = lambda parts: int(parts[0]) - (int(parts[-1]) if len(parts) == k else 0)
+    sums = {i: np.array([length], np.int64) for i, length in enumerate(lengths)}
+    heap, made = [(-spread(parts), i) for i, parts in sums.items()], []
     heapq.heapify(heap)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
-        parts = sums.pop(a) + sums.pop(b)[::-1]
+        first, second = sums.pop(a), sums.pop(b)[::-1]
+        if len(first) + len(second) <= k:
+            parts = np.concatenate([first, second])
+            slots = np.concatenate([np.arange(len(first), dtype=np.int32), np.arange(k - len(second), k, dtype=np.int32)])
+        else:
+            parts, slots = np.zeros(k, np.int64), np.arange(k, dtype=np.int32)
+            parts[:len(first)] = first
+            parts[k - len(second):] += second
         order = np.argsort(-parts, kind="stable")
         node, parts = n + len(made), parts[order]
-        made.append((a, b, order))
+        made.append((a, len(first), b, len(second), slots[order]))
         sums[node] = parts
-        heapq.heappush(heap, (-int(parts[0] - parts[-1]), node))
+        heapq.heappush(heap, (-spread(parts), node))
     part = np.zeros(n, np.int64)
-    window = {heap[0][1]: np.arange(k)} if heap else {}  # from the last partition down: the window of each part
+    # from the last partition down: the window of each part
+    window = {heap[0][1]: np.arange(len(sums[heap[0][1]]))} if heap else {}
+    at = np.empty(k, np.int64)
     for node in range(n + len(made) - 1, n - 1, -1):
-        a, b, order = made[node - n]
-        at = np.empty(k, np.int64)
-        at[order] = window.pop(node)
-        window[a], window[b] = at, at[::-1]
-    for i, at in window.items():
-        part[i] = at[0]
+        a, size_a, b, size_b, slots = made[node - n]
+        at[slots] = window.pop(node)
+        window[a], window[b] = at[:size_a].copy(), at[k - size_b:][::-1].copy()
+    for i, own in window.items():
+        part[i] = own[0]
     return part
 
 

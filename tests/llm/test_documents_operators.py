@@ -494,3 +494,30 @@ def test_lcp_parse_equals_the_rule_symbol_by_symbol():
         for name, phrase in zip(names.tolist(), want):  # equal phrases have equal names, others different ones
             assert by_name.setdefault(tuple(phrase), name) == name
         assert len(set(by_name.values())) == len(by_name)
+
+
+def test_packing_many_tiny_pieces_takes_little_room():
+    import tracemalloc
+
+    tracemalloc.start()
+    part, k = packing.pack([1] * 60_000, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.bincount(part, minlength=k).max() <= 256 and len(part) == 60_000
+    assert peak < 60_000 * 1500  # with every partition at full width it would be 60,000 x 235 x 16 bytes
+
+
+def test_packing_differencing_balances_like_whole_partitions():
+    def plain(lengths, k):
+        parts = [[x] + [0] * (k - 1) for x in lengths]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[-1] - p[0])
+            a, b, *rest = parts
+            parts = [*rest, sorted((x + y for x, y in zip(a, b[::-1])), reverse=True)]
+        return parts[0]
+
+    r = random.Random(8)
+    for _ in range(200):  # different lengths far apart, so that no two imbalances are equal
+        k, lengths = r.choice([1, 2, 3, 7]), [2 ** i + r.randint(0, i) for i in r.sample(range(4, 40), r.randint(1, 12))]
+        got = np.bincount(packing.differencing(lengths, k), lengths, k)
+        assert sorted(got, reverse=True) == plain(lengths, k)
