@@ -44,11 +44,18 @@ def opens(uri: str) -> bool:
         return False
 
 
-def _open(uri: str) -> pa.NativeFile:
+def open_file(uri: str) -> pa.NativeFile:
+    """A file to search in."""
     fs, path = pafs.FileSystem.from_uri(uri)
     return fs.open_input_file(path)
 
 
+def open_stream(uri: str) -> pa.NativeFile:
+    """A file to read from its start, unpacked by its suffix (.gz and the like)."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    return fs.open_input_stream(path, compression="detect")
+
+
 def packed(items: Iterable[tuple], size_at: int, most: int) -> list[list[tuple]]:
     """Items in runs of at most ``most`` bytes by the size at ``size_at``; a larger one is a run of its own."""
     out, room = [], 0
@@ -66,7 +73,7 @@ class _Items(InputPartition):
         self.items = items
 
 
-class _Reader(DataSourceReader):
+class PartsReader(DataSourceReader):
     """One task for each list of ``items``."""
 
     def __init__(self, options: dict):
@@ -76,21 +83,21 @@ class _Reader(DataSourceReader):
         return [_Items(p) for p in self.parts] or [_Items([])]
 
 
-class _DigestReader(_Reader):
+class _DigestReader(PartsReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for uri, length in partition.items:
             digest = hashlib.sha256()
-            with _open(uri) as f:
+            with open_file(uri) as f:
                 while block := f.read(BLOCK):
                     digest.update(block)
             yield uri, length, digest.hexdigest()
 
 
-class _DirectoryReader(_Reader):
+class _DirectoryReader(PartsReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for uri, _ in partition.items:
             try:
-                with _open(uri) as f, zipfile.ZipFile(f) as archive:
+                with open_file(uri) as f, zipfile.ZipFile(f) as archive:
                     for k, info in enumerate(archive.infolist()):
                         if not info.is_dir():
                             yield uri, info.filename, k, info.file_size, "encrypted member" if info.flag_bits & 1 else None
@@ -140,10 +147,10 @@ def as_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(_CHUNK_TYPES.names, row))], schema=_CHUNK_TYPES)
 
 
-class _ChunkReader(_Reader):
+class _ChunkReader(PartsReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         for uri, numbers in _by_archive(partition.items):
-            with _open(uri) as f, zipfile.ZipFile(f) as archive:
+            with open_file(uri) as f, zipfile.ZipFile(f) as archive:
                 for number in numbers:
                     yield from as_batches(member_chunks(archive, uri, number, self.chunk))
 
@@ -160,7 +167,7 @@ def _by_archive(items: list) -> Iterator[tuple[str, list[int]]]:
         yield last, numbers
 
 
-def _source(source: str, columns: str, reads: type) -> type:
+def source_of(source: str, columns: str, reads: type) -> type:
     class Source(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -175,22 +182,22 @@ def _source(source: str, columns: str, reads: type) -> type:
     return Source
 
 
-def _read(spark: SparkSession, source: str, columns: str, reads: type, parts: list, **options) -> DataFrame:
-    spark.dataSource.register(_source(source, columns, reads))
+def read_parts(spark: SparkSession, source: str, columns: str, reads: type, parts: list, **options) -> DataFrame:
+    spark.dataSource.register(source_of(source, columns, reads))
     return spark.read.format(source).options(parts=json.dumps(parts), **options).load()
 
 
 def file_digests(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     """(file, length, checksum_sha256) of (URI, length) pairs."""
-    return _read(spark, "file_digests", DIGESTS, _DigestReader, packed(files, 1, TASK_BYTES))
+    return read_parts(spark, "file_digests", DIGESTS, _DigestReader, packed(files, 1, TASK_BYTES))
 
 
 def zip_directory(spark: SparkSession, archives: list[tuple[str, int]]) -> DataFrame:
     """DIRECTORY of (URI, length) pairs: a row a member, or one with an error and no member for a broken archive."""
     parts = [archives[k:k + 64] for k in range(0, len(archives), 64)]  # directories are small whatever the archives hold
-    return _read(spark, "zip_directory", DIRECTORY, _DirectoryReader, parts)
+    return read_parts(spark, "zip_directory", DIRECTORY, _DirectoryReader, parts)
 
 
 def zip_chunks(spark: SparkSession, members: list[tuple[str, int, int]], chunk: int = CHUNK) -> DataFrame:
     """CHUNKS of (archive URI, number of the member, length) triples; a large member is a task of its own."""
-    return _read(spark, "zip_chunks", CHUNKS, _ChunkReader, packed(members, 2, TASK_BYTES), chunk=str(chunk))
+    return read_parts(spark, "zip_chunks", CHUNKS, _ChunkReader, packed(members, 2, TASK_BYTES), chunk=str(chunk))

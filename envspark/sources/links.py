@@ -22,7 +22,7 @@ from envspark.functions.text import normalize_code_py, normalize_text_series
 # No alternative below can be left again once it matched (possessive groups), so a tag of any length is read in one loop
 # and without recursion.
 TAG = r"""<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-ANCHOR_RE = rf"(?is){TAG}.*?</a>"
+ANCHOR_RE = rf"(?is){TAG}(?:.*?</a>)?+"  # a tag that no end tag follows is passed over whole
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"']++)"""
 # an href attribute of the opening tag (not data-href): double-quoted, single-quoted or bare
 HREF_RE = rf"""(?is)^<a(?:(?!\shref\s*+=\s*+{_VALUE})(?:[^>"'\s]++|\s|"[^"]*+"|'[^']*+'))*+\shref\s*+=\s*+({_VALUE})"""
@@ -55,7 +55,7 @@ def anchors(pages: DataFrame) -> DataFrame:
     html = F.substring(html, F.lit(1), F.length(html) - F.length(F.substring_index(closed, "</a>", -1)))
     found = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 0)
     ex = pages.select("page_id", F.col("url").alias("page_url"),
-                      F.posexplode(F.filter(found, lambda a: a.rlike(HREF_RE))).alias("pos", "a"))
+                      F.posexplode(F.filter(found, lambda a: a.rlike("(?i)</a>$") & a.rlike(HREF_RE))).alias("pos", "a"))
     text = _decoded(F.regexp_replace(F.regexp_extract("a", INNER_RE, 1), r"<[^>]*>", " "))
     href = F.regexp_replace(F.regexp_extract("a", HREF_RE, 1), """^["']|["']$""", "")
     return ex.select("page_id", "page_url", "pos", F.trim(_decoded(href)).alias("href"),

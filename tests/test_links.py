@@ -33,6 +33,7 @@ def test_awkward_markup_of_a_megabyte_is_read_once(spark):
         "closed comments": "<!-- x --> " * 90_000 + whole,
         "open anchors": whole + "<a href='x'>y " * 70_000,
         "open tags": whole + "<a x " * 200_000,
+        "open tags before an end": whole + "<a x " * 200_000 + "</a>",
         "hrefs without a value": f"<a {'href= ' * 100}data-href='no' href='one.zip'>NO2</a>",
     }
     df = spark.createDataFrame([(k, "http://h.org/", v) for k, v in pages.items()], "page_id string, url string, html string")
