@@ -10,7 +10,7 @@ A response row has record_id, target_uri, warc_date, http_header, payload, paylo
 source_headers (the WARC header lines). ``responses_of_pages`` makes such rows of the table ``pages``. ``warc_text`` gives a
 record's serialised form, ``write_warc`` writes records as WARC text files, ``read_records`` reads them.
 
-Comments, scripts and styles are dropped first. Plain text: block elements end a line, other tags vanish, blanks are
+Comments, scripts and styles are dropped first, one that is never closed to the end of the page. Plain text: block elements end a line, other tags vanish, blanks are
 collapsed. Links: the first href of each anchor, quoted either way or bare. All character references of HTML, named and
 numeric, are decoded once in text, title and links. ``ORACLE_SQL`` knows double-quoted hrefs and the references in
 ``ENTITIES`` only, which is all that the given pages hold. The work is linear in the page; nothing is shuffled.
@@ -22,14 +22,18 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import io
 import json
 import zlib
+from collections.abc import Iterator
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark.session import read_table
+from envspark.sources import blocks
+from envspark.sources.files import located
 
 #: Pages have no fetch time: the date that their response records carry (a parameter).
 DATE = "2024-01-01T00:00:00Z"
@@ -42,7 +46,8 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#
             ("&rdquo;", "”"), ("&euro;", "€"), ("&pound;", "£"), ("&deg;", "°"), ("&amp;", "&")]
 
 # Patterns, in the common syntax of Java's and RE2's regular expressions.
-DROPPED = r"(?is)<!--.*?-->|<script\b[^<>]*>.*?</script[^<>]*>|<style\b[^<>]*>.*?</style[^<>]*>"
+DROPPED = (r"(?is)<!--.*?(?:-->|\z)|<script\b[^<>]*>.*?(?:</script[^<>]*>|\z)|"  # what is never closed goes to the end
+           r"<style\b[^<>]*>.*?(?:</style[^<>]*>|\z)")
 BLOCKS = (r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|br|hr|tr|td|th|table|article|section|header|footer|nav|aside|main|title|head|"
           r"body|html|form|blockquote|pre|figure|option|select)\b[^<>]*>")
 TAGS = r"</?[A-Za-z!][^<>]*>"
@@ -52,7 +57,7 @@ LINK = r'(?i)<a\b[^<>]*\shref\s*=\s*"([^"<>]*)"'
 
 # Anchors by the HTML rules (the first href of any form, other attributes skipped whole), references of names.
 ANCHOR = (r"""(?is)<a(?:[\s/]++(?!href[\s=/>])[^\s=>/"'][^\s=>/]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+"""
-          r"""[\s/]++href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)""")
+          r"""(?:[\s/]++href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+""")  # a tag without one is passed over whole
 NAMES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")} | {"nbsp": " "}  # a no-break space is a blank in plain text
 LEGACY = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))  # these need no semicolon
 SLOTS = 512
@@ -108,7 +113,8 @@ def decoded(c: Column, attribute: bool = False) -> Column:
 def links_of(visible: Column) -> Column:
     """The hrefs of the anchors of a page without comments, scripts and styles; no line ends, as in URLs."""
     bare = lambda x: F.regexp_replace(x, r"""^(?:"(.*)"|'(.*)')$""", "$1$2")
-    return F.transform(F.regexp_extract_all(visible, F.lit(ANCHOR), F.lit(1)), lambda x: F.trim(
+    found = F.filter(F.regexp_extract_all(visible, F.lit(ANCHOR), F.lit(1)), lambda x: x != "")
+    return F.transform(found, lambda x: F.trim(
         F.regexp_replace(decoded(bare(F.regexp_replace(x, r"[\t\r\n]", "")), attribute=True), r"[\t\r\n]", "")))
 
 
@@ -197,13 +203,36 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
     rows.write.option("lineSep", "\n").option("compression", compression).text(path)
 
 
+RECORDS = "headers string, content string"
+
+
+def records_in(stream) -> Iterator[tuple[str, str]]:
+    """(headers, content) of a WARC stream, record by record; contents are as long as their Content-Length says, whatever
+    they hold."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue  # the line ends between records
+        head, length = [], 0
+        while (line := stream.readline()) not in (b"", b"\n", EOL.encode()):
+            head.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+            name, _, value = head[-1].partition(":")
+            if name.strip().lower() == "content-length":
+                length = int(value)
+        yield "".join(h + EOL for h in head), stream.read(length).decode("utf-8", "replace")
+
+
+class _RecordReader(blocks.PartsReader):
+    def read(self, partition) -> Iterator[tuple[str, str]]:
+        for uri, _ in partition.items:
+            with io.BufferedReader(blocks.open_stream(uri), 1 << 20) as stream:
+                yield from records_in(stream)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, content) of the records of WARC text files whose contents hold no line "WARC/1.1"."""
-    rows = spark.read.option("lineSep", f"WARC/1.1{EOL}").text(path).where("value <> ''")
-    head = F.substring_index("value", EOL + EOL, 1)
-    length = F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length: *([0-9]+)", 1).cast("int")
-    body = F.substring(F.col("value").cast("binary"), F.octet_length(head) + 5, length)
-    return rows.select(F.concat(head, F.lit(EOL)).alias("headers"), body.cast("string").alias("content"))
+    """(headers, content) of the records of the WARC files under ``path`` (also compressed ones); a file is read by one task,
+    one record at a time. The files must be in a store that the executors open (``blocks.opens``)."""
+    files = sorted((r["file"], r["length"]) for r in located(spark, path).select("file", "length").collect())
+    return blocks.read_parts(spark, "warc_records", RECORDS, _RecordReader, blocks.packed(files, 1, blocks.TASK_BYTES))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

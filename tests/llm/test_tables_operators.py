@@ -1,11 +1,13 @@
 """WARC derivatives, top-k search, the SQL statements of the operators, and the pipeline."""
 
 import tempfile
+import time
 
 import duckdb
 import numpy as np
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from envspark.llm import topk, warc
@@ -17,7 +19,7 @@ from tools.check_oracle import rows_of
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     got, want = QUERIES[name](spark, SMALL).toPandas(), con.sql(ORACLE[name]).df()
     want = want.astype(object).where(want.notna(), None)
@@ -45,6 +47,32 @@ def test_warc_records_link_and_round_trip(spark):
     assert warc.derivatives(warc.responses_of_pages(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_records_are_read_by_their_length(spark, compression):
+    bodies = ["WARC/1.1\r\nWARC-Type: fake\r\nContent-Length: 3\r\n\r\nabc", "", "two\r\n\r\nlines 日本\n", "WARC/1.1\r\n", "x" * 3_000_000]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<pre>{b}</pre>") for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    records = warc.derivatives(warc.responses_of_pages(pages))
+    contents = {f"http://h/{i}": b for i, b in enumerate(bodies)}
+    table = F.create_map(*[F.lit(x) for kv in contents.items() for x in kv])
+    body = F.when(F.col("record_type") == "conversion", table[F.col("target_uri")]).otherwise(F.col("content"))
+    records = records.withColumn("content", body).withColumn("content_length", F.octet_length("content"))
+    path = tempfile.mkdtemp(prefix="warc-", dir="/tmp") + "/w"
+    warc.write_warc(records, path, compression)
+    want = sorted(r.content for r in records.collect())
+    assert sorted(r.content for r in warc.read_records(spark, path).collect()) == want
+    kept = warc.read_records(spark, path).where("content like 'WARC/1.1%fake%'").first()
+    assert "WARC-Type: conversion" in kept.headers
+
+
+def test_warc_pages_with_endless_markup_are_read_once(spark):
+    pages = spark.createDataFrame([(1, "u", "a<!-- x " * 120_000), (2, "u", "b<script>x " * 90_000), (3, "u", "<a x " * 200_000)],
+                                  "page_id bigint, url string, html string")
+    start = time.perf_counter()
+    got = {r.page_id: r.content for r in warc.derivatives(warc.responses_of_pages(pages), "page_id").where("record_type = 'conversion'").collect()}
+    assert time.perf_counter() - start < 30
+    assert got[1] == "a" and got[2] == "b"
+
+
 def test_warc_other_media_have_metadata_only(spark):
     rows = warc.responses_of_pages(spark.createDataFrame([(1, "u", "x")], "page_id int, url string, html string"))
     rows = rows.selectExpr("* except (http_header)", "replace(http_header, 'text/html', 'image/png') as http_header")
