@@ -31,7 +31,7 @@ from envspark.llm.common import write_shared
 from envspark.session import read_table
 
 K, EVERY, SCALE = 5, 50, 256
-BLOCK, QUERIES, LEVELS = 8192, 256, 8
+BLOCK, QUERIES, LEVELS, SALTS = 8192, 256, 8, 16
 #: A query stops when the set to rescore is proven to be at most 1 / RESCORE of the block.
 RESCORE = 16
 
@@ -136,14 +136,15 @@ def _search(k: int):
     schema = pa.schema([("asked", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, index = None, None
+        index = None
         for batch in batches:
-            for block, dims, ids, matrix, asked, q_ids, q_matrix in zip(*[c.to_pylist() for c in batch.columns]):
-                if block != at:
-                    ids = np.frombuffer(ids, np.int64)
-                    at, index = block, Index(np.frombuffer(matrix, np.int64).reshape(len(ids), dims), ids)
-                own = np.frombuffer(q_ids, np.int64)
-                vectors = np.frombuffer(q_matrix, np.int64).reshape(len(own), dims)
+            ids, matrices = batch.column("ids"), batch.column("matrix")
+            for row, (asked, width) in enumerate(zip(batch.column("asked").to_pylist(), batch.column("dims").to_pylist())):
+                own = np.frombuffer(ids[row].as_buffer(), np.int64)  # where they lie in the batch, not copied
+                vectors = np.frombuffer(matrices[row].as_buffer(), np.int64).reshape(len(own), width)
+                if asked is None:  # a block; the query blocks that ask it follow
+                    index = Index(vectors, own)
+                    continue
                 found = [(asked * QUERIES + j, int(own[j]), vec_id, score) for j, best in index.top(vectors, own, k)
                          for score, vec_id in best]
                 if found:
@@ -154,12 +155,18 @@ def _search(k: int):
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: the k best rows for every query. Both: (vec_id, v) of ``integer_vectors``."""
+    spark = rows.sparkSession
     stored = write_shared(blocks(rows, block), "topk-blocks")
     asked = write_shared(blocks(queries, QUERIES), "topk-queries")
-    names = stored.select("block", "dims")
-    sent = asked.select(F.col("block").alias("asked"), "dims", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    met = names.join(sent, "dims").drop("dims").join(stored, "block")  # block names, then the blocks themselves
-    met = met.select("block", "dims", "ids", "matrix", "asked", "q_ids", "q_matrix")
+    # all vectors may have one length, so the numbers of the blocks are dealt out by salts as well
+    names = stored.select("block", "dims", (F.hash("block") % SALTS + SALTS).alias("salt"))
+    salts = F.explode(F.sequence(F.lit(1), F.lit(2 * SALTS - 1))).alias("salt")
+    sent = asked.select(F.col("block").alias("asked"), "dims", "ids", "matrix", salts)
+    met = names.join(sent, ["dims", "salt"]).select("block", "asked", "dims", "ids", "matrix")
+    # a block goes once to the task of its number, ahead of the query blocks that ask it
+    met = stored.select("block", F.lit(None).cast("bigint").alias("asked"), "dims", "ids", "matrix").unionByName(met)
+    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions(
+        "block", F.col("asked").asc_nulls_first())
     best = met.mapInArrow(_search(k), "asked bigint, query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("asked").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
