@@ -99,7 +99,8 @@ def stream_window_append(stream: DataFrame, window: str, slide: str | None, grou
     """
     spark = stream.sparkSession
     table, late_table = os.path.join(work, "windows"), os.path.join(work, "late")
-    event_time = ntz_as_utc_instant(ts)
+    # windows and marks are made of the NTZ value itself: no zone enters, and nothing is converted a row
+    event_time = F.col(ts).cast("timestamp_ntz")
     win = F.window("_ts", window, slide) if slide else F.window("_ts", window)
 
     def merge(batch: DataFrame, epoch: int) -> None:
@@ -112,9 +113,8 @@ def stream_window_append(stream: DataFrame, window: str, slide: str | None, grou
         batch = batch.persist()
         try:
             rows = batch.withColumn("_ts", event_time)
-            newest = rows.agg((F.max("_ts") - F.expr(f"INTERVAL {delay}")).alias("m")).select(instant_as_utc_ntz(F.col("m"))).first()[0]
-            rows = rows.withColumn("w", win).withColumns({"window_start": instant_as_utc_ntz(F.col("w.start")),
-                                                          "window_end": instant_as_utc_ntz(F.col("w.end"))})
+            newest = rows.agg((F.max("_ts") - F.expr(f"INTERVAL {delay}")).alias("m")).first()[0]
+            rows = rows.withColumn("w", win).withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")})
             too_late = F.lit(False) if mark is None else F.col("window_end") <= F.lit(str(mark)).cast("timestamp_ntz")
             late = rows.where(too_late).drop("w", "_ts").withColumn("epoch", F.lit(epoch).cast("bigint"))
             V.commit(late, late_table, ["epoch"])
