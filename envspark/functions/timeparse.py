@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 _TIME = r"(?:[T ](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?)?"
 YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})" + _TIME + "$"
 YEAR_LAST = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME + "$"
+#: Texts that Spark's cast to TIMESTAMP_NTZ reads as the layouts do (no second 60, no zone), so they are not rewritten.
+PLAIN = r"^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:[0-5]\d(?:\.\d{1,6})?\s*$"
+#: Numbers too short for a date of eight digits: no layout takes them.
+SHORT_NUMBER = r"^\s*[+-]?\d{0,7}(?:\.\d*)?\s*$"
 WITH_OFFSET = r"^(.*\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(Z|z|[+-]\d{2}:?\d{2})$"
 
 
@@ -84,9 +88,12 @@ def with_parsed_datetime(df: DataFrame, col: Column, out: str, dayfirst: bool =
 
     Each step reads the previous step's column, so no large sub-expression is repeated inside another (the
     optimizer does not collapse projections that would duplicate non-trivial expressions) and the generated
-    code stays within the JVM method size limit.
+    code stays within the JVM method size limit. Texts in the ``PLAIN`` layout are cast, and only the others pass the
+    patterns of the rewriting.
     """
-    staged = (canonical(df, col, "_pd_s")
+    text = col.cast("string")
+    df = df.withColumn("_pd_plain", F.when(text.rlike(PLAIN), F.regexp_replace(text, r"^\s+|\s+$", "").try_cast("timestamp_ntz")))
+    staged = (canonical(df, F.when(F.col("_pd_plain").isNull() & ~text.rlike(SHORT_NUMBER), text), "_pd_s")
               .withColumn("_pd_local", F.when(F.col("_pd_s").rlike(WITH_OFFSET),
                                               F.regexp_extract("_pd_s", WITH_OFFSET, 1)).otherwise(F.col("_pd_s")))
               .withColumn("_pd_off", _offset_minutes(F.regexp_extract("_pd_s", WITH_OFFSET, 2)))
@@ -99,8 +106,8 @@ def with_parsed_datetime(df: DataFrame, col: Column, out: str, dayfirst: bool =
     # so a later filter on ``out`` (e.g. "is not null") reads the computed column instead of being pushed
     # below with copies of the whole parse inlined into it (which overflows the generated-code size limit).
     barrier = F.spark_partition_id() >= 0
-    return (staged.withColumn(out, F.when(barrier, _shift(F.col("_pd_naive"), F.col("_pd_off"))))
-            .drop("_pd_s", "_pd_s_half", "_pd_local", "_pd_off", "_pd_naive"))
+    return (staged.withColumn(out, F.when(barrier, F.coalesce("_pd_plain", _shift(F.col("_pd_naive"), F.col("_pd_off")))))
+            .drop("_pd_plain", "_pd_s", "_pd_s_half", "_pd_local", "_pd_off", "_pd_naive"))
 
 
 def _shift(naive: Column, off_min: Column) -> Column:

@@ -138,7 +138,7 @@ def parse_members(spark: SparkSession, chunks: DataFrame, dayfirst: bool = False
         cols = clean_header(_split_header(lay["header"], lay["sep"]))
         ddl = ", ".join(f"`c{i}` STRING" for i in range(len(cols)))
         own = files.where((F.col("header") == lay["header"]) & (F.col("sep") == lay["sep"])).select("_file", "_good")
-        lines = chunks.withColumn("_file", file).join(own, "_file").select(
+        lines = chunks.withColumn("_file", file).join(F.broadcast(own), "_file").select(  # one row a member
             "_file", F.regexp_extract("member", r"([^/]+)$", 1).alias("_name"), "first_line", "head_line",
             F.posexplode(F.split(text("content", F.col("_good")), "\r?\n")).alias("_pos", "line"))
         body = lines.withColumn("_row", F.col("first_line") + F.col("_pos") - F.col("head_line") - 1).where("_row >= 0")
@@ -241,7 +241,8 @@ def with_row_index(df: DataFrame, file_col: str = "_file") -> DataFrame:
     parts = tagged.groupBy(file_col, "_pid").agg(F.min("_mid").alias("_first"), F.count("*").alias("_cnt"))
     w = Window.partitionBy(file_col).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     offs = parts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    return (tagged.join(offs.select(file_col, "_pid", "_first", "_off"), [file_col, "_pid"])
+    # one row a file and partition, so the rows stay where they were read
+    return (tagged.join(F.broadcast(offs.select(file_col, "_pid", "_first", "_off")), [file_col, "_pid"])
             .withColumn("_row", F.col("_off") + F.col("_mid") - F.col("_first"))
             .drop("_mid", "_pid", "_first", "_off"))
 
