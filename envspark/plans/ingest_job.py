@@ -91,15 +91,16 @@ def _staged(spark: SparkSession, plan: list, ids: dict[str, int], stage: str, da
     if archives:
         readable = F.lower(F.regexp_extract("member", r"(\.[^./]+)$", 1)).isin(*READABLE)
         chunks = S.expand_located(spark, archives).where(readable | F.col("error").isNotNull())
-        chunks.write.parquet(f"{stage}-members")  # archives are expanded once
+        # archives are expanded once; their chunks are dealt out anew, as the parsing takes longer and a member may be most of them
+        chunks.repartition("archive", "number", "first_line").write.parquet(f"{stage}-members")
         chunks = spark.read.schema(chunks.schema).parquet(f"{stage}-members")
         for r in chunks.where(F.col("error").isNotNull()).select("archive", "member", "error").collect():
             errors.setdefault(r["archive"], f"{r['member'] or 'archive'}: {r['error']}")
         good = chunks.where(~F.col("archive").isin(*errors)) if errors else chunks
         parts.append(S.parse_members(spark, good, dayfirst, wide_axis, keep_file=True, rejects=True))
-    known = spark.createDataFrame(list(ids.items()), "file string, source_file_id int")
+    known = spark.createDataFrame(list(ids.items()), "file string, source_file_id int")  # one row a file
     order = F.struct("source_path", "source_row_number", "value", "unit").alias("load_order")
-    rows = reduce(DataFrame.unionByName, parts).withColumn("file", F.substring_index("source_path", "\n", 1)).join(known, "file")
+    rows = reduce(DataFrame.unionByName, parts).withColumn("file", F.substring_index("source_path", "\n", 1)).join(F.broadcast(known), "file")
     rows = rows.select("file", "source_file_id", "station_code", "variable_code", "observed_at", "value", "unit", order, "reject")
     rows.write.parquet(f"{stage}-rows")
     return spark.read.schema(rows.schema).parquet(f"{stage}-rows"), errors

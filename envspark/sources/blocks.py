@@ -199,5 +199,7 @@ def zip_directory(spark: SparkSession, archives: list[tuple[str, int]]) -> DataF
 
 
 def zip_chunks(spark: SparkSession, members: list[tuple[str, int, int]], chunk: int = CHUNK) -> DataFrame:
-    """CHUNKS of (archive URI, number of the member, length) triples; a large member is a task of its own."""
-    return read_parts(spark, "zip_chunks", CHUNKS, _ChunkReader, packed(members, 2, TASK_BYTES), chunk=str(chunk))
+    """CHUNKS of (archive URI, number of the member, length) triples; a large member is a task of its own. Tasks take a core's
+    share of the text, from a chunk to TASK_BYTES, so all cores have some."""
+    share = sum(length for _, _, length in members) // spark.sparkContext.defaultParallelism
+    return read_parts(spark, "zip_chunks", CHUNKS, _ChunkReader, packed(members, 2, min(TASK_BYTES, max(CHUNK, share))), chunk=str(chunk))
