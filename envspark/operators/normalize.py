@@ -15,6 +15,7 @@ from envspark.functions.text import (clean_unit, is_blank_or_nan, normalize_code
                                      normalize_text_fast, resolve_unit, station_code, to_number,
                                      variable_from_names)
 from envspark.functions.timeparse import with_parsed_datetime
+from envspark.session import compiled_methods
 
 STAGING_COLUMNS = ["station_code", "observed_at", "variable_code", "value", "unit", "source_sheet",
                    "source_row_number", "source_workbook"]
@@ -89,6 +90,7 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
     adds ``file_col`` as ``source_path``. ``rejects`` keeps the rows (long) or cells (wide) that cannot be staged, with the
     reason in ``reject``: no timestamp, no value (in a wide cell: text that is no number) or no variable; staged rows have null.
     """
+    compiled_methods(df.sparkSession)  # parsing a row is a long chain of expressions
     cols = [c for c in df.columns if c not in HELPERS]
     roles = resolve_roles(cols)
     explicit_dt = roles["datetime"] or datetime
@@ -102,11 +104,11 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
         parts = []
         for name in names:  # files whose timestamps stand in the same column are read together
             own = guessed.where(F.col("column") == name).select("_file")
-            rows = df.join(own, "_file", "left_semi") if "_file" in df.columns else df
+            rows = df.join(F.broadcast(own), "_file", "left_semi") if "_file" in df.columns else df
             parts.append(normalize_frame(rows, sheet, workbook, wide_axis, dayfirst, file_col, name, keep_file,
                                          rejects))
         if rejects:  # rows of files without any timestamp column
-            rest = df.join(guessed.select("_file"), "_file", "left_anti") if "_file" in df.columns else df.limit(0)
+            rest = df.join(F.broadcast(guessed.select("_file")), "_file", "left_anti") if "_file" in df.columns else df.limit(0)
             parts.append(_unstaged(rest, sheet, workbook, file_col, keep_file, rejects, cols, "timestamp"))
         return reduce(DataFrame.unionByName, parts)
     sheet_c = F.lit(sheet) if isinstance(sheet, str) else sheet
@@ -160,11 +162,11 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
     st_raw = quoted(roles["station"]).cast("string") if roles["station"] else F.lit(None).cast("string")
     long = base.select(fcol.alias("_ufile"), sheet_c.alias("_sheet"), book_c.alias("_book"), st_raw.alias("_st"),
                        ts.alias("observed_at"), row_no.alias("source_row_number"),
-                       F.explode(F.array(*[F.struct(
-                           F.lit(c).alias("col"), to_number(quoted(c)).alias("value"),
-                           is_blank_or_nan_or_null(quoted(c)).alias("blank")) for c in value_cols])).alias("cell"))
-    long = long.where(~F.col("cell.blank"))  # an empty cell holds no measurement
-    long = long.withColumn("reject", _reason(F.col("observed_at"), F.col("cell.value")))
+                       F.explode(F.array(*[F.struct(F.lit(c).alias("col"), quoted(c).cast("string").alias("text"))
+                                           for c in value_cols])).alias("cell"))
+    long = long.where(~is_blank_or_nan_or_null(F.col("cell.text")))  # an empty cell holds no measurement, and is not parsed
+    long = long.withColumn("value", to_number(F.col("cell.text")))
+    long = long.withColumn("reject", _reason(F.col("observed_at"), F.col("value")))
     if not rejects:
         long = long.where(F.col("reject").isNull())
     long = long.withColumn("_ucol", F.col("cell.col"))
@@ -182,7 +184,7 @@ def normalize_frame(df: DataFrame, sheet: str | Column, workbook: str | Column,
         station = normalize_code(F.col("cell.col"))
         variable = wide_var
     return long.select(station.alias("station_code"), "observed_at", variable.alias("variable_code"),
-                       F.col("cell.value").alias("value"), resolve_unit(given_unit, variable).alias("unit"),
+                       F.col("value"), resolve_unit(given_unit, variable).alias("unit"),
                        F.col("_sheet").alias("source_sheet"), "source_row_number",
                        F.col("_book").alias("source_workbook"),
                        *([F.col("_ufile").alias("source_path")] if keep_file else []), *(["reject"] if rejects else []))
